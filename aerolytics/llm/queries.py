@@ -7,10 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolytics.llm import decontaminate, pieces, secrets, simhash, urls
+from aerolytics.llm import decontaminate, iblt, language, licenses, ngram_trie, pieces, secrets, simhash, urls, warc
 from aerolytics.llm.common import read_table
 
 
+def op1_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.audit_pages(read_table(spark, sf_dir, "pages"))
+
+
+def op2_lookup_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.fingerprint_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op3_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_trie.train_and_score(read_table(spark, sf_dir, "documents"))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict_languages(read_table(spark, sf_dir, "documents"))
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -35,6 +55,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_sentencepiece, op7_url_filter, op8_simhash, op9_secrets, op10_decontamination)
+    f.__name__: f for f in (op1_merkle_audit, op2_lookup_sketch, op3_ngram_trie, op4_language, op5_licenses, op6_sentencepiece, op7_url_filter, op8_simhash, op9_secrets, op10_decontamination)
 }
-ORACLE_SQL: dict[str, str] = {"op7_url_filter": urls.oracle()}
+ORACLE_SQL: dict[str, str] = {"op1_merkle_audit": warc.oracle(), "op2_lookup_sketch": iblt.oracle(), "op5_licenses": licenses.oracle(), "op7_url_filter": urls.oracle()}
