@@ -79,13 +79,14 @@ def covering_masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
 def star_edges(points: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """(point, smallest point of its component) among the given distinct points, under links of at most ``radius`` bits."""
     points = np.sort(points)
+    bits = points.view(np.uint64)  # of a negative number, bitwise_count takes the absolute value
     free, edges = np.ones(len(points), bool), []
     for i in range(len(points)):
         if not free[i]:
             continue
         free[i], front = False, [i]
         while front:
-            near = np.flatnonzero(free & (np.bitwise_count(points ^ points[front.pop()]) <= radius))
+            near = np.flatnonzero(free & (np.bitwise_count(bits ^ bits[front.pop()]) <= radius))
             free[near] = False
             front += near.tolist()
             edges += [(int(points[j]), int(points[i])) for j in near]
