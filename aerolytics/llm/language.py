@@ -163,6 +163,6 @@ def predict_languages(docs: DataFrame) -> DataFrame:
 
 
 def drop_undetermined(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """The documents whose language is told with a score over ``least``; texts without letters go."""
+    """The documents whose language is told, with a score of ``least`` at least; texts without letters go."""
     found = identify(docs, learn_profiles(in_training(docs)))
-    return found.where((F.col("_lang") != UNDETERMINED) & (F.col("_score") > least)).select(*docs.columns)
+    return found.where((F.col("_lang") != UNDETERMINED) & (F.col("_score") >= least)).select(*docs.columns)

@@ -28,7 +28,8 @@ ACCESS_LEAST = 20
 HEX = re.compile("[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "novel")
 SENSITIVE = re.compile(r"password|passwd|passphrase|secret|token|api_?key|access_?key|private_?key|credential|authorization|bearer|signature", re.IGNORECASE | re.ASCII)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST = 16  # code points of a candidate
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 IDENTIFIERS = (
     "password passwd passphrase secret token api_key apikey access_key private_key credential authorization bearer signature "
     "username user_name email account client_id client_secret session_id request response config settings environment variable "
@@ -53,7 +54,7 @@ def _primed() -> zstandard.ZstdCompressionDict:
 
 def novelty(candidate: str, around: str) -> float:
     """Bytes that the candidate adds to its compressed surroundings, by byte of its own."""
-    press = zstandard.ZstdCompressor(level=19, dict_data=_primed(), write_content_size=False, write_checksum=False, write_dict_id=False)
+    press = zstandard.ZstdCompressor(level=9, dict_data=_primed(), write_content_size=False, write_checksum=False, write_dict_id=False)
     own = around.encode()
     return (len(press.compress(own + candidate.encode())) - len(press.compress(own))) / len(candidate.encode())
 
@@ -70,10 +71,10 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], least: float = NOVE
     """(start, 3, end) of incompressible candidates in a sensitive context, outside the base spans."""
     out, seen = [], 0
     for word in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, max(word.end(), seen)):
-            if m.start() > word.end() + REACH:
-                break
-            seen = m.end()
+        at, reach = max(word.end(), seen), word.end() + REACH
+        while at <= reach and (near := CANDIDATE.search(text, at, reach + LEAST)):
+            m = CANDIDATE.match(text, near.start())  # to its own end, which may lie beyond the reach
+            at = seen = m.end()
             mixed = re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])
             if not mixed or any(s < m.end() and m.start() < e for s, _, e in base):
                 continue
