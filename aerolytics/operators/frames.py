@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from aerolytics.operators.ordered import lagged, last_known, running_sum
+
 MAX_TIME_JUMP, MAX_ITERATION_JUMP = 10_000_000, 5_000
 WRAP = 1 << 32
 
 
-def _log(order: str = "frame_seq"):
-    return Window.partitionBy("log_id").orderBy(order)
-
-
 # ---- time ----
 
 
@@ -29,19 +25,19 @@ def relative_time(frames: DataFrame) -> DataFrame:
 
 def unwrap_time(frames: DataFrame, order: str = "stream_seq", column: str = "time32") -> DataFrame:
     """Adds ``time``: the 32-bit counter with 2^32 added at each small step back over its end."""
-    before = F.lag(column).over(_log(order))
+    before = F.col("_before32")
     wraps = F.when((F.col(column) < before) & (F.pmod(F.col(column) - before, F.lit(WRAP)) < MAX_TIME_JUMP), 1).otherwise(0)
-    total = F.sum("wraps").over(_log(order).rowsBetween(Window.unboundedPreceding, 0))
-    return frames.withColumn("wraps", wraps).withColumn("time", F.col(column) + total * F.lit(WRAP)).drop("wraps")
+    flagged = lagged(frames, ["log_id"], order, {"_before32": column}).withColumn("_wraps", wraps).drop("_before32")
+    return running_sum(flagged, ["log_id"], order, "_wraps", "_turns").withColumn("time", F.col(column) + F.col("_turns") * F.lit(WRAP)).drop("_wraps", "_turns")
 
 
 def skipped_frames(frames: DataFrame, config: DataFrame, order: str = "frame_seq") -> DataFrame:
     """Adds ``skipped``: iterations between this frame and the one before that the log meant to leave out."""
     joined = frames.join(config.select("log_id", "i_interval", "p_num", "p_denom"), "log_id")
-    before = joined.withColumn("last", F.lag("loop_iteration").over(_log(order)))
-    first, end = F.col("last") + 1, F.col("loop_iteration") - 1
+    before = lagged(joined, ["log_id"], order, {"_last": "loop_iteration"})
+    first, end = F.col("_last") + 1, F.col("loop_iteration") - 1
     gone = lambda i: (i % F.col("i_interval") + F.col("p_num") - 1) % F.col("p_denom") >= F.col("p_num")
-    return before.withColumn("skipped", F.when(first <= end, F.size(F.filter(F.sequence(first, end), gone))).otherwise(0)).drop("last", "i_interval", "p_num", "p_denom")
+    return before.withColumn("skipped", F.when(first <= end, F.size(F.filter(F.sequence(first, end), gone))).otherwise(0)).drop("_last", "i_interval", "p_num", "p_denom")
 
 
 # ---- validity ----
@@ -92,9 +88,9 @@ def validate_logs(stream: DataFrame) -> DataFrame:
 
 def frame_gaps(frames: DataFrame, order: str = "stream_seq", iteration: str = "loop_iteration") -> DataFrame:
     """Adds ``gap``: whether a frame steps back or jumps from the one right before; no fold needed."""
-    i, t = F.lag(iteration).over(_log(order)), F.lag("time").over(_log(order))
-    di, dt = F.col(iteration) - i, F.col("time") - t
-    return frames.withColumn("gap", F.coalesce((di < 0) | (di >= MAX_ITERATION_JUMP) | (dt < 0) | (dt >= MAX_TIME_JUMP), F.lit(False)))
+    found = lagged(frames, ["log_id"], order, {"_i": iteration, "_t": "time"})
+    di, dt = F.col(iteration) - F.col("_i"), F.col("time") - F.col("_t")
+    return found.withColumn("gap", F.coalesce((di < 0) | (di >= MAX_ITERATION_JUMP) | (dt < 0) | (dt >= MAX_TIME_JUMP), F.lit(False))).drop("_i", "_t")
 
 
 def frame_counts(validity: DataFrame) -> DataFrame:
@@ -118,8 +114,8 @@ def rebuild(raw: DataFrame, predictors: dict[str, str], order: str = "stream_seq
     ``minmotor`` and ``vbatref`` are columns of that name, ``fifteen_hundred`` is 1500, ``motor_0``
     is the value of the column ``motor_0_value``; ``zero`` leaves the residual.
     """
-    number = F.sum(F.when(F.col("frame_type") == "I", 1).otherwise(0)).over(_log(order).rowsBetween(Window.unboundedPreceding, 0))
-    out = raw.withColumn("segment", number)
+    starts = raw.withColumn("_start", F.when(F.col("frame_type") == "I", 1).otherwise(0))
+    out = running_sum(starts, ["log_id"], order, "_start", "segment").drop("_start")
     own = Window.partitionBy("log_id", "segment").orderBy(order)
     running = own.rowsBetween(Window.unboundedPreceding, 0)
     constants = {"zero": F.lit(0), "fifteen_hundred": F.lit(1500), "minthrottle": F.col("minthrottle"), "minmotor": F.col("motor_output_low"), "vbatref": F.col("vbatref"), "motor_0": F.col("motor_0_value")}
@@ -153,9 +149,10 @@ def gps_coordinates(gps: DataFrame, homes: DataFrame) -> DataFrame:
     both = gps.select("log_id", "stream_seq", "coord_0", "coord_1", F.lit(None).cast("long").alias("home_0"), F.lit(None).cast("long").alias("home_1"), F.lit(True).alias("fix")).unionByName(
         homes.select("log_id", "stream_seq", F.lit(0).cast("long").alias("coord_0"), F.lit(0).cast("long").alias("coord_1"), "home_0", "home_1", F.lit(False).alias("fix"))
     )
-    last = lambda c: F.coalesce(F.last(c, ignorenulls=True).over(_log("stream_seq").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
-    found = both.select("log_id", "stream_seq", "fix", (F.col("coord_0") + last("home_0")).alias("lat"), (F.col("coord_1") + last("home_1")).alias("lon"))
-    return found.where("fix").drop("fix")
+    home = F.when(~F.col("fix"), F.struct(F.coalesce("home_0", F.lit(0)).alias("x"), F.coalesce("home_1", F.lit(0)).alias("y")))
+    found = last_known(both, ["log_id"], "stream_seq", home, "home").where("fix")
+    add = lambda c, h: (F.col(c) + F.coalesce(f"home.{h}", F.lit(0)))
+    return found.select("log_id", "stream_seq", add("coord_0", "x").alias("lat"), add("coord_1", "y").alias("lon"))
 
 
 def gps_times(stream: DataFrame) -> DataFrame:
@@ -165,8 +162,7 @@ def gps_times(stream: DataFrame) -> DataFrame:
     none, or if an invalid main frame came since.
     """
     main = F.col("kind") == "M"
-    last = F.last(F.when(main, F.struct(F.col("valid"), F.col("time"))), ignorenulls=True).over(_log("stream_seq").rowsBetween(Window.unboundedPreceding, 0))
-    found = stream.withColumn("m", last).where("kind = 'G'")
+    found = last_known(stream, ["log_id"], "stream_seq", F.when(main, F.struct(F.col("valid"), F.col("time"))), "m").where("kind = 'G'")
     return found.select("log_id", "stream_seq", (F.col("delta") + F.when(F.col("m.valid"), F.col("m.time")).otherwise(0)).alias("gps_time"))
 
 
@@ -203,8 +199,8 @@ def rolling_rms(frames: DataFrame, window_s: float = 0.5) -> DataFrame:
 
     power = sum((F.abs(F.coalesce(f"setpoint_{a}", F.lit(0))) for a in AXES), F.lit(0))
     timed = relative_time(frames).select("log_id", "frame_seq", "time_s", (power * power).cast("bigint").alias("sq"))
-    order = _log()
-    summed = timed.withColumns({"prefix": F.sum("sq").over(order.rowsBetween(Window.unboundedPreceding, 0)), "step": F.col("time_s") - F.lag("time_s").over(order)})
+    steps = lagged(timed, ["log_id"], "frame_seq", {"before": "time_s"}).withColumn("step", F.col("time_s") - F.col("before")).drop("before")
+    summed = running_sum(steps, ["log_id"], "frame_seq", "sq", "prefix")
     sizes = summed.groupBy("log_id").agg(F.count("*").alias("n"), F.percentile("step", F.lit(0.5)).alias("dt"))
     win = F.when(F.col("dt") > 0, F.least(F.greatest((F.lit(window_s) / F.when(F.col("dt") > 0, F.col("dt"))).cast("int"), F.lit(1)), F.col("n"))).otherwise(1).cast("bigint")
     held = summed.join(sizes, "log_id").withColumn("win", win)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from aerolytics.operators import kernels
+from aerolytics.operators.ordered import with_guests
 from aerolytics.ship import ship
 
 KEYS = ["log_id", "axis"]
@@ -152,8 +153,12 @@ def spectral_peak(spectrum: DataFrame) -> DataFrame:
 
 def box_smooth(signal: DataFrame, column: str, size: int) -> DataFrame:
     """Adds ``<column>_smooth``: centred mean of ``size`` rows, zeros beyond the ends; size 1 leaves the signal."""
-    own = Window.partitionBy(*KEYS).orderBy("i").rowsBetween(-(size // 2), (size - 1) // 2)
-    return signal.withColumn(f"{column}_smooth", F.sum(F.col(column).cast("double")).over(own) / size if size > 1 else F.col(column).cast("double"))
+    value = F.col(column).cast("double")
+    if size <= 1:
+        return signal.withColumn(f"{column}_smooth", value)
+    own = Window.partitionBy(*KEYS, "_chunk").orderBy("i").rowsBetween(-(size // 2), (size - 1) // 2)
+    spread = with_guests(signal, "i", size // 2, (size - 1) // 2)
+    return spread.withColumn(f"{column}_smooth", F.sum(value).over(own) / size).where("not _guest").drop("_chunk", "_guest")
 
 
 def step_segments(signal: DataFrame, min_input: float = 20.0, duration_ms: float = 500.0, segment_ms: float = 2000.0, smooth: int = 1) -> DataFrame:
@@ -209,8 +214,8 @@ def correlation_delay(signal: DataFrame, raw: str, filtered: str, rate_hz: float
     fair = (F.col("n") >= 10) & (F.col(f"{raw}_s") >= 1e-10) & (F.col(f"{filtered}_s") >= 1e-10)
     norm = lambda c: (F.col(c) - F.col(f"{c}_m")) / F.col(f"{c}_s")
     held = signal.join(stats.where(fair), KEYS).select(*KEYS, "i", "n", norm(raw).alias("r"), norm(filtered).alias("f"))
-    order = Window.partitionBy(*KEYS).orderBy("i")
-    led = held.select(*KEYS, "n", *[(F.col("r") * F.lead("f", k).over(order)).alias(f"c{k}") for k in range(most + 1)])
+    order = Window.partitionBy(*KEYS, "_chunk").orderBy("i")
+    led = with_guests(held, "i", 0, most).select(*KEYS, "n", "_guest", *[(F.col("r") * F.lead("f", k).over(order)).alias(f"c{k}") for k in range(most + 1)]).where("not _guest")
     sums = led.groupBy(*KEYS).agg(F.first("n").alias("n"), *[F.sum(f"c{k}").alias(f"c{k}") for k in range(most + 1)])
     lags = F.filter(F.array(*[F.struct(F.round(f"c{k}", 9).alias("c"), F.lit(-k).alias("k")) for k in range(most + 1)]), lambda x: (-x["k"] <= F.floor(F.col("n") / 2)) & x["c"].isNotNull())
     best = sums.select(*KEYS, (-F.array_max(lags)["k"]).alias("lag"))

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from aerolytics.operators.ordered import lagged
+
 AXES = ("roll", "pitch", "yaw")
 # The ten stick thresholds, as the doubles that even steps from 0.1 to 1.0 give.
 THRESHOLDS = (0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6, 0.7000000000000001, 0.8, 0.9, 1.0)
@@ -144,9 +146,7 @@ def error_report(signals: DataFrame) -> DataFrame:
 
 def median_rate(signals: DataFrame) -> DataFrame:
     """(log_id, dt_s, rate_khz): median step of ``time_s`` in row order; 0.001 s for two rows or fewer, 4 kHz without progress."""
-    from pyspark.sql import Window
-
-    steps = signals.withColumn("step", F.col("time_s") - F.lag("time_s").over(Window.partitionBy("log_id").orderBy("frame_seq")))
+    steps = lagged(signals, ["log_id"], "frame_seq", {"_before": "time_s"}).withColumn("step", F.col("time_s") - F.col("_before"))
     found = steps.groupBy("log_id").agg(F.count("*").alias("n"), F.percentile("step", F.lit(0.5)).alias("median"))
     dt = F.when(F.col("n") <= 2, 0.001).otherwise(F.col("median"))
     return found.select("log_id", dt.alias("dt_s"), F.when(dt > 0, 1.0 / (F.when(dt > 0, dt) * 1000)).otherwise(4.0).alias("rate_khz"))

@@ -486,7 +486,16 @@ def f7_correlation_delay(spark, d):
     return sp.correlation_delay(_pair(spark, d), "setpoint", "gyro", RATE_HZ, 100.0)
 
 
-@query(None)
+@query("""
+, n as (select log_id, axis, count(*) as n from signals group by all), k as (select n.*, unnest(range(0, n // 2 + 1)) as f from n where n >= 64),
+ d as (select k.log_id, k.axis, k.f, f * 100.0::double / n as freq, sum(setpoint * cos(2 * pi() * f * frame_seq / n)) as xr, -sum(setpoint * sin(2 * pi() * f * frame_seq / n)) as xi, sum(gyro * cos(2 * pi() * f * frame_seq / n)) as yr, -sum(gyro * sin(2 * pi() * f * frame_seq / n)) as yi
+       from k join signals s on s.log_id = k.log_id and s.axis = k.axis group by k.log_id, k.axis, k.f, n),
+ m as (select *, sqrt(xr * xr + xi * xi) as size, max(sqrt(xr * xr + xi * xi)) over (partition by log_id, axis) as top from d),
+ a as (select log_id, axis, freq, atan2(yi * xr - yr * xi, yr * xr + yi * xi) as angle from m where freq between 5 and 40 and size > top * 1e-6),
+ s as (select *, angle - lag(angle) over (partition by log_id, axis order by freq) as step from a),
+ u as (select log_id, axis, freq, angle - coalesce(sum(case when abs(step) >= pi() then round(step / (2 * pi())) * 2 * pi() else 0 end) over (partition by log_id, axis order by freq), 0) as phase from s),
+ l as (select log_id, axis, count(*) as n, regr_slope(phase, freq) as slope from u group by all)
+select n.log_id, n.axis, round(case when l.n >= 3 then greatest(0, -slope / (2 * pi()) * 1000) else 0 end, 6) as delay_ms from n left join l on l.log_id = n.log_id and l.axis = n.axis""", "signals")
 def f8_phase_delay(spark, d):
     return rounded(sp.phase_delay(_pair(spark, d), "setpoint", "gyro", RATE_HZ, 5.0, 40.0))
 
