@@ -220,9 +220,9 @@ def a2_stick_histogram(spark, d):
     return rounded(stats.stick_distribution(_sticks(spark, d), ["log_id", "axis"])[0])
 
 
-@query("select log_id, axis, round(avg(abs(setpoint) / 500.0::double * 100), 6) as mean, round(stddev_pop(abs(setpoint) / 500.0::double * 100), 6) as std from signals group by all", "signals")
+@query("select log_id, axis, round(avg(abs(setpoint) / 500.0::double * 100), 9) as mean, round(stddev_pop(abs(setpoint) / 500.0::double * 100), 9) as std from signals group by all", "signals")
 def a2_stick_moments(spark, d):
-    return rounded(stats.stick_distribution(_sticks(spark, d), ["log_id", "axis"])[1])
+    return rounded(stats.stick_distribution(_sticks(spark, d), ["log_id", "axis"])[1], 9)
 
 
 @query(", m as (select log_id, max(throttle) as top from frames group by 1), p as (select f.log_id, least(greatest(case when top > 100 then throttle / 10.0::double else throttle end, 0), 100) as pct from frames f join m on f.log_id = m.log_id), hb as (select log_id, least(cast(floor(pct) as int), 99) as bin, count(*) as n from p group by all) select log_id, bin, round(n / sum(n) over (partition by log_id), 6) as fraction from hb", "frames")
@@ -510,7 +510,7 @@ def f9_f10_filter_delays(spark, d):
 
 @query(CONFIG + """ select f.log_id, frame_seq, (motor_0 * 330 * vbatscale) // 4095 as millivolts, round((motor_0 * 330 * vbatscale) // 4095 / 1000.0, 6) as volts,
   cast(floor(((motor_1 * 3300) // 4095 - current_meter_offset) * 10000 / current_meter_scale::double) as bigint) as milliamps,
-  round(gyro_scale * 1000000 * gyro_roll, 6) as rad_s, round(gyro_scale * 1000000 * gyro_roll * 180 / pi(), 6) as deg_s, round(gyro_pitch / acc_1g::double, 6) as g,
+  round(gyro_scale * 1000000 * gyro_roll, 6) as rad_s, round(gyro_scale * 1000000 * gyro_roll * (180 / pi()), 6) as deg_s, round(gyro_pitch / acc_1g::double, 6) as g,
   round((motor_0 - motor_output_low) / (motor_output_high - motor_output_low)::double * 100, 6) as motor_pct, round(time / 1e6, 6) as seconds
  from frames f join config c on f.log_id = c.log_id""", "frames", "header_lines")
 def c1_c7_units(spark, d):
