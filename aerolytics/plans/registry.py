@@ -510,7 +510,7 @@ def f9_f10_filter_delays(spark, d):
 
 @query(CONFIG + """ select f.log_id, frame_seq, (motor_0 * 330 * vbatscale) // 4095 as millivolts, round((motor_0 * 330 * vbatscale) // 4095 / 1000.0, 6) as volts,
   cast(floor(((motor_1 * 3300) // 4095 - current_meter_offset) * 10000 / current_meter_scale::double) as bigint) as milliamps,
-  round(gyro_scale * 1000000 * gyro_roll, 6) as rad_s, round(gyro_scale * 1000000 * gyro_roll * (180 / pi()), 6) as deg_s, round(gyro_pitch / acc_1g::double, 6) as g,
+  round(gyro_scale * 1000000 * gyro_roll, 6) as rad_s, round(gyro_scale * 1000000 * gyro_roll * (180 / pi()), 2) as deg_s, round(gyro_pitch / acc_1g::double, 6) as g,
   round((motor_0 - motor_output_low) / (motor_output_high - motor_output_low)::double * 100, 6) as motor_pct, round(time / 1e6, 6) as seconds
  from frames f join config c on f.log_id = c.log_id""", "frames", "header_lines")
 def c1_c7_units(spark, d):
@@ -520,7 +520,7 @@ def c1_c7_units(spark, d):
     return rounded(f.select(
         "log_id", "frame_seq", units.vbat_to_millivolts(c("motor_0"), c("vbatscale")).alias("millivolts"), units.vbat_to_volts(c("motor_0"), c("vbatscale")).alias("volts"),
         units.amperage_to_milliamps(c("motor_1"), c("current_meter_offset"), c("current_meter_scale")).alias("milliamps"), units.gyro_to_radians(c("gyro_roll"), c("gyro_scale")).alias("rad_s"),
-        units.gyro_to_degrees(c("gyro_roll"), c("gyro_scale")).alias("deg_s"), units.acceleration_to_g(c("gyro_pitch"), c("acc_1g")).alias("g"),
+        F.round(units.gyro_to_degrees(c("gyro_roll"), c("gyro_scale")), 2).alias("deg_s"), units.acceleration_to_g(c("gyro_pitch"), c("acc_1g")).alias("g"),
         units.motor_to_percent(c("motor_0"), c("motor_output_low"), c("motor_output_high")).alias("motor_pct"), units.micros_to_seconds(c("time")).alias("seconds"),
     ))
 
