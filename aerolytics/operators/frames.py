@@ -40,6 +40,17 @@ def skipped_frames(frames: DataFrame, config: DataFrame, order: str = "frame_seq
     return before.withColumn("skipped", F.when(first <= end, F.size(F.filter(F.sequence(first, end), gone))).otherwise(0)).drop("_last", "i_interval", "p_num", "p_denom")
 
 
+def skipped_after(frames: DataFrame, config: DataFrame, most: int = 10_001) -> DataFrame:
+    """Adds ``skipped_after``: iterations that the log leaves out right after this frame's; at most ``most``.
+
+    Every ``i_interval``-th iteration is logged, so no longer stretch needs looking at.
+    """
+    joined = frames.join(config.select("log_id", "i_interval", "p_num", "p_denom"), "log_id")
+    there = lambda k: ((F.col("loop_iteration") + k) % F.col("i_interval") + F.col("p_num") - 1) % F.col("p_denom") < F.col("p_num")
+    ahead = F.sequence(F.lit(1), F.least(F.col("i_interval"), F.lit(most + 1)))
+    return joined.withColumn("skipped_after", F.coalesce(F.array_min(F.filter(ahead, there)) - 1, F.lit(most))).drop("i_interval", "p_num", "p_denom")
+
+
 # ---- validity ----
 
 STATE = "valid boolean, last_iteration long, last_time long, ended boolean"

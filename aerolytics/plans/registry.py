@@ -326,6 +326,13 @@ def w6_skipped_frames(spark, d):
     return fr.skipped_frames(frames, config).select("log_id", "frame_seq", F.col("skipped").cast("long").alias("skipped"))
 
 
+@query("select log_id, frame_seq, cast(list_min(list_filter(range(1, 33), lambda k: ((loop_iteration + k) % 32) % (log_id % 5 + 1) < 1)) - 1 as int) as skipped_after from frames", "frames")
+def w6_skipped_after(spark, d):
+    frames = view(spark, d, "frames")
+    config = frames.select("log_id").distinct().select("log_id", F.lit(32).alias("i_interval"), F.lit(1).alias("p_num"), (F.col("log_id") % 5 + 1).alias("p_denom"))
+    return fr.skipped_after(frames, config).select("log_id", "frame_seq", "skipped_after")
+
+
 @query("select log_id, axis, frame_seq as i, round(sum(gyro) over (partition by log_id, axis order by frame_seq rows between 2 preceding and 2 following) / 5.0::double, 6) as gyro_smooth from signals", "signals")
 def w7_box_smooth(spark, d):
     signal = view(spark, d, "signals").select("log_id", "axis", F.col("frame_seq").alias("i"), "gyro")

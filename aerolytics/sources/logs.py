@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -49,21 +47,34 @@ def read_log_csv(spark: SparkSession, path: str, schema: str | None = None) -> D
     return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
 
 
-def read_decoded_csv(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Frames of files named ``<stem>.<NN>.csv``: adds ``path``, ``log_index`` and ``frame_seq`` by loop iteration and time.
+def read_decoded_csv(spark: SparkSession, paths: list[str]) -> tuple[DataFrame | None, DataFrame]:
+    """Frames of files named ``<stem>.<NN>.csv``, and (path, reason) of those that can't be used.
 
-    Files may differ in columns; those that can't be read are left to ``quarantine``.
+    Adds ``path``, ``log_index`` and ``frame_seq`` by loop iteration and time.  Files may differ in
+    columns.  A file that is missing, or lacks those two columns, is reported; it fails nothing else.
     """
-    parts = []
-    for path in paths:
-        part = spark.read.option("header", True).option("inferSchema", True).csv(path).withColumn("path", F.col("_metadata.file_path"))
-        parts.append(part)
+    from pyspark.errors import PySparkException
+
     from aerolytics.operators.stats import collect_logs
 
+    parts, failed = [], []
+    for path in paths:
+        try:
+            part = spark.read.option("header", True).option("inferSchema", True).csv(path)
+        except PySparkException as error:
+            failed.append((path, error.getCondition() or "unreadable"))
+            continue
+        if {"loopIteration", "time"} <= set(part.columns):
+            parts.append(part.withColumn("path", F.lit(path)))
+        else:
+            failed.append((path, "no loopIteration or time"))
+    wrong = spark.createDataFrame(failed, "path string, reason string")
+    if not parts:
+        return None, wrong
     frames = collect_logs(parts)
     order = Window.partitionBy("path").orderBy("loopIteration", "time")
     number = F.regexp_extract("path", r"\.(\d+)\.csv$", 1).try_cast("int")
-    return frames.withColumns({"log_index": F.coalesce(number - 1, F.lit(0)), "frame_seq": (F.row_number().over(order) - 1).cast("long")})
+    return frames.withColumns({"log_index": F.coalesce(number - 1, F.lit(0)), "frame_seq": (F.row_number().over(order) - 1).cast("long")}), wrong
 
 
 def quarantine(logs: DataFrame, wrong: Column, reason: str) -> tuple[DataFrame, DataFrame]:
@@ -84,8 +95,3 @@ def log_report(config: DataFrame, fields: DataFrame, headers: DataFrame) -> Data
     chosen = ["firmware_type", "firmware_revision", "fc_version", "data_version", "minthrottle", "maxthrottle", "motor_output_low", "motor_output_high", "rc_rate", "gyro_scale", "acc_1g", "vbatscale", "vbatref"]
     text = sorted_headers(headers).select("log_id", F.array_join(F.transform("headers", lambda h: F.concat(h["key"], F.lit(": "), h["value"])), "\n").alias("headers"))
     return config.select("log_id", *chosen).join(lists, "log_id", "left").join(text, "log_id", "left")
-
-
-def safe_name(path: str) -> str:
-    """File name without folder and extension."""
-    return re.sub(r"\.[^./]*$", "", path.rpartition("/")[2])
