@@ -40,7 +40,7 @@ from aerolytics.llm.common import doc_crc, shared_dir, ship, small_batches, stor
 END = b"\n"  # no word can hold a line end
 HASH_BITS = 60
 DISCOUNT = 0.75
-#: Words of a shard of the first level, tokens of one of the second, steps of a quantised unit of log10.
+#: Words of a shard of the first level, tokens of one of the second, steps of a quantised unit of log10.  Only the sizes of files depend on the first two.
 SHARD_WORDS, SHARD_TOKENS, STEPS = 500_000, 2_000_000, 4_096
 #: Tokens that a task handles at once, bytes of a text cut off at once, and distinct words whose counts a task holds.
 CHUNK, PIECE, HELD = 1_000_000, 4 << 20, 400_000
@@ -233,6 +233,7 @@ class Trie:
     first: list[tuple[int, int]]
     ranges: dict[int, tuple[int, int]]
     split: dict[int, int]
+    shard_tokens: int = SHARD_TOKENS
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         """log10 of a token's probability from its count alone."""
@@ -240,8 +241,8 @@ class Trie:
 
     def shards(self, running: np.ndarray, counts: np.ndarray, word: np.ndarray) -> np.ndarray:
         """The second-level shard of (context, word); ascends with the pair."""
-        within = np.where(counts > SHARD_TOKENS, counts * (word / max(self.distinct, 1)), 0.0)
-        return np.floor((running + within) / SHARD_TOKENS).astype(np.int64)
+        within = np.where(counts > self.shard_tokens, counts * (word / max(self.distinct, 1)), 0.0)
+        return np.floor((running + within) / self.shard_tokens).astype(np.int64)
 
 
 def _runs(values: np.ndarray) -> list[tuple[int, int]]:
@@ -375,9 +376,9 @@ def _count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
-def _build_words(counts: DataFrame, path: str) -> tuple[int, list[tuple[int, int]], int, int]:
+def _build_words(counts: DataFrame, path: str, shard_words: int) -> tuple[int, list[tuple[int, int]], int, int]:
     """Write the first level; the bits of a shard's number, first id and total of each shard, N and V."""
-    bits = max(0, math.ceil(math.log2(max(1, counts.count()) / SHARD_WORDS)))
+    bits = max(0, math.ceil(math.log2(max(1, counts.count()) / shard_words)))
 
     def build(table: pa.Table) -> pa.Table:
         from pyspark import TaskContext
@@ -455,7 +456,7 @@ def _build_successors(docs: DataFrame, trie: Trie) -> None:
         total = Reader.of(trie).totals(np.arange(low, low + high + 1))[context]
         code = np.minimum(np.ceil(-np.log10((counts - DISCOUNT) / total) * STEPS), 65_535).astype(np.uint16)
         write_arrays(f"{trie.path}/successors/{shard:06d}", EliasFano.encode(pointer, "pointer") | EliasFano.encode(keys, "child") | {"code": code}, str(TaskContext.get().taskAttemptId()))
-        split = [(low + int(i), int(pointer[i + 1] - pointer[i])) for i in np.unique(context[total > SHARD_TOKENS])]
+        split = [(low + int(i), int(pointer[i + 1] - pointer[i])) for i in np.unique(context[total > trie.shard_tokens])]
         return pa.table({"shard": pa.array([shard], pa.int64()), "low": pa.array([low], pa.int64()), "high": pa.array([low + high], pa.int64()),
                          "split": pa.array([[x for y in split for x in y]], pa.list_(pa.int64()))})
 
@@ -466,14 +467,14 @@ def _build_successors(docs: DataFrame, trie: Trie) -> None:
             trie.split[c] = trie.split.get(c, 0) + n
 
 
-def train(docs: DataFrame) -> Trie:
+def train(docs: DataFrame, shard_words: int = SHARD_WORDS, shard_tokens: int = SHARD_TOKENS) -> Trie:
     """Build the trie of all ``text`` of the given documents."""
     spark = docs.sparkSession
     small_batches(spark)
     ship(spark)
     path = shared_dir(spark)
-    bits, first, total, distinct = _build_words(stored(_count_words(docs)), path)
-    trie = Trie(path, total, distinct, bits, first, {}, {})
+    bits, first, total, distinct = _build_words(stored(_count_words(docs)), path, shard_words)
+    trie = Trie(path, total, distinct, bits, first, {}, {}, shard_tokens)
     _build_successors(docs, trie)
     return trie
 

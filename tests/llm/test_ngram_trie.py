@@ -58,12 +58,15 @@ def test_shards_split_frequent_contexts_by_word():
     assert shard.tolist() == [0, 2, 2]
 
 
-def test_scores_equal_brute_force(spark):
+@pytest.mark.parametrize("sizes", [{}, {"shard_words": 2, "shard_tokens": 30}, {"shard_words": 4, "shard_tokens": 7}])
+def test_scores_equal_brute_force(spark, sizes):
     words = "the cat sat on a mat with one more Éclair".split()
     rng = np.random.default_rng(3)
     rows = [(i, " ".join(rng.choice(words, rng.integers(0, 40)))) for i in range(60)] + [(60, None), (61, ""), (62, "unseen words here\n\tThe CAT"), (63, "again the cat"), (63, "again the cat")]
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, score string")
-    found = T.train_and_score(docs).collect()
+    trie = T.train(docs.where(~T.held_out()), **sizes)
+    assert bool(trie.split) == bool(sizes) and (not sizes or len(trie.first) > 1 and len(trie.ranges) > 5)
+    found = T.score_documents(docs, trie).withColumn("held_out", T.held_out()).collect()
     expected = brute_force(rows)
     assert len(found) == len(rows)
     for r in found:
@@ -82,6 +85,11 @@ def test_probabilities_add_up_to_at_most_one(spark):
         assert 0.99 < total <= 1 + 1e-9
 
 
+def test_query_shape(spark):
+    docs = spark.createDataFrame([(1, "a b"), (None, None)], "doc_id long, text string")
+    assert T.train_and_score(docs).columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert T.train_and_score(docs).collect() == []
