@@ -1,8 +1,8 @@
 """Spectra, step responses and delays over overlapping segments of long signals.
 
 A signal is (log_id, axis, i, x ...): ``i`` is the row's place in its log and axis, from 0.  Rows
-are dealt to the segments that hold them and grouped by (log, axis, segment), so a long log
-spreads over many tasks; FFT kernels see one segment's array at a time, in Arrow batches.
+are gathered to blocks and dealt to the segments that hold them, by (log, axis, segment), so a long
+log spreads over many tasks; FFT kernels see one segment's array at a time, in Arrow batches.
 """
 
 from __future__ import annotations
@@ -32,15 +32,19 @@ def lengths(signal: DataFrame) -> DataFrame:
 def segments(signal: DataFrame, values: list[str], size: Column, hop: Column, last: Column) -> DataFrame:
     """(keys, k, size, n, and each value as an array in order): segment k holds rows k*hop .. k*hop+size-1, for k from 0 to ``last``.
 
-    ``signal`` has ``n``; size, hop and last may differ by log.
+    ``signal`` has ``n``; size, hop and last may differ by log.  Rows are gathered once, into blocks of a hop's
+    length, and only the blocks' arrays are dealt to the segments that share them.
     """
-    held = signal.withColumns({"_size": size.cast("bigint"), "_hop": hop.cast("bigint"), "_last": last.cast("bigint")})
-    first = _div(F.greatest(F.col("i") - F.col("_size") + F.col("_hop"), F.lit(0)), F.col("_hop"))
-    until = F.least(_div(F.col("i"), F.col("_hop")), F.col("_last"))
-    dealt = held.withColumns({"_first": first, "_until": until}).where("_first <= _until").withColumn("k", F.explode(F.sequence("_first", "_until")))
+    held = signal.withColumns({"_size": size.cast("bigint"), "_hop": hop.cast("bigint"), "_last": last.cast("bigint")}).where("_last >= 0")
     rows = F.array_sort(F.collect_list(F.struct("i", *[F.col(v).cast("double").alias(v) for v in values])))
-    grouped = dealt.groupBy(*KEYS, "k", F.col("_size").alias("size"), "n").agg(rows.alias("rows"))
-    return grouped.where(F.size("rows") == F.col("size")).select(*KEYS, "k", "size", "n", *[F.col(f"rows.{v}").alias(v) for v in values])
+    blocks = held.groupBy(*KEYS, "n", "_size", "_hop", "_last", _div(F.col("i"), F.col("_hop")).alias("_block")).agg(rows.alias("rows"))
+    first = F.greatest(F.col("_block") - _div(F.col("_size") - 1, F.col("_hop")), F.lit(0))
+    until = F.least(F.col("_block"), F.col("_last"))
+    dealt = blocks.where(first <= until).withColumn("k", F.explode(F.sequence(first, until)))
+    parts = F.array_sort(F.collect_list(F.struct("_block", *[F.col(f"rows.{v}").alias(v) for v in values])))
+    grouped = dealt.groupBy(*KEYS, "k", F.col("_size").alias("size"), "n").agg(parts.alias("parts"))
+    whole = grouped.select(*KEYS, "k", "size", "n", *[F.slice(F.flatten(f"parts.{v}"), F.lit(1), F.col("size").cast("int")).alias(v) for v in values])
+    return whole.where(F.size(values[0]) == F.col("size"))
 
 
 def _by_length(kernel, *columns: pd.Series) -> list:
@@ -138,7 +142,8 @@ def throttle_spectrogram(signal: DataFrame, throttle: DataFrame, use_psd: bool =
     rows = placed.select(*KEYS, "throttle_bin", "size", "rate", F.posexplode("p").alias("bin", "p")).withColumn("freq", F.col("bin") * F.col("rate") / F.col("size"))
     kept = rows.where(F.col("freq") <= freq_limit) if freq_limit > 0 else rows
     mean = kept.where(F.col("throttle_bin").between(0, bins - 1)).groupBy(*KEYS, "throttle_bin", "bin").agg(F.avg("p").alias("p"))
-    shape = slices.select(*KEYS, "size", "rate").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), _div(F.col("size"), F.lit(2))))).withColumn("freq", F.col("bin") * F.col("rate") / F.col("size"))
+    sizes = signal.groupBy(*KEYS).agg(F.count("*").alias("n"), F.first("rate").alias("rate")).where("n >= 4").withColumn("size", sized)
+    shape = sizes.select(*KEYS, "size", "rate").withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), _div(F.col("size"), F.lit(2))))).withColumn("freq", F.col("bin") * F.col("rate") / F.col("size"))
     shape = shape.where(F.col("freq") <= freq_limit) if freq_limit > 0 else shape
     grid = shape.withColumn("throttle_bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).select(*KEYS, "throttle_bin", F.col("bin").cast("int").alias("bin"), "freq")
     full = grid.join(mean, [*KEYS, "throttle_bin", "bin"], "left")
