@@ -28,7 +28,7 @@ CELLS = 24
 BLOCK, BLOCK_CELLS, RETRIES = 12, 48, 3
 ROUNDS = 12
 #: Rows that a bucket of the document order should hold, and the most buckets.
-BUCKET_ROWS, BUCKETS = 1_000, 4_096
+BUCKET_ROWS, BUCKETS = 1_000, 16_384
 # Primes that place a number in the thirds of a sketch, a triple for each size, and those of its check value.
 PLACES = ((2147483647, 2147483629, 2147483587), (2147483579, 2147483563, 2147483549), (2147483543, 2147483497, 2147483489), (2147483477, 2147483423, 2147483399))
 CHECK_PRIME, CHECK_FACTOR = 2147483647, 48271
