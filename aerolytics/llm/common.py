@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from aerolytics.ship import ship
 
@@ -47,7 +48,27 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def own_columns(df: DataFrame) -> list[Column]:
+    """The columns as they are named, dots and backquotes included."""
+    return [F.col(f"`{n.replace('`', '``')}`") for n in df.columns]
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores after it as no column of ``df`` has."""
+    taken, out = {n.lower() for n in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def schema_with(df: DataFrame, **kinds: str) -> StructType:
+    """The schema of ``df`` and further columns (name and type) at its end."""
+    return StructType(df.schema.fields + StructType.fromDDL(", ".join(f"`{name}` {kind}" for name, kind in kinds.items())).fields)
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType) -> DataFrame:
     """Apply ``fn`` to every Arrow batch; empty batches are skipped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,6 +78,8 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
 
     small_batches(df.sparkSession)
     ship(df.sparkSession)
+    if any(c in n for n in df.columns for c in ".`"):  # PySpark takes such names for paths here; in batches they count by position
+        df = df.toDF(*[free_names(df, f"_column_{i}")[0] if "." in n or "`" in n else n for i, n in enumerate(df.columns)])
     return df.mapInArrow(run, schema)
 
 

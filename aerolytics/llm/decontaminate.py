@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerolytics.llm.common import map_batches, stored, utf8_rows
+from aerolytics.llm.common import free_names, map_batches, own_columns, schema_with, stored, utf8_rows
 
 WINDOW = 10
 #: Words of items that are held by every task at once.
@@ -132,9 +132,11 @@ def _blocks(items: DataFrame, block_words: int):
 
 
 def contaminated_words(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The documents with ``_n_words``, ``_ranges`` (merged hit ranges in words) and ``_items`` (ids that occur)."""
-    names, types = docs.columns, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    out = docs.withColumns({"_n_words": F.lit(-1).cast("long"), "_ranges": F.array().cast("array<int>"), "_items": F.array().cast("array<string>")})
+    """The documents and three more columns, the last: ``_n_words``, ``_ranges`` (merged hit ranges in words) and
+    ``_items`` (ids that occur); with underscores after them where the documents have such names."""
+    names, more = docs.columns, free_names(docs, "_n_words", "_ranges", "_items")
+    schema = schema_with(docs, **dict(zip(more, ("long", "array<int>", "array<string>"), strict=True)))
+    out = docs.withColumns(dict(zip(more, (F.lit(-1).cast("long"), F.array().cast("array<int>"), F.array().cast("array<string>")), strict=True)))
     after = False
     for block in _blocks(items, block_words):
         if after:
@@ -145,22 +147,22 @@ def contaminated_words(docs: DataFrame, items: DataFrame, window: int = WINDOW,
 
         def search(batch: pa.RecordBatch, index=index) -> pa.RecordBatch:
             counts, ranges, ids = [], [], []
-            for text, had, held in zip(utf8_rows(batch.column("text")), batch.column("_ranges").to_pylist(), batch.column("_items").to_pylist(), strict=True):
+            for text, had, held in zip(utf8_rows(batch.column("text")), batch.column(more[1]).to_pylist(), batch.column(more[2]).to_pylist(), strict=True):
                 words = words_of(text)
                 new, found = index.value.search(words)
                 counts.append(len(words))
                 ranges.append(merged([*zip(had[::2], had[1::2], strict=True), *zip(new[::2], new[1::2], strict=True)]) if had else new)
                 ids.append(sorted({*held, *found}) if held else found)
-            return pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(counts, pa.int64()), pa.array(ranges, pa.list_(pa.int32())), pa.array(ids, pa.list_(pa.string()))], [*names, "_n_words", "_ranges", "_items"])
+            return pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(counts, pa.int64()), pa.array(ranges, pa.list_(pa.int32())), pa.array(ids, pa.list_(pa.string()))], [*names, *more])
 
-        out = map_batches(out, search, f"{types}, _n_words long, _ranges array<int>, _items array<string>")
+        out = map_batches(out, search, schema)
     if not after:  # no item has a word; the documents' words are counted all the same
 
         def count(batch: pa.RecordBatch) -> pa.RecordBatch:
             sizes = pa.array([len(words_of(x)) for x in utf8_rows(batch.column("text"))], pa.int64())
-            return pa.RecordBatch.from_arrays([*batch.columns[: len(names)], sizes, *batch.columns[len(names) + 1 :]], [*names, "_n_words", "_ranges", "_items"])
+            return pa.RecordBatch.from_arrays([*batch.columns[: len(names)], sizes, *batch.columns[len(names) + 1 :]], [*names, *more])
 
-        out = map_batches(out, count, f"{types}, _n_words long, _ranges array<int>, _items array<string>")
+        out = map_batches(out, count, schema)
     return out
 
 
@@ -176,7 +178,8 @@ def judge_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents in which no window of any item occurs, with their own columns."""
-    return contaminated_words(docs, items, window).where(F.size("_items") == 0).select(*docs.columns)
+    found = contaminated_words(docs, items, window)
+    return found.where(F.size(own_columns(found)[-1]) == 0).select(*own_columns(docs))
 
 
 def brute_force(texts: list[str | None], items: list[tuple[object, str | None]], window: int = WINDOW) -> list[tuple[int, int, int, str, bool]]:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from aerolytics.llm.common import doc_crc, map_batches, ship, small_batches
+from aerolytics.llm.common import doc_crc, free_names, map_batches, own_columns, schema_with, ship, small_batches
 
 PROFILE = 400
 UNDETERMINED = "und"
@@ -144,16 +144,16 @@ def in_training(docs: DataFrame) -> DataFrame:
 
 
 def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
-    """The documents with ``_lang``, ``_score`` and ``_lead``."""
-    names = docs.columns
+    """The documents and three more columns, the last: ``_lang``, ``_score`` and ``_lead`` (with underscores after them where taken)."""
+    names, more = docs.columns, free_names(docs, "_lang", "_score", "_lead")
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
     def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [shared.value.judge(x) for x in batch.column("text").to_pylist()]
         langs, scores, leads = zip(*found, strict=True)
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(leads, pa.float64())], [*names, "_lang", "_score", "_lead"])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(leads, pa.float64())], [*names, *more])
 
-    return map_batches(docs, judge, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", _lang string, _score double, _lead double")
+    return map_batches(docs, judge, schema_with(docs, **dict(zip(more, ("string", "double", "double"), strict=True))))
 
 
 def predict_languages(docs: DataFrame) -> DataFrame:
@@ -165,4 +165,5 @@ def predict_languages(docs: DataFrame) -> DataFrame:
 def drop_undetermined(docs: DataFrame, least: float = 0.0) -> DataFrame:
     """The documents whose language is told, with a score of ``least`` at least; texts without letters go."""
     found = identify(docs, learn_profiles(in_training(docs)))
-    return found.where((F.col("_lang") != UNDETERMINED) & (F.col("_score") >= least)).select(*docs.columns)
+    lang, score, _ = own_columns(found)[-3:]
+    return found.where((lang != UNDETERMINED) & (score >= least)).select(*own_columns(docs))

@@ -131,4 +131,4 @@ def redact_secrets(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
             own["n_chars"] = pa.array([n if t is None else len(t) for t, n in zip(texts, old.to_pylist(), strict=True)], old.type)
         return pa.RecordBatch.from_arrays([own.get(n, batch.column(i)) for i, n in enumerate(names)], names)
 
-    return map_batches(docs, redact, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes))
+    return map_batches(docs, redact, docs.schema)

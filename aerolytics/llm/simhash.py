@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from aerolytics.llm.common import map_batches, stored, utf8_rows
+from aerolytics.llm.common import free_names, map_batches, stored, utf8_rows
 from aerolytics.llm.components import component_labels
 
 SHINGLE, RADIUS, SEED, BITS = 4, 4, 42, 64
@@ -150,7 +150,8 @@ def keep_one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     Of rows that repeat a kept id, the one with the smallest text stays.  Rows without doc_id
     can't be named in a component; of these, one of each text stays.
     """
-    kept = link_documents(docs, radius).select(F.col("component_id").alias("_kept")).where("_kept is not null").distinct()
-    found = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    first = found.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_row = 1").drop("_row")
+    own, row = free_names(docs, "_kept", "_row")
+    kept = link_documents(docs, radius).select(F.col("component_id").alias(own)).where(F.col(own).isNotNull()).distinct()
+    found = docs.join(kept, F.col("doc_id") == F.col(own), "left_semi")
+    first = found.withColumn(row, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(row) == 1).drop(row)
     return first.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))

@@ -51,3 +51,40 @@ def test_stages_and_run(spark, tmp_path):
 def test_stage_list():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "decontamination", "secrets", "pieces"]
     assert language.UNDETERMINED == "und" and secrets.KINDS[3] == "novel"
+
+
+def test_stages_keep_extra_columns_of_any_name(spark, tmp_path):
+    texts, _ = write_tables(spark, str(tmp_path))
+    extra = ["_lang", "_Score", "_kept", "_row", "_ranges", "_items", "fp", "component_id", "a.b", "c`d"]
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    docs = docs.selectExpr("*", *[f"concat('{i}-', doc_id) as `{n.replace('`', '``')}`" for i, n in enumerate(extra)])
+    names = docs.columns
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == names, name
+        docs.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+    rows = docs.collect()
+    assert sorted(r.doc_id for r in rows) == [3, 6, 9, 10, 11]
+    assert all(r[len(COLUMNS) + i] == f"{i}-{r.doc_id}" for r in rows for i in range(len(extra)))
+    last = corpus_pipeline.STAGES[4][1](spark, docs, str(tmp_path))
+    assert last.count() == 5 and last.columns[0] == "doc_id"
+
+
+def test_stages_of_empty_tables_and_of_nulls(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    plain, other = "some plain words", "quite another line of words"
+    tables = [
+        ([], []),
+        ([(None,) * 5] * 3, []),
+        ([(None, plain, "en", None, None)] * 3 + [(1, other, None, None, None)] * 2, [(None, plain), (1, other)]),
+    ]
+    for k, (rows, kept) in enumerate(tables):
+        docs = spark.createDataFrame(rows, schema)
+        for name, stage in corpus_pipeline.STAGES[:4]:
+            docs = stage(spark, docs, str(tmp_path))
+            docs.write.parquet(f"{tmp_path}/{k}{name}")
+            docs = spark.read.parquet(f"{tmp_path}/{k}{name}")
+        assert sorted(((r.doc_id, r.text) for r in docs.collect()), key=str) == sorted(kept, key=str)
+        assert corpus_pipeline.STAGES[4][1](spark, docs, str(tmp_path)).count() == len(kept)
