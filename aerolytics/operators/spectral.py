@@ -101,15 +101,20 @@ def spectrogram(signal: DataFrame, use_psd: bool = False, nperseg: int = 0, name
     return rows.select(*KEYS, "k", "time_s", "bin", (F.col("bin") * F.col("rate") / F.col("size")).alias("freq"), _level(F.col("p"), use_psd).alias("level"))
 
 
-def _padded(signal: DataFrame, size: Column) -> DataFrame:
+def _sizes(signal: DataFrame) -> DataFrame:
+    """(keys, n, rate) of signals of four rows or more."""
+    return signal.groupBy(*KEYS).agg(F.count("*").alias("n"), F.first("rate").alias("rate")).where("n >= 4")
+
+
+def _padded(signal: DataFrame, sizes: DataFrame, size: Column) -> DataFrame:
     """The signal with half a segment of zeros on both ends and zeros up to a whole number of hops; ``i`` from 0, ``m`` rows."""
-    held = lengths(signal).withColumn("size", size)
     half, hop = _div(F.col("size"), F.lit(2)), F.col("size") - _div(F.col("size") * 3, F.lit(4))
     plain = F.col("n") + 2 * half
-    m = plain + F.pmod(-(plain - F.col("size")), hop)
-    held = held.withColumn("m", m)
-    edges = held.where("i = 0").select(*KEYS, "n", "size", "m", "rate", F.explode(F.concat(F.sequence(F.lit(0).cast("bigint"), half - 1), F.sequence(half + F.col("n"), F.col("m") - 1))).alias("i"), F.lit(0.0).alias("x"))
-    return held.select(*KEYS, "n", "size", "m", "rate", (F.col("i") + half).alias("i"), F.col("x").cast("double").alias("x")).unionByName(edges)
+    layout = sizes.withColumn("size", size).withColumn("m", plain + F.pmod(-(plain - F.col("size")), hop))
+    ends = F.concat(F.sequence(F.lit(0).cast("bigint"), half - 1), F.sequence(half + F.col("n"), F.col("m") - 1))
+    edges = layout.select(*KEYS, "n", "size", "m", "rate", F.explode(ends).alias("i"), F.lit(0.0).alias("x"))
+    inner = signal.select(*KEYS, "i", "x").join(layout, KEYS).select(*KEYS, "n", "size", "m", "rate", (F.col("i") + half).alias("i"), F.col("x").cast("double").alias("x"))
+    return inner.unionByName(edges)
 
 
 def slice_throttle(slices: DataFrame, throttle: DataFrame) -> DataFrame:
@@ -132,9 +137,9 @@ def throttle_spectrogram(signal: DataFrame, throttle: DataFrame, use_psd: bool =
     def power(x: pd.Series) -> pd.Series:
         return pd.Series(_by_length(lambda a: kernels.stft_power(a, name), x))
 
-    counted = lengths(signal).where("n >= 4").drop("n")
+    sizes = _sizes(signal)
     sized = F.least(_auto(F.col("n"), nperseg, 128, 8), F.col("n"))
-    padded = _padded(counted, sized)
+    padded = _padded(signal, sizes, sized)
     hop = F.col("size") - _div(F.col("size") * 3, F.lit(4))
     cut = segments(padded.withColumnRenamed("n", "rows_n").withColumnRenamed("m", "n").withColumnRenamed("size", "seg"), ["x", "rate", "rows_n"], F.col("seg"), F.col("seg") - _div(F.col("seg") * 3, F.lit(4)), _div(F.col("n") - F.col("seg"), F.col("seg") - _div(F.col("seg") * 3, F.lit(4))))
     slices = cut.select(*KEYS, "k", "size", F.element_at("rate", 1).alias("rate"), F.element_at("rows_n", 1).cast("bigint").alias("n"), power("x").alias("p")).withColumn("time_s", F.col("k") * hop / F.col("rate"))
@@ -142,12 +147,15 @@ def throttle_spectrogram(signal: DataFrame, throttle: DataFrame, use_psd: bool =
     rows = placed.select(*KEYS, "throttle_bin", "size", "rate", F.posexplode("p").alias("bin", "p")).withColumn("freq", F.col("bin") * F.col("rate") / F.col("size"))
     kept = rows.where(F.col("freq") <= freq_limit) if freq_limit > 0 else rows
     mean = kept.where(F.col("throttle_bin").between(0, bins - 1)).groupBy(*KEYS, "throttle_bin", "bin").agg(F.avg("p").alias("p"))
-    sizes = signal.groupBy(*KEYS).agg(F.count("*").alias("n"), F.first("rate").alias("rate")).where("n >= 4").withColumn("size", sized)
-    shape = sizes.select(*KEYS, "size", "rate").withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), _div(F.col("size"), F.lit(2))))).withColumn("freq", F.col("bin") * F.col("rate") / F.col("size"))
-    shape = shape.where(F.col("freq") <= freq_limit) if freq_limit > 0 else shape
-    grid = shape.withColumn("throttle_bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).select(*KEYS, "throttle_bin", F.col("bin").cast("int").alias("bin"), "freq")
-    full = grid.join(mean, [*KEYS, "throttle_bin", "bin"], "left")
-    return full.select(*KEYS, "throttle_bin", ((F.col("throttle_bin") + 0.5) * (100.0 / bins)).alias("center"), "bin", "freq", _level(F.coalesce("p", F.lit(0.0)), use_psd).alias("level"))
+    # A bin with a slice has all its frequencies, so that dense rows need a join by throttle bin only.
+    levels = mean.groupBy(*KEYS, "throttle_bin").agg(F.array_sort(F.collect_list(F.struct("bin", "p")))["p"].alias("p"))
+    sizes = sizes.withColumn("size", sized)
+    freqs = F.transform(F.sequence(F.lit(0).cast("bigint"), _div(F.col("size"), F.lit(2))), lambda b: b * F.col("rate") / F.col("size"))
+    shape = sizes.select(*KEYS, (F.filter(freqs, lambda f: f <= freq_limit) if freq_limit > 0 else freqs).alias("freq"))
+    full = shape.withColumn("throttle_bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).join(levels, [*KEYS, "throttle_bin"], "left")
+    dense = F.arrays_zip("freq", F.coalesce("p", F.array_repeat(F.lit(0.0), F.size("freq"))).alias("p"))
+    rows = full.select(*KEYS, "throttle_bin", F.posexplode(dense).alias("bin", "at"))
+    return rows.select(*KEYS, "throttle_bin", ((F.col("throttle_bin") + 0.5) * (100.0 / bins)).alias("center"), "bin", F.col("at.freq").alias("freq"), _level(F.col("at.p"), use_psd).alias("level"))
 
 
 def spectral_peak(spectrum: DataFrame) -> DataFrame:
