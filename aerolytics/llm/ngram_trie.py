@@ -23,9 +23,11 @@ counted and scored one by one; a text of any length is taken in pieces cut at bl
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -189,11 +191,8 @@ class Chunk:
 
     def numbered(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """Distinct words, and the local numbers of each token and of its context."""
-        known = dict.fromkeys(self.words)
-        known.update(dict.fromkeys(self.before))
-        for i, w in enumerate(known):
-            known[w] = i
-        own = np.array(list(map(known.__getitem__, self.words)), np.int64)
+        known: defaultdict[bytes, int] = defaultdict(itertools.count().__next__)
+        own = np.fromiter(map(known.__getitem__, self.words), np.int64, len(self.words))
         context = np.empty_like(own)
         context[1:] = own[:-1]
         context[self.starts] = [known[w] for w in self.before]
