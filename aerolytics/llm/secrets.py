@@ -2,8 +2,8 @@
 
 The base patterns (assign, access, hex) are reported as they are.  Beside them, every
 string of key characters that follows a sensitive word is a candidate: what it adds to the
-compressed size of its surroundings, under a dictionary of common identifiers, tells how new
-it is.  A candidate that hardly shrinks is reported as ``novel`` unless a base span holds it.
+compressed size of its surroundings, further copies of it taken out, under a dictionary of
+common identifiers, tells how new it is.  A candidate that hardly shrinks is reported as ``novel`` unless a base span holds it.
 
 Spans are ``kind:start:end`` in code points, end exclusive.  Null and empty texts have no
 spans; repeated rows are scanned one by one; other columns are ignored.
@@ -59,6 +59,16 @@ def novelty(candidate: str, around: str) -> float:
     return (len(press.compress(own + candidate.encode())) - len(press.compress(own))) / len(candidate.encode())
 
 
+def surroundings(text: str, start: int, end: int) -> str:
+    """What stands around a candidate, without its further copies (also those of its parts beside an equals sign), which would make it look old."""
+    own = text[start:end]
+    wide = AROUND + end - start  # copies that the edge would cut go whole
+    before, after = text[max(0, start - wide) : start], text[end : end + wide]
+    for part in (own, *(x for x in own.split("=") if len(x) >= LEAST)):
+        before, after = before.replace(part, " "), after.replace(part, " ")
+    return before[-AROUND:] + after[:AROUND]
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of the fixed patterns; leftmost and non-overlapping in each kind."""
     out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_LEAST]
@@ -78,7 +88,7 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], least: float = NOVE
             mixed = re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])
             if not mixed or any(s < m.end() and m.start() < e for s, _, e in base):
                 continue
-            if novelty(m[0], text[max(0, m.start() - AROUND) : m.start()] + text[m.end() : m.end() + AROUND]) >= least:
+            if novelty(m[0], surroundings(text, m.start(), m.end())) >= least:
                 out.append((m.start(), 3, m.end()))
     return out
 
