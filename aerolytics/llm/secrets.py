@@ -3,7 +3,7 @@
 The base patterns (assign, access, hex) are reported as they are.  Beside them, every
 string of key characters that follows a sensitive word is a candidate: what it adds to the
 compressed size of its surroundings, further copies of it taken out, under a dictionary of
-common identifiers, tells how new it is.  A candidate that hardly shrinks is reported as ``novel`` unless a base span holds it.
+common identifiers, tells how new it is.  A candidate that hardly shrinks is reported as ``novel`` unless base spans hold all of it.
 
 Spans are ``kind:start:end`` in code points, end exclusive.  Null and empty texts have no
 spans; repeated rows are scanned one by one; other columns are ignored.
@@ -27,9 +27,15 @@ ACCESS = re.compile("AKIA[A-Z0-9]+")
 ACCESS_LEAST = 20
 HEX = re.compile("[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "novel")
-SENSITIVE = re.compile(r"password|passwd|passphrase|secret|token|api_?key|access_?key|private_?key|credential|authorization|bearer|signature", re.IGNORECASE | re.ASCII)
+SENSITIVE = re.compile(r"password|passwd|passphrase|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|credential|authorization|bearer|signature", re.IGNORECASE | re.ASCII)
 LEAST = 16  # code points of a candidate
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
+#: What carries a candidate on beyond the reach: a part after a dot, or a next line of key characters alone.
+PART = re.compile(r"\.([A-Za-z0-9+/_=-]+)")
+LINE = re.compile(r"[ \t]*\r?\n[ \t]*([A-Za-z0-9+/_=-]+)(?=[ \t]*(?:\r?\n|\Z))")
+#: A private key in its armour (or to the end of a text that cuts it off), in which all is within reach, and its closing line.
+ARMOUR = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----.*?(?:-----END|\Z)", re.DOTALL)
+CLOSING = re.compile(r"\s*(?:=[A-Za-z0-9+/]{4}\s*)?-----END")
 IDENTIFIERS = (
     "password passwd passphrase secret token api_key apikey access_key private_key credential authorization bearer signature "
     "username user_name email account client_id client_secret session_id request response config settings environment variable "
@@ -77,19 +83,45 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def covered(base: list[tuple[int, int, int]], start: int, end: int) -> bool:
+    """Whether sorted base spans together hold all of a range."""
+    for s, _, e in base:
+        if s <= start < e:
+            start = e
+    return start >= end
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], least: float = NOVELTY) -> list[tuple[int, int, int]]:
-    """(start, 3, end) of incompressible candidates in a sensitive context, outside the base spans."""
-    out, seen = [], 0
+    """(start, 3, end) of incompressible candidates in a sensitive context that base spans don't cover whole.
+
+    A candidate goes on past the reach in parts joined by dots and in next lines of key characters.
+    After a dot or in armour, the continuation of a novel one needs no digit; the short last line of an armoured key goes with it.
+    """
+    out, seen, armoured = [], 0, 0
+    blocks = [m.span() for m in ARMOUR.finditer(text)][::-1]
     for word in SENSITIVE.finditer(text):
         at, reach = max(word.end(), seen), word.end() + REACH
+        if blocks and blocks[-1][0] <= word.start():  # the first sensitive word in it
+            armoured = blocks.pop()[1]
+            reach = max(reach, armoured)
         while at <= reach and (near := CANDIDATE.search(text, at, reach + LEAST)):
             m = CANDIDATE.match(text, near.start())  # to its own end, which may lie beyond the reach
-            at = seen = m.end()
-            mixed = re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])
-            if not mixed or any(s < m.end() and m.start() < e for s, _, e in base):
-                continue
-            if novelty(m[0], surroundings(text, m.start(), m.end())) >= least:
-                out.append((m.start(), 3, m.end()))
+            start, end, told = m.start(), m.end(), False
+            while True:
+                part = text[start:end]
+                if len(part) >= LEAST:
+                    loose = told and (text[start - 1] == "." or end <= armoured)
+                    mixed = loose or re.search("[0-9]", part) and re.search("[A-Za-z]", part)
+                    told = bool(mixed) and novelty(part, surroundings(text, start, end)) >= least
+                else:
+                    told = told and bool(CLOSING.match(text, end))
+                if told and not covered(base, start, end):
+                    out.append((start, 3, end))
+                at = seen = end
+                more = PART.match(text, end) or len(part) >= LEAST and LINE.match(text, end)
+                if not more:
+                    break
+                start, end = more.span(1)
     return out
 
 

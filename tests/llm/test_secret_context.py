@@ -29,3 +29,36 @@ def test_copies_of_a_key_near_each_other(spark, n):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate((two, three, far, named))], "doc_id long, text string")
     assert not any(k in r.text for r in secrets.redact_secrets(docs).collect())
     assert [r.n_novel for r in sorted(secrets.find_secrets(docs).collect())] == [2, 3, 2, 2]
+
+
+def test_parts_and_lines_past_the_reach():
+    dice = random.Random(3)
+    parts = [key(dice, n) for n in (36, 80, 43)]
+    assert novel(f"Authorization: Bearer {'.'.join(parts)} ok") == parts
+    assert novel(f"Bearer {parts[0]}.v2.{parts[1]}.getName") == parts[:2]
+    lines = [key(dice, 64) for _ in range(12)] + ["Zk3+x=="]
+    for name, head in (("RSA PRIVATE KEY", ""), ("PRIVATE KEY", ""), ("EC PRIVATE KEY", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0\n\n")):
+        for end in ("\n", "\r\n"):
+            body = head.replace("\n", end) + end.join(lines)
+            assert novel(f"a -----BEGIN {name}-----{end}{body}{end}-----END {name}-----{end}plain words") == lines
+    escaped = "\\n".join(lines[:3])
+    found = novel(f'"-----BEGIN PRIVATE KEY-----\\n{escaped}\\n-----END PRIVATE KEY-----"')
+    assert len(found) == 3 and all(x.endswith(line) for x, line in zip(found, lines, strict=False))
+    assert novel(f"secret\n{lines[0]}\n{lines[1]}\n{lines[2]}\nword\n{lines[3]}") == lines[:3]
+    assert novel("private key of the house, api-key of the door\nword\nanother") == []
+
+
+def test_words_with_blanks_and_hyphens():
+    k = key(random.Random(4), 24)
+    for word in ("api-key", "API key", "access-key", "private key", "apikey", "api_key"):
+        assert novel(f"my {word} {k} here") == [k]
+
+
+def test_candidates_that_a_base_span_only_touches():
+    dice = random.Random(5)
+    first, last = key(dice, 30) + "Q", "Z" + key(dice, 30)
+    text = f"bearer {first}0123456789abcdef01234567{last} end"
+    base, more = secrets.scan_text(text)
+    assert [text[s:e] for s, _, e in more] == [f"{first}0123456789abcdef01234567{last}"] and [k for _, k, _ in base] == [2]
+    whole = "token=" + key(dice, 30)
+    assert secrets.scan_text(whole)[1] == []
