@@ -11,7 +11,9 @@ are reported one by one; a licence that matches under two names is reported unde
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
+from importlib.resources import files
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,6 +64,17 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
     ("MIT", "notice", "Released under the MIT License."),
     ("MPL-2.0", "notice", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
+#: Titles under which the texts above are usually published.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License", "New BSD License"),
+    "Zlib": ("zlib License", "The zlib License"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "Zero Clause BSD License"),
+}
+KNOWN_TEXTS += tuple((i, "text", f"{title}\n\n{text}") for i, kind, text in KNOWN_TEXTS if kind == "text" for title in TITLES[i])
+KNOWN_TEXTS += (("Apache-2.0", "notice", 'Licensed under the Apache License, Version 2.0 (the "License");'),)
 # A pattern for lines that state a copyright, and equivalent spellings in the order of their use.
 COPYRIGHT_LINE = r"^[^\p{L}\p{N}©]*(copyright|\(c\)|©|all rights reserved)"
 SPELLINGS = (
@@ -81,6 +94,18 @@ SPELLINGS = (
 )
 
 
+def published_texts() -> tuple[tuple[str, str, str], ...]:
+    """Entire texts as published, from files named by their ids; copyright lines go, the others become one line, which keeps the digest."""
+    folder, states = files("aerolytics.llm").joinpath("license_texts"), re.compile(COPYRIGHT_LINE.replace(r"[^\p{L}\p{N}©]", r"(?:[^\w©]|_)"))
+    if not folder.is_dir():  # in an executor's copy of the sources, which scans nothing by itself
+        return ()
+    found = sorted((x.name.removesuffix(".txt"), x.read_text("utf-8")) for x in folder.iterdir() if x.name.endswith(".txt"))
+    return tuple((i, "text", " ".join(x for x in re.split("[\n\r]", text) if not states.match(x.lower()))) for i, text in found)
+
+
+KNOWN_TEXTS += published_texts()
+
+
 def canonical_line(line: Column) -> Column:
     """One line in canonical form; empty if it states a copyright."""
     low = F.lower(line)
