@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from aerolytics.operators.attach import attach
 from aerolytics.operators.ordered import lagged, last_known, running_sum
+from aerolytics.scratch import stored
+from aerolytics.ship import ship
 
 MAX_TIME_JUMP, MAX_ITERATION_JUMP = 10_000_000, 5_000
 WRAP = 1 << 32
@@ -19,82 +26,160 @@ WRAP = 1 << 32
 
 def relative_time(frames: DataFrame) -> DataFrame:
     """Adds ``time_s``: seconds since the log's first frame."""
-    first = frames.groupBy("log_id").agg(F.min_by("time", "frame_seq").alias("t0"))
-    return frames.join(first, "log_id").withColumn("time_s", (F.col("time") - F.col("t0")) / 1_000_000.0).drop("t0")
+    first = frames.groupBy("log_id").agg(F.min_by("time", "frame_seq").alias("_t0"))
+    return attach(frames, first).withColumn("time_s", (F.col("time") - F.col("_t0")) / 1_000_000.0).drop("_t0")
+
+
+def log_signals(frames: DataFrame) -> DataFrame:
+    """(log_id, frame_seq, time_s, gyro_* and setpoint_* as doubles): an axis that a log lacks is 0.0; no rows without ``time``."""
+    from aerolytics.operators.stats import AXES
+
+    names = [f"{s}_{a}" for s in ("gyro", "setpoint") for a in AXES]
+    if "time" not in frames.columns:
+        return frames.select("log_id", "frame_seq", F.lit(0.0).alias("time_s"), *[F.lit(0.0).alias(n) for n in names]).where("false")
+    values = [F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(n) if n in frames.columns else F.lit(0.0).alias(n) for n in names]
+    return relative_time(frames.select("log_id", "frame_seq", "time", *values)).where("time_s is not null").select("log_id", "frame_seq", "time_s", *names)
 
 
-def unwrap_time(frames: DataFrame, order: str = "stream_seq", column: str = "time32") -> DataFrame:
-    """Adds ``time``: the 32-bit counter with 2^32 added at each small step back over its end."""
+def unwrap_by_steps(frames: DataFrame, order: str = "stream_seq", column: str = "time32") -> DataFrame:
+    """Adds ``time``: the 32-bit counter with 2^32 added at each small step back over its end.
+
+    An approximation for streams without corrupt frames: a step is taken from the row before, not from
+    the last valid frame (``validate_logs`` does that).
+    """
     before = F.col("_before32")
     wraps = F.when((F.col(column) < before) & (F.pmod(F.col(column) - before, F.lit(WRAP)) < MAX_TIME_JUMP), 1).otherwise(0)
     flagged = lagged(frames, ["log_id"], order, {"_before32": column}).withColumn("_wraps", wraps).drop("_before32")
     return running_sum(flagged, ["log_id"], order, "_wraps", "_turns").withColumn("time", F.col(column) + F.col("_turns") * F.lit(WRAP)).drop("_wraps", "_turns")
 
 
+def _with_intervals(frames: DataFrame, config: DataFrame, order: str) -> DataFrame:
+    return attach(frames, config.select("log_id", F.col("i_interval").alias("_i"), F.col("p_num").alias("_p"), F.col("p_denom").alias("_d")), order=order)
+
+
+def _is_logged(iteration: Column) -> Column:
+    return (iteration % F.col("_i") + F.col("_p") - 1) % F.col("_d") < F.col("_p")
+
+
 def skipped_frames(frames: DataFrame, config: DataFrame, order: str = "frame_seq") -> DataFrame:
-    """Adds ``skipped``: iterations between this frame and the one before that the log meant to leave out."""
-    joined = frames.join(config.select("log_id", "i_interval", "p_num", "p_denom"), "log_id")
-    before = lagged(joined, ["log_id"], order, {"_last": "loop_iteration"})
+    """Adds ``skipped``: iterations between this frame and the one before that the log meant to leave out.
+
+    The pattern repeats with each ``i_interval``: whole periods are counted at once, so a gap of any
+    length costs at most two periods.
+    """
+    before = lagged(_with_intervals(frames, config, order), ["log_id"], order, {"_last": "loop_iteration"})
     first, end = F.col("_last") + 1, F.col("loop_iteration") - 1
-    gone = lambda i: (i % F.col("i_interval") + F.col("p_num") - 1) % F.col("p_denom") >= F.col("p_num")
-    return before.withColumn("skipped", F.when(first <= end, F.size(F.filter(F.sequence(first, end), gone))).otherwise(0)).drop("_last", "i_interval", "p_num", "p_denom")
+    count = lambda a, b: F.when(a <= b, F.size(F.filter(F.sequence(a, b), lambda i: ~_is_logged(i)))).otherwise(0)
+    periods = F.greatest(F.floor((end - first + 1) / F.col("_i")), F.lit(0)).cast("bigint")
+    whole = periods * count(F.lit(0).cast("bigint"), F.col("_i").cast("bigint") - 1)
+    return before.withColumn("skipped", F.coalesce(whole + count(first + periods * F.col("_i"), end), F.lit(0))).drop("_last", "_i", "_p", "_d")
 
 
-def skipped_after(frames: DataFrame, config: DataFrame, most: int = 10_001) -> DataFrame:
+def skipped_after(frames: DataFrame, config: DataFrame, most: int = 10_001, order: str = "frame_seq") -> DataFrame:
     """Adds ``skipped_after``: iterations that the log leaves out right after this frame's; at most ``most``.
 
     Every ``i_interval``-th iteration is logged, so no longer stretch needs looking at.
     """
-    joined = frames.join(config.select("log_id", "i_interval", "p_num", "p_denom"), "log_id")
-    there = lambda k: ((F.col("loop_iteration") + k) % F.col("i_interval") + F.col("p_num") - 1) % F.col("p_denom") < F.col("p_num")
-    ahead = F.sequence(F.lit(1), F.least(F.col("i_interval"), F.lit(most + 1)))
-    return joined.withColumn("skipped_after", F.coalesce(F.array_min(F.filter(ahead, there)) - 1, F.lit(most))).drop("i_interval", "p_num", "p_denom")
+    ahead = F.sequence(F.lit(1), F.least(F.col("_i"), F.lit(most + 1)))
+    there = F.filter(ahead, lambda k: _is_logged(F.col("loop_iteration") + k))
+    return _with_intervals(frames, config, order).withColumn("skipped_after", F.coalesce(F.array_min(there) - 1, F.lit(most))).drop("_i", "_p", "_d")
 
 
 # ---- validity ----
 
-STATE = "valid boolean, last_iteration long, last_time long, ended boolean"
+STATE = "valid boolean, last_iteration long, last_time long, ended boolean, added long"
+#: Kinds of rows that leave the stream's validity alone: other frames, other events, sync beeps.
+QUIET = frozenset("BGHSV")
 
 
-def validate(kind: np.ndarray, iteration: np.ndarray, time: np.ndarray, state: tuple[bool, int, int, bool] = (False, -1, -1, False)) -> tuple[np.ndarray, tuple[bool, int, int, bool]]:
-    """Verdict per row of one log in order: 1 valid, 0 not, -1 for rows that are no main frame or come after the end.
+@dataclass
+class Fold:
+    """The validity of one log's stream, and its 64-bit time, row by row.
 
-    ``kind`` is I or P for frames, R for a resume event (its iteration and time are the new reference),
-    E for the end of the log, anything else for unreadable bytes.  ``state`` goes on where it stopped.
+    ``kind`` is I or P for main frames, R for a resume event (its iteration and time are the new
+    reference), E for the end of the log, B for a sync beep, G, H, S and V for other frames and events;
+    anything else is unreadable bytes.  32-bit time is measured from the last *valid* main frame: what
+    lies less than ten seconds behind it has run over, and 2^32 is added from then on.  ``raw`` skips
+    the checks of iteration and time.
     """
-    valid, last_i, last_t, ended = state
-    out = np.full(len(kind), -1, np.int8)
-    for j, (k, i, t) in enumerate(zip(kind.tolist(), iteration.tolist(), time.tolist(), strict=True)):
-        if ended:
-            continue
-        if k == "I" or k == "P":
-            fits = last_i == -1 or (last_i <= i < last_i + MAX_ITERATION_JUMP and last_t <= t < last_t + MAX_TIME_JUMP)
-            valid = fits if k == "I" else valid and fits
-            out[j] = valid
-            if valid:
-                last_i, last_t = i, t
-        elif k == "R":
-            last_i, last_t = i, t
-        elif k == "E":
-            ended = True
-        else:
-            valid = False
-    return out, (valid, last_i, last_t, ended)
-
-
-def validate_logs(stream: DataFrame) -> DataFrame:
-    """(log_id, stream_seq, valid) of the main frames of (log_id, stream_seq, kind, iteration, time); one fold per log."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("stream_seq")
-        found, _ = validate(pdf["kind"].to_numpy(), pdf["iteration"].to_numpy(), pdf["time"].to_numpy())
-        return pdf.assign(valid=found == 1)[found >= 0][["log_id", "stream_seq", "valid"]]
-
-    from aerolytics.ship import ship
 
+    valid: bool = False
+    last_i: int = -1
+    last_t: int = -1
+    ended: bool = False
+    added: int = 0
+    raw: bool = False
+
+    def run(self, kind: np.ndarray, iteration: np.ndarray, time32: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Verdicts (1 valid, 0 not, -1 for rows that are no main frame or come after the end) and times."""
+        n = len(kind)
+        out, times = np.full(n, -1, np.int8), np.zeros(n, np.int64)
+        iteration, low = iteration.astype(np.int64) % WRAP, time32.astype(np.int64) % WRAP
+        main = (kind == "I") | (kind == "P")
+        # Rows that simply go on from the row before; where that one was valid, so are these, without a look at each.
+        di, dt = np.diff(iteration, prepend=-1), np.diff(low, prepend=-1)
+        plain = main & (dt >= 0) & (self.raw | ((di >= 0) & (di < MAX_ITERATION_JUMP) & (dt < MAX_TIME_JUMP)))
+        breaks = np.append(np.flatnonzero(~plain), n)
+        j, smooth = 0, False
+        while j < n:
+            if smooth and plain[j]:
+                end = int(breaks[np.searchsorted(breaks, j)])
+                out[j:end], times[j:end] = 1, low[j:end] + self.added
+                self.last_i, self.last_t, j = int(iteration[end - 1]), int(times[end - 1]), end
+                continue
+            k, i, t = kind[j], int(iteration[j]), int(low[j])
+            smooth = False
+            if not self.ended and main[j]:
+                if self.last_t != -1:
+                    last = self.last_t % WRAP
+                    if t < last and (t - last) % WRAP < MAX_TIME_JUMP:
+                        self.added += WRAP
+                t += self.added
+                fits = self.raw or self.last_i == -1 or (self.last_i <= i < self.last_i + MAX_ITERATION_JUMP and self.last_t <= t < self.last_t + MAX_TIME_JUMP)
+                self.valid = fits if k == "I" else self.valid and fits
+                out[j] = smooth = self.valid
+                if self.valid:
+                    self.last_i, self.last_t = i, t
+            else:
+                t += self.added
+                if not self.ended:
+                    if k == "R":
+                        self.last_i, self.last_t = i, t
+                    elif k == "E":
+                        self.ended = True
+                    elif k not in QUIET:
+                        self.valid = False
+            times[j] = t
+            j += 1
+        return out, times
+
+
+def validate_logs(stream: DataFrame, raw: bool = False) -> DataFrame:
+    """(log_id, stream_seq, kind, iteration, time, valid) of (log_id, stream_seq, kind, iteration, time32).
+
+    ``time`` is the 64-bit time; ``valid`` is null for rows that are no main frame or come after the end.
+    The fold needs the rows of a log one after the other, but never all at once: they are sorted within
+    the task and pass in batches, with a state of a few numbers.  Rows without log_id belong to no log and go.
+    """
     ship(stream.sparkSession)
-    kind = dict(stream.dtypes)["log_id"]
-    return stream.select("log_id", "stream_seq", "kind", "iteration", "time").groupBy("log_id").applyInPandas(fold, f"log_id {kind}, stream_seq long, valid boolean")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        log, state = object(), Fold()
+        for pdf in batches:
+            ids = pdf["log_id"].to_numpy()
+            cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)] if len(ids) else []
+            found, times = np.empty(len(ids), np.int8), np.empty(len(ids), np.int64)
+            kind, iteration, time32 = (pdf[c].to_numpy() for c in ("kind", "iteration", "time32"))
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if ids[a] != log:
+                    log, state = ids[a], Fold(raw=raw)
+                found[a:b], times[a:b] = state.run(kind[a:b], iteration[a:b], time32[a:b])
+            yield pdf.assign(time=times, valid=pd.array(found == 1, "boolean")).assign(valid=lambda x: x["valid"].mask(found < 0))[["log_id", "stream_seq", "kind", "iteration", "time", "valid"]]
+
+    kinds = dict(stream.dtypes)
+    rows = stream.select("log_id", "stream_seq", "kind", F.coalesce(F.col("iteration").cast("long"), F.lit(0)).alias("iteration"), F.coalesce(F.col("time32").cast("long"), F.lit(0)).alias("time32"))
+    ordered = rows.where("log_id is not null").repartition("log_id").sortWithinPartitions("log_id", "stream_seq")
+    return ordered.mapInPandas(fold, f"log_id {kinds['log_id']}, stream_seq {kinds['stream_seq']}, kind string, iteration long, time long, valid boolean")
 
 
 def frame_gaps(frames: DataFrame, order: str = "stream_seq", iteration: str = "loop_iteration") -> DataFrame:
@@ -111,45 +196,127 @@ def frame_counts(validity: DataFrame) -> DataFrame:
 
 # ---- rebuilding from deltas ----
 
+# Names of the predictor codes that a main frame's fields may have, and the encodings whose values wrap at 32 bits.
+PREDICTORS = {0: "zero", 1: "previous", 2: "straight_line", 3: "average_2", 4: "minthrottle", 5: "motor_0", 6: "inc", 8: "fifteen_hundred", 9: "vbatref", 11: "minmotor"}
+WRAPPING = (0, 1, 3)
+HISTORY = ("previous", "straight_line", "average_2")
+
+
+@dataclass(frozen=True)
+class FieldRule:
+    """How a residual column is rebuilt: a predictor for each frame type, and how its values wrap."""
+
+    i: str = "zero"
+    p: str = "previous"
+    signed: bool = True
+    wraps: bool = True
+
+
+def field_rules(definitions: DataFrame) -> DataFrame:
+    """(layout, fields): one row per distinct set of main-frame fields; as many as there are firmware builds, not logs."""
+    return log_layouts(definitions).select("layout", "fields").distinct()
+
+
+def log_layouts(definitions: DataFrame) -> DataFrame:
+    """(log_id, layout, fields): the fields of a log's main frames, and a digest that logs with equal fields share."""
+    of = lambda t: definitions.where(F.col("frame_type") == t)
+    i = of("I").select("log_id", "pos", "name", F.col("predictor").alias("i"), "signed", "width", F.col("encoding").alias("i_encoding"))
+    p = of("P").select("log_id", "pos", F.col("predictor").alias("p"), F.col("encoding").alias("p_encoding"))
+    fields = i.join(p, ["log_id", "pos"], "left").groupBy("log_id").agg(F.array_sort(F.collect_list(F.struct("pos", "name", "i", "p", "signed", "width", "i_encoding", "p_encoding"))).alias("fields"))
+    return fields.select("log_id", F.sha2(F.to_json("fields"), 256).alias("layout"), "fields")
+
+
+def rules_of(fields) -> dict[str, FieldRule]:
+    """The rules of one layout's ``fields``; a P frame's value wraps as the I frame's."""
+    return {
+        f["name"]: FieldRule(PREDICTORS.get(f["i"], "zero"), PREDICTORS.get(f["p"], "zero"), bool(f["signed"]), f["width"] != 8 and f["i_encoding"] in WRAPPING)
+        for f in fields
+    }
+
 
 def wrap32(value: Column, signed: bool = True) -> Column:
     low = F.pmod(value, F.lit(WRAP))
     return F.when(low >= WRAP // 2, low - WRAP).otherwise(low) if signed else low
 
 
-def rebuild(raw: DataFrame, predictors: dict[str, str], order: str = "stream_seq") -> DataFrame:
-    """Adds ``<column>_value`` for residual columns under ``previous``, ``straight_line``, ``average_2`` or a constant.
+def rebuild(raw: DataFrame, rules: dict[str, FieldRule], order: str = "stream_seq") -> DataFrame:
+    """Adds ``<column>_value`` for the residual columns of ``rules``.
+
+    An I frame starts a segment: its value is the residual and its own constant, and both histories
+    are reset to it.  In the P frames after it, constants are added and histories go on; before the
+    first I frame a history adds nothing.  Constants: ``minthrottle``, ``motor_output_low`` (minmotor)
+    and ``vbatref`` are columns of that name, ``fifteen_hundred`` is 1500, ``motor_0`` is the rebuilt value
+    of the rule ``motor_0`` (or a column ``motor_0_value``); ``zero`` and ``inc`` leave the residual.
+    Values wrap at 32 bits, as signed or unsigned numbers, unless the rule says that they don't.
 
-    An I frame starts a segment and holds whole values; a segment is short, so the running sums
-    restart often and each segment is a partition of its own.  Constants: ``minthrottle``,
-    ``minmotor`` and ``vbatref`` are columns of that name, ``fifteen_hundred`` is 1500, ``motor_0``
-    is the value of the column ``motor_0_value``; ``zero`` leaves the residual.
+    Segments are short, so running sums restart often and each segment is a window of its own.
+    ``average_2`` rounds at every step, so its columns pass row by row in sorted batches.
     """
-    starts = raw.withColumn("_start", F.when(F.col("frame_type") == "I", 1).otherwise(0))
-    out = running_sum(starts, ["log_id"], order, "_start", "segment").drop("_start")
-    own = Window.partitionBy("log_id", "segment").orderBy(order)
-    running = own.rowsBetween(Window.unboundedPreceding, 0)
-    constants = {"zero": F.lit(0), "fifteen_hundred": F.lit(1500), "minthrottle": F.col("minthrottle"), "minmotor": F.col("motor_output_low"), "vbatref": F.col("vbatref"), "motor_0": F.col("motor_0_value")}
-    for column, predictor in predictors.items():
-        name, delta = f"{column}_value", F.col(column)
-        if predictor == "previous":
-            out = out.withColumn(name, F.sum(delta).over(running))
-        elif predictor == "straight_line":
+    constants = {"zero": F.lit(0), "inc": F.lit(0), "fifteen_hundred": F.lit(1500), "minthrottle": F.col("minthrottle"), "minmotor": F.col("motor_output_low"), "vbatref": F.col("vbatref"), "motor_0": F.col("motor_0_value")}
+    for column, rule in rules.items():
+        if rule.i in HISTORY:
+            raise ValueError(f"{column}: I frames that go on from the frame before aren't rebuilt")
+    intra = F.col("frame_type") == "I"
+    out = running_sum(raw.withColumn("_start", F.when(intra, 1).otherwise(0)), ["log_id"], order, "_start", "_segment").drop("_start")
+    running = Window.partitionBy("log_id", "_segment").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    first = sorted(rules, key=lambda c: c != "motor_0")  # others may build on its values
+    folded = [c for c in first if rules[c].p == "average_2"]
+    for column in first:
+        rule, name, delta = rules[column], f"{column}_value", F.col(column)
+        base = F.when(intra, delta + constants[rule.i])
+        if rule.p == "average_2":
+            out = out.withColumn(name, F.coalesce(base, delta).cast("long"))
+        elif rule.p == "previous":
+            out = out.withColumn(name, F.when(F.col("_segment") == 0, delta).otherwise(F.sum(F.coalesce(base, delta)).over(running)))
+        elif rule.p == "straight_line":
             # The first value stands for the two before it: steps are the running sum of the residuals after it.
-            step = F.sum(F.when(F.col("frame_type") == "I", 0).otherwise(delta)).over(running)
-            first = F.first(delta).over(running)
-            out = out.withColumn("_step", step).withColumn(name, first + F.sum("_step").over(running)).drop("_step")
-        elif predictor == "average_2":
-            place = F.row_number().over(own)
-            rows = F.collect_list(delta).over(running)
-            half = lambda s: F.floor((s["a"] + s["b"]) / F.lit(2)).cast("bigint")
-            start = F.struct(F.get(F.col("_rows"), F.lit(0)).alias("a"), F.get(F.col("_rows"), F.lit(0)).alias("b"))
-            fold = F.aggregate(F.slice("_rows", 2, F.greatest(F.size("_rows") - 1, F.lit(0))), start, lambda s, d: F.struct((d + half(s)).alias("a"), s["a"].alias("b")), lambda s: s["a"])
-            out = out.withColumn("_rows", rows).withColumn("_place", place).withColumn(name, fold).drop("_rows", "_place")
+            out = out.withColumn("_step", F.sum(F.when(intra, 0).otherwise(delta)).over(running))
+            out = out.withColumn(name, F.when(F.col("_segment") == 0, delta).otherwise(F.first(base).over(running) + F.sum("_step").over(running))).drop("_step")
         else:
-            out = out.withColumn(name, F.when(F.col("frame_type") == "I", delta).otherwise(delta + constants[predictor]) if predictor == "motor_0" else delta + constants[predictor])
-        out = out.withColumn(name, wrap32(F.col(name)))
-    return out.drop("segment")
+            out = out.withColumn(name, F.coalesce(base, delta + constants[rule.p]))
+        if rule.wraps:
+            out = out.withColumn(name, wrap32(F.col(name), rule.signed))
+        if column == "motor_0" and column in folded:
+            out = _averaged(out, {name: rule}, order)
+            folded.remove(column)
+    return (_averaged(out, {f"{c}_value": rules[c] for c in folded}, order) if folded else out).drop("_segment")
+
+
+def _averaged(rows: DataFrame, rules: dict[str, FieldRule], order: str) -> DataFrame:
+    """Columns under ``average_2`` whose I rows are whole and whose other rows are residuals, rebuilt in row order."""
+    ship(rows.sparkSession)
+
+    def step(value: int, rule: FieldRule) -> int:
+        if not rule.wraps:
+            return value
+        value %= WRAP
+        return value - WRAP if rule.signed and value >= WRAP // 2 else value
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple[int, int] | None] = {}
+        log = object()
+        for batch in batches:
+            ids, kinds, columns = batch.column("log_id").to_pylist(), batch.column("frame_type").to_pylist(), list(batch.columns)
+            before = [log, *ids[:-1]]
+            for name, rule in rules.items():
+                at = batch.schema.get_field_index(name)
+                values, last = columns[at].to_pylist(), held.get(name)
+                for j, (x, kind, own, prior) in enumerate(zip(values, kinds, ids, before, strict=True)):
+                    if own != prior:
+                        last = None
+                    if x is None:
+                        continue
+                    if kind == "I":
+                        last = x, x
+                    elif last is not None:
+                        x = step(x + (last[0] + last[1]) // 2, rule)
+                        last = x, last[0]
+                    values[j] = x
+                held[name], columns[at] = last, pa.array(values, pa.int64())
+            log = ids[-1] if ids else log
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return rows.repartition("log_id").sortWithinPartitions("log_id", order).mapInArrow(fold, rows.schema)
 
 
 # ---- as-of joins on a stream ----
@@ -180,17 +347,17 @@ def gps_times(stream: DataFrame) -> DataFrame:
 # ---- ranges ----
 
 
-def in_range(frames: DataFrame, catalog: DataFrame) -> DataFrame:
+def in_range(frames: DataFrame, catalog: DataFrame, order: str = "frame_seq") -> DataFrame:
     """The frames of visible logs with ``time_s`` inside the log's range, both ends included."""
-    kept = catalog.where("visible").select("log_id", "time_start_s", "time_end_s")
-    return frames.join(kept, "log_id").where(F.col("time_s").between(F.col("time_start_s"), F.col("time_end_s"))).drop("time_start_s", "time_end_s")
+    kept = catalog.where("visible").select("log_id", F.col("time_start_s").alias("_from"), F.col("time_end_s").alias("_until"))
+    return attach(frames, kept, order=order).where(F.col("time_s").between(F.col("_from"), F.col("_until"))).drop("_from", "_until")
 
 
 def preview(frames: DataFrame, budget: int = 20_000) -> DataFrame:
     """Every step-th frame of a log with more than ``budget`` frames, from the first on."""
     size = frames.groupBy("log_id").agg(F.count("*").alias("_n"))
     step = F.when(F.col("_n") > budget, F.floor(F.col("_n") / budget)).otherwise(1)
-    return frames.join(size, "log_id").where(F.col("frame_seq") % step == 0).drop("_n")
+    return attach(frames, size).where(F.col("frame_seq") % step == 0).drop("_n")
 
 
 def log_labels(logs: DataFrame, summary: DataFrame) -> DataFrame:
@@ -200,28 +367,45 @@ def log_labels(logs: DataFrame, summary: DataFrame) -> DataFrame:
     return joined.select("log_id", F.concat(stem, F.lit(" #"), (F.col("log_index") + 1).cast("string")).alias("label"), F.lit(0.0).alias("time_start_s"), F.col("duration_s").alias("time_end_s"))
 
 
+#: Rows whose windows a task computes at once.
+SPAN = 16_384
+
+
 def rolling_rms(frames: DataFrame, window_s: float = 0.5) -> DataFrame:
     """(log_id, frame_seq, time_s, rms, n, dt): root mean square of the summed absolute setpoints in a centred window.
 
-    The window's length follows from the log's median step; beyond the log's ends it counts zeros.
-    Prefix sums of integer squares make every window a difference of two rows.
+    The window's length follows from the log's median step; beyond the log's ends it counts zeros, and
+    so does an axis that is absent.  Rows are dealt to spans, those near an edge to both sides of it, and
+    each span's windows are differences of its prefix sums: one shuffle, whatever the window's length.
     """
     from aerolytics.operators.stats import AXES
 
-    power = sum((F.abs(F.coalesce(f"setpoint_{a}", F.lit(0))) for a in AXES), F.lit(0))
-    timed = relative_time(frames).select("log_id", "frame_seq", "time_s", (power * power).cast("bigint").alias("sq"))
-    steps = lagged(timed, ["log_id"], "frame_seq", {"before": "time_s"}).withColumn("step", F.col("time_s") - F.col("before")).drop("before")
-    summed = running_sum(steps, ["log_id"], "frame_seq", "sq", "prefix")
-    sizes = summed.groupBy("log_id").agg(F.count("*").alias("n"), F.percentile("step", F.lit(0.5)).alias("dt"))
+    ship(frames.sparkSession)
+    size = SPAN
+    there = [F.abs(F.coalesce(F.col(f"setpoint_{a}").cast("double"), F.lit(0.0))) for a in AXES if f"setpoint_{a}" in frames.columns]
+    power = sum(there, F.lit(0.0))
+    timed = relative_time(frames.select("log_id", "frame_seq", "time", (power * power).alias("sq"))).select("log_id", "frame_seq", "time_s", "sq")
+    steps = lagged(timed.select("log_id", "frame_seq", "time_s"), ["log_id"], "frame_seq", {"before": "time_s"}).withColumn("step", F.col("time_s") - F.col("before"))
+    sizes = steps.groupBy("log_id").agg(F.count("*").alias("n"), F.percentile("step", F.lit(0.5)).alias("dt"))
     win = F.when(F.col("dt") > 0, F.least(F.greatest((F.lit(window_s) / F.when(F.col("dt") > 0, F.col("dt"))).cast("int"), F.lit(1)), F.col("n"))).otherwise(1).cast("bigint")
-    held = summed.join(sizes, "log_id").withColumn("win", win)
-    low = F.col("frame_seq") - F.floor(F.col("win") / 2) - 1
-    high = F.least(F.col("frame_seq") + F.floor((F.col("win") - 1) / 2), F.col("n") - 1)
-    spans = held.select("log_id", "frame_seq", "time_s", "n", "dt", "win", low.alias("lo"), high.alias("hi"))
-    at = summed.select(F.col("log_id").alias("l"), F.col("frame_seq").alias("f"), "prefix")
-    upper = spans.join(at, (F.col("log_id") == F.col("l")) & (F.col("hi") == F.col("f"))).withColumnRenamed("prefix", "upper").drop("l", "f")
-    both = upper.join(at, (F.col("log_id") == F.col("l")) & (F.col("lo") == F.col("f")), "left")
-    return both.select("log_id", "frame_seq", "time_s", F.sqrt((F.col("upper") - F.coalesce("prefix", F.lit(0))) / F.col("win")).alias("rms"), "n", "dt")
+    held = attach(timed, sizes.withColumn("win", win))
+    span = lambda at: F.floor(at / size).cast("bigint")
+    low, high = span(F.greatest(F.col("frame_seq") - F.floor((F.col("win") - 1) / 2), F.lit(0))), span(F.least(F.col("frame_seq") + F.floor(F.col("win") / 2), F.col("n") - 1))
+    rows = held.withColumn("span", F.explode(F.sequence(low, high))).groupBy("log_id", "n", "dt", "win", "span").agg(F.collect_list(F.struct("frame_seq", "time_s", "sq")).alias("r"))
+
+    @F.pandas_udf("struct<seq:array<bigint>,time_s:array<double>,rms:array<double>>")
+    def roll(span: pd.Series, win: pd.Series, seq: pd.Series, time: pd.Series, sq: pd.Series) -> pd.DataFrame:
+        found = []
+        for s, w, i, t, x in zip(span, win, seq, time, sq, strict=True):
+            order = np.argsort(i)
+            i, t, x = i[order], t[order], np.concatenate(([0.0], np.cumsum(x[order])))
+            own = np.flatnonzero(i // size == s)
+            lo, hi = np.searchsorted(i, i[own] - w // 2), np.searchsorted(i, i[own] + (w - 1) // 2, "right")
+            found.append((i[own], t[own], np.sqrt(np.maximum(x[hi] - x[lo], 0.0) / w)))
+        return pd.DataFrame(found, columns=["seq", "time_s", "rms"])
+
+    made = rows.select("log_id", "n", "dt", roll("span", "win", "r.frame_seq", "r.time_s", "r.sq").alias("v"))
+    return made.select("log_id", "n", "dt", F.explode(F.arrays_zip("v.seq", "v.time_s", "v.rms")).alias("v")).select("log_id", F.col("v.seq").alias("frame_seq"), "v.time_s", "v.rms", "n", "dt")
 
 
 def active_range(frames: DataFrame, threshold: float = 0.15, window_s: float = 0.5, margin_s: float = 0.5) -> DataFrame:
@@ -229,11 +413,12 @@ def active_range(frames: DataFrame, threshold: float = 0.15, window_s: float = 0
 
     The whole log for fewer than 100 rows, no progress in time, or a peak below 1.
     """
-    rms = rolling_rms(frames, window_s)
+    rms = stored(rolling_rms(frames, window_s))  # read twice
     tops = rms.groupBy("log_id").agg(F.max("rms").alias("peak"), F.max_by("time_s", "frame_seq").alias("end"), F.min_by("time_s", "frame_seq").alias("start"), F.first("n").alias("n"), F.first("dt").alias("dt"))
-    active = rms.join(tops.select("log_id", "peak"), "log_id").where(F.col("rms") >= threshold * F.col("peak")).groupBy("log_id").agg(F.min_by("time_s", "frame_seq").alias("first"), F.max_by("time_s", "frame_seq").alias("last"))
+    active = attach(rms.select("log_id", "frame_seq", "time_s", "rms"), tops.select("log_id", F.col("peak").alias("_peak"))).where(F.col("rms") >= threshold * F.col("_peak"))
+    ends = active.groupBy("log_id").agg(F.min_by("time_s", "frame_seq").alias("first"), F.max_by("time_s", "frame_seq").alias("last"))
     plain = (F.col("n") < 100) | (F.coalesce("dt", F.lit(0.0)) <= 0) | (F.col("peak") < 1.0) | F.col("first").isNull()
-    return tops.join(active, "log_id", "left").select(
+    return tops.join(ends, "log_id", "left").select(
         "log_id", F.when(plain, F.col("start")).otherwise(F.greatest("start", F.col("first") - margin_s)).alias("time_start_s"),
         F.when(plain, F.col("end")).otherwise(F.least("end", F.col("last") + margin_s)).alias("time_end_s"),
     )

@@ -35,16 +35,24 @@ def stft_power(rows: np.ndarray, name: str = "hann") -> np.ndarray:
     return np.abs(np.fft.rfft(rows * w, axis=1) / w.sum()) ** 2
 
 
-def wiener_step(setpoint: np.ndarray, gyro: np.ndarray, size: int, floor: float = 1e-3) -> list[np.ndarray | None]:
-    """Step response of each row's pair by regularised deconvolution, scaled to end at one; None without input."""
+def wiener_steps(setpoint: np.ndarray, gyro: np.ndarray, size: np.ndarray, floor: float = 1e-3) -> np.ndarray:
+    """Step response of each row's pair by regularised deconvolution, scaled to end at one; rows of NaN without input.
+
+    ``size`` is the length of each row's response; beyond it a row goes on unscaled by its own tail.
+    """
     x, y = np.fft.rfft(setpoint, axis=1), np.fft.rfft(gyro, axis=1)
     power = np.abs(x) ** 2
-    top = power.max(axis=1, keepdims=True)
+    top = power.max(axis=1, keepdims=True, initial=0.0)
     with np.errstate(invalid="ignore", divide="ignore"):
         impulse = np.fft.irfft(y * np.conj(x) / (power + floor * top), n=setpoint.shape[1], axis=1)
-    steps = np.cumsum(impulse[:, :size], axis=1)
-    level = np.abs(steps[:, -size // 4 :].mean(axis=1))
-    return [None if t == 0 else s / a if a > 1e-6 else s for s, a, t in zip(steps, level, top[:, 0], strict=True)]
+    steps = np.cumsum(impulse, axis=1)
+    size = size.reshape(-1).astype(np.int64)
+    for n in np.unique(size):
+        of = np.flatnonzero(size == n)
+        level = np.abs(steps[of, n + (-n // 4) : n].mean(axis=1))
+        steps[of] /= np.where(level > 1e-6, level, 1.0)[:, None]
+    steps[top[:, 0] == 0] = np.nan
+    return steps
 
 
 def transfer_phase(source: np.ndarray, result: np.ndarray, rate: float, low: float, high: float) -> tuple[np.ndarray, np.ndarray]:

@@ -65,3 +65,12 @@ def with_guests(df: DataFrame, order: str, before: int, after: int, rows: int =
     own, ahead, behind = _chunk(order, rows), F.floor((F.col(order) + before) / rows).cast("bigint"), F.floor((F.col(order) - after) / rows).cast("bigint")
     spread = df.withColumn("_own", own).withColumn("_chunk", F.explode(F.sequence(F.greatest(behind, F.lit(0)), ahead)))
     return spread.withColumn("_guest", F.col("_chunk") != F.col("_own")).drop("_own")
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, rows: int = CHUNK) -> DataFrame:
+    """Adds each row's place in its group, from 0, by the order; the first of ``order`` is a number that cuts the group into chunks."""
+    cut = df.withColumn("_chunk", _chunk(order[0], rows))
+    sizes = cut.groupBy(*keys, "_chunk").agg(F.count("*").alias("_size"))
+    before = sizes.select(*keys, "_chunk", F.sum("_size").over(Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    own = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    return _joined(cut, keys, before).withColumn(name, F.row_number().over(own).cast("bigint") - 1 + F.coalesce("_before", F.lit(0))).drop("_chunk", "_before")

@@ -1,12 +1,15 @@
 """Spectra, step responses and delays over overlapping segments of long signals.
 
-A signal is (log_id, axis, i, x ...): ``i`` is the row's place in its log and axis, from 0.  Rows
-are gathered to blocks and dealt to the segments that hold them, by (log, axis, segment), so a long
-log spreads over many tasks; FFT kernels see one segment's array at a time, in Arrow batches.
+A signal is (log_id, axis, i, x ...): ``i`` is the row's place in its log and axis, from 0 and without
+gaps.  Rows are shuffled once, to blocks of many consecutive segments; only rows near a block's edge go
+to two of them.  A long log spreads over many tasks, and a kernel cuts a block's array into its
+overlapping segments by itself.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,60 +17,86 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from aerolytics.operators import kernels
+from aerolytics.operators.attach import attach
 from aerolytics.operators.ordered import with_guests
 from aerolytics.ship import ship
 
 KEYS = ["log_id", "axis"]
+#: Rows of a block, give or take a segment.
+BLOCK_ROWS = 16_384
 
 
 def _div(a: Column, b: Column) -> Column:
     return F.call_function("div", a, b)
 
 
-def lengths(signal: DataFrame) -> DataFrame:
-    """The signal with ``n``, the rows of its log and axis."""
-    return signal.join(signal.groupBy(*KEYS).agg(F.count("*").alias("n")), KEYS)
+def layout(signal: DataFrame, *scalars: str, least: int = 1) -> DataFrame:
+    """(keys, n, scalars): the length of each signal and what is the same for all of its rows; signals of ``least`` rows or more."""
+    return signal.groupBy(*KEYS).agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in scalars]).where(F.col("n") >= least)
 
 
-def segments(signal: DataFrame, values: list[str], size: Column, hop: Column, last: Column) -> DataFrame:
-    """(keys, k, size, n, and each value as an array in order): segment k holds rows k*hop .. k*hop+size-1, for k from 0 to ``last``.
+def blocks(signal: DataFrame, values: list[str], layouts: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(keys, layout columns, k0, m, i, values): arrays with the rows of the segments k0 .. k0+m-1, in any order.
 
-    ``signal`` has ``n``; size, hop and last may differ by log.  Rows are gathered once, into blocks of a hop's
-    length, and only the blocks' arrays are dealt to the segments that share them.
+    ``layouts`` has one row per signal with ``size``, ``hop``, ``last`` (its segments are 0..last; none below 0) and
+    ``shift``: segment k holds the rows k*hop-shift .. k*hop-shift+size-1, as far as they exist.
     """
-    held = signal.withColumns({"_size": size.cast("bigint"), "_hop": hop.cast("bigint"), "_last": last.cast("bigint")}).where("_last >= 0")
-    rows = F.array_sort(F.collect_list(F.struct("i", *[F.col(v).cast("double").alias(v) for v in values])))
-    blocks = held.groupBy(*KEYS, "n", "_size", "_hop", "_last", _div(F.col("i"), F.col("_hop")).alias("_block")).agg(rows.alias("rows"))
-    first = F.greatest(F.col("_block") - _div(F.col("_size") - 1, F.col("_hop")), F.lit(0))
-    until = F.least(F.col("_block"), F.col("_last"))
-    dealt = blocks.where(first <= until).withColumn("k", F.explode(F.sequence(first, until)))
-    parts = F.array_sort(F.collect_list(F.struct("_block", *[F.col(f"rows.{v}").alias(v) for v in values])))
-    grouped = dealt.groupBy(*KEYS, "k", F.col("_size").alias("size"), "n").agg(parts.alias("parts"))
-    whole = grouped.select(*KEYS, "k", "size", "n", *[F.slice(F.flatten(f"parts.{v}"), F.lit(1), F.col("size").cast("int")).alias(v) for v in values])
-    return whole.where(F.size(values[0]) == F.col("size"))
-
-
-def _by_length(kernel, *columns: pd.Series) -> list:
-    """Apply a kernel to rows of equal length together."""
-    out: list = [None] * len(columns[0])
-    for n in columns[0].map(len).unique():
-        at = np.flatnonzero(columns[0].map(len).to_numpy() == n)
-        stacked = [np.stack([np.asarray(v) for v in c.iloc[at]]) if isinstance(c.iloc[0], (list, np.ndarray)) else c.iloc[at].to_numpy() for c in columns]
-        for j, row in zip(at, kernel(*stacked), strict=True):
-            out[j] = row
+    per = F.greatest(_div(F.lit(block_rows).cast("bigint"), F.col("hop")), F.lit(1))
+    sized = layouts.where("last >= 0").withColumn("_per", per)
+    held = attach(signal.select(*KEYS, "i", *values), sized, KEYS, order="i")
+    at = F.col("i") + F.col("shift")
+    first, until = F.greatest(_div(at - F.col("size") + F.col("hop"), F.col("hop")), F.lit(0)), F.least(_div(at, F.col("hop")), F.col("last"))
+    dealt = held.where(first <= until).withColumn("_block", F.explode(F.sequence(_div(first, F.col("_per")), _div(until, F.col("_per")))))
+    rows = F.collect_list(F.struct("i", *[F.col(v).cast("double").alias(v) for v in values]))
+    names = [c for c in sized.columns if c not in KEYS]
+    grouped = dealt.groupBy(*KEYS, *names, "_block").agg(rows.alias("rows"))
+    k0 = F.col("_block") * F.col("_per")
+    return grouped.select(*KEYS, *[c for c in names if c != "_per"], k0.alias("k0"), F.least(F.col("_per"), F.col("last") + 1 - k0).alias("m"), F.col("rows.i").alias("i"), *[F.col(f"rows.{v}").alias(v) for v in values])
+
+
+def segments(signal: DataFrame, values: list[str], layouts: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(keys, layout columns, k, and each value as an array in order): one row per segment."""
+    cut = blocks(signal, values, layouts, block_rows).withColumn("_rows", F.array_sort(F.arrays_zip("i", *values)))
+    each = cut.withColumn("_j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1)))
+    start = ((F.col("k0") + F.col("_j")) * F.col("hop") - F.col("shift")).cast("bigint")
+    own = F.filter("_rows", lambda r: (r["i"] >= start) & (r["i"] < start + F.col("size")))
+    names = [c for c in layouts.columns if c not in KEYS]
+    return each.select(*KEYS, *names, (F.col("k0") + F.col("_j")).alias("k"), own.alias("_own")).select(*KEYS, *names, "k", *[F.col(f"_own.{v}").alias(v) for v in values])
+
+
+def _cut(values: np.ndarray, i: np.ndarray, k0: int, m: int, size: int, hop: int, shift: int) -> np.ndarray:
+    """The segments of a block, a row each; where a row is absent stands a zero."""
+    held = np.zeros((m - 1) * hop + size)
+    at = i + shift - k0 * hop
+    fits = (at >= 0) & (at < len(held))
+    held[at[fits]] = values[fits]
+    return np.lib.stride_tricks.sliding_window_view(held, size)[::hop]
+
+
+def _together(kernel: Callable[..., np.ndarray], *parts: list[np.ndarray]) -> list[np.ndarray]:
+    """Apply a kernel once to all rows of equal width of many matrices (or row vectors), and deal its rows back."""
+    out: list = [None] * len(parts[0])
+    widths = np.array([x.shape[1] for x in parts[0]])
+    for width in np.unique(widths):
+        of = np.flatnonzero(widths == width)
+        made = kernel(*[np.concatenate([p[j] for j in of]) for p in parts])
+        ends = np.cumsum([len(parts[0][j]) for j in of])
+        for j, rows in zip(of, np.split(made, ends[:-1]), strict=True):
+            out[j] = rows
     return out
 
 
-def _power(name: str, scaling: str):
-    @F.pandas_udf("array<double>")
-    def run(x: pd.Series, rate: pd.Series) -> pd.Series:
-        return pd.Series(_by_length(lambda a, r: kernels.periodogram(a, r, name, scaling), x, rate))
+def _block_rows(i, k0, m, size, hop, shift, *values) -> list[list[np.ndarray]]:
+    """For each value, the segment matrices of the rows of a batch."""
+    shape = list(zip(i, k0, m, size, hop, shift, strict=True))
+    return [[_cut(x, *s) for x, s in zip(v, shape, strict=True)] for v in values]
+
 
-    return run
+_SHAPE = ("i", "k0", "m", "size", "hop", "shift")
 
 
 def _auto(n: Column, nperseg: int, least: int, part: int) -> Column:
-    return F.lit(nperseg).cast("bigint") if nperseg > 0 else F.least(n, F.greatest(F.lit(least), _div(n, F.lit(part)))).cast("bigint")
+    return F.least(F.lit(nperseg).cast("bigint") if nperseg > 0 else F.least(n, F.greatest(F.lit(least), _div(n, F.lit(part)))).cast("bigint"), n)
 
 
 def _level(power: Column, use_psd: bool) -> Column:
@@ -77,81 +106,94 @@ def _level(power: Column, use_psd: bool) -> Column:
 def welch(signal: DataFrame, use_psd: bool = False, nperseg: int = 0, name: str = "hann") -> DataFrame:
     """(keys, bin, freq, amplitude) of ``x`` at ``rate``: segments overlap by half, their power is averaged; amplitude, or dB by Hz."""
     ship(signal.sparkSession)
-    held = lengths(signal).where("n >= 4")
-    size = F.least(_auto(F.col("n"), nperseg, 256, 4), F.col("n"))
-    hop = size - _div(size, F.lit(2))
-    cut = segments(held, ["x", "rate"], size, hop, _div(F.col("n") - size, hop))
-    rate = F.element_at("rate", 1)
-    power = cut.select(*KEYS, "size", rate.alias("rate"), _power(name, "density" if use_psd else "spectrum")("x", rate).alias("p"))
-    mean = power.select(*KEYS, "size", "rate", F.posexplode("p").alias("bin", "p")).groupBy(*KEYS, "bin").agg(F.first(F.col("bin") * F.col("rate") / F.col("size")).alias("freq"), F.avg("p").alias("p"))
-    return mean.select(*KEYS, "bin", "freq", _level(F.col("p"), use_psd).alias("amplitude"))
+
+    @F.pandas_udf("array<double>")
+    def total(x: pd.Series, rate: pd.Series, *shape: pd.Series) -> pd.Series:
+        (cut,) = _block_rows(*shape, x)
+        rates = [np.full((len(c), 1), r) for c, r in zip(cut, rate, strict=True)]
+        power = _together(lambda a, r: kernels.periodogram(a, r[:, 0], name, "density" if use_psd else "spectrum"), cut, rates)
+        return pd.Series([p.sum(axis=0) for p in power])
+
+    sized = layout(signal, "rate", least=4).withColumn("size", _auto(F.col("n"), nperseg, 256, 4))
+    sized = sized.withColumn("hop", F.col("size") - _div(F.col("size"), F.lit(2))).withColumns({"last": _div(F.col("n") - F.col("size"), F.col("hop")), "shift": F.lit(0).cast("bigint")})
+    power = blocks(signal, ["x"], sized).select(*KEYS, "size", "rate", "m", total("x", "rate", *_SHAPE).alias("p"))
+    mean = power.select(*KEYS, "size", "rate", "m", F.posexplode("p").alias("bin", "p")).groupBy(*KEYS, "size", "rate", "bin").agg((F.sum("p") / F.sum("m")).alias("p"))
+    return mean.select(*KEYS, "bin", (F.col("bin") * F.col("rate") / F.col("size")).alias("freq"), _level(F.col("p"), use_psd).alias("amplitude"))
 
 
 def spectrogram(signal: DataFrame, use_psd: bool = False, nperseg: int = 0, name: str = "hann") -> DataFrame:
     """(keys, k, time_s, bin, freq, level): power by Hz of segments that overlap by three quarters, as its root or in dB."""
     ship(signal.sparkSession)
-    held = lengths(signal).where("n >= 4")
-    size = F.least(_auto(F.col("n"), nperseg, 256, 8), F.col("n"))
-    hop = size - _div(size * 3, F.lit(4))
-    cut = segments(held, ["x", "rate"], size, hop, _div(F.col("n") - size, hop))
-    rate = F.element_at("rate", 1)
-    power = cut.select(*KEYS, "k", "size", rate.alias("rate"), _power(name, "density")("x", rate).alias("p"))
-    step = F.col("size") - _div(F.col("size") * 3, F.lit(4))
-    rows = power.select(*KEYS, "k", "size", "rate", ((F.col("size") / 2.0 + F.col("k") * step) / F.col("rate")).alias("time_s"), F.posexplode("p").alias("bin", "p"))
-    return rows.select(*KEYS, "k", "time_s", "bin", (F.col("bin") * F.col("rate") / F.col("size")).alias("freq"), _level(F.col("p"), use_psd).alias("level"))
-
 
-def _sizes(signal: DataFrame) -> DataFrame:
-    """(keys, n, rate) of signals of four rows or more."""
-    return signal.groupBy(*KEYS).agg(F.count("*").alias("n"), F.first("rate").alias("rate")).where("n >= 4")
+    @F.pandas_udf("array<array<double>>")
+    def each(x: pd.Series, rate: pd.Series, *shape: pd.Series) -> pd.Series:
+        (cut,) = _block_rows(*shape, x)
+        rates = [np.full((len(c), 1), r) for c, r in zip(cut, rate, strict=True)]
+        return pd.Series([list(p) for p in _together(lambda a, r: kernels.periodogram(a, r[:, 0], name, "density"), cut, rates)])
 
-
-def _padded(signal: DataFrame, sizes: DataFrame, size: Column) -> DataFrame:
-    """The signal with half a segment of zeros on both ends and zeros up to a whole number of hops; ``i`` from 0, ``m`` rows."""
-    half, hop = _div(F.col("size"), F.lit(2)), F.col("size") - _div(F.col("size") * 3, F.lit(4))
-    plain = F.col("n") + 2 * half
-    layout = sizes.withColumn("size", size).withColumn("m", plain + F.pmod(-(plain - F.col("size")), hop))
-    ends = F.concat(F.sequence(F.lit(0).cast("bigint"), half - 1), F.sequence(half + F.col("n"), F.col("m") - 1))
-    edges = layout.select(*KEYS, "n", "size", "m", "rate", F.explode(ends).alias("i"), F.lit(0.0).alias("x"))
-    inner = signal.select(*KEYS, "i", "x").join(layout, KEYS).select(*KEYS, "n", "size", "m", "rate", (F.col("i") + half).alias("i"), F.col("x").cast("double").alias("x"))
-    return inner.unionByName(edges)
+    sized = layout(signal, "rate", least=4).withColumn("size", _auto(F.col("n"), nperseg, 256, 8))
+    sized = sized.withColumn("hop", F.col("size") - _div(F.col("size") * 3, F.lit(4))).withColumns({"last": _div(F.col("n") - F.col("size"), F.col("hop")), "shift": F.lit(0).cast("bigint")})
+    power = blocks(signal, ["x"], sized).select(*KEYS, "size", "hop", "rate", "k0", F.posexplode(each("x", "rate", *_SHAPE)).alias("j", "p")).withColumn("k", F.col("k0") + F.col("j"))
+    rows = power.select(*KEYS, "k", "size", "rate", ((F.col("size") / 2.0 + F.col("k") * F.col("hop")) / F.col("rate")).alias("time_s"), F.posexplode("p").alias("bin", "p"))
+    return rows.select(*KEYS, "k", "time_s", "bin", (F.col("bin") * F.col("rate") / F.col("size")).alias("freq"), _level(F.col("p"), use_psd).alias("level"))
 
 
 def slice_throttle(slices: DataFrame, throttle: DataFrame) -> DataFrame:
-    """Adds ``throttle`` to slices (log_id, time_s, n, rate): linear between samples that spread evenly over the log's duration."""
+    """Adds ``throttle`` to slices (log_id, time_s, n, rate): linear between samples that spread evenly over the log's duration.
+
+    Only the samples beside a slice are shuffled with the slices.
+    """
     pos = F.least(F.greatest(F.col("time_s") * F.col("rate") * (F.col("n") - 1) / F.col("n"), F.lit(0.0)), (F.col("n") - 1).cast("double"))
     placed = slices.withColumn("_pos", pos).withColumns({"_lo": F.floor("_pos"), "_hi": F.least(F.floor("_pos") + 1, F.col("n") - 1)})
-    at = lambda name, column: throttle.select(F.col("log_id"), F.col("i").alias(column), F.col("pct").alias(name))
+    wanted = placed.select("log_id", F.explode(F.array("_lo", "_hi")).alias("i")).distinct()
+    near = throttle.join(wanted, ["log_id", "i"], "left_semi")
+    at = lambda name, column: near.select(F.col("log_id"), F.col("i").alias(column), F.col("pct").alias(name))
     both = placed.join(at("_a", "_lo"), ["log_id", "_lo"]).join(at("_b", "_hi"), ["log_id", "_hi"])
     return both.withColumn("throttle", F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_pos") - F.col("_lo"))).drop("_pos", "_lo", "_hi", "_a", "_b")
 
 
-def throttle_spectrogram(signal: DataFrame, throttle: DataFrame, use_psd: bool = False, bins: int = 100, nperseg: int = 0, name: str = "hann", freq_limit: float = 0.0) -> DataFrame:
+def throttle_spectrogram(signal: DataFrame, use_psd: bool = False, bins: int = 100, nperseg: int = 0, name: str = "hann", freq_limit: float = 0.0) -> DataFrame:
     """(keys, throttle_bin, center, bin, freq, level): mean power of the time slices of each throttle bin; bins without a slice are 0.
 
-    ``throttle`` is (log_id, i, pct).  A bin holds its lower end only, so 100 % is in none.
+    ``signal`` is (keys, i, x, rate, throttle) with the throttle in percent.  Half a segment of zeros stands at
+    both ends.  A slice takes the throttle at its time, linear between samples that spread evenly over the
+    log's duration; those lie inside the slice's own rows, so that nothing is joined.  A bin holds its lower
+    end only, so 100 % is in none.
     """
     ship(signal.sparkSession)
 
-    @F.pandas_udf("array<double>")
-    def power(x: pd.Series) -> pd.Series:
-        return pd.Series(_by_length(lambda a: kernels.stft_power(a, name), x))
-
-    sizes = _sizes(signal)
-    sized = F.least(_auto(F.col("n"), nperseg, 128, 8), F.col("n"))
-    padded = _padded(signal, sizes, sized)
-    hop = F.col("size") - _div(F.col("size") * 3, F.lit(4))
-    cut = segments(padded.withColumnRenamed("n", "rows_n").withColumnRenamed("m", "n").withColumnRenamed("size", "seg"), ["x", "rate", "rows_n"], F.col("seg"), F.col("seg") - _div(F.col("seg") * 3, F.lit(4)), _div(F.col("n") - F.col("seg"), F.col("seg") - _div(F.col("seg") * 3, F.lit(4))))
-    slices = cut.select(*KEYS, "k", "size", F.element_at("rate", 1).alias("rate"), F.element_at("rows_n", 1).cast("bigint").alias("n"), power("x").alias("p")).withColumn("time_s", F.col("k") * hop / F.col("rate"))
-    placed = slice_throttle(slices, throttle).withColumn("throttle_bin", F.floor(F.col("throttle") / (100.0 / bins)).cast("int"))
-    rows = placed.select(*KEYS, "throttle_bin", "size", "rate", F.posexplode("p").alias("bin", "p")).withColumn("freq", F.col("bin") * F.col("rate") / F.col("size"))
-    kept = rows.where(F.col("freq") <= freq_limit) if freq_limit > 0 else rows
-    mean = kept.where(F.col("throttle_bin").between(0, bins - 1)).groupBy(*KEYS, "throttle_bin", "bin").agg(F.avg("p").alias("p"))
+    @F.pandas_udf("array<struct<throttle_bin:int,m:bigint,p:array<double>>>")
+    def binned(x: pd.Series, throttle: pd.Series, rate: pd.Series, n: pd.Series, *shape: pd.Series) -> pd.Series:
+        (cut,) = _block_rows(*shape, x)
+        power = _together(lambda a: kernels.stft_power(a, name), cut)
+        out = []
+        for p, t, f, total, i, k0, m, size, hop, _ in zip(power, throttle, rate, n, *shape, strict=True):
+            if freq_limit > 0:
+                p = p[:, np.arange(p.shape[1]) * f / size <= freq_limit]
+            pos = np.clip((k0 + np.arange(m)) * hop * (total - 1) / total, 0, total - 1)
+            low = np.floor(pos).astype(np.int64)
+            own = np.full(int(i.max()) + 2 - int(i.min()), np.nan)
+            own[i - i.min()] = t
+            a, b = own[low - i.min()], own[np.minimum(low + 1, total - 1) - i.min()]
+            place = (a + (b - a) * (pos - low)) / (100.0 / bins)
+            fits = (place >= 0) & (place < bins)
+            number, where = np.unique(np.floor(place[fits]).astype(np.int64), return_inverse=True)
+            sums = np.zeros((len(number), p.shape[1]))
+            np.add.at(sums, where, p[fits])
+            out.append([{"throttle_bin": int(b), "m": int(c), "p": s} for b, c, s in zip(number, np.bincount(where, minlength=len(number)), sums, strict=True)])
+        return pd.Series(out)
+
+    half, hop = _div(F.col("size"), F.lit(2)), F.col("size") - _div(F.col("size") * 3, F.lit(4))
+    sized = layout(signal, "rate", least=4).withColumn("size", _auto(F.col("n"), nperseg, 128, 8)).withColumns({"hop": hop, "shift": half})
+    plain = F.col("n") + 2 * F.col("shift")
+    padded = plain + F.pmod(-(plain - F.col("size")), F.col("hop"))  # to a whole number of hops
+    sized = sized.withColumn("last", _div(padded - F.col("size"), F.col("hop")))
+    rows = blocks(signal, ["x", "throttle"], sized).select(*KEYS, F.explode(binned("x", "throttle", "rate", "n", *_SHAPE)).alias("b"))
+    sums = rows.select(*KEYS, "b.throttle_bin", "b.m", F.posexplode("b.p").alias("bin", "p")).groupBy(*KEYS, "throttle_bin", "bin").agg((F.sum("p") / F.sum("m")).alias("p"))
     # A bin with a slice has all its frequencies, so that dense rows need a join by throttle bin only.
-    levels = mean.groupBy(*KEYS, "throttle_bin").agg(F.array_sort(F.collect_list(F.struct("bin", "p")))["p"].alias("p"))
-    sizes = sizes.withColumn("size", sized)
+    levels = sums.groupBy(*KEYS, "throttle_bin").agg(F.array_sort(F.collect_list(F.struct("bin", "p")))["p"].alias("p"))
     freqs = F.transform(F.sequence(F.lit(0).cast("bigint"), _div(F.col("size"), F.lit(2))), lambda b: b * F.col("rate") / F.col("size"))
-    shape = sizes.select(*KEYS, (F.filter(freqs, lambda f: f <= freq_limit) if freq_limit > 0 else freqs).alias("freq"))
+    shape = sized.select(*KEYS, (F.filter(freqs, lambda f: f <= freq_limit) if freq_limit > 0 else freqs).alias("freq"))
     full = shape.withColumn("throttle_bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).join(levels, [*KEYS, "throttle_bin"], "left")
     dense = F.arrays_zip("freq", F.coalesce("p", F.array_repeat(F.lit(0.0), F.size("freq"))).alias("p"))
     rows = full.select(*KEYS, "throttle_bin", F.posexplode(dense).alias("bin", "at"))
@@ -177,19 +219,28 @@ def box_smooth(signal: DataFrame, column: str, size: int) -> DataFrame:
 def step_segments(signal: DataFrame, min_input: float = 20.0, duration_ms: float = 500.0, segment_ms: float = 2000.0, smooth: int = 1) -> DataFrame:
     """(keys, k, response): the step response of every segment with enough input, of (setpoint, gyro, rate_khz)."""
     ship(signal.sparkSession)
-    response, seg = F.floor(F.lit(duration_ms) * F.col("rate_khz")).cast("bigint"), F.floor(F.lit(segment_ms) * F.col("rate_khz")).cast("bigint")
     smoothed = box_smooth(signal, "gyro", smooth).drop("gyro").withColumnRenamed("gyro_smooth", "gyro")
-    held = lengths(smoothed).withColumns({"resp": response, "seg": seg}).where("resp >= 2 and seg >= 2 * resp")
-    hop = F.greatest(_div(F.col("seg"), F.lit(2)), F.lit(1))
-    last = F.when(F.col("n") > F.col("seg"), _div(F.col("n") - F.col("seg") + hop - 1, hop) - 1).otherwise(-1)
-    cut = segments(held, ["setpoint", "gyro", "resp"], F.col("seg"), hop, last)
-
-    @F.pandas_udf("array<double>")
-    def solve(setpoint: pd.Series, gyro: pd.Series, size: pd.Series) -> pd.Series:
-        return pd.Series([kernels.wiener_step(np.asarray(s)[None], np.asarray(g)[None], int(n))[0] for s, g, n in zip(setpoint, gyro, size, strict=True)])
-
-    lively = cut.where(F.array_max(F.transform("setpoint", F.abs)) >= min_input)
-    return lively.select(*KEYS, "k", solve("setpoint", "gyro", F.element_at("resp", 1)).alias("response")).where("response is not null")
+    resp, seg = F.floor(F.lit(duration_ms) * F.col("rate_khz")).cast("bigint"), F.floor(F.lit(segment_ms) * F.col("rate_khz")).cast("bigint")
+    sized = layout(signal, "rate_khz").withColumns({"resp": resp, "size": seg}).where("resp >= 2 and size >= 2 * resp").withColumn("hop", F.greatest(_div(F.col("size"), F.lit(2)), F.lit(1)))
+    last = F.when(F.col("n") > F.col("size"), _div(F.col("n") - F.col("size") + F.col("hop") - 1, F.col("hop")) - 1).otherwise(-1)
+    sized = sized.withColumns({"last": last.cast("bigint"), "shift": F.lit(0).cast("bigint")})
+
+    @F.pandas_udf("array<array<double>>")
+    def solve(setpoint: pd.Series, gyro: pd.Series, resp: pd.Series, *shape: pd.Series) -> pd.Series:
+        x, y = _block_rows(*shape, setpoint, gyro)
+        lively = [np.abs(a).max(axis=1) >= min_input for a in x]
+        sizes = [np.full((int(f.sum()), 1), r) for f, r in zip(lively, resp, strict=True)]
+        made = _together(kernels.wiener_steps, [a[f] for a, f in zip(x, lively, strict=True)], [b[f] for b, f in zip(y, lively, strict=True)], sizes)
+        out = []
+        for f, rows, r in zip(lively, made, resp, strict=True):
+            own: list = [None] * len(f)
+            for at, row in zip(np.flatnonzero(f), rows, strict=True):
+                own[at] = None if np.isnan(row[0]) else row[:r]
+            out.append(own)
+        return pd.Series(out)
+
+    cut = blocks(smoothed, ["setpoint", "gyro"], sized).select(*KEYS, "k0", F.posexplode(solve("setpoint", "gyro", "resp", *_SHAPE)).alias("j", "response"))
+    return cut.where("response is not null").select(*KEYS, (F.col("k0") + F.col("j")).alias("k"), "response")
 
 
 def step_response(signal: DataFrame, min_input: float = 20.0, duration_ms: float = 500.0, segment_ms: float = 2000.0, smooth: int = 1) -> DataFrame:
@@ -213,24 +264,26 @@ def compare_responses(signals: DataFrame, catalog: DataFrame, least: int = 100)
     kept = in_range(signals, catalog)
     one = kept.groupBy("log_id", "frame_seq").agg(F.first("time_s").alias("time_s"))
     size = kept.groupBy(*KEYS).agg(F.count("*").alias("_n"), F.min("frame_seq").alias("_first")).where(F.col("_n") >= least)
-    rated = kept.join(size, KEYS).join(median_rate(one).select("log_id", "rate_khz"), "log_id")
+    sides = size.join(median_rate(one).select("log_id", "rate_khz"), "log_id")
+    rated = attach(kept, sides, KEYS)
     return step_response(rated.select(*KEYS, (F.col("frame_seq") - F.col("_first")).alias("i"), "setpoint", "gyro", "rate_khz"))
 
 
-def correlation_delay(signal: DataFrame, raw: str, filtered: str, rate_hz: float, max_delay_ms: float = 10.0) -> DataFrame:
+def correlation_delay(signal: DataFrame, raw: str, filtered: str, rate_hz: float, max_delay_ms: float = 10.0, digits: int | None = None) -> DataFrame:
     """(keys, lag, delay_ms) of the largest correlation of ``filtered`` with ``raw`` at lags from 0; the smallest lag among equals.
 
     0 for fewer than ten rows or a constant signal.  One window pass: a lag is a ``lead`` of the filtered signal.
+    ``digits`` rounds the correlations before they are compared, so that sums in another order give the same lag.
     """
     most = int(max_delay_ms * rate_hz / 1000.0)
     stats = signal.groupBy(*KEYS).agg(F.count("*").alias("n"), *[f(F.col(c).cast("double")).alias(f"{c}_{a}") for c in (raw, filtered) for f, a in ((F.avg, "m"), (F.stddev_pop, "s"))])
     fair = (F.col("n") >= 10) & (F.col(f"{raw}_s") >= 1e-10) & (F.col(f"{filtered}_s") >= 1e-10)
     norm = lambda c: (F.col(c) - F.col(f"{c}_m")) / F.col(f"{c}_s")
-    held = signal.join(stats.where(fair), KEYS).select(*KEYS, "i", "n", norm(raw).alias("r"), norm(filtered).alias("f"))
+    held = attach(signal, stats.where(fair), KEYS, order="i").select(*KEYS, "i", "n", norm(raw).alias("r"), norm(filtered).alias("f"))
     order = Window.partitionBy(*KEYS, "_chunk").orderBy("i")
     led = with_guests(held, "i", 0, most).select(*KEYS, "n", "_guest", *[(F.col("r") * F.lead("f", k).over(order)).alias(f"c{k}") for k in range(most + 1)]).where("not _guest")
     sums = led.groupBy(*KEYS).agg(F.first("n").alias("n"), *[F.sum(f"c{k}").alias(f"c{k}") for k in range(most + 1)])
-    lags = F.filter(F.array(*[F.struct(F.round(f"c{k}", 9).alias("c"), F.lit(-k).alias("k")) for k in range(most + 1)]), lambda x: (-x["k"] <= F.floor(F.col("n") / 2)) & x["c"].isNotNull())
+    lags = F.filter(F.array(*[F.struct((F.col(f"c{k}") if digits is None else F.round(f"c{k}", digits)).alias("c"), F.lit(-k).alias("k")) for k in range(most + 1)]), lambda x: (-x["k"] <= F.floor(F.col("n") / 2)) & x["c"].isNotNull())
     best = sums.select(*KEYS, (-F.array_max(lags)["k"]).alias("lag"))
     return stats.select(*KEYS).join(best, KEYS, "left").select(*KEYS, F.coalesce("lag", F.lit(0)).alias("lag"), (F.coalesce("lag", F.lit(0)) / rate_hz * 1000.0).alias("delay_ms"))
 
@@ -261,7 +314,7 @@ def phase_delay(signal: DataFrame, raw: str, filtered: str, rate_hz: float, low:
     return signal.select(*KEYS).distinct().join(line, KEYS, "left").select(*KEYS, F.coalesce(delay, F.lit(0.0)).alias("delay_ms"))
 
 
-def filter_delays(signal: DataFrame, rate_hz: float, pairs: dict[str, tuple[str, str] | None], reference_hz: float = 100.0, max_delay_ms: float = 10.0) -> DataFrame:
+def filter_delays(signal: DataFrame, rate_hz: float, pairs: dict[str, tuple[str, str] | None], reference_hz: float = 100.0, max_delay_ms: float = 10.0, digits: int | None = None) -> DataFrame:
     """(keys, <name>_delay_ms, <name>_phase_deg ...) for pairs of raw and filtered columns; an absent pair gives 0."""
     from aerolytics.functions.units import phase_shift_degrees
 
@@ -270,6 +323,6 @@ def filter_delays(signal: DataFrame, rate_hz: float, pairs: dict[str, tuple[str,
         if pair is None:
             out = out.withColumn(f"{name}_delay_ms", F.lit(0.0))
         else:
-            out = out.join(correlation_delay(signal, *pair, rate_hz, max_delay_ms).select(*KEYS, F.col("delay_ms").alias(f"{name}_delay_ms")), KEYS)
+            out = out.join(correlation_delay(signal, *pair, rate_hz, max_delay_ms, digits).select(*KEYS, F.col("delay_ms").alias(f"{name}_delay_ms")), KEYS)
         out = out.withColumn(f"{name}_phase_deg", phase_shift_degrees(F.col(f"{name}_delay_ms"), F.lit(reference_hz)))
     return out

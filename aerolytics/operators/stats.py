@@ -2,7 +2,8 @@
 
 Frames carry ``log_id`` and ``frame_seq`` (the row's place in its log, from 0).  Long signals have
 one row per frame and axis.  Everything is grouped aggregation with partial sums; a log's maxima
-come from a first small aggregate that is joined back, never from a window over the frames.
+come from a first small aggregate that is attached to the frames (see ``attach``), never from a
+window over the frames.  A channel that the frames lack is left out; nothing fails for want of one.
 """
 
 from __future__ import annotations
@@ -12,6 +13,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql import Window
+
+from aerolytics.operators.attach import attach
 from aerolytics.operators.ordered import lagged
 
 AXES = ("roll", "pitch", "yaw")
@@ -48,10 +52,14 @@ def collect_logs(parts: list[DataFrame]) -> DataFrame:
 
 
 def long_signals(frames: DataFrame) -> DataFrame:
-    """(log_id, frame_seq, time, axis, gyro, setpoint): one row per frame and axis with both signals."""
+    """(log_id, frame_seq, time, axis, gyro, setpoint): one row per frame and axis with both signals; no rows if no axis has both."""
     there = [a for a in AXES if f"gyro_{a}" in frames.columns and f"setpoint_{a}" in frames.columns]
+    time = F.col("time") if "time" in frames.columns else F.lit(None).cast("long").alias("time")
+    if not there:
+        none = [F.lit(None).cast(t).alias(n) for n, t in (("axis", "string"), ("gyro", "long"), ("setpoint", "long"))]
+        return frames.select("log_id", "frame_seq", time, *none).where("false")
     axes = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(f"gyro_{a}").alias("gyro"), F.col(f"setpoint_{a}").alias("setpoint")) for a in there]))
-    return frames.select("log_id", "frame_seq", "time", axes.alias("s")).select("log_id", "frame_seq", "time", "s.axis", "s.gyro", "s.setpoint").where("gyro is not null and setpoint is not null")
+    return frames.select("log_id", "frame_seq", time, axes.alias("s")).select("log_id", "frame_seq", "time", "s.axis", "s.gyro", "s.setpoint").where("gyro is not null and setpoint is not null")
 
 
 def log_summary(frames: DataFrame) -> DataFrame:
@@ -75,30 +83,145 @@ def stick_distribution(values: DataFrame, keys: list[str], bin_width: float = 1.
     """Of ``pct``: (keys, bin, fraction) over 0..100 with fractions that add up to 1, and (keys, mean, std) of all values."""
     held = values.withColumn("pct", number("pct"))
     counts = held.withColumn("bin", histogram_bin(F.col("pct"), 0.0, 100.0, bin_width)).where("bin is not null").groupBy(*keys, "bin").agg(F.count("*").alias("n"))
-    total = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
-    shares = counts.join(total, keys).select(*keys, "bin", (F.col("n") / F.col("total")).alias("fraction"))
+    shares = counts.select(*keys, "bin", (F.col("n") / F.sum("n").over(Window.partitionBy(*keys))).alias("fraction"))
     return shares, held.groupBy(*keys).agg(F.avg("pct").alias("mean"), F.stddev_pop("pct").alias("std"))
 
 
+def stick_percent(frames: DataFrame) -> DataFrame:
+    """(log_id, axis, pct): stick deflection of each axis that has a command (``rc_<axis>``, not the setpoint)."""
+    there = [a for a in AXES if f"rc_{a}" in frames.columns]
+    if not there:
+        return frames.select("log_id", F.lit(None).cast("string").alias("axis"), F.lit(None).cast("double").alias("pct")).where("false")
+    axes = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), rc_percent(F.col(f"rc_{a}").cast("double")).alias("pct")) for a in there]))
+    return frames.select("log_id", axes.alias("s")).select("log_id", "s.axis", "s.pct").where("pct is not null")
+
+
+def clipped(value: Column) -> Column:
+    return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(0.0)), F.lit(100.0)))
+
+
 def throttle_percent(frames: DataFrame, column: str = "throttle") -> DataFrame:
     """(log_id, frame_seq, pct): tenths where a log's largest value exceeds 100, then clipped to 0..100."""
-    top = frames.groupBy("log_id").agg(F.max(F.col(column).cast("double")).alias("top"))
+    if column not in frames.columns:
+        return frames.select("log_id", "frame_seq", F.lit(None).cast("double").alias("pct")).where("false")
     value = F.col(column).cast("double")
-    scaled = F.when(F.col("top") > 100, value / 10.0).otherwise(value)
-    return frames.join(top, "log_id").select("log_id", "frame_seq", F.when(scaled.isNotNull(), F.least(F.greatest(scaled, F.lit(0.0)), F.lit(100.0))).alias("pct"))
+    top = frames.groupBy("log_id").agg(F.max(value).alias("_top"))
+    held = attach(frames.select("log_id", "frame_seq", column), top)
+    return held.select("log_id", "frame_seq", clipped(F.when(F.col("_top") > 100, value / 10.0).otherwise(value)).alias("pct"))
+
+
+def motor_percent_range(config: DataFrame | None) -> tuple[Column, Column]:
+    """Low end and span of the output range; an empty range counts as 1."""
+    low, high = (F.lit(0), F.lit(2000)) if config is None else (F.col("motor_output_low"), F.col("motor_output_high"))
+    return low, F.when(high == low, 1).otherwise(high - low)
 
 
 def motor_statistics(frames: DataFrame, config: DataFrame | None = None) -> DataFrame:
-    """(log_id, motor, mean, std, low, high) in percent of the output range (0..2000 without config; an empty range counts as 1)."""
+    """(log_id, motor, mean, std, low, high) in percent of the output range (0..2000 without config; an empty range counts as 1).
+
+    One aggregate over the frames as they are; the range is applied to its results, one row per log.
+    """
     motors = [i for i in range(4) if f"motor_{i}" in frames.columns]
-    long = frames.select("log_id", F.explode(F.array(*[F.struct(F.lit(i).alias("motor"), F.col(f"motor_{i}").alias("value")) for i in motors])).alias("m")).select("log_id", "m.motor", "m.value")
-    if config is None:
-        long = long.withColumns({"motor_output_low": F.lit(0), "motor_output_high": F.lit(2000)})
-    else:
-        long = long.join(config.select("log_id", "motor_output_low", "motor_output_high"), "log_id")
-    span = F.col("motor_output_high") - F.col("motor_output_low")
-    pct = (number("value") - F.col("motor_output_low")) / F.when(span == 0, 1).otherwise(span) * 100.0
-    return long.withColumn("pct", pct).groupBy("log_id", "motor").agg(F.avg("pct").alias("mean"), F.stddev_pop("pct").alias("std"), F.min("pct").alias("low"), F.max("pct").alias("high"))
+    if not motors:
+        return frames.select("log_id", *[F.lit(None).cast(t).alias(n) for n, t in (("motor", "int"), ("mean", "double"), ("std", "double"), ("low", "double"), ("high", "double"))]).where("false")
+    found = frames.groupBy("log_id").agg(*motor_moments(motors))
+    if config is not None:
+        found = found.join(config.select("log_id", "motor_output_low", "motor_output_high"), "log_id")
+    return found.select("log_id", F.explode(motor_array(motors, config)).alias("m")).select("log_id", "m.*").where("mean is not null")
+
+
+def motor_moments(motors: list[int]) -> list[Column]:
+    return [f(number(f"motor_{i}")).alias(f"_motor_{i}_{n}") for i in motors for n, f in (("mean", F.avg), ("std", F.stddev_pop), ("low", F.min), ("high", F.max))]
+
+
+def motor_array(motors: list[int], config: DataFrame | None) -> Column:
+    """Structs (motor, mean, std, low, high) in percent from ``motor_moments``."""
+    low, span = motor_percent_range(config)
+    pct = lambda c: (F.col(c) - low) / span * 100.0
+
+    def of(i: int) -> Column:
+        a, b = pct(f"_motor_{i}_low"), pct(f"_motor_{i}_high")
+        return F.struct(F.lit(i).alias("motor"), pct(f"_motor_{i}_mean").alias("mean"), F.abs(F.col(f"_motor_{i}_std") / span * 100.0).alias("std"), F.least(a, b).alias("low"), F.greatest(a, b).alias("high"))
+
+    return F.array(*[of(i) for i in motors])
+
+
+def flight_statistics(frames: DataFrame, config: DataFrame | None = None) -> DataFrame:
+    """One row per log: log_id, n, duration_s, sample_rate_hz, sticks, throttle, motors, pid_error.
+
+    ``sticks`` is a map from the axis to (mean, std) of its command in percent, ``throttle`` is (mean, std)
+    or null, ``motors`` an array of (motor, mean, std, low, high) or null, ``pid_error`` a map from the axis
+    to the standard deviation of its error.  A channel that a log lacks is left out; a log of fewer than two
+    frames has zeros and empty values; without ``time`` the duration is 0.  All comes from one aggregate
+    over the frames: the throttle's scale is chosen, and the motors' range applied, afterwards.
+    """
+    have = set(frames.columns)
+    sticks, motors = [a for a in AXES if f"rc_{a}" in have], [i for i in range(4) if f"motor_{i}" in have]
+    both = [a for a in AXES if {f"gyro_{a}", f"setpoint_{a}"} <= have]
+    parts = [F.count("*").alias("n")]
+    us = F.lit(None).cast("long")
+    if "time" in have:
+        parts.append((F.max_by("time", "frame_seq") - F.min_by("time", "frame_seq")).alias("_us"))
+        us = F.col("_us")
+    for a in sticks:
+        pct = number(rc_percent(F.col(f"rc_{a}").cast("double")))
+        parts += [F.avg(pct).alias(f"_stick_{a}_mean"), F.stddev_pop(pct).alias(f"_stick_{a}_std")]
+    if "throttle" in have:
+        value = F.col("throttle").cast("double")
+        parts.append(F.max(value).alias("_top"))
+        for name, x in (("tenths", value / 10.0), ("whole", value)):
+            parts += [F.avg(number(clipped(x))).alias(f"_{name}_mean"), F.stddev_pop(number(clipped(x))).alias(f"_{name}_std")]
+    parts += motor_moments(motors)
+    parts += [F.stddev_pop(pid_error(f"gyro_{a}", f"setpoint_{a}").cast("double")).alias(f"_error_{a}") for a in both]
+    found = frames.groupBy("log_id").agg(*parts)
+    if config is not None:
+        found = found.join(config.select("log_id", "motor_output_low", "motor_output_high"), "log_id", "left")
+        lacks = F.col("motor_output_low").isNull()
+        found = found.withColumns({"motor_output_low": F.when(lacks, 0).otherwise(F.col("motor_output_low")), "motor_output_high": F.when(lacks, 2000).otherwise(F.col("motor_output_high"))})
+    some = F.col("n") >= 2
+
+    def by_axis(axes: list[str], value) -> Column:
+        kind = "struct<mean:double,std:double>" if value is stick else "double"
+        if not axes:
+            return F.map_from_entries(F.array().cast(f"array<struct<key:string,value:{kind}>>"))
+        entries = F.filter(F.array(*[F.struct(F.lit(a).alias("key"), value(a).alias("value")) for a in axes]), lambda e: e["value"].isNotNull())
+        return F.map_from_entries(F.when(some, entries).otherwise(F.slice(entries, 1, 0)))
+
+    def stick(a: str) -> Column:
+        return F.when(F.col(f"_stick_{a}_mean").isNotNull(), F.struct(F.col(f"_stick_{a}_mean").alias("mean"), F.col(f"_stick_{a}_std").alias("std")))
+
+    throttle = F.lit(None).cast("struct<mean:double,std:double>")
+    if "throttle" in have:
+        big = F.col("_top") > 100
+        pick = lambda m: F.when(big, F.col(f"_tenths_{m}")).otherwise(F.col(f"_whole_{m}"))
+        throttle = F.when(some & F.col("_top").isNotNull(), F.struct(pick("mean").alias("mean"), pick("std").alias("std")))
+    motor = F.lit(None).cast("array<struct<motor:int,mean:double,std:double,low:double,high:double>>")
+    if motors:
+        known = F.filter(motor_array(motors, config), lambda m: m["mean"].isNotNull())
+        motor = F.when(some & (F.size(known) > 0), known)
+    seconds = F.when(some, F.coalesce(us / 1e6, F.lit(0.0))).otherwise(0.0)
+    rate = F.when(seconds > 0, (F.col("n") - 1) / F.when(seconds > 0, seconds)).otherwise(0.0)
+    return found.select("log_id", "n", seconds.alias("duration_s"), rate.alias("sample_rate_hz"), by_axis(sticks, stick).alias("sticks"), throttle.alias("throttle"), motor.alias("motors"), by_axis(both, lambda a: F.col(f"_error_{a}")).alias("pid_error"))
+
+
+def flight_histograms(frames: DataFrame, bin_width: float = 1.0) -> DataFrame:
+    """(log_id, signal, bin, fraction): shares of stick commands and of throttle by percent, in one pass.
+
+    The throttle is binned both whole and in tenths; the log's largest value picks one of the two.
+    """
+    signals = [F.struct(F.lit(a).alias("signal"), rc_percent(F.col(f"rc_{a}").cast("double")).alias("pct"), F.lit(0.0).alias("raw")) for a in AXES if f"rc_{a}" in frames.columns]
+    if "throttle" in frames.columns:
+        value = F.col("throttle").cast("double")
+        signals += [F.struct(F.lit(n).alias("signal"), clipped(x).alias("pct"), value.alias("raw")) for n, x in (("_tenths", value / 10.0), ("_whole", value))]
+    if not signals:
+        return frames.select("log_id", *[F.lit(None).cast(t).alias(n) for n, t in (("signal", "string"), ("bin", "int"), ("fraction", "double"))]).where("false")
+    long = frames.select("log_id", F.explode(F.array(*signals)).alias("s")).select("log_id", "s.*")
+    binned = long.withColumn("bin", histogram_bin(number("pct"), 0.0, 100.0, bin_width))
+    counts = binned.groupBy("log_id", "signal", "bin").agg(F.count("*").alias("n"), F.max(F.col("raw")).alias("raw")).where("bin is not null")
+    own = Window.partitionBy("log_id", "signal")
+    shares = counts.select("log_id", "signal", "bin", (F.col("n") / F.sum("n").over(own)).alias("fraction"), F.max("raw").over(own).alias("top"))
+    kept = shares.where("signal not in ('_tenths', '_whole') or (signal = '_tenths') = (top > 100)")
+    return kept.select("log_id", F.when(F.col("signal").startswith("_"), "throttle").otherwise(F.col("signal")).alias("signal"), "bin", "fraction")
 
 
 def pid_sum(p: Column, i: Column, d: Column | None = None, f: Column | None = None) -> Column:
@@ -113,8 +236,8 @@ def pid_error(gyro: str = "gyro", setpoint: str = "setpoint") -> Column:
 def error_histogram(signals: DataFrame, low: int = -1000, high: int = 1000, width: int = 1) -> DataFrame:
     """(log_id, axis, bin, center, count, normalized): counts by error and by the largest count; empty bins are left out."""
     bins = signals.withColumn("bin", histogram_bin(number(pid_error()), low, high, width)).where("bin is not null").groupBy("log_id", "axis", "bin").agg(F.count("*").alias("count"))
-    peak = bins.groupBy("log_id", "axis").agg(F.max("count").alias("peak"))
-    return bins.join(peak, ["log_id", "axis"]).select("log_id", "axis", "bin", (F.lit(low) + (F.col("bin") + 0.5) * width).alias("center"), "count", (F.col("count") / F.col("peak")).alias("normalized"))
+    peak = F.max("count").over(Window.partitionBy("log_id", "axis"))
+    return bins.select("log_id", "axis", "bin", (F.lit(low) + (F.col("bin") + 0.5) * width).alias("center"), "count", (F.col("count") / peak).alias("normalized"))
 
 
 def dense(table: DataFrame, keys: list[str], column: str, size: int, zero: dict[str, float]) -> DataFrame:
@@ -123,25 +246,34 @@ def dense(table: DataFrame, keys: list[str], column: str, size: int, zero: dict[
     return grid.join(table.select(*keys, column, *zero), [*keys, column], "left").select(*keys, column, *[F.coalesce(c, F.lit(v)).alias(c) for c, v in zero.items()])
 
 
+def _by_stick(signals: DataFrame, max_error: float) -> DataFrame:
+    """(log_id, axis, std_dev, r): an array of (bin, mean_abs, se) over the thresholds; the maxima first, then one aggregate."""
+    stick = F.abs(F.col("setpoint").cast("double"))
+    held = attach(signals, signals.groupBy("log_id", "axis").agg(F.max(stick).alias("_top")), ["log_id", "axis"])
+    error = F.abs(number(pid_error()))
+    fits = lambda t: (stick < F.col("_top") * F.lit(t)) & (error < max_error)
+    part = lambda fn, i, t: fn(F.when(fits(t), error)).alias(f"{fn.__name__}_{i}")
+    wide = held.groupBy("log_id", "axis").agg(F.stddev_pop(pid_error().cast("double")).alias("std_dev"), *[part(fn, i, t) for i, t in enumerate(THRESHOLDS) for fn in (F.avg, F.stddev_pop, F.count)])
+    rows = F.array(*[F.struct(F.lit(i).alias("bin"), F.coalesce(f"avg_{i}", F.lit(0.0)).alias("mean_abs"), F.coalesce(F.when(F.col(f"count_{i}") > 0, F.col(f"stddev_pop_{i}") / F.sqrt(f"count_{i}")), F.lit(0.0)).alias("se")) for i in range(len(THRESHOLDS))])
+    return wide.select("log_id", "axis", "std_dev", rows.alias("r"))
+
+
 def error_by_stick(signals: DataFrame, max_error: float = 1000.0) -> DataFrame:
     """(log_id, axis, bin, mean_abs, se): mean absolute error of samples with a stick below each share of its largest value.
 
     The bins are cumulative and a sample at the largest value is in none; errors of ``max_error`` and more don't count.
     """
-    top = signals.groupBy("log_id", "axis").agg(F.max(F.abs(F.col("setpoint").cast("double"))).alias("top"))
-    error = F.abs(number(pid_error()))
-    fits = lambda t: (F.abs(F.col("setpoint").cast("double")) < F.col("top") * F.lit(t)) & (error < max_error)
-    part = lambda fn, i, t: fn(F.when(fits(t), error)).alias(f"{fn.__name__}_{i}")
-    wide = signals.join(top, ["log_id", "axis"]).groupBy("log_id", "axis").agg(*[part(fn, i, t) for i, t in enumerate(THRESHOLDS) for fn in (F.avg, F.stddev_pop, F.count)])
-    rows = F.array(*[F.struct(F.lit(i).alias("bin"), F.coalesce(f"avg_{i}", F.lit(0.0)).alias("mean_abs"), F.coalesce(F.when(F.col(f"count_{i}") > 0, F.col(f"stddev_pop_{i}") / F.sqrt(f"count_{i}")), F.lit(0.0)).alias("se")) for i in range(len(THRESHOLDS))])
-    return wide.select("log_id", "axis", F.explode(rows).alias("r")).select("log_id", "axis", "r.*")
+    return _by_stick(signals, max_error).select("log_id", "axis", F.explode("r").alias("r")).select("log_id", "axis", "r.*")
+
 
+def error_report(signals: DataFrame, max_error: float = 1000.0) -> DataFrame:
+    """(log_id, axis, std_dev, mean_abs array, se array, histogram): the full report, one row per log and axis.
 
-def error_report(signals: DataFrame) -> DataFrame:
-    """(log_id, axis, std_dev, mean_abs array, se array): the full report but for the histogram, one row per log and axis."""
-    spread = signals.groupBy("log_id", "axis").agg(F.stddev_pop(pid_error().cast("double")).alias("std_dev"))
-    rows = error_by_stick(signals).groupBy("log_id", "axis").agg(F.array_sort(F.collect_list(F.struct("bin", "mean_abs", "se"))).alias("r"))
-    return spread.join(rows, ["log_id", "axis"]).select("log_id", "axis", "std_dev", F.col("r.mean_abs").alias("mean_abs"), F.col("r.se").alias("se"))
+    ``histogram`` is an array of (bin, center, count, normalized) in the order of the bins, without empty ones.
+    """
+    bins = error_histogram(signals).groupBy("log_id", "axis").agg(F.array_sort(F.collect_list(F.struct("bin", "center", "count", "normalized"))).alias("histogram"))
+    found = _by_stick(signals, max_error).join(bins, ["log_id", "axis"], "left")
+    return found.select("log_id", "axis", "std_dev", F.col("r.mean_abs").alias("mean_abs"), F.col("r.se").alias("se"), "histogram")
 
 
 def median_rate(signals: DataFrame) -> DataFrame:

@@ -6,36 +6,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aerolytics.operators import stats
+from aerolytics.operators.frames import frame_counts
 
 
 def analyze_logs(frames: DataFrame, config: DataFrame, validity: DataFrame | None = None, logs: DataFrame | None = None) -> DataFrame:
-    """(log_id, document): what the analysis of one log says, as a struct; aggregates alone are shuffled, never frames.
+    """(log_id, document): what the analysis of one log says, as a struct; one pass over the frames, aggregates alone are shuffled.
 
-    ``validity`` gives frame counts where it is known, ``logs`` file and log index.
+    ``validity`` (from ``validate_logs``) gives the counts of valid and corrupt frames; without it all
+    frames count as valid.  ``logs`` is (log_id, path, log_index).  A log without an axis, motors or time
+    lacks them in the document.
     """
-    long = stats.long_signals(frames)
-    sticks = long.select("log_id", "axis", stats.rc_percent(F.col("setpoint").cast("double")).alias("pct"))
-    by_axis = sticks.groupBy("log_id", "axis").agg(F.avg(stats.number("pct")).alias("mean"), F.stddev_pop(stats.number("pct")).alias("std"))
-    stick_map = by_axis.groupBy("log_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("axis", F.struct("mean", "std").alias("v"))))).alias("stick_distributions"))
-    spread = long.groupBy("log_id", "axis").agg(F.stddev_pop(stats.pid_error().cast("double")).alias("std"))
-    error_map = spread.groupBy("log_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("axis", F.struct("std").alias("v"))))).alias("pid_error"))
-    motors = stats.motor_statistics(frames, config).groupBy("log_id").agg(F.array_sort(F.collect_list(F.struct("motor", "mean", "std"))).alias("m"))
-    motor_lists = motors.select("log_id", F.struct(F.col("m.mean").alias("mean_percent"), F.col("m.std").alias("std_percent")).alias("motor_stats"))
-    out = stats.log_summary(frames).join(config.select("log_id", F.col("firmware_revision").alias("firmware"), "fc_version"), "log_id")
-    for part in (stick_map, error_map, motor_lists):
-        out = out.join(part, "log_id", "left")
+    found = stats.flight_statistics(frames, config).join(config.select("log_id", F.col("firmware_revision").alias("firmware"), "fc_version"), "log_id", "left")
     if validity is not None:
-        from aerolytics.operators.frames import frame_counts
-
-        out = out.join(frame_counts(validity), "log_id", "left")
+        found = found.join(frame_counts(validity), "log_id", "left")
     else:
-        out = out.withColumns({"valid_frames": F.col("n"), "corrupt_frames": F.lit(0).cast("long")})
+        found = found.withColumns({"valid_frames": F.col("n"), "corrupt_frames": F.lit(0).cast("long")})
     if logs is not None:
-        out = out.join(logs.select("log_id", F.col("path").alias("file"), "log_index"), "log_id", "left")
+        found = found.join(logs.select("log_id", F.col("path").alias("file"), "log_index"), "log_id", "left")
     else:
-        out = out.withColumns({"file": F.lit(None).cast("string"), "log_index": F.lit(0)})
-    names = ["file", "log_index", "duration_s", "sample_rate_hz", "firmware", "fc_version", "valid_frames", "corrupt_frames", "stick_distributions", "pid_error", "motor_stats"]
-    return out.select("log_id", F.struct(*names).alias("document"))
+        found = found.withColumns({"file": F.lit(None).cast("string"), "log_index": F.lit(0)})
+    deviations = F.transform_values("pid_error", lambda _, x: F.struct(x.alias("std")))
+    motors = F.when(F.col("motors").isNotNull(), F.struct(F.col("motors.mean").alias("mean_percent"), F.col("motors.std").alias("std_percent")))
+    return found.select("log_id", F.struct(
+        "file", "log_index", "duration_s", "sample_rate_hz", "firmware", "fc_version", "valid_frames", "corrupt_frames",
+        F.col("sticks").alias("stick_distributions"), deviations.alias("pid_error"), motors.alias("motor_stats")).alias("document"))
 
 
 def write_documents(documents: DataFrame, path: str) -> None:

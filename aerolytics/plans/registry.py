@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +12,9 @@ from aerolytics.operators import frames as fr
 from aerolytics.operators import spectral as sp
 from aerolytics.operators import stats
 from aerolytics.plans.analysis import analyze_logs
+from aerolytics.operators.attach import attach
 from aerolytics.plans.telemetry import view, with_views
+from aerolytics.scratch import shared_dir
 from aerolytics.sources import headers, logs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,13 +22,14 @@ ORACLE_SQL: dict[str, str] = {}
 RATE_HZ = 100.0
 
 
-def query(sql: str | None, *views: str):
+def query(sql: str | None, *views: str, recursive: bool = False):
     """Register a query; its SQL may use the given views."""
 
     def add(fn):
         QUERIES[fn.__name__] = fn
         if sql:
-            ORACLE_SQL[fn.__name__] = f"{with_views(*views)}\n{sql.strip()}" if views and not sql.lstrip().startswith(",") else (with_views(*views) + sql if views else sql)
+            head = with_views(*views).replace("with ", "with recursive ", 1) if recursive else with_views(*views)
+            ORACLE_SQL[fn.__name__] = f"{head}\n{sql.strip()}" if views else sql
         return fn
 
     return add
@@ -39,11 +40,6 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def _scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def _pairs(spark, d):
     return headers.key_values(view(spark, d, "header_lines"))
 
@@ -56,28 +52,54 @@ def _signal(spark, d) -> DataFrame:
 # ---- sources and headers ----
 
 KV = ", kv as (select log_id, line_no, trim(split_part(substr(line, 3), ':', 1)) as key, trim(substr(line, 3 + instr(substr(line, 3), ':'))) as value from header_lines where contains(substr(line, 3), ':'))"
-CONFIG = KV + """, f as (
-  select log_id, line_no, unnest(case key when 'minthrottle' then [{'f': 'minthrottle', 'v': value}, {'f': 'motor_output_low', 'v': value}]
-     when 'maxthrottle' then [{'f': 'maxthrottle', 'v': value}, {'f': 'motor_output_high', 'v': value}]
-     when 'motorOutput' then [{'f': 'motor_output_low', 'v': split_part(value, ',', 1)}, {'f': 'motor_output_high', 'v': split_part(value, ',', 2)}]
-     when 'vbatref' then [{'f': 'vbatref', 'v': value}]
-     when 'vbatcellvoltage' then [{'f': 'vbatmincellvoltage', 'v': split_part(value, ',', 1)}, {'f': 'vbatwarningcellvoltage', 'v': split_part(value, ',', 2)}, {'f': 'vbatmaxcellvoltage', 'v': split_part(value, ',', 3)}]
-     when 'currentMeter' then [{'f': 'current_meter_offset', 'v': split_part(value, ',', 1)}, {'f': 'current_meter_scale', 'v': split_part(value, ',', 2)}] end) as e from kv),
- config as (select log_id, coalesce(cast(max_by(e.v, line_no) filter (where e.f = 'minthrottle') as int), 1150) as minthrottle, coalesce(cast(max_by(e.v, line_no) filter (where e.f = 'maxthrottle') as int), 1850) as maxthrottle,
-   coalesce(cast(max_by(e.v, line_no) filter (where e.f = 'motor_output_low') as int), 1150) as motor_output_low, coalesce(cast(max_by(e.v, line_no) filter (where e.f = 'motor_output_high') as int), 1850) as motor_output_high,
-   coalesce(cast(max_by(e.v, line_no) filter (where e.f = 'vbatref') as int), 4095) as vbatref, coalesce(cast(max_by(e.v, line_no) filter (where e.f = 'vbatmaxcellvoltage') as int), 43) as vbatmaxcellvoltage,
-   coalesce(cast(max_by(e.v, line_no) filter (where e.f = 'current_meter_offset') as int), 0) as current_meter_offset, coalesce(cast(max_by(e.v, line_no) filter (where e.f = 'current_meter_scale') as int), 400) as current_meter_scale,
-   110 as vbatscale, 1 as acc_1g, case when log_id % 4 = 0 then 1.0 else pi() / 180 * 0.000001 end as gyro_scale,
-   case when log_id % 4 = 0 then 'BASEFLIGHT' else 'BETAFLIGHT' end as firmware_type, case when log_id % 4 = 0 then '' else concat('4.', cast(log_id % 6 as varchar), '.1') end as fc_version from f group by log_id)"""
-
-
-@query("select log_id, frame_seq, loop_iteration, time, gyro_roll, setpoint_yaw, throttle, motor_3 from frames", "frames")
+_FIELDS = {
+    "minthrottle": ("minthrottle", 1, 1150), "maxthrottle": ("maxthrottle", 1, 1850), "vbatref": ("vbatref", 1, 4095), "vbatmincellvoltage": ("vbatcellvoltage", 1, 33),
+    "vbatwarningcellvoltage": ("vbatcellvoltage", 2, 35), "vbatmaxcellvoltage": ("vbatcellvoltage", 3, 43), "current_meter_offset": ("currentMeter", 1, 0), "current_meter_scale": ("currentMeter", 2, 400),
+    "rc_rate": ("rcRate", 1, 90), "acc_1g": ("acc_1G", 1, 1), "vbatscale": ("vbatscale", 1, 110), "data_version": ("Data version", 1, 0),
+}
+_LAST = "max_by({v}, line_no) filter (where {w} and {v} is not null)"
+
+
+def _last(value: str, where: str, default) -> str:
+    return f"coalesce({_LAST.format(v=value, w=where)}, {default})"
+
+
+_HEX = "(case when regexp_full_match(hex, '0x[0-9a-f]{8}') then cast(hex as bigint) end)"
+_FLOAT = f"(case when {_HEX} is null then 1.0::double else (case when {_HEX} >= 2147483648 then -1 else 1 end) * (1 + ({_HEX} % 8388608) / 8388608.0::double) * power(2.0::double, ({_HEX} // 8388608) % 256 - 127) end)"
+CONFIG = (
+    KV
+    + ", nv as (select *, try_cast(trim(split_part(value, ',', 1)) as int) as v1, try_cast(trim(split_part(value, ',', 2)) as int) as v2, try_cast(trim(split_part(value, ',', 3)) as int) as v3, try_cast(split_part(value, '/', 1) as int) as n1, try_cast(split_part(value, '/', 2) as int) as n2 from kv)"
+    + ", config as (select log_id, " + ", ".join(f"{_last(f'v{i}', f_where, d)} as {f}" for f, (k, i, d) in _FIELDS.items() for f_where in [f"key = '{k}'"])
+    + f", {_last('v1', "key in ('minthrottle', 'motorOutput')", 1150)} as motor_output_low, {_last("(case when key = 'motorOutput' then v2 else v1 end)", "key in ('maxthrottle', 'motorOutput')", 1850)} as motor_output_high"
+    + f", greatest({_last('v1', "key = 'I interval'", 32)}, 1) as i_interval, {_last('n1', "key = 'P interval' and contains(value, '/')", 1)} as p_num, {_last('n2', "key = 'P interval' and contains(value, '/')", 1)} as p_denom"
+    + ", max_by(value, line_no) filter (where key = 'gyro_scale') as hex, max_by(strftime(try_cast(value as timestamp), '%Y-%m-%d %H:%M:%S'), line_no) filter (where key = 'Log start datetime') as log_start"
+    + ", case when log_id % 4 = 0 then 'BASEFLIGHT' else 'BETAFLIGHT' end as firmware_type, case when log_id % 4 = 0 then '' else concat('4.', cast(log_id % 6 as varchar), '.1') end as fc_version"
+    + ", case when log_id % 4 = 0 then '' else concat('Betaflight 4.', cast(log_id % 6 as varchar), '.1') end as firmware_revision from nv group by log_id)"
+    + f", scales as (select log_id as sid, {_FLOAT} * case when log_id % 4 = 0 then 1.0 else pi() / 180 * 0.000001 end as gyro_scale from config)"
+)
+CONFIG_COLUMNS = [*_FIELDS, "motor_output_low", "motor_output_high", "i_interval", "p_num", "p_denom", "log_start", "firmware_type", "fc_version", "firmware_revision"]
+
+
+@query("select * from frames", "frames")
 def s1_s4_csv_round_trip(spark, d):
     frames = view(spark, d, "frames")
-    path = _scratch(spark)
+    path = shared_dir(spark)
     logs.write_log_csv(frames, path)
     schema = ", ".join(f"{n} {t}" for n, t in frames.dtypes if n != "log_id") + ", log_id long"
-    return logs.read_log_csv(spark, path, schema).select("log_id", "frame_seq", "loop_iteration", "time", "gyro_roll", "setpoint_yaw", "throttle", "motor_3")
+    return logs.read_log_csv(spark, path, schema).select(*frames.columns)
+
+
+@query("select log_id, concat('flight_', cast(log_id // 4 as varchar), '.', printf('%02d', log_id % 4 + 1), '.csv') as file, frame_seq, loop_iteration, time, gyro_roll, gyro_yaw, setpoint_pitch, rc_roll, throttle, motor_3 from frames", "frames")
+def s1_s4_u1_decoded_files(spark, d):
+    """Files of three firmware layouts, one per log, written by their names and read again in one go."""
+    path = shared_dir(spark)
+    stem, index = F.concat(F.lit("flight_"), F.floor(F.col("log_id") / 4).cast("string")), (F.col("log_id") % 4).cast("int")
+    drifted = _drifted(spark, d).withColumnRenamed("loop_iteration", "loopIteration")
+    named = view(spark, d, "supplier").select(F.col("s_suppkey").alias("log_id")).select("log_id", stem.alias("stem"), index.alias("log_index"))
+    logs.write_decoded_csv(drifted, named, path).count()
+    found, _ = logs.read_decoded_csv(spark, path)
+    own = (F.regexp_extract("path", r"flight_(\d+)\.", 1).cast("long") * 4 + F.col("log_index")).alias("log_id")
+    return stats.canonical_frames(found).select(own, F.regexp_extract("path", "([^/]*)$", 1).alias("file"), "frame_seq", "loop_iteration", "time", "gyro_roll", "gyro_yaw", "setpoint_pitch", "rc_roll", "throttle", "motor_3")
 
 
 @query("""
@@ -107,19 +129,19 @@ def p1_p2_field_definitions(spark, d):
     return headers.field_definitions(_pairs(spark, d))
 
 
-@query(CONFIG + " select log_id, minthrottle, maxthrottle, motor_output_low, motor_output_high, vbatref, vbatmaxcellvoltage, current_meter_offset, current_meter_scale, vbatscale, acc_1g from config", "header_lines")
+@query(CONFIG + f" select log_id, {', '.join(CONFIG_COLUMNS)} from config", "header_lines")
 def p3_system_config(spark, d):
-    return headers.system_config(_pairs(spark, d)).select("log_id", "minthrottle", "maxthrottle", "motor_output_low", "motor_output_high", "vbatref", "vbatmaxcellvoltage", "current_meter_offset", "current_meter_scale", "vbatscale", "acc_1g")
+    return headers.system_config(_pairs(spark, d)).withColumn("log_start", F.date_format("log_start", "yyyy-MM-dd HH:mm:ss")).select("log_id", *CONFIG_COLUMNS)
 
 
-@query(CONFIG + " select log_id, round(gyro_scale * 1e9, 6) as nano_scale from config", "header_lines")
+@query(CONFIG + " select sid as log_id, round(gyro_scale * 1e9, 6) as nano_scale from scales", "header_lines")
 def p4_gyro_scale(spark, d):
     return headers.gyro_scales(_pairs(spark, d)).select("log_id", F.round(F.col("gyro_scale") * 1e9, 6).alias("nano_scale"))
 
 
-@query(CONFIG + " select log_id, firmware_type, fc_version from config", "header_lines")
+@query(CONFIG + " select log_id, firmware_type, fc_version, firmware_revision from config", "header_lines")
 def p5_firmware(spark, d):
-    return headers.system_config(_pairs(spark, d)).select("log_id", "firmware_type", "fc_version")
+    return headers.system_config(_pairs(spark, d)).select("log_id", "firmware_type", "fc_version", "firmware_revision")
 
 
 GAINS = KV + """, g as (select log_id, string_split(max(value) filter (where key = 'rollPID'), ',') as r, string_split(max(value) filter (where key = 'pitchPID'), ',') as p,
@@ -167,9 +189,11 @@ def p9_long_signals(spark, d):
 TIMED = ", timed as (select f.*, (time - first_value(time) over (partition by log_id order by frame_seq)) / 1000000.0::double as time_s from frames f)"
 
 
-@query(TIMED + " select log_id, frame_seq, round(time_s, 6) as time_s, coalesce(gyro_roll, 0) as gyro_roll from timed", "frames")
+@query(TIMED + " select log_id, frame_seq, round(time_s, 6) as time_s, gyro_roll::double as gyro_roll, case when log_id % 3 = 1 then 0.0 else gyro_yaw end::double as gyro_yaw, 0.0::double as setpoint_pitch, setpoint_yaw::double as setpoint_yaw from timed", "frames")
 def p10_relative_time(spark, d):
-    return rounded(fr.relative_time(view(spark, d, "frames")).select("log_id", "frame_seq", "time_s", F.coalesce("gyro_roll", F.lit(0)).alias("gyro_roll")))
+    """Logs with ``log_id % 3 = 1`` have no yaw gyro, and no log has a pitch setpoint."""
+    frames = view(spark, d, "frames").drop("setpoint_pitch").withColumn("gyro_yaw", F.when(F.col("log_id") % 3 != 1, F.col("gyro_yaw")))
+    return rounded(fr.log_signals(frames).select("log_id", "frame_seq", "time_s", "gyro_roll", "gyro_yaw", "setpoint_pitch", "setpoint_yaw"))
 
 
 @query(TIMED + " select t.log_id, frame_seq from timed t join catalog c on t.log_id = c.log_id where visible and time_s between time_start_s and time_end_s", "frames", "catalog")
@@ -211,18 +235,14 @@ def a1_log_summary(spark, d):
     return rounded(stats.log_summary(view(spark, d, "frames")))
 
 
-def _sticks(spark, d) -> DataFrame:
-    return stats.long_signals(view(spark, d, "frames")).select("log_id", "axis", stats.rc_percent(F.col("setpoint").cast("double")).alias("pct"))
-
-
-@query(", p as (select log_id, axis, abs(setpoint) / 500.0::double * 100.0 as pct from signals), hb as (select log_id, axis, least(cast(floor(pct) as int), 99) as bin, count(*) as n from p where pct <= 100 group by all) select log_id, axis, bin, round(n / sum(n) over (partition by log_id, axis), 6) as fraction from hb", "signals")
+@query(", hb as (select log_id, axis, least(cast(floor(pct) as int), 99) as bin, count(*) as n from sticks where pct <= 100 group by all) select log_id, axis, bin, round(n / sum(n) over (partition by log_id, axis), 6) as fraction from hb", "sticks")
 def a2_stick_histogram(spark, d):
-    return rounded(stats.stick_distribution(_sticks(spark, d), ["log_id", "axis"])[0])
+    return rounded(stats.stick_distribution(stats.stick_percent(view(spark, d, "frames")), ["log_id", "axis"])[0])
 
 
-@query("select log_id, axis, round(avg(abs(setpoint) / 500.0::double * 100), 9) as mean, round(stddev_pop(abs(setpoint) / 500.0::double * 100), 9) as std from signals group by all", "signals")
+@query("select log_id, axis, round(avg(pct), 6) as mean, round(stddev_pop(pct), 6) as std from sticks group by all", "sticks")
 def a2_stick_moments(spark, d):
-    return rounded(stats.stick_distribution(_sticks(spark, d), ["log_id", "axis"])[1], 9)
+    return rounded(stats.stick_distribution(stats.stick_percent(view(spark, d, "frames")), ["log_id", "axis"])[1])
 
 
 @query(", m as (select log_id, max(throttle) as top from frames group by 1), p as (select f.log_id, least(greatest(case when top > 100 then throttle / 10.0::double else throttle end, 0), 100) as pct from frames f join m on f.log_id = m.log_id), hb as (select log_id, least(cast(floor(pct) as int), 99) as bin, count(*) as n from p group by all) select log_id, bin, round(n / sum(n) over (partition by log_id), 6) as fraction from hb", "frames")
@@ -235,16 +255,29 @@ def a4_motor_statistics(spark, d):
     return rounded(stats.motor_statistics(view(spark, d, "frames"), headers.system_config(_pairs(spark, d))))
 
 
-@query(CONFIG + SUMMARY + """, t as (select log_id, max(throttle) as top from frames group by 1),
- s as (select log_id, avg(abs(setpoint_roll) / 5.0::double) as roll, avg(abs(setpoint_pitch) / 5.0::double) as pitch, avg(abs(setpoint_yaw) / 5.0::double) as yaw, avg(least(greatest(case when top > 100 then throttle / 10.0::double else throttle end, 0), 100)) as throttle,
-   avg((motor_0 - motor_output_low) / (motor_output_high - motor_output_low)::double * 100) as motor_0 from frames join t using (log_id) join config using (log_id) group by log_id)
- select log_id, duration_s, round((n - 1) / duration_s, 6) as sample_rate_hz, round(roll, 6) as roll, round(pitch, 6) as pitch, round(yaw, 6) as yaw, round(throttle, 6) as throttle, round(motor_0, 6) as motor_0 from summary join s using (log_id)""", "frames", "header_lines")
+THROTTLE = ", top as (select log_id, max(throttle) as top from frames group by 1), thr as (select f.log_id, least(greatest(case when top > 100 then throttle / 10.0::double else throttle end, 0), 100) as pct from frames f join top using (log_id))"
+_MOTOR = "(motor_{0} - motor_output_low) / (motor_output_high - motor_output_low)::double * 100"
+STATISTICS = (
+    CONFIG + SUMMARY + THROTTLE
+    + ", st as (select log_id, " + ", ".join(f"{f}(abs(rc_{a}) * 0.2) as {a}_{n}" for a in stats.AXES for f, n in (("avg", "mean"), ("stddev_pop", "std")))
+    + ", " + ", ".join(f"{f}({_MOTOR.format(i)}) as motor_{i}_{n}" for i in range(4) for f, n in (("avg", "mean"), ("stddev_pop", "std"), ("min", "low"), ("max", "high")))
+    + ", " + ", ".join(f"stddev_pop(gyro_{a} - setpoint_{a}) as {a}_error" for a in stats.AXES) + " from frames join config using (log_id) group by log_id)"
+    + ", tm as (select log_id, avg(pct) as throttle_mean, stddev_pop(pct) as throttle_std from thr group by 1)"
+)
+_STATISTICS = [f"{a}_{n}" for a in stats.AXES for n in ("mean", "std", "error")] + ["throttle_mean", "throttle_std"] + [f"motor_{i}_{n}" for i in range(4) for n in ("mean", "std", "low", "high")]
+
+
+@query(STATISTICS + " select log_id, n, duration_s, round((n - 1) / duration_s, 6) as sample_rate_hz, " + ", ".join(f"round({c}, 6) as {c}" for c in _STATISTICS) + " from summary join st using (log_id) join tm using (log_id)", "frames", "header_lines")
 def a5_flight_statistics(spark, d):
-    frames = view(spark, d, "frames")
-    sticks = stats.stick_distribution(_sticks(spark, d), ["log_id", "axis"])[1].groupBy("log_id").pivot("axis", list(stats.AXES)).agg(F.first("mean"))
-    throttle = stats.stick_distribution(stats.throttle_percent(frames), ["log_id"])[1].select("log_id", F.col("mean").alias("throttle"))
-    motor = stats.motor_statistics(frames, headers.system_config(_pairs(spark, d))).where("motor = 0").select("log_id", F.col("mean").alias("motor_0"))
-    return rounded(stats.log_summary(frames).drop("n").join(sticks, "log_id").join(throttle, "log_id").join(motor, "log_id"))
+    found = stats.flight_statistics(view(spark, d, "frames"), headers.system_config(_pairs(spark, d)))
+    stick = [F.col("sticks")[a][n].alias(f"{a}_{n}") for a in stats.AXES for n in ("mean", "std")] + [F.col("pid_error")[a].alias(f"{a}_error") for a in stats.AXES]
+    motor = [F.get("motors", F.lit(i))[n].alias(f"motor_{i}_{n}") for i in range(4) for n in ("mean", "std", "low", "high")]
+    return rounded(found.select("log_id", "n", "duration_s", "sample_rate_hz", *stick, F.col("throttle.mean").alias("throttle_mean"), F.col("throttle.std").alias("throttle_std"), *motor).select("log_id", "n", "duration_s", "sample_rate_hz", *_STATISTICS))
+
+
+@query(THROTTLE + ", v as (select log_id, axis as signal, pct from sticks union all select log_id, 'throttle', pct from thr), hb as (select log_id, signal, least(cast(floor(pct) as int), 99) as bin, count(*) as n from v where pct <= 100 group by all) select log_id, signal, bin, round(n / sum(n) over (partition by log_id, signal), 6) as fraction from hb", "frames", "sticks")
+def a2_a3_flight_histograms(spark, d):
+    return rounded(stats.flight_histograms(view(spark, d, "frames")))
 
 
 HISTOGRAM = ", h as (select log_id, axis, least(cast(floor(gyro - setpoint + 1000) as int), 1999) as bin, count(*) as count from signals where abs(gyro - setpoint) <= 1000 group by all)"
@@ -266,10 +299,13 @@ def a7_j3_error_by_stick(spark, d):
     return rounded(stats.error_by_stick(stats.long_signals(view(spark, d, "frames"))))
 
 
-@query(STICK + ", s as (select log_id, axis, stddev_pop(gyro - setpoint) as std_dev from signals group by all) select b.log_id, b.axis, round(std_dev, 6) as std_dev, bin, round(mean_abs, 6) as mean_abs, round(se, 6) as se from by_stick b join s on b.log_id = s.log_id and b.axis = s.axis", "signals")
+@query(STICK + HISTOGRAM + ", s as (select log_id, axis, stddev_pop(gyro - setpoint) as std_dev from signals group by all), hh as (select log_id, axis, count(*) as n_bins, max(count) as peak, sum(count * bin) as weight, round(sum(count) / max(count)::double, 6) as share from h group by all) select b.log_id, b.axis, round(std_dev, 6) as std_dev, bin, round(mean_abs, 6) as mean_abs, round(se, 6) as se, n_bins, peak, cast(weight as bigint) as weight, share from by_stick b join s on b.log_id = s.log_id and b.axis = s.axis join hh on b.log_id = hh.log_id and b.axis = hh.axis", "signals")
 def a8_error_report(spark, d):
     report = stats.error_report(stats.long_signals(view(spark, d, "frames")))
-    return rounded(report.select("log_id", "axis", "std_dev", F.posexplode(F.arrays_zip("mean_abs", "se")).alias("bin", "r")).select("log_id", "axis", "std_dev", "bin", "r.mean_abs", "r.se"))
+    h = F.col("histogram")
+    total = lambda f, zero: F.aggregate(h, zero, lambda a, x: a + f(x))
+    held = report.select("log_id", "axis", "std_dev", F.size(h).cast("long").alias("n_bins"), F.array_max("histogram.count").alias("peak"), total(lambda x: x["count"] * x["bin"], F.lit(0).cast("long")).alias("weight"), total(lambda x: x["normalized"], F.lit(0.0)).alias("share"), F.posexplode(F.arrays_zip("mean_abs", "se")).alias("bin", "r"))
+    return rounded(held.select("log_id", "axis", "std_dev", "bin", "r.mean_abs", "r.se", "n_bins", "peak", "weight", "share"))
 
 
 @query(TIMED + ", x as (select t.*, time_s - lag(time_s) over (partition by t.log_id order by frame_seq) as step from timed t join catalog c on t.log_id = c.log_id where visible and time_s between time_start_s and time_end_s), m as (select log_id, count(*) as n, quantile_cont(step, 0.5) as q from x group by 1) select log_id, round(case when n <= 2 then 0.001 else q end, 6) as dt_s, round(case when n > 2 and q <= 0 then 4.0 else 0.001 / (case when n <= 2 then 0.001 else q end) end, 6) as rate_khz from m", "frames", "catalog")
@@ -285,38 +321,66 @@ def j6_dense_histogram(spark, d):
 # ---- sequences ----
 
 
-def _stream(spark, d) -> DataFrame:
-    raw = fr.unwrap_time(view(spark, d, "raw_frames"))
-    return raw.select("log_id", "stream_seq", F.col("frame_type").alias("kind"), F.col("loop_iteration").alias("iteration"), "time")
+FOLD = """, rows as materialized (select * from stream),
+fold as (select distinct log_id, cast(-1 as bigint) as stream_seq, '' as kind, cast(0 as bigint) as iteration, cast(0 as bigint) as time, false as valid, cast(-1 as bigint) as li, cast(-1 as bigint) as lt, false as ended, cast(0 as bigint) as added from rows
+ union all
+ select log_id, stream_seq, kind, iteration, t, v, case when not ended and (main and v or kind = 'R') then iteration else li end, case when not ended and (main and v or kind = 'R') then t else lt end, ended or kind = 'E', added from (
+  select *, case when ended then valid when kind = 'I' then fits when kind = 'P' then valid and fits when kind in ('R', 'E', 'B') then valid else false end as v from (
+   select *, time32 + added as t, {raw} or li = -1 or (iteration >= li and iteration < li + 5000 and time32 + added >= lt and time32 + added < lt + 10000000) as fits from (
+    select s.log_id, s.stream_seq, s.kind, s.iteration, s.time32, f.valid, f.li, f.lt, f.ended, s.kind in ('I', 'P') as main,
+     f.added + case when not f.ended and s.kind in ('I', 'P') and f.lt <> -1 and s.time32 < f.lt % 4294967296 and s.time32 - f.lt % 4294967296 + 4294967296 < 10000000 then 4294967296 else 0 end as added
+    from fold f join rows s on s.log_id = f.log_id and s.stream_seq = f.stream_seq + 1)))),
+folded as (select log_id, stream_seq, kind, iteration, time, case when kind in ('I', 'P') and not ended then valid end as valid from fold where stream_seq >= 0)"""
+CHECKED, UNCHECKED = FOLD.format(raw="false"), FOLD.format(raw="true")
+
+
+@query(CHECKED + " select log_id, stream_seq, time from folded", "stream", recursive=True)
+def w3_unwrap_time(spark, d):
+    return fr.validate_logs(view(spark, d, "stream")).select("log_id", "stream_seq", "time")
 
 
 UNWRAPPED = ", u as (select *, lag(time32) over (partition by log_id order by stream_seq) as before from raw_frames), un as (select *, time32 + 4294967296 * sum(case when time32 < before and time32 - before + 4294967296 < 10000000 then 1 else 0 end) over (partition by log_id order by stream_seq) as time from u)"
 
 
 @query(UNWRAPPED + " select log_id, stream_seq, cast(time as bigint) as time from un", "raw_frames")
-def w3_unwrap_time(spark, d):
-    return fr.unwrap_time(view(spark, d, "raw_frames")).select("log_id", "stream_seq", "time")
+def w3_unwrap_by_steps(spark, d):
+    return fr.unwrap_by_steps(view(spark, d, "raw_frames")).select("log_id", "stream_seq", "time")
 
 
-@query("select log_id, stream_seq, not ((stream_seq between 100 and 127) or (log_id % 4 = 0 and stream_seq >= 400)) as valid from raw_frames", "raw_frames")
+@query(CHECKED + " select log_id, stream_seq, kind, valid from folded", "stream", recursive=True)
 def w4_validity(spark, d):
-    return fr.validate_logs(_stream(spark, d))
+    return fr.validate_logs(view(spark, d, "stream")).select("log_id", "stream_seq", "kind", "valid")
+
+
+@query(UNCHECKED + " select log_id, stream_seq, valid from folded where valid is not null", "stream", recursive=True)
+def w4_raw_validity(spark, d):
+    return fr.validate_logs(view(spark, d, "stream"), raw=True).where("valid is not null").select("log_id", "stream_seq", "valid")
 
 
-@query("select log_id, count(*) filter (where not ((stream_seq between 100 and 127) or (log_id % 4 = 0 and stream_seq >= 400))) as valid_frames, count(*) filter (where (stream_seq between 100 and 127) or (log_id % 4 = 0 and stream_seq >= 400)) as corrupt_frames from raw_frames group by 1", "raw_frames")
+@query(CHECKED + " select log_id, count(*) filter (where valid) as valid_frames, count(*) filter (where not valid) as corrupt_frames from folded group by 1", "stream", recursive=True)
 def a9_frame_counts(spark, d):
-    return fr.frame_counts(fr.validate_logs(_stream(spark, d)))
+    return fr.frame_counts(fr.validate_logs(view(spark, d, "stream")))
 
 
 @query(UNWRAPPED + ", l as (select *, lag(loop_iteration) over w as i, lag(time) over w as t from un window w as (partition by log_id order by stream_seq)) select log_id, stream_seq, coalesce(loop_iteration < i or loop_iteration - i >= 5000 or time < t or time - t >= 10000000, false) as gap from l", "raw_frames")
 def w4_frame_gaps(spark, d):
-    return fr.frame_gaps(fr.unwrap_time(view(spark, d, "raw_frames"))).select("log_id", "stream_seq", "gap")
+    return fr.frame_gaps(fr.unwrap_by_steps(view(spark, d, "raw_frames"))).select("log_id", "stream_seq", "gap")
 
 
 @query("select log_id, frame_seq as stream_seq, gyro_roll as d_prev_value, gyro_roll as d_line_value, gyro_roll as d_avg_value from frames", "frames")
 def w5_rebuild(spark, d):
-    rebuilt = fr.rebuild(view(spark, d, "raw_frames"), {"d_prev": "previous", "d_line": "straight_line", "d_avg": "average_2"})
-    return rebuilt.select("log_id", "stream_seq", "d_prev_value", "d_line_value", "d_avg_value")
+    rules = {"d_prev": fr.FieldRule(), "d_line": fr.FieldRule(p="straight_line"), "d_avg": fr.FieldRule(p="average_2")}
+    return fr.rebuild(view(spark, d, "raw_frames"), rules).select("log_id", "stream_seq", "d_prev_value", "d_line_value", "d_avg_value")
+
+
+@query("select log_id, frame_seq as stream_seq, m0 as motor_0_value, m1 as motor_1_value, u as ticks_value, w as far_value, g as level_value, g as mixed_value from delta_base", "delta_base")
+def w5_rebuild_by_field(spark, d):
+    """A predictor for each frame type, constants of the log's configuration, unsigned and eight-byte fields."""
+    rules = {
+        "motor_0": fr.FieldRule("minthrottle", "previous"), "motor_1": fr.FieldRule("motor_0", "average_2"), "ticks": fr.FieldRule(signed=False), "far": fr.FieldRule(p="straight_line", wraps=False),
+        "level": fr.FieldRule("fifteen_hundred", "vbatref"), "mixed": fr.FieldRule("minmotor", "motor_0"),
+    }
+    return fr.rebuild(view(spark, d, "deltas"), rules).select("log_id", "stream_seq", *[f"{c}_value" for c in rules])
 
 
 @query(", l as (select log_id, frame_seq, loop_iteration as i, lag(loop_iteration) over (partition by log_id order by frame_seq) as b from frames) select log_id, frame_seq, coalesce(len(list_filter(range(b + 1, i), lambda x: (x % 32 + 1 - 1) % (log_id % 5 + 1) >= 1)), 0) as skipped from l", "frames")
@@ -360,7 +424,7 @@ def w2_active_range(spark, d):
 @query(CONFIG + " select f.log_id, frame_seq, motor_output_low, motor_output_high, motor_0 from frames f join config c on f.log_id = c.log_id", "frames", "header_lines")
 def j1_frames_with_config(spark, d):
     config = headers.system_config(_pairs(spark, d)).select("log_id", "motor_output_low", "motor_output_high")
-    return view(spark, d, "frames").join(config, "log_id").select("log_id", "frame_seq", "motor_output_low", "motor_output_high", "motor_0")
+    return attach(view(spark, d, "frames"), config).select("log_id", "frame_seq", "motor_output_low", "motor_output_high", "motor_0")
 
 
 @query(" select log_id, stream_seq, a + coalesce(last_value(case when event_type = 'signup' then a end ignore nulls) over w, 0) as lat, c + coalesce(last_value(case when event_type = 'signup' then c end ignore nulls) over w, 0) as lon from streams where event_type in ('view', 'signup') window w as (partition by log_id order by stream_seq) qualify event_type = 'view'", "streams")
@@ -379,7 +443,9 @@ def j7_gps_times(spark, d):
 
 @query(", n as (select log_id, axis, count(*) as n from signals group by all), k as (select n.*, unnest(range(0, (n - 64) // 32 + 1)) as k from n where n >= 64) select k.log_id, k.axis, k.k, count(*) as rows, sum(gyro)::double as total, min(frame_seq) as first_row from k join signals s on s.log_id = k.log_id and s.axis = k.axis and s.frame_seq between k.k * 32 and k.k * 32 + 63 group by all", "signals")
 def j4_segments(spark, d):
-    cut = sp.segments(sp.lengths(_signal(spark, d)).withColumn("row", F.col("i")), ["x", "row"], F.lit(64), F.lit(32), F.floor((F.col("n") - 64) / 32))
+    signal = _signal(spark, d).withColumn("row", F.col("i"))
+    sized = sp.layout(signal, least=64).withColumns({"size": F.lit(64).cast("long"), "hop": F.lit(32).cast("long"), "last": F.floor((F.col("n") - 64) / 32).cast("long"), "shift": F.lit(0).cast("long")})
+    cut = sp.segments(signal, ["x", "row"], sized, block_rows=320)
     return cut.select("log_id", "axis", "k", F.size("x").cast("long").alias("rows"), F.aggregate("x", F.lit(0.0), lambda a, x: a + x).alias("total"), F.array_min("row").cast("long").alias("first_row"))
 
 
@@ -415,9 +481,10 @@ def f1_welch(spark, d):
     return rounded(sp.welch(_signal(spark, d), nperseg=256))
 
 
-@query(_dft(256, 128, "(n - 256) // 128 + 1") + f" select log_id, axis, cast(bin as int) as bin, round(10 * log10(greatest(avg(p) / (100 * {HANN_SQUARES.format(256)}), 1e-20)), 5) as db from p where bin between 1 and 127 group by all", "signals")
+@query(_dft(256, 128, "(n - 256) // 128 + 1") + f", m as (select log_id, axis, bin, avg(p) as p from p group by all) select log_id, axis, cast(bin as int) as bin, case when bin > 0 then round(10 * log10(greatest(p / (100 * {HANN_SQUARES.format(256)}), 1e-20)), 5) end as db from m", "signals")
 def f1_welch_psd(spark, d):
-    return sp.welch(_signal(spark, d), use_psd=True, nperseg=256).where("bin between 1 and 127").select("log_id", "axis", "bin", F.round("amplitude", 5).alias("db"))
+    """The mean is taken out of each segment: what is left at 0 Hz is the engines' rounding, so it stands as null."""
+    return sp.welch(_signal(spark, d), use_psd=True, nperseg=256).select("log_id", "axis", "bin", F.when(F.col("bin") > 0, F.round("amplitude", 5)).alias("db"))
 
 
 @query(_dft(256, 64, "(n - 256) // 64 + 1") + f" select log_id, axis, k, cast(bin as int) as bin, round((128 + k * 64) / 100.0::double, 6) as time_s, round(sqrt(p / (100 * {HANN_SQUARES.format(256)})), 6) as level from p", "signals")
@@ -437,8 +504,11 @@ select n.log_id, n.axis, cast(g.tb as int) as throttle_bin, cast(b.bin as int) a
 
 @query(F2, "frames", "signals")
 def f2_throttle_spectrogram(spark, d):
-    throttle = stats.throttle_percent(view(spark, d, "frames")).select("log_id", F.col("frame_seq").alias("i"), "pct")
-    found = sp.throttle_spectrogram(_signal(spark, d), throttle, bins=10, nperseg=128, freq_limit=25.0)
+    frames = view(spark, d, "frames")
+    top = frames.groupBy("log_id").agg(F.max("throttle").alias("_top"))
+    percent = stats.clipped(F.when(F.col("_top") > 100, F.col("throttle") / 10.0).otherwise(F.col("throttle").cast("double")))
+    long = attach(frames, top).select("log_id", F.col("frame_seq").alias("i"), percent.alias("throttle"), F.lit(RATE_HZ).alias("rate"), F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(f"gyro_{a}").alias("x")) for a in stats.AXES])).alias("s")).select("log_id", "i", "throttle", "rate", "s.*")
+    found = sp.throttle_spectrogram(long, bins=10, nperseg=128, freq_limit=25.0)
     return found.select("log_id", "axis", "throttle_bin", "bin", F.round("level", 5).alias("level"))
 
 
@@ -490,7 +560,7 @@ def _pair(spark, d) -> DataFrame:
 
 @query(DELAY + " select * from delays", "signals")
 def f7_correlation_delay(spark, d):
-    return sp.correlation_delay(_pair(spark, d), "setpoint", "gyro", RATE_HZ, 100.0)
+    return sp.correlation_delay(_pair(spark, d), "setpoint", "gyro", RATE_HZ, 100.0, digits=9)
 
 
 @query("""
@@ -509,7 +579,7 @@ def f8_phase_delay(spark, d):
 
 @query(DELAY + " select log_id, axis, delay_ms as gyro_delay_ms, round(delay_ms / (1000.0 / 10) * 360, 6) as gyro_phase_deg, 0.0::double as dterm_delay_ms, 0.0::double as dterm_phase_deg from delays", "signals")
 def f9_f10_filter_delays(spark, d):
-    return rounded(sp.filter_delays(_pair(spark, d), RATE_HZ, {"gyro": ("setpoint", "gyro"), "dterm": None}, 10.0, 100.0))
+    return rounded(sp.filter_delays(_pair(spark, d), RATE_HZ, {"gyro": ("setpoint", "gyro"), "dterm": None}, 10.0, 100.0, digits=9))
 
 
 # ---- units ----
@@ -519,10 +589,10 @@ def f9_f10_filter_delays(spark, d):
   cast(floor(((motor_1 * 3300) // 4095 - current_meter_offset) * 10000 / current_meter_scale::double) as bigint) as milliamps,
   round(gyro_scale * 1000000 * gyro_roll, 6) as rad_s, round(gyro_scale * 1000000 * gyro_roll * (180 / pi()), 2) as deg_s, round(gyro_pitch / acc_1g::double, 6) as g,
   round((motor_0 - motor_output_low) / (motor_output_high - motor_output_low)::double * 100, 6) as motor_pct, round(time / 1e6, 6) as seconds
- from frames f join config c on f.log_id = c.log_id""", "frames", "header_lines")
+ from frames f join config c on f.log_id = c.log_id join scales on sid = c.log_id""", "frames", "header_lines")
 def c1_c7_units(spark, d):
     config = headers.system_config(_pairs(spark, d))
-    f = view(spark, d, "frames").join(config, "log_id")
+    f = attach(view(spark, d, "frames"), config)
     c = F.col
     return rounded(f.select(
         "log_id", "frame_seq", units.vbat_to_millivolts(c("motor_0"), c("vbatscale")).alias("millivolts"), units.vbat_to_volts(c("motor_0"), c("vbatscale")).alias("volts"),
@@ -548,18 +618,26 @@ def c8_rate_curve(spark, d):
 # ---- reports ----
 
 
-@query(CONFIG + SUMMARY + """, e as (select log_id, stddev_pop(gyro_roll - setpoint_roll) as s, avg(abs(setpoint_yaw) / 5.0::double) as y from frames group by 1), m as (select f.log_id, avg((motor_3 - motor_output_low) / (motor_output_high - motor_output_low)::double * 100) as m3 from frames f join config c on f.log_id = c.log_id group by 1)
- select s.log_id, duration_s, round((n - 1) / duration_s, 6) as sample_rate_hz, fc_version, n as valid_frames, cast(0 as bigint) as corrupt_frames, round(s, 6) as roll_error, round(y, 6) as yaw_mean, round(m3, 6) as motor_3 from summary s join e on e.log_id = s.log_id join m on m.log_id = s.log_id join config c on c.log_id = s.log_id""", "frames", "header_lines")
+_DOCUMENT = [f"{a}_{n}" for a in stats.AXES for n in ("mean", "std", "error")] + [f"motor_{i}_{n}" for i in range(4) for n in ("mean", "std")]
+
+
+@query(STATISTICS + CHECKED + ", counts as (select log_id, count(*) filter (where valid) as valid_frames, count(*) filter (where not valid) as corrupt_frames from folded group by 1) select c.log_id, concat('/data/flight_', cast(c.log_id // 4 as varchar), '.bbl') as file, cast(c.log_id % 4 as int) as log_index, duration_s, round((n - 1) / duration_s, 6) as sample_rate_hz, firmware_revision as firmware, fc_version, valid_frames, corrupt_frames, " + ", ".join(f"round({c}, 6) as {c}" for c in _DOCUMENT) + " from summary join st using (log_id) join config c using (log_id) join counts using (log_id)", "frames", "header_lines", "stream", recursive=True)
 def s5_analysis_document(spark, d):
-    documents = analyze_logs(view(spark, d, "frames"), headers.system_config(_pairs(spark, d))).select("log_id", "document.*")
-    return rounded(documents.select("log_id", "duration_s", "sample_rate_hz", "fc_version", "valid_frames", "corrupt_frames", F.col("pid_error")["roll"]["std"].alias("roll_error"), F.col("stick_distributions")["yaw"]["mean"].alias("yaw_mean"), F.get("motor_stats.mean_percent", F.lit(3)).alias("motor_3")))
+    """All values of the document, its maps and arrays as columns."""
+    files = view(spark, d, "supplier").select(F.col("s_suppkey").alias("log_id")).select("log_id", F.format_string("/data/flight_%d.bbl", F.floor(F.col("log_id") / 4)).alias("path"), (F.col("log_id") % 4).cast("int").alias("log_index"))
+    found = analyze_logs(view(spark, d, "frames"), headers.system_config(_pairs(spark, d)), fr.validate_logs(view(spark, d, "stream")), files).select("log_id", "document.*")
+    values = {f"{a}_{n}": F.col("stick_distributions")[a][n] for a in stats.AXES for n in ("mean", "std")} | {f"{a}_error": F.col("pid_error")[a]["std"] for a in stats.AXES}
+    values |= {f"motor_{i}_{n}": F.get(F.col(f"motor_stats.{n}_percent"), F.lit(i)) for i in range(4) for n in ("mean", "std")}
+    plain = ["log_id", "file", "log_index", "duration_s", "sample_rate_hz", "firmware", "fc_version", "valid_frames", "corrupt_frames"]
+    return rounded(found.select(*plain, *[values[c].alias(c) for c in _DOCUMENT]))
 
 
-@query(CONFIG + ", l as (select log_id, key, max_by(value, line_no) as value from kv group by all), t as (select log_id, string_agg(key || ': ' || value, chr(10) order by key) as headers from l group by 1) select c.log_id, firmware_type, fc_version, 4 as n_fields, 'loopIteration, time, gyroADC[0], motor[0]' as fields, motor_output_low, headers from config c join t on c.log_id = t.log_id", "header_lines")
+@query(CONFIG + ", l as (select log_id, key, max_by(value, line_no) as value from kv group by all), t as (select log_id, string_agg(key || ': ' || value, chr(10) order by key) as headers from l group by 1) select c.log_id, concat('flight_', cast(c.log_id // 4 as varchar), '.bbl') as file, cast(c.log_id % 4 as int) as log_index, count(*) over (partition by c.log_id // 4) as n_logs, firmware_type, firmware_revision, fc_version, data_version, 4 as n_fields, 'loopIteration, time, gyroADC[0], motor[0]' as fields, minthrottle, maxthrottle, motor_output_low, motor_output_high, rc_rate, round(gyro_scale * 1e9, 6) as nano_scale, acc_1g, vbatscale, vbatref, headers from config c join t on c.log_id = t.log_id join scales on sid = c.log_id", "header_lines")
 def s6_t1_log_report(spark, d):
     pairs = _pairs(spark, d)
-    report = logs.log_report(headers.system_config(pairs), headers.field_definitions(pairs), headers.raw_headers(pairs))
-    return report.select("log_id", "firmware_type", "fc_version", "n_fields", "fields", "motor_output_low", "headers")
+    files = view(spark, d, "supplier").select(F.col("s_suppkey").alias("log_id")).select("log_id", F.format_string("/data/flight_%d.bbl", F.floor(F.col("log_id") / 4)).alias("path"), (F.col("log_id") % 4).cast("int").alias("log_index"))
+    report = logs.log_report(headers.system_config(pairs), headers.field_definitions(pairs), headers.raw_headers(pairs), files)
+    return report.withColumn("nano_scale", F.round(F.col("gyro_scale") * 1e9, 6)).drop("gyro_scale")
 
 
 @query("""
@@ -570,15 +648,18 @@ def t3_pick_log(spark, d):
     return logs.pick_logs(s2_discover_logs(spark, d), 1).select("doc_id", "start", "end")
 
 
-@query(" select log_id, stream_seq, case when (stream_seq between 100 and 127) or (log_id % 4 = 0 and stream_seq >= 400) then 'invalid' else 'valid' end as verdict from raw_frames", "raw_frames")
+@query(CHECKED + " select log_id, stream_seq, time, case when valid then 'valid' when not valid then 'invalid' else 'other' end as verdict from folded", "stream", recursive=True)
 def st1_live_validity(spark, d):
-    """The live fold over the raw frames, read as a stream from files of the shared folder."""
+    """The live fold over the frames, events and unreadable bytes, read as a stream from files of the shared folder, a part of each log at a time."""
     from aerolytics.streaming.validity import validate_stream
 
-    rows = view(spark, d, "raw_frames").select("log_id", "stream_seq", F.col("frame_type").alias("kind"), F.col("loop_iteration").alias("iteration"), "time32")
-    path = _scratch(spark)
-    rows.write.parquet(f"{path}/in")
-    found = validate_stream(spark.readStream.schema(rows.schema).parquet(f"{path}/in"))
+    rows = view(spark, d, "stream")
+    path = shared_dir(spark)
+    rows.withColumn("part", F.floor(F.col("stream_seq") / 250)).repartition("part").sortWithinPartitions("part").write.partitionBy("part").parquet(f"{path}/all")
+    parts = sorted(r.part for r in spark.read.parquet(f"{path}/all").select("part").distinct().collect())  # a few folders
+    for part in parts:
+        spark.read.schema(rows.schema).parquet(f"{path}/all/part={part}").coalesce(1).write.mode("append").parquet(f"{path}/in")
+    found = validate_stream(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"))
     run = found.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out")
     run.awaitTermination()
-    return spark.read.schema(found.schema).parquet(f"{path}/out").select("log_id", "stream_seq", "verdict")
+    return spark.read.schema(found.schema).parquet(f"{path}/out").select("log_id", "stream_seq", "time", "verdict")

@@ -88,13 +88,15 @@ def field_definitions(pairs: DataFrame) -> DataFrame:
 
 def firmware(pairs: DataFrame) -> DataFrame:
     """(log_id, firmware_type, fc_version, firmware_revision) for logs with a firmware line; the last line counts."""
-    says = pairs.where("key in ('Firmware type', 'Firmware revision')").withColumn("type", _firmware_type())
+    says = pairs.where("key in ('Firmware type', 'Firmware revision')")
+    return says.groupBy("log_id").agg(*_firmware_parts())
+
+
+def _firmware_parts() -> list[Column]:
+    kind = _firmware_type()
     version = F.when((F.col("key") == "Firmware revision") & F.col("value").startswith("Betaflight "), F.get(F.split("value", " "), F.lit(1)))
-    return says.groupBy("log_id").agg(
-        F.expr("max_by(type, line_no) filter (where type is not null)").alias("firmware_type"),
-        F.max_by(version, F.when(version.isNotNull(), F.col("line_no"))).alias("fc_version"),
-        F.expr("max_by(value, line_no) filter (where key = 'Firmware revision')").alias("firmware_revision"),
-    )
+    last = lambda x: F.max_by(x, F.when(x.isNotNull(), F.col("line_no")))
+    return [last(kind).alias("firmware_type"), last(version).alias("fc_version"), last(F.when(F.col("key") == "Firmware revision", F.col("value"))).alias("firmware_revision")]
 
 
 def _firmware_type() -> Column:
@@ -114,34 +116,52 @@ def float_from_bits(text: Column) -> Column:
     return sign * F.when(exponent == 255, special).when(exponent == 0, mantissa / float(1 << 23) * 2.0**-126).otherwise(normal)
 
 
+def _scale_parts() -> list[Column]:
+    """The last line with a scale and its number, and all lines that tell the firmware's type; few for each log."""
+    is_scale, kind = F.col("key").isin("gyro.scale", "gyro_scale"), _firmware_type()
+    told = F.when(kind.isNotNull(), F.struct("line_no", kind.alias("type")))
+    return [F.max_by("value", F.when(is_scale, F.col("line_no"))).alias("_scale"), F.max(F.when(is_scale, F.col("line_no"))).alias("_scale_line"), F.array_sort(F.collect_list(told)).alias("_told")]
+
+
+def _scale() -> Column:
+    """The scale by the parts above, in radians a microsecond unless the firmware known by its line is BASEFLIGHT; null without one."""
+    known = F.filter("_told", lambda x: x["line_no"] < F.col("_scale_line"))
+    kind = F.get(known, F.size(known) - 1)["type"]
+    value = F.coalesce(float_from_bits(F.col("_scale")), F.lit(1.0))
+    return F.when(F.col("_scale_line").isNotNull(), F.when(kind == "BASEFLIGHT", value).otherwise(value * (math.pi / 180.0) * 0.000001))
+
+
 def gyro_scales(pairs: DataFrame) -> DataFrame:
     """(log_id, gyro_scale): the last line counts, in radians a microsecond unless the firmware known by then is BASEFLIGHT."""
-    known = F.last(_firmware_type(), ignorenulls=True).over(Window.partitionBy("log_id").orderBy("line_no"))
-    lines = pairs.withColumn("fw", known).where("key in ('gyro.scale', 'gyro_scale')")
-    scale = F.coalesce(float_from_bits(F.col("value")), F.lit(1.0))
-    turned = F.when(F.col("fw") == "BASEFLIGHT", scale).otherwise(scale * (math.pi / 180.0) * 0.000001)
-    return lines.groupBy("log_id").agg(F.max_by(turned, "line_no").alias("gyro_scale"))
+    return pairs.groupBy("log_id").agg(*_scale_parts()).select("log_id", _scale().alias("gyro_scale")).where("gyro_scale is not null")
 
 
-def system_config(pairs: DataFrame) -> DataFrame:
-    """One typed row per log: all defaults, overruled by the last line that sets a field."""
-    rules = F.lit(None)
+def _field_values() -> dict[str, tuple[Column, Column]]:
+    """For each field, the value that a line gives it and whether the line sets it at all."""
+    value = F.when(F.col("key") == "P interval", F.when(F.col("value").contains("/"), F.regexp_replace("value", "/", ","))).otherwise(F.col("value"))
+    items = _items(value)
+    listed = F.col("key").isin("motorOutput", "vbatcellvoltage", "currentMeter")
+    out: dict[str, tuple[Column, Column]] = {}
     for key, (need, fields) in KEY_FIELDS.items():
-        entries = F.array(*[F.struct(F.lit(f).alias("field"), F.get(F.col("ints"), F.lit(i)).alias("v")) for i, f in fields])
-        rules = F.when((F.col("key") == key) & (F.size("ints") >= need), entries).otherwise(rules)
-    split = F.when(F.col("key") == "P interval", F.regexp_replace("value", "/", ",")).otherwise(F.col("value"))
-    fair = F.when(F.col("key") != "P interval", True).otherwise(F.col("value").contains("/"))
-    numbers = F.transform(_items(split), lambda x: x.try_cast("int"))
-    list_keys = F.col("key").isin("motorOutput", "vbatcellvoltage", "currentMeter")
-    ints = F.when(list_keys, F.transform(numbers, lambda x: F.coalesce(x, F.lit(0)))).otherwise(numbers)
-    found = pairs.where(fair).withColumn("ints", ints).select("log_id", "line_no", F.explode(rules).alias("e")).where("e.v is not null")
-    last = found.groupBy("log_id").pivot("e.field", list(DEFAULTS)).agg(F.max_by("e.v", "line_no"))
-    started = pairs.where(F.col("key").startswith("Log start datetime")).groupBy("log_id").agg(F.expr("max_by(try_to_timestamp(value), line_no) filter (where try_to_timestamp(value) is not null)").alias("log_start"))
-    logs = pairs.select("log_id").distinct()
-    joined = logs.join(last, "log_id", "left").join(gyro_scales(pairs), "log_id", "left").join(firmware(pairs), "log_id", "left").join(started, "log_id", "left")
-    typed = [F.coalesce(c, F.lit(d)).alias(c) if c != "i_interval" else F.greatest(F.coalesce(c, F.lit(d)), F.lit(1)).alias(c) for c, d in DEFAULTS.items()]
-    return joined.select(
-        "log_id", *typed, F.coalesce("gyro_scale", F.lit(1.0)).alias("gyro_scale"), F.coalesce("firmware_type", F.lit("UNKNOWN")).alias("firmware_type"),
+        for place, field in fields:
+            number = F.get(items, F.lit(place)).try_cast("int")
+            number = F.when(listed, F.coalesce(number, F.lit(0))).otherwise(number)
+            sets = (F.col("key") == key) & (F.size(items) >= need) & number.isNotNull()
+            had = out.get(field)
+            out[field] = (number, sets) if had is None else (F.when(sets, number).otherwise(had[0]), had[1] | sets)
+    return out
+
+
+def system_config(pairs: DataFrame) -> DataFrame:
+    """One typed row per log: all defaults, overruled by the last line that sets a field; one aggregate over the lines."""
+    values = _field_values()
+    last = [F.max_by(v, F.when(sets, F.col("line_no"))).alias(field) for field, (v, sets) in values.items()]
+    started = F.when(F.col("key").startswith("Log start datetime"), F.try_to_timestamp("value"))
+    found = pairs.groupBy("log_id").agg(*last, *_firmware_parts(), *_scale_parts(), F.max_by(started, F.when(started.isNotNull(), F.col("line_no"))).alias("log_start"))
+    value = lambda c: F.coalesce(c, F.lit(DEFAULTS[c])) if c in values else F.lit(DEFAULTS[c])
+    typed = [(F.greatest(value(c), F.lit(1)) if c == "i_interval" else value(c)).cast("int").alias(c) for c in DEFAULTS]
+    return found.select(
+        "log_id", *typed, F.coalesce(_scale(), F.lit(1.0)).alias("gyro_scale"), F.coalesce("firmware_type", F.lit("UNKNOWN")).alias("firmware_type"),
         F.coalesce("fc_version", F.lit("")).alias("fc_version"), F.coalesce("firmware_revision", F.lit("")).alias("firmware_revision"), "log_start",
     )
 

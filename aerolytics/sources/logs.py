@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from aerolytics.operators.attach import attach
+from aerolytics.operators.ordered import CHUNK, numbered
+from aerolytics.ship import ship
+
 # Fixed value: the line that starts a log inside a file.
 MARKER = "H Product:Blackbox flight data recorder by Nicholas Sherlock\n"
 
@@ -47,34 +54,96 @@ def read_log_csv(spark: SparkSession, path: str, schema: str | None = None) -> D
     return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
 
 
-def read_decoded_csv(spark: SparkSession, paths: list[str]) -> tuple[DataFrame | None, DataFrame]:
-    """Frames of files named ``<stem>.<NN>.csv``, and (path, reason) of those that can't be used.
+def decoded_name(stem: Column, log_index: Column) -> Column:
+    """The name of a log's decoded file: ``<stem>.<NN>.csv``, numbered from 1 with two digits or more."""
+    number = (log_index + 1).cast("string")
+    return F.concat(stem, F.lit("."), F.when(F.length(number) < 2, F.lpad(number, 2, "0")).otherwise(number), F.lit(".csv"))
+
+
+def write_decoded_csv(frames: DataFrame, logs: DataFrame, folder: str) -> DataFrame:
+    """One CSV file per log, named ``<stem>.<NN>.csv``; (file, rows) of what was written.
 
-    Adds ``path``, ``log_index`` and ``frame_seq`` by loop iteration and time.  Files may differ in
-    columns.  A file that is missing, or lacks those two columns, is reported; it fails nothing else.
+    ``frames`` has log_id and frame_seq, ``logs`` (log_id, stem, log_index).  A file has the columns of which
+    its log holds any value, without log_id and frame_seq, and its rows in order.  A log's rows pass through
+    one task in sorted batches; a file is written aside and renamed, so that a repeated task does no harm.
     """
-    from pyspark.errors import PySparkException
-
-    from aerolytics.operators.stats import collect_logs
-
-    parts, failed = [], []
-    for path in paths:
-        try:
-            part = spark.read.option("header", True).option("inferSchema", True).csv(path)
-        except PySparkException as error:
-            failed.append((path, error.getCondition() or "unreadable"))
-            continue
-        if {"loopIteration", "time"} <= set(part.columns):
-            parts.append(part.withColumn("path", F.lit(path)))
-        else:
-            failed.append((path, "no loopIteration or time"))
-    wrong = spark.createDataFrame(failed, "path string, reason string")
-    if not parts:
-        return None, wrong
-    frames = collect_logs(parts)
-    order = Window.partitionBy("path").orderBy("loopIteration", "time")
+    ship(frames.sparkSession)
+    names = [c for c in frames.columns if c not in ("log_id", "frame_seq")]
+    of = lambda c: F.col(f"`{c}`")
+    there = frames.groupBy("log_id").agg(F.concat_ws("\n", *[F.when(F.count(of(c)) > 0, F.lit(c)) for c in names]).alias("_there"))
+    sides = logs.select("log_id", decoded_name(F.col("stem"), F.col("log_index")).alias("_file")).join(there, "log_id")
+    plain = frames.select("log_id", "frame_seq", *[of(c).alias(f"_{k}") for k, c in enumerate(names)])
+    rows = attach(plain, sides).repartition("_file").sortWithinPartitions("_file", "frame_seq")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import csv, fs
+        from pyspark import TaskContext
+
+        store, base = fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
+        store.create_dir(base, recursive=True)
+        attempt = TaskContext.get().taskAttemptId()
+        done: list[tuple[str, int]] = []
+        current, sink, writer, count = None, None, None, 0
+
+        def close() -> None:
+            if current is not None:
+                writer.close()
+                sink.close()
+                target = f"{base}/{current}"
+                if store.get_file_info(target).type != fs.FileType.NotFound:
+                    store.delete_file(target)
+                store.move(f"{target}.{attempt}", target)
+                done.append((current, count))
+
+        for batch in batches:
+            files = batch.column("_file")
+            cuts = [i for i in range(batch.num_rows) if i == 0 or files[i] != files[i - 1]] + [batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                part, file = batch.slice(a, b - a), files[a].as_py()
+                own = set(part.column("_there")[0].as_py().split("\n"))
+                held = pa.table({c: part.column(f"_{k}") for k, c in enumerate(names) if c in own})
+                if file != current:
+                    close()
+                    sink = store.open_output_stream(f"{base}/{file}.{attempt}")
+                    sink.write((",".join(held.schema.names) + "\n").encode())  # plain names; the writer would quote them
+                    current, count, writer = file, 0, csv.CSVWriter(sink, held.schema, write_options=csv.WriteOptions(include_header=False, quoting_style="none"))
+                writer.write_table(held)
+                count += held.num_rows
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], ["file", "rows"])
+
+    return rows.mapInArrow(write, "file string, rows long")
+
+
+def read_decoded_csv(spark: SparkSession, paths: str | list[str], header_word: str = "loopIteration") -> tuple[DataFrame, DataFrame]:
+    """Frames of all files ``<stem>.<NN>.csv`` of a path, pattern or list, and (path, reason, line) of what can't be used.
+
+    One read of all files, whose columns may differ: each line is cut by the header of its own file (the line
+    with ``header_word``), and the result has the columns of all of them, null where a file has none.  Adds ``path``,
+    ``log_index`` and ``frame_seq`` by loop iteration and time.  A file without header, or without ``loopIteration``
+    and ``time``, is reported and so is a line that doesn't fit its header or holds no integer; nothing else fails
+    for it.  Distinct headers, as many as there are firmware builds, come to the driver.
+    """
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.rtrim(F.regexp_replace("value", "\r$", "")).alias("line")).where("line <> ''")
+    is_header = F.col("line").contains(header_word)
+    headers = lines.groupBy("path").agg(F.min(F.when(is_header, F.col("line"))).alias("_header"))
+    sides = headers.select("path", "_header", F.transform(F.split("_header", ","), lambda n: F.trim(F.regexp_replace(n, '^\\s*"|"\\s*$', ""))).alias("_names"))
+    columns = sorted({n for r in sides.select("_names").where("_names is not null").distinct().toLocalIterator() for n in r._names})
+    usable = F.array_contains("_names", "loopIteration") & F.array_contains("_names", "time")
+    held = attach(lines.withColumn("_line", F.pmod(F.xxhash64("line"), F.lit(16)) * CHUNK), sides, ["path"], order="_line").drop("_line")
+    values = held.withColumn("_values", F.transform(F.split("line", ","), lambda x: F.trim(x).try_cast("bigint")))
+    body = values.where(F.coalesce(F.col("line") != F.col("_header"), F.lit(True)))
+    fits = usable & (F.size("_values") == F.size("_names")) & ~F.exists("_values", lambda x: x.isNull())
+    good, bad = quarantine(body, ~fits, "no integers for each column of the header")
+    reported = sides.where(~F.coalesce(usable, F.lit(False))).select("path", F.lit("no header with loopIteration and time").alias("reason"), F.lit(None).cast("string").alias("line"))
+    wrong = reported.unionByName(bad.where(F.coalesce(usable, F.lit(False))).select("path", "reason", "line"))
+    at = lambda c: F.get("_values", F.array_position("_names", F.lit(c)).cast("int") - 1).alias(c)
+    frames = good.select("path", *[at(c) for c in columns])
+    if not {"loopIteration", "time"} <= set(columns):
+        return frames.withColumns({"log_index": F.lit(0), "frame_seq": F.lit(0).cast("bigint")}).where("false"), wrong
     number = F.regexp_extract("path", r"\.(\d+)\.csv$", 1).try_cast("int")
-    return frames.withColumns({"log_index": F.coalesce(number - 1, F.lit(0)), "frame_seq": (F.row_number().over(order) - 1).cast("long")}), wrong
+    placed = numbered(frames, ["path"], ["loopIteration", "time"], "frame_seq")
+    return placed.withColumn("log_index", F.coalesce(number - 1, F.lit(0))), wrong
 
 
 def quarantine(logs: DataFrame, wrong: Column, reason: str) -> tuple[DataFrame, DataFrame]:
@@ -88,10 +157,18 @@ def sorted_headers(headers: DataFrame) -> DataFrame:
     return headers.groupBy("log_id").agg(F.array_sort(F.collect_list(F.struct("key", "value"))).alias("headers"))
 
 
-def log_report(config: DataFrame, fields: DataFrame, headers: DataFrame) -> DataFrame:
-    """(log_id, firmware, versions, field list, configuration, headers) of each log."""
+def log_report(config: DataFrame, fields: DataFrame, headers: DataFrame, logs: DataFrame | None = None) -> DataFrame:
+    """(log_id, file, log_index, n_logs, firmware, versions, field list, configuration, headers) of each log.
+
+    ``logs`` is (log_id, path, log_index); ``n_logs`` counts the logs of the file.
+    """
     names = fields.where("frame_type = 'I'").groupBy("log_id").agg(F.array_sort(F.collect_list(F.struct("pos", "name"))).alias("f"))
     lists = names.select("log_id", F.size("f").alias("n_fields"), F.array_join("f.name", ", ").alias("fields"))
     chosen = ["firmware_type", "firmware_revision", "fc_version", "data_version", "minthrottle", "maxthrottle", "motor_output_low", "motor_output_high", "rc_rate", "gyro_scale", "acc_1g", "vbatscale", "vbatref"]
     text = sorted_headers(headers).select("log_id", F.array_join(F.transform("headers", lambda h: F.concat(h["key"], F.lit(": "), h["value"])), "\n").alias("headers"))
-    return config.select("log_id", *chosen).join(lists, "log_id", "left").join(text, "log_id", "left")
+    found = config.select("log_id", *chosen).join(lists, "log_id", "left").join(text, "log_id", "left")
+    if logs is None:
+        return found.select("log_id", F.lit(None).cast("string").alias("file"), F.lit(0).alias("log_index"), F.lit(1).cast("long").alias("n_logs"), *found.columns[1:])
+    counts = logs.groupBy("path").agg(F.count("*").alias("n_logs"))
+    files = logs.join(counts, "path").select("log_id", F.regexp_extract("path", "([^/]*)$", 1).alias("file"), "log_index", "n_logs")
+    return found.join(files, "log_id", "left").select("log_id", "file", "log_index", "n_logs", *found.columns[1:])

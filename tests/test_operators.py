@@ -64,45 +64,159 @@ def test_summary_uses_row_order(spark):
     assert rows == {1: (3, 2.0, 1.0), 2: (1, 0.0, 0.0)}
 
 
-def reference_fold(kinds, iterations, times):
-    """The rules, one after the other."""
-    valid, li, lt, out = False, -1, -1, []
+def plain_fold(kinds, iterations, times, raw=False):
+    """The rules, one after the other, with 32-bit times."""
+    valid, li, lt, added, out = False, -1, -1, 0, []
     for k, i, t in zip(kinds, iterations, times):
         if k == "E":
             break
-        if k == "R":
-            li, lt = i, t
-        elif k in "IP":
-            ok = li == -1 or (i >= li and i < li + 5000 and t >= lt and t < lt + 10_000_000)
+        if k in "IP":
+            if lt != -1 and t < lt % 2**32 and (t - lt) % 2**32 < 10_000_000:
+                added += 2**32
+            t += added
+            ok = raw or li == -1 or (i >= li and i < li + 5000 and t >= lt and t < lt + 10_000_000)
             valid = ok if k == "I" else (valid and ok)
-            out.append(valid)
+            out.append((valid, t))
             if valid:
                 li, lt = i, t
-        else:
+        elif k == "R":
+            li, lt = i, t + added
+        elif k == "?":
             valid = False
     return out
 
 
-def test_validity_in_batch_equals_rules_and_stream(spark):
+@pytest.mark.parametrize("raw", [False, True])
+def test_validity_equals_rules_in_one_go_and_in_parts(spark, raw):
     rng = np.random.default_rng(7)
     rows = []
     for log in range(6):
-        i = t = 0
-        for s in range(300):
-            kind = rng.choice(list("IPPPPPR?"), p=[0.1, 0.2, 0.2, 0.2, 0.15, 0.09, 0.03, 0.03])
-            i, t = i + int(rng.integers(-1, 40)) * (200 if rng.random() < 0.03 else 1), t + int(rng.integers(0, 1000))
-            rows.append((log, s, str(kind if s != 280 else "E"), max(i, 0), t))
-    df = spark.createDataFrame(rows, "log_id long, stream_seq long, kind string, iteration long, time long").repartition(4)
-    found = {(r.log_id, r.stream_seq): r.valid for r in fr.validate_logs(df).collect()}
+        i, t = 0, 2**32 - 60_000 * log
+        for s in range(400):
+            kind = rng.choice(list("IPPPPPR?BG"), p=[0.1, 0.3, 0.2, 0.2, 0.1, 0.04, 0.02, 0.02, 0.01, 0.01])
+            i, t = i + int(rng.integers(-1 if rng.random() < 0.1 else 0, 40)) * (200 if rng.random() < 0.03 else 1), t + int(rng.integers(0, 1000))
+            rows.append((log, s, str(kind if s != 380 else "E"), max(i, 0), (t if rng.random() > 0.01 else int(rng.integers(0, 2**32))) % 2**32))
+    df = spark.createDataFrame(rows, "log_id long, stream_seq long, kind string, iteration long, time32 long").repartition(4)
+    found = {(r.log_id, r.stream_seq): (r.valid, r.time) for r in fr.validate_logs(df, raw).collect() if r.valid is not None}
     for log in range(6):
         own = [r for r in rows if r[0] == log]
-        expected = reference_fold(*zip(*[r[2:] for r in own]))
-        assert [v for k, v in sorted(found.items()) if k[0] == log] == expected
-    one = [np.array(x) for x in zip(*[r[2:] for r in rows if r[0] == 3])]
-    whole, _ = fr.validate(*one)
-    first, state = fr.validate(*[x[:120] for x in one])
-    second, _ = fr.validate(*[x[120:] for x in one], state)
-    assert (np.concatenate((first, second)) == whole).all()
+        assert [v for k, v in sorted(found.items()) if k[0] == log] == plain_fold(*zip(*[r[2:] for r in own]), raw=raw)
+    kind, iteration, time = [np.array(x) for x in zip(*[r[2:] for r in rows if r[0] == 3])]
+    whole, parts = fr.Fold(raw=raw), fr.Fold(raw=raw)
+    a = whole.run(kind, iteration, time)
+    cuts = [0, 1, 2, 50, 51, 120, 399, 400]
+    b = [parts.run(kind[x:y], iteration[x:y], time[x:y]) for x, y in zip(cuts, cuts[1:])]
+    assert (np.concatenate([x for x, _ in b]) == a[0]).all() and (np.concatenate([t for _, t in b]) == a[1]).all() and whole == parts
+
+
+def test_a_corrupt_time_is_no_rollover(spark):
+    rows = [(1, 0, "I", 0, 1_000_000), (1, 1, "P", 1, 4_294_967_290), (1, 2, "I", 2, 1_020_000), (1, 3, "P", 3, 1_030_000)]
+    df = spark.createDataFrame(rows, "log_id long, stream_seq long, kind string, iteration long, time32 long")
+    assert [(r.time, r.valid) for r in sorted(fr.validate_logs(df).collect())] == [(1_000_000, True), (4_294_967_290, False), (1_020_000, True), (1_030_000, True)]
+
+
+def test_rebuild_by_frame_type(spark):
+    rows = [(1, 0, "P", 7, 7, 7, 7), (1, 1, "I", 100, 5, 4_294_967_290, 5), (1, 2, "P", 3, 1, 10, 2), (1, 3, "P", -1, 0, 3_000_000_000, 3), (1, 4, "I", 50, 0, 3_000_000_000, -9), (1, 5, "P", 0, 0, 1, 4)]
+    df = spark.createDataFrame(rows, "log_id long, stream_seq long, frame_type string, motor_0 long, m long, u long, a long").selectExpr("*", "1000 as minthrottle")
+    rules = {"m": fr.FieldRule("motor_0", "motor_0"), "motor_0": fr.FieldRule("minthrottle", "previous"), "u": fr.FieldRule(signed=False), "a": fr.FieldRule(p="average_2")}
+    found = sorted((r.stream_seq, r.motor_0_value, r.m_value, r.u_value, r.a_value) for r in fr.rebuild(df, rules).collect())
+    assert found == [(0, 7, 14, 7, 7), (1, 1100, 1105, 4_294_967_290, 5), (2, 1103, 1104, 4, 7), (3, 1102, 1102, 3_000_000_004, 9), (4, 1050, 1050, 3_000_000_000, -9), (5, 1050, 1050, 3_000_000_001, -5)]
+    wide = fr.rebuild(df, {"u": fr.FieldRule(wraps=False)}).orderBy("stream_seq").collect()
+    assert [r.u_value for r in wide][3] == 4_294_967_290 + 10 + 3_000_000_000
+    with pytest.raises(ValueError):
+        fr.rebuild(df, {"u": fr.FieldRule(i="previous")})
+
+
+def test_rules_from_field_definitions(spark):
+    rows = [(log, t, p, n, s, w, q, e) for log in (1, 2) for t, p, n, s, w, q, e in (("I", 0, "motor_0", 0, 4, 4, 1), ("P", 0, "motor_0", 0, 4, 1, 0), ("I", 1, "g", 1, 8, 0, 0), ("P", 1, "g", 1, 8, 3, 0))]
+    defs = spark.createDataFrame(rows, "log_id long, frame_type string, pos int, name string, signed int, width int, predictor int, encoding int")
+    (only,) = fr.field_rules(defs).collect()
+    assert fr.rules_of(only.fields) == {"motor_0": fr.FieldRule("minthrottle", "previous", False, True), "g": fr.FieldRule("zero", "average_2", True, False)}
+
+
+def test_statistics_of_partial_logs(spark):
+    full = spark.createDataFrame([(1, 0, 0, 500, 100, 40, 1000), (1, 1, 1_000_000, -250, -200, 60, 1400), (2, 0, 5, 1, 1, 1, 1)], "log_id long, frame_seq long, time long, rc_roll long, setpoint_roll long, throttle long, motor_1 long")
+    rows = {r.log_id: r for r in stats.flight_statistics(full).collect()}
+    r = rows[1]
+    assert (r.n, r.duration_s, r.sample_rate_hz, r.sticks["roll"].mean, list(r.sticks), r.throttle.mean, r.pid_error) == (2, 1.0, 1.0, 75.0, ["roll"], 50.0, {})
+    assert [(m.motor, m.mean, m.low, m.high) for m in r.motors] == [(1, 60.0, 50.0, 70.0)]
+    r = rows[2]
+    assert (r.duration_s, r.sample_rate_hz, r.sticks, r.throttle, r.motors, r.pid_error) == (0.0, 0.0, {}, None, None, {})
+    bare = full.select("log_id", "frame_seq")
+    assert {(r.n, r.duration_s, r.motors) for r in stats.flight_statistics(bare).collect()} == {(2, 0.0, None), (1, 0.0, None)}
+    for empty in (stats.long_signals(bare), stats.stick_percent(bare), stats.motor_statistics(bare), stats.throttle_percent(bare), stats.flight_histograms(bare), fr.log_signals(bare), stats.error_by_stick(stats.long_signals(bare))):
+        assert empty.count() == 0
+    assert fr.active_range(full).count() == 2  # pitch and yaw setpoints are absent
+    shares = {(r.signal, r.bin): r.fraction for r in stats.flight_histograms(full.withColumn("throttle", F.col("throttle") * 10)).where("log_id = 1").collect()}
+    assert shares == {("roll", 99): 0.5, ("roll", 50): 0.5, ("throttle", 40): 0.5, ("throttle", 60): 0.5}
+
+
+def test_document_of_partial_logs(spark):
+    from aerolytics.plans.analysis import analyze_logs
+
+    frames = spark.createDataFrame([(1, 0, 5), (1, 1, 7)], "log_id long, frame_seq long, gyro_roll long")
+    config = spark.createDataFrame([(1, "Betaflight 4.5.1", "4.5.1", 48, 2047)], "log_id long, firmware_revision string, fc_version string, motor_output_low int, motor_output_high int")
+    d = analyze_logs(frames, config).head().document
+    assert (d.duration_s, d.stick_distributions, d.pid_error, d.motor_stats, d.valid_frames, d.firmware) == (0.0, {}, {}, None, 2, "Betaflight 4.5.1")
+
+
+def test_rolling_rms_over_many_spans(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    n = 700
+    x = np.round(rng.normal(0, 200, n), 1)
+    df = spark.createDataFrame(pd.DataFrame({"log_id": 1, "frame_seq": np.arange(n), "time": np.arange(n) * 10_000, "setpoint_roll": x})).repartition(3)
+    win = int(0.5 / np.median(np.diff(np.arange(n) * 10_000 / 1e6)))
+    expected = np.sqrt(np.convolve(x**2, np.ones(win) / win, mode="same"))
+    for span in (16_384, 100, 30):
+        monkeypatch.setattr(fr, "SPAN", span)
+        got = np.array([r.rms for r in sorted(fr.rolling_rms(df).select("frame_seq", "rms").collect())])
+        assert np.allclose(got, expected)
+
+
+def exchanges(df):
+    """Columns by which rows are shuffled, for every exchange of the plan."""
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in text.splitlines() if "Exchange hashpartitioning" in line or "Exchange rangepartitioning" in line or "Exchange SinglePartition" in line]
+
+
+def test_values_of_a_log_reach_frames_without_shuffling_them(spark, tmp_path):
+    rows = [(log, i, i * 10_000, float(i % 7), float(i % 5), i % 90) for log in range(3) for i in range(60)]
+    spark.createDataFrame(rows, "log_id long, frame_seq long, time long, gyro_roll double, setpoint_roll double, throttle long").write.parquet(str(tmp_path / "frames"))
+    frames = spark.read.parquet(str(tmp_path / "frames"))
+    config = frames.select("log_id").distinct().selectExpr("log_id", "32 as i_interval", "1 as p_num", "2 as p_denom")
+    catalog = frames.select("log_id").distinct().selectExpr("log_id", "0.0D as time_start_s", "1.0D as time_end_s", "true as visible")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        timed = fr.relative_time(frames)
+        for df in (timed, fr.in_range(timed, catalog), fr.preview(frames, 10), stats.throttle_percent(frames), fr.skipped_after(frames.withColumn("loop_iteration", F.col("frame_seq")), config)):
+            assert not exchanges(df)
+        by_stick = stats.error_by_stick(stats.long_signals(frames))
+        assert len(exchanges(by_stick)) == 1 and "HashAggregate" in by_stick._jdf.queryExecution().executedPlan().toString()  # partial sums alone
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_large_sides_are_dealt_to_chunks(spark):
+    from aerolytics.operators.attach import attach
+
+    frames = spark.range(5000).select(F.when(F.col("id") < 4000, 1).otherwise(F.col("id") % 5).cast("long").alias("log_id"), F.col("id").alias("frame_seq")).repartition(3)
+    side = frames.groupBy("log_id").agg(F.max("frame_seq").alias("top"))
+    small, large = attach(frames, side), attach(frames, side, limit=0, rows=100)
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
+    plan = large._jdf.queryExecution().executedPlan().toString()
+    assert "_part" in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning" in x)  # the hot log spreads by chunk
+    left = attach(frames, side.where("log_id <> 1"), how="left", limit=0, rows=100)
+    assert left.count() == 5000 and left.where("top is null").count() == frames.where("log_id = 1").count()
+
+
+@pytest.mark.parametrize("rows", [16_384, 64])
+def test_blocks_of_any_size_give_the_same_segments(spark, rows):
+    n = 403
+    base = signal(spark, x=np.arange(n) * 1.0)
+    sized = sp.layout(base).selectExpr("*", "50L as size", "20L as hop", "17L as last", "0L as shift")
+    found = {r.k: list(r.x) for r in sp.segments(base, ["x"], sized, rows).collect()}
+    assert found == {k: [float(v) for v in range(k * 20, k * 20 + 50)] for k in range(18)}
 
 
 def test_welch_finds_the_tone_and_equals_a_plain_transform(spark):
