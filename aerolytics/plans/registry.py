@@ -587,17 +587,18 @@ def f9_f10_filter_delays(spark, d):
 
 @query(CONFIG + """ select f.log_id, frame_seq, (motor_0 * 330 * vbatscale) // 4095 as millivolts, round((motor_0 * 330 * vbatscale) // 4095 / 1000.0, 6) as volts,
   cast(floor(((motor_1 * 3300) // 4095 - current_meter_offset) * 10000 / current_meter_scale::double) as bigint) as milliamps,
-  round(gyro_scale * 1000000 * gyro_roll, 6) as rad_s, round(gyro_scale * 1000000 * gyro_roll * (180 / pi()), 2) as deg_s, round(gyro_pitch / acc_1g::double, 6) as g,
+  coalesce(nullif(round(gyro_scale * 1000000 * gyro_roll, 6), 0), 0) as rad_s, coalesce(nullif(round(gyro_scale * 1000000 * gyro_roll * (180 / pi()), 2), 0), 0) as deg_s, coalesce(nullif(round(gyro_pitch / acc_1g::double, 6), 0), 0) as g,
   round((motor_0 - motor_output_low) / (motor_output_high - motor_output_low)::double * 100, 6) as motor_pct, round(time / 1e6, 6) as seconds
  from frames f join config c on f.log_id = c.log_id join scales on sid = c.log_id""", "frames", "header_lines")
 def c1_c7_units(spark, d):
     config = headers.system_config(_pairs(spark, d))
     f = attach(view(spark, d, "frames"), config)
     c = F.col
+    unsigned = lambda x, places: F.coalesce(F.nullif(F.round(x, places), F.lit(0.0)), F.lit(0.0))  # noqa: E731  # no zeros with a sign
     return rounded(f.select(
         "log_id", "frame_seq", units.vbat_to_millivolts(c("motor_0"), c("vbatscale")).alias("millivolts"), units.vbat_to_volts(c("motor_0"), c("vbatscale")).alias("volts"),
-        units.amperage_to_milliamps(c("motor_1"), c("current_meter_offset"), c("current_meter_scale")).alias("milliamps"), units.gyro_to_radians(c("gyro_roll"), c("gyro_scale")).alias("rad_s"),
-        F.round(units.gyro_to_degrees(c("gyro_roll"), c("gyro_scale")), 2).alias("deg_s"), units.acceleration_to_g(c("gyro_pitch"), c("acc_1g")).alias("g"),
+        units.amperage_to_milliamps(c("motor_1"), c("current_meter_offset"), c("current_meter_scale")).alias("milliamps"), unsigned(units.gyro_to_radians(c("gyro_roll"), c("gyro_scale")), 6).alias("rad_s"),
+        unsigned(units.gyro_to_degrees(c("gyro_roll"), c("gyro_scale")), 2).alias("deg_s"), unsigned(units.acceleration_to_g(c("gyro_pitch"), c("acc_1g")), 6).alias("g"),
         units.motor_to_percent(c("motor_0"), c("motor_output_low"), c("motor_output_high")).alias("motor_pct"), units.micros_to_seconds(c("time")).alias("seconds"),
     ))
 
