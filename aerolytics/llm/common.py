@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from aerolytics.scratch import shared_dir, stored  # noqa: F401  # the operators take them from here
 from aerolytics.ship import ship
 
 #: Rows and bytes that one Arrow batch may hold on its way to Python, so that long texts don't pile up.
@@ -29,25 +28,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh path in the folder that all executors share (``spark.checkpoint.dir``).
-
-    Where the setting is absent, as in tests on one machine, a temporary folder takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write to the shared folder as Parquet and read it back."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def own_columns(df: DataFrame) -> list[Column]:
     """The columns as they are named, dots and backquotes included."""
     return [F.col(f"`{n.replace('`', '``')}`") for n in df.columns]

@@ -1,199 +1,288 @@
 """Benchmark decontamination: a prefix-filtered set join, verified word by word.
 
-The words of every item are ordered by their document frequency over the whole corpus.  A
-window of an item (ten consecutive words, or the whole of a shorter item) can only occur
-where its rarest word does - for exact containment one word is the necessary prefix - so
-documents meet items on those words alone.  A meeting at document position p and item
-position q aligns the two texts; the run of equal words around it, bounded by both lengths,
-is measured, and a run of a window's length or more marks all its words as hit.
-
-The items travel to the tasks in blocks of at most ``BLOCK_WORDS`` words, which bounds what
-is broadcast.  More items make more blocks; the documents then pass block after block, and
-no block's result depends on another's.
+A window is ten consecutive words of an item, or the whole of a shorter one; equal windows of any
+items are one.  A window is the set of its shingles (five consecutive words; of a window of fewer, all
+of it), and it can only occur where all of them do.  Shingles are ordered by the number of documents
+that hold them: for exact containment the rarest one is the necessary prefix, and a window with a
+shingle that no document holds occurs nowhere.  Documents meet windows on those prefix shingles in a
+join.  A document brings the words around the place, so that the window's offset from its prefix, the
+bounds of the document and at last every word are checked in the joined row.
+
+Documents are read twice, to count shingles and to emit prefixes.  Both times a bit map of the wanted
+shingle hashes, at most ``MAP_BITS`` bits however many items there are, keeps all others from being
+emitted; it lets through a few that are not wanted, and the join drops them.  Windows are broadcast
+only below a size that is checked; a larger table is joined by (shingle, part of the documents), so
+that a shingle that a third of the documents hold spreads over tasks.  Repeated words cost no more
+than others: equal windows are one, and equal surroundings within a document are one row.
 
 Edge cases: a null text has no words; a document without words is clean; an item without
 words has no window; items of one id count once; repeated rows are judged one by one; a null
-item id is written as an empty string.  Other columns of the input pass through unchanged.
+item id is written as an empty string.  A text of any length is one row of words.  Other columns
+of the input pass through unchanged, whatever their names.  Empty tables give empty results.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections import Counter
-from dataclasses import dataclass
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aerolytics.llm.common import free_names, map_batches, own_columns, schema_with, stored, utf8_rows
+from aerolytics.llm.common import free_names, map_batches, own_columns, ship, small_batches, stored, utf8_rows
+from aerolytics.operators.attach import attach
 
-WINDOW = 10
-#: Words of items that are held by every task at once.
-BLOCK_WORDS = 1_000_000
+WINDOW, SHINGLE = 10, 5
+#: Bits of a bit map by wanted shingle, and the most it may have (32 MB).
+BITS_EACH, MAP_BITS = 32, 1 << 28
+#: Distinct shingles whose counts a task holds, and parts of a frequent shingle's documents in a join by parts.
+HELD, PARTS = 1_000_000, 64
 
 #: Bytes of words as they are, A-Z in lower case, all others a blank.
 _FOLD = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
+# An odd base of a polynomial hash modulo 2^64, its inverse, and an odd factor that spreads the hashes.
+_BASE = 0x9E3779B97F4A7C15 | 1
+_INVERSE, _SPREAD = pow(_BASE, -1, 1 << 64), 0xD6E8FEB86659FD93
+_powers: list[np.ndarray] = []
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
-@dataclass
-class ItemBlock:
-    """Items of one block, and where their windows' rarest words stand."""
-
-    ids: list[str]
-    words: list[list[bytes]]
-    anchors: dict[bytes, list[tuple[int, int]]]
-    window: int
-    rare: frozenset[bytes]
-
-    @classmethod
-    def build(cls, items: list[tuple[str, list[bytes]]], frequency: Counter, window: int) -> "ItemBlock":
-        anchors: dict[bytes, dict[tuple[int, int], None]] = {}
-        for k, (_, words) in enumerate(items):
-            size = min(window, len(words))
-            for at in range(len(words) - size + 1):
-                q = min(range(at, at + size), key=lambda i: (frequency[words[i]], words[i], i))
-                anchors.setdefault(words[q], {})[k, q] = None
-        return cls([i for i, _ in items], [w for _, w in items], {w: list(x) for w, x in anchors.items()}, window, frozenset(anchors))
-
-    def search(self, words: list[bytes]) -> tuple[list[int], list[str]]:
-        """Merged hit ranges [start, end, start, end ...] of a document, and the ids of the items that occur."""
-        met = self.rare.intersection(words)
-        if not met:
-            return [], []
-        ranges, found, past = [], set(), {}
-        n = len(words)
-        for p, word in enumerate(words):
-            if word not in met:
-                continue
-            for k, q in self.anchors[word]:
-                if p < past.get((k, p - q), 0):
-                    continue  # inside a run that is measured already
-                item = self.words[k]
-                left, most = 0, min(p, q)
-                while left < most and words[p - left - 1] == item[q - left - 1]:
-                    left += 1
-                right, most = 1, min(n - p, len(item) - q)
-                while right < most and words[p + right] == item[q + right]:
-                    right += 1
-                past[k, p - q] = p + right
-                if left + right >= min(self.window, len(item)):
-                    ranges.append((p - left, p + right))
-                    found.add(self.ids[k])
-        return merged(ranges), sorted(found)
-
-
-def merged(ranges: list[tuple[int, int]]) -> list[int]:
-    out: list[int] = []
-    for s, e in sorted(ranges):
-        if out and s <= out[-1]:
-            out[-1] = max(out[-1], e)
-        else:
-            out += [s, e]
-    return out
-
-
-def _document_frequency(docs: DataFrame, vocabulary: set[bytes]) -> Counter:
-    """Documents of the whole corpus that hold each word of the block; as many rows as the block has words."""
-    words = docs.sparkSession.sparkContext.broadcast(frozenset(vocabulary))
-
-    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        known, seen = words.value, Counter()
-        for text in utf8_rows(batch.column("text")):
-            seen.update(known.intersection(words_of(text)))
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+def _power_tables(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, up to the n-th."""
+    if not _powers or len(_powers[0]) <= n:
+        size = max(n + 1, 1 << 16)
+        made = []
+        for base in (_BASE, _INVERSE):
+            table = np.full(size, base, np.uint64)
+            table[0] = 1
+            made.append(np.cumprod(table))
+        _powers[:] = made
+    return _powers
+
+
+class Words:
+    """The words of a text as one line, and hashes of its runs of words."""
+
+    def __init__(self, text: bytes):
+        self.line = b" ".join(words_of(text))
+        data = np.frombuffer(self.line, np.uint8)
+        gaps = np.flatnonzero(data == 0x20)
+        self.starts = np.concatenate(([0], gaps + 1)) if len(data) else np.zeros(0, np.int64)
+        self.ends = np.concatenate((gaps, [len(data)])) if len(data) else self.starts
+        self.n = len(self.starts)
+        power, self._inverse = _power_tables(len(data))
+        self._sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)])))
+
+    def hashes(self, size: int) -> np.ndarray:
+        """A hash for each run of ``size`` words."""
+        if self.n < size:
+            return np.zeros(0, np.uint64)
+        a, b = self.starts[: self.n - size + 1], self.ends[size - 1 :]
+        found = (self._sums[b] - self._sums[a]) * self._inverse[a] * np.uint64(_SPREAD)
+        return (found ^ (found >> np.uint64(29))) * np.uint64(_SPREAD)
+
+    def run(self, first: int, last: int) -> bytes:
+        """The words first .. last-1."""
+        return self.line[self.starts[first] : self.ends[last - 1]]
+
+
+def windows_of(text: bytes, window: int = WINDOW, shingle: int = SHINGLE) -> tuple[list[bytes], list[int], list[np.ndarray]]:
+    """The distinct windows of an item: words, their number, and the hashes of the window's shingles in order."""
+    words = Words(text)
+    size = min(window, words.n)
+    if not size:
+        return [], [], []
+    own = min(shingle, size)
+    hashes, places = words.hashes(own), {}
+    for at in range(words.n - size + 1):
+        places.setdefault(words.run(at, at + size), at)
+    return list(places), [size] * len(places), [hashes[at : at + size - own + 1] for at in places.values()]
 
-    counts = map_batches(docs.select("text"), count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return Counter({bytes(w): n for w, n in counts.toLocalIterator()})
 
+# ---- bit maps ----
 
-def _blocks(items: DataFrame, block_words: int):
-    """The items' words, block by block; an item is never cut."""
+
+def bit_map(hashes: DataFrame) -> np.ndarray:
+    """Bits of the ``hash`` column, as bytes; at most ``MAP_BITS`` of them reach the driver, whatever the table."""
+    count = hashes.select(F.approx_count_distinct("hash")).head()[0]
+    bits = max(12, min(MAP_BITS.bit_length() - 1, int(max(1, count) * BITS_EACH - 1).bit_length()))
+    place = F.shiftrightunsigned("hash", 64 - bits)
+    rows = hashes.groupBy(F.shiftright(place, 5).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(F.lit(31)).cast("int"))).alias("bits")).toArrow()
+    out = np.zeros(1 << max(bits - 5, 0), "<u4")
+    out[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().astype("<u4")
+    return out.view(np.uint8)
+
+
+def held_by(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes the bit map may hold."""
+    size = int(len(bits) * 8).bit_length() - 1
+    place = hashes >> np.uint64(64 - size)
+    return (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
+
+
+# ---- windows and their prefixes ----
+
+
+def item_windows(items: DataFrame, window: int, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """(wid, words, size, hashes) of distinct windows, and (wid, item) of the items that hold them; stored."""
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words = [words_of(x) for x in utf8_rows(batch.column("text"))]
-        return pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(words, pa.list_(pa.binary()))], ["item_id", "words"])
-
-    own = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
-    words = map_batches(own, cut, "item_id string, words array<binary>").where(F.size("words") > 0).distinct()
-    block, size = [], 0
-    for item, found in words.toLocalIterator():
-        block.append((item, [bytes(w) for w in found]))
-        size += len(found)
-        if size >= block_words:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
-
-
-def contaminated_words(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The documents and three more columns, the last: ``_n_words``, ``_ranges`` (merged hit ranges in words) and
-    ``_items`` (ids that occur); with underscores after them where the documents have such names."""
-    names, more = docs.columns, free_names(docs, "_n_words", "_ranges", "_items")
-    schema = schema_with(docs, **dict(zip(more, ("long", "array<int>", "array<string>"), strict=True)))
-    out = docs.withColumns(dict(zip(more, (F.lit(-1).cast("long"), F.array().cast("array<int>"), F.array().cast("array<string>")), strict=True)))
-    after = False
-    for block in _blocks(items, block_words):
-        if after:
-            out = stored(out)  # one block in memory at a time
-        after = True
-        frequency = _document_frequency(docs, {w for _, words in block for w in words})
-        index = docs.sparkSession.sparkContext.broadcast(ItemBlock.build(block, frequency, window))
-
-        def search(batch: pa.RecordBatch, index=index) -> pa.RecordBatch:
-            counts, ranges, ids = [], [], []
-            for text, had, held in zip(utf8_rows(batch.column("text")), batch.column(more[1]).to_pylist(), batch.column(more[2]).to_pylist(), strict=True):
-                words = words_of(text)
-                new, found = index.value.search(words)
-                counts.append(len(words))
-                ranges.append(merged([*zip(had[::2], had[1::2], strict=True), *zip(new[::2], new[1::2], strict=True)]) if had else new)
-                ids.append(sorted({*held, *found}) if held else found)
-            return pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(counts, pa.int64()), pa.array(ranges, pa.list_(pa.int32())), pa.array(ids, pa.list_(pa.string()))], [*names, *more])
-
-        out = map_batches(out, search, schema)
-    if not after:  # no item has a word; the documents' words are counted all the same
-
-        def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sizes = pa.array([len(words_of(x)) for x in utf8_rows(batch.column("text"))], pa.int64())
-            return pa.RecordBatch.from_arrays([*batch.columns[: len(names)], sizes, *batch.columns[len(names) + 1 :]], [*names, *more])
-
-        out = map_batches(out, count, schema)
-    return out
-
-
-def judge_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+        ids, words, sizes, hashes = [], [], [], []
+        for item, text in zip(batch.column("item").to_pylist(), utf8_rows(batch.column("text")), strict=True):
+            a, b, c = windows_of(text, window, shingle)
+            ids += [item] * len(a)
+            words, sizes, hashes = words + a, sizes + b, hashes + [x.view(np.int64) for x in c]
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(words, pa.binary()), pa.array(sizes, pa.int32()), pa.array(hashes, pa.list_(pa.int64()))], ["item", "words", "size", "hashes"])
+
+    own = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
+    cut_up = map_batches(own, cut, "item string, words binary, size int, hashes array<long>").withColumn("wid", F.md5("words"))
+    each = stored(cut_up)
+    return stored(each.groupBy("wid").agg(F.first("words").alias("words"), F.first("size").alias("size"), F.first("hashes").alias("hashes"))), each.select("wid", "item").distinct()
+
+
+def shingle_counts(docs: DataFrame, bits: np.ndarray, sizes: list[int]) -> DataFrame:
+    """(hash, n): how many documents hold each shingle of the bit map; each task adds up its own first."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[np.ndarray] = []
+        n = 0
+
+        def rows() -> pa.RecordBatch:
+            found, counts = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint64), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts)], ["hash", "n"])
+
+        for batch in batches:
+            for text in utf8_rows(batch.column("text")):
+                words = Words(text)
+                for size in sizes:
+                    hashes = words.hashes(size)
+                    hit = hashes[held_by(shared.value, hashes)]
+                    if len(hit):
+                        parts.append(np.unique(hit))
+                        n += len(parts[-1])
+                if n > HELD:
+                    yield rows()
+                    parts, n = [], 0
+        yield rows()
+
+    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
+    return docs.select("text").mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+
+
+def prefixes(windows: DataFrame, counts: DataFrame, shingle: int) -> DataFrame:
+    """(hash, offset, length, wid, words, size): the rarest shingle of each window that may occur, the first among equals."""
+    each = windows.select("wid", F.size("hashes").alias("parts"), F.posexplode("hashes").alias("offset", "hash")).join(counts, "hash")
+    best = each.groupBy("wid", "parts").agg(F.min(F.struct("n", "hash", "offset")).alias("best"), F.count("*").alias("there")).where("there = parts")
+    chosen = best.select("wid", "best.hash", "best.offset").join(windows.select("wid", "words", "size"), "wid")
+    return chosen.withColumn("length", F.least(F.col("size"), F.lit(shingle)))
+
+
+# ---- the join ----
+
+_HITS = "array<struct<hash:bigint,length:int,before:int,around:binary,places:array<int>>>"
+
+
+def emit_prefixes(docs: DataFrame, bits: np.ndarray, sizes: list[int], window: int, shingle: int) -> DataFrame:
+    """The rows of (key, text and others) with ``n_words`` and ``hits``, text left out: places of prefix shingles and the words around them.
+
+    Surroundings reach as far as a window can on both sides; those of a shingle that is a whole window hold it alone.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    names = [c for c in docs.columns if c != "text"]
+
+    def search(batch: pa.RecordBatch) -> pa.RecordBatch:
+        counts, found = [], []
+        for text in utf8_rows(batch.column("text")):
+            words, rows = Words(text), {}
+            for size in sizes:
+                hashes = words.hashes(size)
+                reach = window - size if size == shingle else 0
+                for p in np.flatnonzero(held_by(shared.value, hashes)).tolist():
+                    low = max(0, p - reach)
+                    key = int(hashes[p]), size, p - low, words.run(low, min(words.n, p + size + reach))
+                    rows.setdefault(key, []).append(p)
+            counts.append(words.n)
+            found.append([{"hash": h - (1 << 64) if h >> 63 else h, "length": s, "before": b, "around": a, "places": at} for (h, s, b, a), at in rows.items()])
+        kind = pa.list_(pa.struct([("hash", pa.int64()), ("length", pa.int32()), ("before", pa.int32()), ("around", pa.binary()), ("places", pa.list_(pa.int32()))]))
+        return pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(counts, pa.int64()), pa.array(found, kind)], [*names, "n_words", "hits"])
+
+    kinds = dict(docs.dtypes)
+    return map_batches(docs, search, ", ".join([*(f"{c} {kinds[c]}" for c in names), "n_words long", f"hits {_HITS}"]))
+
+
+def verified(hits: DataFrame, prefix: DataFrame, limit: int | None = None) -> DataFrame:
+    """(key, wid, start, size) of windows that do occur in the texts of (key, hits)."""
+    rows = hits.select("key", F.explode("hits").alias("h")).select("key", "h.*").withColumn("_place", F.pmod(F.xxhash64("key"), F.lit(PARTS)))
+    met = attach(rows, prefix, ["hash", "length"], order="_place", limit=limit, rows=1)
+    text = F.split(F.decode("around", "UTF-8"), " ")
+    first = F.col("before") - F.col("offset")  # of the window, in the words around
+    inside = (first >= 0) & (first + F.col("size") <= F.size(text))
+    same = F.when(inside, F.array_join(F.slice(text, F.greatest(first, F.lit(0)) + 1, F.col("size")), " ") == F.decode("words", "UTF-8"))
+    return met.where(same).select("key", "wid", F.explode("places").alias("p"), "offset", "size").select("key", "wid", (F.col("p") - F.col("offset")).alias("start"), "size").distinct()
+
+
+def text_key(text: Column) -> Column:
+    """What a verdict depends on: equal texts have equal verdicts."""
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def _search(docs: DataFrame, items: DataFrame, window: int, shingle: int, limit: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(the rows of ``docs`` without text but with n_words and hits, stored), their verified windows, and (wid, item)."""
+    windows, holders = item_windows(items, window, shingle)
+    all_hashes = windows.select(F.explode("hashes").alias("hash"))
+    sizes = sorted(min(r.size, shingle) for r in windows.select("size").distinct().collect())  # at most ``window`` rows
+    sizes = sorted(set(sizes))
+    counts = shingle_counts(docs, bit_map(all_hashes), sizes)
+    prefix = stored(prefixes(windows, counts, shingle))
+    rows = stored(emit_prefixes(docs, bit_map(prefix), sizes, window, shingle))
+    return rows, verified(rows, prefix, limit), holders
+
+
+def judge_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, limit: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    found = contaminated_words(docs.select("doc_id", "text"), items, window, block_words).drop("text")
-    hit = F.expr("aggregate(transform(_ranges, (x, i) -> cast(if(i % 2 = 0, -x, x) as bigint)), 0L, (a, x) -> a + x)")
+    rows, hits, holders = _search(docs.select("doc_id", text_key(F.col("text")).alias("key"), "text"), items, window, shingle, limit)
+    hits = stored(hits)
+    merged = F.aggregate(
+        F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("end")))), F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("upto")),
+        lambda a, x: F.struct((a["n"] + F.greatest(x["end"] - F.greatest(x["start"], a["upto"]), F.lit(0))).alias("n"), F.greatest(a["upto"], x["end"]).alias("upto")), lambda a: a["n"],
+    )
+    words = hits.groupBy("key").agg(merged.alias("n_hit"))
+    ids = hits.select("key", "wid").distinct().join(holders, "wid").groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    verdicts = words.join(ids, "key")
+    plain = rows.select("doc_id", "key", "n_words").withColumn("_place", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)))
+    found = attach(plain, verdicts, ["key"], order="_place", how="left", limit=limit, rows=1)
+    items_of = F.coalesce("items", F.array().cast("array<string>"))
     return found.select(
-        "doc_id", F.col("_n_words").alias("n_words"), hit.alias("n_hit"), F.size("_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("_items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("_items") > 0).alias("contaminated"),
+        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"), F.size(items_of).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items_of, ",").cast("binary"), 256).alias("items_sha256"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
     )
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """The documents in which no window of any item occurs, with their own columns."""
-    found = contaminated_words(docs, items, window)
-    return found.where(F.size(own_columns(found)[-1]) == 0).select(*own_columns(docs))
-
-
-def brute_force(texts: list[str | None], items: list[tuple[object, str | None]], window: int = WINDOW) -> list[tuple[int, int, int, str, bool]]:
-    """The same verdicts by plain comparison of every window at every place; for tests."""
-    out = []
-    for text in texts:
-        words, hit, ids = words_of((text or "").encode()), set(), set()
-        for item, body in items:
-            own = words_of((body or "").encode())
-            size = min(window, len(own))
-            for at in range(len(own) - size + 1 if own else 0):
-                for p in range(len(words) - size + 1):
-                    if words[p : p + size] == own[at : at + size]:
-                        hit.update(range(p, p + size))
-                        ids.add("" if item is None else str(item))
-        out.append((len(words), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)))
-    return out
+    _, hits, _ = _search(docs.select(text_key(F.col("text")).alias("key"), "text"), items, window, shingle, None)
+    (key,) = free_names(docs, "_key")
+    wrong = stored(hits.select(F.col("key").alias(key)).distinct())
+    return docs.withColumn(key, text_key(F.col("text"))).join(wrong, key, "left_anti").select(*own_columns(docs))
+
+
+def oracle(window: int = WINDOW) -> str:
+    """DuckDB SQL for the same rows: all runs of words of all documents, joined to all windows."""
+    words = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+    return f"""
+with d as (select row_number() over () as r, doc_id, {words} as w from documents),
+i as (select distinct coalesce(cast(item_id as varchar), '') as item, {words} as w from benchmark),
+v as (select item, w, least(len(w), {window}) as size from i where len(w) > 0),
+u as (select distinct item, size, array_to_string(w[a + 1 : a + size], ' ') as win from (select *, unnest(range(0, len(w) - size + 1)) as a from v) x),
+p as (select r, size, p, array_to_string(w[p + 1 : p + size], ' ') as win from (select d.r, d.w, s.size, unnest(range(0, len(d.w) - s.size + 1)) as p from d, (select distinct size from u) s where len(d.w) >= s.size) x),
+m as (select p.r, p.p, p.size, u.item from p join u on u.size = p.size and u.win = p.win),
+h as (select r, count(distinct q) as n_hit from (select r, unnest(range(p, p + size)) as q from m) x group by 1),
+t as (select r, count(*) as n_items, string_agg(item, ',' order by item) as ids from (select distinct r, item from m) x group by 1)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, n_hit is not null as contaminated
+from d left join h on h.r = d.r left join t on t.r = d.r"""

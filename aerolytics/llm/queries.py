@@ -57,4 +57,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_merkle_audit, op2_lookup_sketch, op3_ngram_trie, op4_language, op5_licenses, op6_sentencepiece, op7_url_filter, op8_simhash, op9_secrets, op10_decontamination)
 }
-ORACLE_SQL: dict[str, str] = {"op1_merkle_audit": warc.oracle(), "op2_lookup_sketch": iblt.oracle(), "op5_licenses": licenses.oracle(), "op7_url_filter": urls.oracle()}
+ORACLE_SQL: dict[str, str] = {"op1_merkle_audit": warc.oracle(), "op2_lookup_sketch": iblt.oracle(), "op5_licenses": licenses.oracle(), "op7_url_filter": urls.oracle(), "op10_decontamination": decontaminate.oracle()}

@@ -112,24 +112,70 @@ def test_secrets(spark):
 # ---- decontamination ----
 
 
-def test_decontamination_equals_brute_force(spark):
+def plain_contamination(texts, items, window=10):
+    """Every window at every place."""
+    out = []
+    for text in texts:
+        words, hit, ids = decontaminate.words_of((text or "").encode()), set(), set()
+        for item, body in items:
+            own = decontaminate.words_of((body or "").encode())
+            size = min(window, len(own))
+            for at in range(len(own) - size + 1 if own else 0):
+                for p in range(len(words) - size + 1):
+                    if words[p : p + size] == own[at : at + size]:
+                        hit.update(range(p, p + size))
+                        ids.add("" if item is None else str(item))
+        out.append((len(words), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)))
+    return out
+
+
+@pytest.mark.parametrize("words", [["the", "of", "cat", "dog", "Ünï", "x1"], ["a", "b"]])
+def test_decontamination_equals_brute_force(spark, words):
     rng = np.random.default_rng(2)
-    vocabulary = ["the", "of", "cat", "dog", "Ünï", "x1"]
-    items = [(i, " ".join(rng.choice(vocabulary, rng.integers(0, 25)))) for i in range(25)] + [(3, None), (None, "the of cat"), (7, "the the the the the the the the the the the the"), ("", "")][:3]
-    texts = [None, ""] + [" ".join(rng.choice(vocabulary, rng.integers(0, 120))) for _ in range(60)] + ["The, THE! the the-the the the the the the the the the", "X" + items[5][1] + " y", items[4][1].upper().replace(" ", " ... ")]
-    docs = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)], "doc_id long, text string, n_words string")
+    items = [(i, " ".join(rng.choice(words, rng.integers(0, 25)))) for i in range(25)] + [(3, None), (None, "the of cat"), (7, "the the the the the the the the the the the the"), (9, "a b c d e f g")]
+    texts = [None, ""] + [" ".join(rng.choice(words, rng.integers(0, 120))) for _ in range(60)] + ["The, THE! the the-the the the the the the the the the", "X" + items[5][1] + " y", items[4][1].upper().replace(" ", " ... "), "a b c d e f g", "z a b c d e f g a b c d e f h"]
+    docs = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)] + [(3, texts[3], "z")], "doc_id long, text string, n_words string")
     bench = spark.createDataFrame([(None if i is None else int(i), t, 1) for i, t in items], "item_id long, text string, doc_id int")
-    expected = decontaminate.brute_force(texts, items)
-    for block in (decontaminate.BLOCK_WORDS, 40):
-        rows = sorted(decontaminate.judge_contamination(docs, bench, block_words=block).collect())
-        assert [tuple(r[1:]) for r in rows] == expected
+    expected = [(i, *e) for i, e in enumerate(plain_contamination(texts, items))]
+    for limit in (None, 0):  # windows broadcast, and joined by parts
+        rows = sorted(map(tuple, decontaminate.judge_contamination(docs, bench, limit=limit).collect()))
+        assert rows == sorted([*expected, expected[3]])
     kept = decontaminate.drop_contaminated(docs, bench)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [i for i, e in enumerate(expected) if not e[4]]
+    assert kept.columns == docs.columns and sorted({r.doc_id for r in kept.collect()}) == [e[0] for e in expected if not e[5]]
     none = bench.limit(0)
-    assert [r.n_words for r in sorted(decontaminate.judge_contamination(docs, none).collect())] == [e[0] for e in expected]
+    assert sorted(r.n_words for r in decontaminate.judge_contamination(docs, none).collect()) == sorted([*[e[1] for e in expected], expected[3][1]])
     assert decontaminate.judge_contamination(docs.limit(0), bench).count() == 0
 
 
+def test_repeated_words_cost_no_more_than_others(spark):
+    import time
+
+    many = "the " * 20_000
+    docs = spark.createDataFrame([(1, many), (2, "x " * 20_000 + "the " * 9)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, many), (2, many + "end")], "item_id long, text string")
+    decontaminate.judge_contamination(docs.limit(0), bench.limit(0)).collect()
+    began = time.time()
+    rows = sorted(decontaminate.judge_contamination(docs, bench).collect())
+    assert [(r.n_words, r.n_hit, r.n_items) for r in rows] == [(20_000, 20_000, 2), (20_009, 0, 0)]
+    assert time.time() - began < 20
+    began = time.time()
+    words, _, _ = decontaminate.windows_of(many.encode())
+    assert len(words) == 1 and time.time() - began < 1
+
+
+def test_shingle_hashes_depend_on_the_words_alone():
+    a, b = decontaminate.Words(b"one two three four five six"), decontaminate.Words(b"zero ONE, two three; four five")
+    assert a.hashes(5)[0] == b.hashes(5)[1] and a.hashes(1)[2] == b.hashes(1)[3] and len(set(a.hashes(2).tolist())) == 5
+    assert len(a.hashes(7)) == 0 and decontaminate.Words(b" .,").n == 0
+    rng = np.random.default_rng(1)
+    hashes = rng.integers(0, 1 << 63, 1000).astype(np.uint64)
+    bits = np.zeros(1 << 9, np.uint8)
+    for h in hashes[:100]:
+        at = int(h) >> 52
+        bits[at >> 3] |= 1 << (at & 7)
+    assert decontaminate.held_by(bits, hashes[:100]).all() and decontaminate.held_by(bits, hashes).sum() < 300
+
+
 # ---- SimHash ----
 
 
