@@ -7,6 +7,7 @@ notices stand on a line of their own.
 
 Edge cases: a null text is an empty one; an empty canonical text matches nothing; repeated rows
 are reported one by one; a licence that matches under two names is reported under the smallest.
+A text of any length is one row of lines; other columns are ignored; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from importlib.resources import files
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from aerolytics.operators.attach import small
+
 # Known texts.  The second value tells entire licences from notices of one line.
 KNOWN_TEXTS = (
     ("MIT", "text", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -128,19 +131,28 @@ def known_digests(spark, known: Iterable[tuple[str, str, str]] = KNOWN_TEXTS) ->
     return rows.groupBy(digest.alias("digest"), "kind").agg(F.min("license_id").alias("license_id"))
 
 
-def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """One row per document: doc_id, digest, license_id (entire text; else null), n_notices, notices (distinct ids)."""
+def scan_licenses(docs: DataFrame, known: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """One row per document: doc_id, digest, license_id (entire text; else null), n_notices, notices (distinct ids).
+
+    ``known`` is (digest, kind, license_id), by default that of ``known_digests``.  It is broadcast below a size
+    that is checked.  Lines are put into canonical form once: a document's entire text and its lines become
+    rows of digests, those that match are kept beside the one of the text, and rows of one document meet again in
+    an aggregate; equal rows of a document are counted and come back as many.
+    """
     known = known_digests(docs.sparkSession) if known is None else known
-    texts = F.broadcast(known.where("kind = 'text'").select(F.col("digest").alias("_digest"), "license_id"))
-    notices = F.broadcast(known.where("kind = 'notice'").select(F.col("digest").alias("_digest"), "license_id"))
+    digest = lambda x: F.sha2(x.cast("binary"), 256)
     lines = docs.select("doc_id", F.xxhash64("text").alias("_hash"), canonical_lines(F.col("text")).alias("_lines"))
-    whole = lines.select("doc_id", "_hash", F.sha2(F.array_join("_lines", " ").cast("binary"), 256).alias("digest")).join(texts, F.col("digest") == F.col("_digest"), "left").drop("_digest")
-    each = lines.select("doc_id", "_hash", F.posexplode("_lines").alias("_at", "_line")).select("doc_id", "_hash", "_at", F.sha2(F.col("_line").cast("binary"), 256).alias("_own"))
-    found = each.join(notices, F.col("_own") == F.col("_digest")).groupBy(F.col("doc_id").alias("_doc"), F.col("_hash").alias("_text")).agg(
-        F.countDistinct("_at").alias("n_notices"), F.array_join(F.sort_array(F.collect_set("license_id")), ",").alias("notices")
-    )
-    joined = whole.join(found, F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("_hash").eqNullSafe(F.col("_text")), "left")
-    return joined.select("doc_id", "digest", "license_id", F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"), F.coalesce("notices", F.lit("")).alias("notices"))
+    whole = F.struct(F.lit(-1).alias("at"), F.lit("text").alias("kind"), digest(F.array_join("_lines", " ")).alias("digest"))
+    each = F.transform("_lines", lambda x, i: F.struct(i.alias("at"), F.lit("notice").alias("kind"), digest(x).alias("digest")))
+    rows = lines.select("doc_id", "_hash", F.explode(F.concat(F.array(whole), each)).alias("r")).select("doc_id", "_hash", "r.*")
+    table, fits = small(known.select("digest", "kind", "license_id"), limit)
+    met = rows.join(F.broadcast(table) if fits else table, ["digest", "kind"], "left").where("at = -1 or license_id is not null")
+    notice = F.when(F.col("at") >= 0, F.col("license_id"))
+    found = met.groupBy("doc_id", "_hash").agg(
+        F.max(F.when(F.col("at") == -1, F.col("digest"))).alias("digest"), F.min(F.when(F.col("at") == -1, F.col("license_id"))).alias("license_id"), F.count_if(F.col("at") == -1).alias("_copies"),
+        F.countDistinct(F.when(notice.isNotNull(), F.col("at"))).alias("n_notices"), F.array_join(F.sort_array(F.collect_set(notice)), ",").alias("notices"),
+    )
+    return found.select("doc_id", "digest", "license_id", "n_notices", "notices", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))).drop("col")
 
 
 def oracle(known: Iterable[tuple[str, str, str]] = KNOWN_TEXTS) -> str:

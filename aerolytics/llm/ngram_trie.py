@@ -27,7 +27,7 @@ import itertools
 import json
 import math
 import re
-from collections import defaultdict
+from collections import OrderedDict, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -46,6 +46,8 @@ DISCOUNT = 0.75
 SHARD_WORDS, SHARD_TOKENS, STEPS = 500_000, 2_000_000, 4_096
 #: Tokens that a task handles at once, bytes of a text cut off at once, and distinct words whose counts a task holds.
 CHUNK, PIECE, HELD = 1_000_000, 4 << 20, 400_000
+#: Bytes of shards that a worker keeps open (mapped, or in memory where the store is no file system).
+OPEN_BYTES = 256 << 20
 
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
@@ -138,13 +140,20 @@ def write_arrays(uri: str, arrays: dict[str, np.ndarray], attempt: str) -> None:
         at += x.nbytes + -x.nbytes % 8
     text = json.dumps(head).encode()
     text += b" " * (-len(text) % 8)
+    from pyarrow import fs
+
     store, path = _store(uri)
     store.create_dir(path.rpartition("/")[0], recursive=True)
     with store.open_output_stream(f"{path}.{attempt}") as out:
         out.write(len(text).to_bytes(8, "little") + text)
         for x in arrays.values():
             out.write(np.ascontiguousarray(x).tobytes() + b"\0" * (-x.nbytes % 8))
-    store.move(f"{path}.{attempt}", path)
+    try:
+        store.move(f"{path}.{attempt}", path)
+    except OSError:  # where renaming does not replace: another attempt wrote the same content
+        if store.get_file_info(path).type == fs.FileType.NotFound:
+            raise
+        store.delete_file(f"{path}.{attempt}")
 
 
 def open_arrays(uri: str) -> dict[str, np.ndarray]:
@@ -223,14 +232,15 @@ def chunks(texts: Iterable[bytes]) -> Iterator[Chunk]:
 
 @dataclass
 class Trie:
-    """Where the levels are, and the few numbers that readers need: a pair for each shard of words, T for contexts that are split."""
+    """Where the levels are, and the few numbers that readers need: a pair for each shard of words (500,000 distinct words each),
+    and T for contexts that are split, which are words of over ``shard_tokens`` occurrences.  Shards of the second level tell
+    their range themselves, so nothing here grows with their number."""
 
     path: str
     total: int
     distinct: int
     bits: int
     first: list[tuple[int, int]]
-    ranges: dict[int, tuple[int, int]]
     split: dict[int, int]
     shard_tokens: int = SHARD_TOKENS
 
@@ -256,7 +266,7 @@ class Reader:
     _open: dict[str, "Reader"] = {}
 
     def __init__(self, trie: Trie):
-        self.trie, self.held = trie, {}
+        self.trie, self.held, self.size = trie, OrderedDict(), 0
 
     @classmethod
     def of(cls, trie: Trie) -> "Reader":
@@ -267,11 +277,21 @@ class Reader:
         found.trie = trie  # while it is built, the same path has ever more levels
         return found
 
-    def part(self, level: str, shard: int, names: tuple[str, ...]) -> tuple[dict[str, np.ndarray], dict[str, EliasFano]]:
-        if (level, shard) not in self.held:
-            arrays = open_arrays(f"{self.trie.path}/{level}/{shard:06d}")
-            self.held[level, shard] = arrays, {n: EliasFano(arrays, n) for n in names}
-        return self.held[level, shard]
+    def part(self, level: str, shard: int, names: tuple[str, ...]) -> tuple[dict[str, np.ndarray], dict[str, EliasFano]] | None:
+        """A shard's arrays and sequences, None if there is no such shard; the least recently used go beyond ``OPEN_BYTES``."""
+        key = level, shard
+        if key not in self.held:
+            try:
+                arrays = open_arrays(f"{self.trie.path}/{level}/{shard:06d}")
+            except FileNotFoundError:
+                arrays = {}
+            self.held[key] = (arrays, {n: EliasFano(arrays, n) for n in names}) if arrays else None
+            self.size += sum(x.nbytes for x in arrays.values())
+            while self.size > OPEN_BYTES and len(self.held) > 1:
+                _, old = self.held.popitem(last=False)
+                self.size -= sum(x.nbytes for x in old[0].values()) if old else 0
+        self.held.move_to_end(key)
+        return self.held[key]
 
     def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Id (-1: unknown), count, and the count of all words before, of distinct words."""
@@ -306,10 +326,11 @@ class Reader:
 
     def successors(self, shard: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of ascending pairs in one shard: the quantised child (-1: none), and how many children the context has here."""
-        if shard not in self.trie.ranges:
+        found = self.part("successors", shard, ("pointer", "child"))
+        if found is None:
             return np.full(len(context), -1, np.int64), np.zeros(len(context), np.int64)
-        low, high = self.trie.ranges[shard]
-        arrays, parts = self.part("successors", shard, ("pointer", "child"))
+        arrays, parts = found
+        low, high = arrays["range"].tolist()
         inside = (context >= low) & (context <= high)
         at = np.where(inside, context - low, 0)
         children = np.diff(parts["pointer"].get(np.stack((at, at + 1))).astype(np.int64), axis=0)[0]
@@ -425,7 +446,7 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _build_successors(docs: DataFrame, trie: Trie) -> None:
-    """Count bigrams and write the second level; fills the trie's ranges and split contexts."""
+    """Count bigrams and write the second level; fills the trie's split contexts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader.of(trie)
@@ -454,14 +475,12 @@ def _build_successors(docs: DataFrame, trie: Trie) -> None:
         pointer = np.searchsorted(context, np.arange(high + 2))
         total = Reader.of(trie).totals(np.arange(low, low + high + 1))[context]
         code = np.minimum(np.ceil(-np.log10((counts - DISCOUNT) / total) * STEPS), 65_535).astype(np.uint16)
-        write_arrays(f"{trie.path}/successors/{shard:06d}", EliasFano.encode(pointer, "pointer") | EliasFano.encode(keys, "child") | {"code": code}, str(TaskContext.get().taskAttemptId()))
+        write_arrays(f"{trie.path}/successors/{shard:06d}", EliasFano.encode(pointer, "pointer") | EliasFano.encode(keys, "child") | {"code": code, "range": np.array([low, low + high], np.int64)}, str(TaskContext.get().taskAttemptId()))
         split = [(low + int(i), int(pointer[i + 1] - pointer[i])) for i in np.unique(context[total > trie.shard_tokens])]
-        return pa.table({"shard": pa.array([shard], pa.int64()), "low": pa.array([low], pa.int64()), "high": pa.array([low + high], pa.int64()),
-                         "split": pa.array([[x for y in split for x in y]], pa.list_(pa.int64()))})
+        return pa.table({"shard": pa.array([shard], pa.int64()), "split": pa.array([[x for y in split for x in y]], pa.list_(pa.int64()))})
 
-    made = docs.select("text").mapInArrow(count, "shard long, data binary").groupBy("shard").applyInArrow(build, "shard long, low long, high long, split array<long>")
-    for r in made.toLocalIterator():  # one row for each shard
-        trie.ranges[r.shard] = (r.low, r.high)
+    made = docs.select("text").mapInArrow(count, "shard long, data binary").groupBy("shard").applyInArrow(build, "shard long, split array<long>")
+    for r in made.where("size(split) > 0").toLocalIterator():  # the shards of the most frequent words
         for c, n in zip(r.split[::2], r.split[1::2], strict=True):
             trie.split[c] = trie.split.get(c, 0) + n
 
@@ -473,7 +492,7 @@ def train(docs: DataFrame, shard_words: int = SHARD_WORDS, shard_tokens: int = S
     ship(spark)
     path = shared_dir(spark)
     bits, first, total, distinct = _build_words(stored(_count_words(docs)), path, shard_words)
-    trie = Trie(path, total, distinct, bits, first, {}, {}, shard_tokens)
+    trie = Trie(path, total, distinct, bits, first, {}, shard_tokens)
     _build_successors(docs, trie)
     return trie
 

@@ -20,12 +20,15 @@ from pyspark.sql import functions as F
 
 from aerolytics.llm.common import ascii_lower, map_batches
 
-# The vocabulary and the rules of the production filter.
+# A small default vocabulary (a larger one comes from a table, see ``vocabulary_of``) and the rules.
 STRICT_TERMS = ("adult", "casino", "porn", "spam-farm", "viagra")
 SOFT_TERMS = ("ads", "bets", "bonus", "cheap", "free", "pills", "spam", "track", "win")
 SOFT_HITS = 2
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 
+#: Terms that a vocabulary from a table may have.
+MAX_TERMS = 500_000
+_built: dict["Vocabulary", ahocorasick.Automaton] = {}
 _WORD = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
@@ -38,6 +41,13 @@ class Vocabulary:
     soft: tuple[str, ...] = SOFT_TERMS
 
     def automaton(self) -> ahocorasick.Automaton:
+        """Built once in each worker."""
+        if self not in _built:
+            _built.clear()
+            _built[self] = self._automaton()
+        return _built[self]
+
+    def _automaton(self) -> ahocorasick.Automaton:
         found = ahocorasick.Automaton()
         for kind, terms in (("soft", self.soft), ("strict", self.strict)):
             for term in terms:
@@ -47,6 +57,17 @@ class Vocabulary:
         return found
 
 
+def vocabulary_of(terms: DataFrame) -> Vocabulary:
+    """A vocabulary from a table (term, kind), kind being strict or soft; in lower case, empty terms and other kinds go.
+
+    Every worker holds the whole automaton, so a table of over ``MAX_TERMS`` distinct terms is refused.
+    """
+    rows = terms.select(ascii_lower(F.col("term")).alias("term"), "kind").where("term <> '' and kind in ('strict', 'soft')").distinct().limit(MAX_TERMS + 1).collect()
+    if len(rows) > MAX_TERMS:
+        raise ValueError(f"more than {MAX_TERMS} terms")
+    return Vocabulary(*(tuple(sorted(r.term for r in rows if r.kind == kind)) for kind in ("strict", "soft")))
+
+
 def term_hits(url: str, automaton: ahocorasick.Automaton) -> tuple[set[str], set[str]]:
     """The distinct strict and soft terms that stand between boundaries in a lower-case url."""
     strict: set[str] = set()

@@ -9,7 +9,8 @@ A node gathers at most the records of one offset range, sixteen children, or the
 bucket, so one huge archive spreads over many tasks.
 
 Edge cases: null urls and bodies are written as empty; repeated pages are records of their own;
-pages without id go to archives by hash; empty replicas have equal (absent) roots; records are
+pages without id have archives of their own; a record larger than a range belongs to the range that it begins in;
+other columns are ignored; empty replicas have equal (absent) roots; records are
 matched by archive and offset.
 """
 
@@ -22,50 +23,52 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from aerolytics.llm.common import shared_dir, stored
+from aerolytics.operators.attach import attach
 
 PAGES_PER_ARCHIVE = 512
+#: Records of one group of pages that share an archive; more are dealt to several.
+ARCHIVE_RECORDS, PARTS = 4_096, 1 << 20
 RANGE_BYTES, FANOUT, RANGE_LEVELS = 64 << 10, 16, 3
 BUCKETS, BUCKET_LEVELS = 16**3, 3
+#: Mismatching parents whose children are named in the filter of the next read, which then skips all other row groups.
+NAMED = 1_000
 
 RECORD = "concat('WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: ', coalesce(url, ''), '\r\nContent-Length: ', cast({bytes} as string), '\r\n\r\n', {body}, '\r\n\r\n')"
 
 
-def _numbers(column: str) -> Column:
-    """A number below 2^24 from a text's md5."""
-    return F.conv(F.substring(F.md5(F.coalesce(F.col(column), F.lit(""))), 1, 6), 16, 10).cast("long")
+def _record(body: str = "coalesce(html, '')") -> Column:
+    """A page as a WARC record, with its own length or that of its undamaged body."""
+    return F.expr(RECORD.format(bytes="octet_length(coalesce(html, ''))", body=body))
 
 
-def warc_records(pages: DataFrame) -> DataFrame:
-    """Response records of the pages, laid out in archives: archive, offset, length, digest, page_id, url, html."""
-    record = F.expr(RECORD.format(bytes="octet_length(coalesce(html, ''))", body="coalesce(html, '')"))
-    archive = F.coalesce(F.floor(F.col("page_id") / PAGES_PER_ARCHIVE).cast("long"), -1 - F.pmod(_numbers("html"), F.lit(1024)))
-    hashed = pages.select("page_id", "url", archive.alias("archive"), F.octet_length(record).cast("long").alias("length"), F.sha2(record.cast("binary"), 256).alias("digest"), _numbers("url").alias("fault"),
-                          F.sha2(_flipped().cast("binary"), 256).alias("flipped"), F.sha2(_cut().cast("binary"), 256).alias("cut"), F.octet_length(_cut()).cast("long").alias("cut_length"))
-    before = Window.partitionBy("archive").orderBy("page_id", "url", "digest").rowsBetween(Window.unboundedPreceding, -1)
-    return hashed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
-
-
-def _flipped() -> Column:
-    """The record with the body's middle sign changed."""
-    half = "cast(floor(length(coalesce(html, '')) / 2) as int)"
-    return F.expr(RECORD.format(bytes="octet_length(coalesce(html, ''))", body=f"concat(substring(coalesce(html, ''), 1, {half}), '~', substring(coalesce(html, ''), {half} + 2))"))
-
+def warc_records(pages: DataFrame, *more: Column) -> DataFrame:
+    """Response records of the pages, laid out in archives: archive, offset, length, digest, page_id, url, and what ``more`` says of a page.
 
-def _cut() -> Column:
-    """The record with the second half of its body lost."""
-    return F.expr(RECORD.format(bytes="octet_length(coalesce(html, ''))", body="substring(coalesce(html, ''), 1, cast(floor(length(coalesce(html, '')) / 2) as int))"))
+    An archive holds ``PAGES_PER_ARCHIVE`` page numbers.  Where these have more than ``ARCHIVE_RECORDS`` records
+    (repeated pages, pages without a number), they are dealt to as many archives as that takes, by digest.
+    """
+    record = _record()
+    group = F.coalesce(F.floor(F.col("page_id") / PAGES_PER_ARCHIVE).cast("long"), F.lit(-1).cast("long"))
+    hashed = stored(pages.select("page_id", "url", group.alias("_group"), F.octet_length(record).cast("long").alias("length"), F.sha2(record.cast("binary"), 256).alias("digest"), *more))
+    parts = hashed.groupBy("_group").agg(F.ceil(F.count("*") / ARCHIVE_RECORDS).cast("long").alias("_parts"))
+    number = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long")
+    placed = attach(hashed.withColumn("_order", number % 64), parts, ["_group"], order="_order", rows=1)
+    dealt = placed.withColumn("archive", F.col("_group") * PARTS + number % F.col("_parts")).drop("_order", "_group", "_parts")
+    before = Window.partitionBy("archive").orderBy("page_id", "url", "digest").rowsBetween(Window.unboundedPreceding, -1)
+    return dealt.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
 
 
 def damaged_replicas(pages: DataFrame, every: int = 61) -> tuple[DataFrame, DataFrame]:
     """Two replicas of the pages' archives under a fault model: in one record of ``every``, by the url's md5,
-    the second replica's body is changed, cut or gone, or the first replica's record is gone."""
-    records = stored(warc_records(pages))
-    fault = F.col("fault") % every
-    first = records.where(fault != 3).select("archive", "offset", "length", "digest", "page_id")
-    second = records.where(fault != 2).select(
-        "archive", "offset", F.when(fault == 1, F.col("cut_length")).otherwise(F.col("length")).alias("length"),
-        F.when(fault == 0, F.col("flipped")).when(fault == 1, F.col("cut")).otherwise(F.col("digest")).alias("digest"), "page_id",
-    )
+    the second replica's body is changed in its middle, cut to a half or gone, or the first replica's record is gone."""
+    fault = F.conv(F.substring(F.md5(F.coalesce(F.col("url"), F.lit(""))), 1, 6), 16, 10).cast("long") % every
+    half = "cast(floor(length(coalesce(html, '')) / 2) as int)"
+    changed = _record(f"concat(substring(coalesce(html, ''), 1, {half}), '~', substring(coalesce(html, ''), {half} + 2))")
+    cut = _record(f"substring(coalesce(html, ''), 1, {half})")
+    other = F.when(fault == 0, F.sha2(changed.cast("binary"), 256)).when(fault == 1, F.sha2(cut.cast("binary"), 256))
+    records = stored(warc_records(pages, fault.alias("fault"), other.alias("other"), F.when(fault == 1, F.octet_length(cut).cast("long")).alias("other_length")))
+    first = records.where("fault <> 3").select("archive", "offset", "length", "digest", "page_id")
+    second = records.where("fault <> 2").select("archive", "offset", F.coalesce("other_length", "length").alias("length"), F.coalesce("other", "digest").alias("digest"), "page_id")
     return first, second
 
 
@@ -79,7 +82,7 @@ def _folded(nodes: DataFrame, keys: list[str | Column], order: list[str]) -> Dat
 def merkle_tree(records: DataFrame) -> DataFrame:
     """All nodes (level, archive, node, parent, digest), stored by level.
 
-    Levels 0 to ``RANGE_LEVELS`` are offset ranges of an archive (64 KiB, then sixteen times more
+    ``up_archive`` and ``up`` name the node above.  Levels 0 to ``RANGE_LEVELS`` are offset ranges of an archive (64 KiB, then sixteen times more
     each), then come the archive itself, the buckets of archives, and at last the root.
     """
     spark = records.sparkSession
@@ -98,9 +101,10 @@ def merkle_tree(records: DataFrame) -> DataFrame:
         node = _folded(node.withColumn("up", F.floor(F.col("node") / FANOUT).cast("long")), ["up"], ["node"]).withColumnRenamed("up", "node")
         levels.append(node.withColumn("archive", no_archive))
     path = shared_dir(spark)
-    every = reduce(DataFrame.unionByName, [x.select(F.lit(i).alias("level"), "archive", "node", "digest") for i, x in enumerate(levels)])
-    every.write.partitionBy("level").parquet(path)
-    return spark.read.schema("archive long, node long, digest string, level int").parquet(path)
+    # Filed by parent: children of one node lie together, so that a level's read skips the row groups of all others.
+    every = reduce(DataFrame.unionByName, [_parents(x, i).select(F.lit(i).alias("level"), "archive", "node", "digest", "up_archive", "up") for i, x in enumerate(levels)])
+    every.repartitionByRange("level", "up_archive", "up").sortWithinPartitions("level", "up_archive", "up").write.partitionBy("level").parquet(path)
+    return spark.read.schema("archive long, node long, digest string, up_archive long, up long, level int").parquet(path)
 
 
 def _parents(nodes: DataFrame, level: int) -> DataFrame:
@@ -113,19 +117,32 @@ def _parents(nodes: DataFrame, level: int) -> DataFrame:
     return nodes.withColumns({"up_archive": F.lit(None).cast("long"), "up": above})
 
 
+def _children(tree: DataFrame, level: int, wrong: DataFrame | None, named: list | None) -> DataFrame:
+    """The nodes of a level below the mismatching ones; of the top level all, which is the root."""
+    nodes = tree.where(F.col("level") == level).drop("level")
+    if wrong is None:
+        return nodes
+    if named is not None:  # few: their numbers go into the filter of the scan
+        nodes = nodes.where(F.col("up").isin([r.node for r in named]))
+    above = wrong.select(F.col("archive").alias("w_archive"), F.col("node").alias("w"))
+    return nodes.join(above, F.col("up_archive").eqNullSafe(F.col("w_archive")) & (F.col("up") == F.col("w")), "left_semi")
+
+
 def mismatching_ranges(first: DataFrame, second: DataFrame) -> DataFrame:
-    """(archive, node) of the offset ranges that differ; equal branches are never descended."""
+    """(archive, node) of the offset ranges that differ; equal branches are never descended, and equal roots end the search."""
     top = RANGE_LEVELS + 2 + BUCKET_LEVELS
     wrong: DataFrame | None = None
+    named: list | None = None
     for level in range(top, -1, -1):
-        sides = [_parents(x.where(F.col("level") == level).drop("level"), level) for x in (first, second)]
-        if wrong is not None:
-            above = wrong.select(F.col("archive").alias("w_archive"), F.col("node").alias("w"))
-            sides = [x.join(above, F.col("up_archive").eqNullSafe(F.col("w_archive")) & (F.col("up") == F.col("w")), "left_semi") for x in sides]
+        sides = [_children(x, level, wrong, named) for x in (first, second)]
         a, b = sides[0].select("archive", "node", "digest"), sides[1].select(F.col("archive").alias("b_archive"), F.col("node").alias("b_node"), F.col("digest").alias("b_digest"))
         both = a.join(b, F.col("archive").eqNullSafe(F.col("b_archive")) & (F.col("node") == F.col("b_node")), "full_outer")
         differs = both.where(~F.col("digest").eqNullSafe(F.col("b_digest"))).select(F.coalesce("archive", "b_archive").alias("archive"), F.coalesce("node", "b_node").alias("node"))
         wrong = stored(differs)  # the next level reads it twice
+        few = wrong.select("node").distinct().limit(NAMED + 1).collect() if level else []
+        named = few if len(few) <= NAMED else None
+        if level and not few:
+            return wrong
     return wrong
 
 
@@ -159,14 +176,15 @@ def oracle(every: int = 61) -> str:
 
     return f"""
 with r as (
-  select page_id, url, cast(floor(page_id / {PAGES_PER_ARCHIVE}.0) as bigint) as archive, {record(html)} as rec,
+  select page_id, url, coalesce(cast(floor(page_id / {PAGES_PER_ARCHIVE}.0) as bigint), -1) as grp, {record(html)} as rec,
          {record(f"substr({html}, 1, {half}) || '~' || substr({html}, {half} + 2)")} as flip,
          {record(f"substr({html}, 1, {half})")} as cut,
          cast('0x' || substr(md5(coalesce(url, '')), 1, 6) as bigint) % {every} as fault
   from pages),
+a as (select *, grp * {PARTS} + cast('0x' || substr(sha256(rec), 1, 8) as bigint) % cast(ceil(count(*) over (partition by grp) / {ARCHIVE_RECORDS}.0) as bigint) as archive from r),
 s as (
   select *, cast(coalesce(sum(strlen(rec)) over (partition by archive order by page_id, url, sha256(rec) rows between unbounded preceding and 1 preceding), 0) as bigint) as "offset"
-  from r),
+  from a),
 t as (
   select *, case when fault = 3 then null else cast(strlen(rec) as bigint) end as length_a, case when fault = 3 then null else sha256(rec) end as digest_a,
          case when fault = 2 then null when fault = 1 then cast(strlen(cut) as bigint) else cast(strlen(rec) as bigint) end as length_b,

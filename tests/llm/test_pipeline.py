@@ -21,16 +21,24 @@ def write_tables(spark, folder):
     return texts, item
 
 
+def holds(text, item):
+    """Whether ten consecutive words of the item, or all of a shorter one, stand in the text."""
+    words, own = (decontaminate.words_of(x.encode()) for x in (text, item))
+    size = min(10, len(own))
+    windows = {tuple(own[i : i + size]) for i in range(len(own) - size + 1)}
+    return any(tuple(words[i : i + size]) in windows for i in range(len(words) - size + 1))
+
+
 def test_stages_and_run(spark, tmp_path):
     texts, item = write_tables(spark, str(tmp_path))
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     kept = {i: t for i, t in enumerate(texts)}
     expected = [
-        {i: t for i, t in kept.items() if t and re.search("[^\\W\\d_]", t)},
+        {i: t for i, t in kept.items() if t and re.search("[^\\W\\d_]", t) and t != "z"},
     ]
     prints = {i: simhash.fingerprint(t.encode()) for i, t in expected[0].items()}
     expected.append({i: t for i, t in expected[0].items() if not any(j < i and (prints[i] ^ prints[j]).bit_count() <= 4 for j in prints)})
-    hit = {i: decontaminate.brute_force([t], [(0, item)])[0][4] for i, t in expected[1].items()}
+    hit = {i: holds(t, item) for i, t in expected[1].items()}
     expected.append({i: t for i, t in expected[1].items() if not hit[i]})
     expected.append({i: re.sub("password=abc123def456", "[SECRET]", t) for i, t in expected[2].items()})
     for (name, stage), rows in zip(corpus_pipeline.STAGES[:4], expected, strict=True):
@@ -39,7 +47,7 @@ def test_stages_and_run(spark, tmp_path):
         assert {r.doc_id: r.text for r in docs.collect()} == rows, name
         docs.write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
-    assert sorted(expected[3]) == [3, 6, 9, 10, 11]
+    assert sorted(expected[3]) == [3, 6, 9, 10]
     final = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert sorted(final) == sorted(expected[3])
     import public_tokenizers
@@ -65,10 +73,10 @@ def test_stages_keep_extra_columns_of_any_name(spark, tmp_path):
         docs.write.parquet(f"{tmp_path}/{k}")
         docs = spark.read.parquet(f"{tmp_path}/{k}")
     rows = docs.collect()
-    assert sorted(r.doc_id for r in rows) == [3, 6, 9, 10, 11]
+    assert sorted(r.doc_id for r in rows) == [3, 6, 9, 10]
     assert all(r[len(COLUMNS) + i] == f"{i}-{r.doc_id}" for r in rows for i in range(len(extra)))
     last = corpus_pipeline.STAGES[4][1](spark, docs, str(tmp_path))
-    assert last.count() == 5 and last.columns[0] == "doc_id"
+    assert last.count() == 4 and last.columns[: len(names)] == names
 
 
 def test_stages_of_empty_tables_and_of_nulls(spark, tmp_path):

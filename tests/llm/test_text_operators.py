@@ -275,7 +275,7 @@ def test_language_profiles(spark):
         assert found[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
     assert [found[i].lang_pred for i in (40, 41, 42, 43)] == ["und", "und", "und", "en"] and found[40].score == 0
     assert found[None].lang_pred == "de"
-    kept = language.drop_undetermined(docs)
+    kept = language.keep_known_languages(docs)
     assert kept.columns == docs.columns and kept.count() == 42
     assert language.predict_languages(docs.limit(0)).count() == 0
     unlabelled = docs.withColumn("lang", docs.lang.substr(100, 1)).where("false").unionByName(docs.where("lang is null"))
@@ -304,6 +304,55 @@ def test_gram_counts_equal_plain_counts(monkeypatch):
             assert got == plain_grams(text)
 
 
+def plain_judge(text, grams, size):
+    """Distance to each profile, n-gram by n-gram."""
+    order = lambda g: [ord(c) + 2 if c != " " else 1 for c in g] + [0] * (3 - len(g))
+    counts = plain_grams(text)
+    own = sorted(counts, key=lambda g: (-counts[g], order(g)))[:size]
+    if not own or not grams:
+        return "und", 0.0
+    apart = {lang: sum(abs(ranked.index(g) - i) if g in ranked else size for i, g in enumerate(own)) for lang, ranked in grams.items()}
+    best = min(sorted(apart), key=apart.get)
+    return best, 1 - apart[best] / (size * len(own))
+
+
+def test_distances_equal_brute_force_ties_included(spark, monkeypatch):
+    size = 12
+    monkeypatch.setattr(language, "PROFILE", size)
+    rng = np.random.default_rng(6)
+    texts = {lang: [" ".join("".join(rng.choice(list(signs), rng.integers(1, 5))) for _ in range(rng.integers(1, 12))) for _ in range(20)] for lang, signs in (("aa", "abcd"), ("bb", "cdef"), ("cc", "abcd"))}
+    rows = [(i, t, lang) for i, (lang, t) in enumerate((lang, t) for lang, x in texts.items() for t in x)] + [(100, "same", None), (101, "ab", None), (102, "", "aa"), (103, None, "bb")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    train = docs.where("lang is not null")
+    profiles = language.learn_profiles(train, size)
+    order = lambda g: [ord(c) + 2 if c != " " else 1 for c in g] + [0] * (3 - len(g))
+    grams = {}
+    for lang in ("aa", "bb", "cc"):
+        counts = {}
+        for t in texts[lang]:
+            for g, n in plain_grams(t).items():
+                counts[g] = counts.get(g, 0) + n
+        grams[lang] = sorted(counts, key=lambda g: (-counts[g], order(g)))[:size]
+    for _, text, _ in rows:
+        lang, score, _ = profiles.judge(text)
+        expected = plain_judge(text or "", grams, size)
+        assert lang == expected[0] and abs(score - expected[1]) < 1e-12
+    twins = language.Profiles({"zz": [1 << 42, 2 << 42], "yy": [1 << 42, 2 << 42]}, 2)
+    assert twins.judge("abc")[0] == "yy" and twins.judge("abc")[2] == 0  # equal distances: the smaller name
+
+
+def test_texts_of_no_learned_language_go(spark):
+    rng = np.random.default_rng(3)
+    prose = lambda: " ".join(rng.choice("the cat and the dog went there with that thing over some other house of stone".split(), 60))
+    soup = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"), n))
+    rows = [(i, prose(), "en") for i in range(40)] + [(50, soup(300), None), (51, soup(5000), None), (52, "жуткий лес стоит " * 20, None), (53, "the other house", None), (54, "12 34", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in language.keep_known_languages(docs).collect()) == [*range(40), 53]
+    assert language.keep_known_languages(docs, wanted=("de",)).count() == 0
+    assert language.keep_known_languages(docs.limit(0)).count() == 0
+    assert language.keep_known_languages(docs.withColumn("lang", docs.lang.substr(9, 1)).where("false").unionByName(docs.where("lang is null"))).count() == 4
+
+
 # ---- licences ----
 
 
@@ -317,6 +366,48 @@ def test_licenses(spark):
     assert found[0].digest == found[1].digest == found[5].digest == hashlib.sha256(b"").hexdigest()
 
 
+def test_license_tables_of_any_size_and_repeated_rows(spark):
+    mit = licenses.KNOWN_TEXTS[0][2]
+    texts = [mit, mit, None, "Released under the MIT License.\n" * 3, "x\n" * 20_000 + "Released under the MIT License."]
+    docs = documents(spark, texts).unionByName(documents(spark, texts))
+    known = licenses.known_digests(spark, [*licenses.KNOWN_TEXTS, ("A-MIT", "text", mit)])
+    a, b = (sorted(map(str, licenses.scan_licenses(docs, known, limit).collect())) for limit in (None, 0))
+    assert a == b and len(a) == 2 * (len(texts) + 2)
+    found = {r.doc_id: r for r in licenses.scan_licenses(docs, known).collect()}
+    assert [found[i].license_id for i in range(3)] == ["A-MIT", "A-MIT", None] and [found[i].n_notices for i in (3, 4)] == [3, 1]
+    assert licenses.scan_licenses(docs.limit(0)).count() == 0
+    odd = docs.selectExpr("doc_id", "text", "1 as digest", "2 as license_id", "3 as kind", "4 as at")
+    assert sorted(map(str, licenses.scan_licenses(odd, known).collect())) == a
+
+
+# ---- more of the vocabulary ----
+
+
+def test_a_vocabulary_from_a_table(spark, monkeypatch):
+    terms = spark.createDataFrame([("Gold", "strict"), ("deal", "soft"), ("sale", "soft"), ("deal", "soft"), ("", "soft"), (None, "soft"), ("x", "other")], "term string, kind string")
+    words = urls.vocabulary_of(terms)
+    assert words == urls.Vocabulary(("gold",), ("deal", "sale")) and words.automaton() is words.automaton()
+    pages = spark.createDataFrame([(1, "http://a.org/gold"), (2, "http://a.org/deal-deal"), (3, "http://a.org/deal/sale"), (4, "http://a.org/golden")], "page_id long, url string")
+    assert [r.verdict for r in sorted(urls.judge_urls(pages, vocabulary=words).collect())] == ["block", "allow", "block", "allow"]
+    monkeypatch.setattr(urls, "MAX_TERMS", 2)
+    with pytest.raises(ValueError):
+        urls.vocabulary_of(terms)
+
+
+def test_pieces_keep_columns_and_take_empty_tables(spark):
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = documents(spark).withColumnRenamed("fp", "ids").withColumnRenamed("bucket", "a.b")
+    found = pieces.encode_documents(docs, model, keep_columns=True)
+    assert found.columns == [*docs.columns, "n_tokens", "ids_sha256", "decoded_sha256", "ids_"]
+    assert found.count() == len(TEXTS) + 2 and {r["a.b"] for r in found.collect()} == {"y", None}
+    assert pieces.encode_documents(docs.limit(0), model).count() == 0
+    long = spark.createDataFrame([(1, "x" * 300_000), (2, "ab " * 100_000)], "doc_id long, text string")
+    table = pieces.ChunkTable(model)
+    assert sorted(r.n_tokens for r in pieces.encode_documents(long, model).collect()) == sorted(len(table.lib.encode(t)) for t in ("x" * 300_000, "ab " * 100_000))
+
+
 # ---- lookup sketches ----
 
 
@@ -372,6 +463,37 @@ def test_audit_finds_exactly_the_damage(spark):
     assert found == {(1, 35000): (1007, "first_only"), (2, 0): (2000, "changed"), (70000, 595000): (70000119, "changed"), (3, 0): (5, "second_only")}
     assert warc.audit(replica([]), replica([])).count() == 0
     assert warc.audit(same, replica([])).count() == len(rows)
+    big = [(1, 0, 500_000, "x", 1), (1, 500_000, 10, "y", 2)]  # a record larger than a range
+    assert [r.page_id for r in warc.audit(replica(big), replica([(1, 0, 500_000, "z", 1), big[1]])).collect()] == [1]
+
+
+def test_only_branches_with_a_mismatch_are_read(spark, monkeypatch):
+    read = []
+    inner = warc._children
+    monkeypatch.setattr(warc, "_children", lambda tree, level, wrong, named: read.append(level) or inner(tree, level, wrong, named))
+    rows = [(a, o * 5000, 4000, f"d{a}.{o}", a * 1000 + o) for a in range(20) for o in range(50)]
+    schema = "archive long, offset long, length long, digest string, page_id long"
+    same = spark.createDataFrame(rows, schema)
+    assert warc.audit(same, same).count() == 0 and set(read) == {warc.RANGE_LEVELS + 2 + warc.BUCKET_LEVELS}
+    tree = warc.merkle_tree(same)
+    one = tree.where("level = 0 and archive = 3").orderBy("node").head()
+    wrong = spark.createDataFrame([(3, one.up)], "archive long, node long")
+    below = inner(tree, 0, wrong, wrong.collect())
+    assert {r.archive for r in below.collect()} == {3} and "In(up" in below._jdf.queryExecution().executedPlan().toString().replace("EqualTo(up", "In(up")
+
+
+def test_audit_of_pages_with_nulls_repeats_and_other_columns(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_RECORDS", 8)
+    pages = spark.createDataFrame([(7, f"http://a/{i}", "x" * i, 1, "d") for i in range(150)] + [(None, f"http://b/{i}", None, 2, "d") for i in range(60)], "page_id long, url string, html string, archive int, digest string")
+    records = warc.warc_records(pages)
+    sizes = records.groupBy("archive").count().collect()
+    assert records.count() == 210 and len(sizes) > 15 and max(r["count"] for r in sizes) < 40
+    first, second = warc.damaged_replicas(pages, every=11)
+    found = warc.audit(first, second)
+    a = {(r.archive, r.offset): r.digest for r in first.collect()}
+    b = {(r.archive, r.offset): r.digest for r in second.collect()}
+    assert {(r.archive, r.offset) for r in found.collect()} == {k for k in a.keys() | b.keys() if a.get(k) != b.get(k)} != set()
+    assert warc.audit_pages(pages.limit(0)).count() == 0
 
 
 def test_records_with_nulls(spark):
