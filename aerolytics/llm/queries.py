@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolytics.llm import centroids, decontaminate, iblt, language, licenses, ngram_trie, pieces, secrets, simhash, urls, warc
-from aerolytics.llm.common import read_table
+from aerolytics.llm import centroids, decontaminate, iblt, language, licenses, ngram_trie, pieces, secrets, simhash, token_files, urls, warc
+from aerolytics.llm.common import read_table, shared_dir
 
 
 def op1_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,10 +54,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = shared_dir(spark)
+    token_files.write_token_files(read_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), end=2)
+    return token_files.read_token_files(spark, folder, keep_ids=False)
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_vectors(read_table(spark, sf_dir, "embeddings"))[0]
 
 
-_OPERATORS = (op1_merkle_audit, op2_lookup_sketch, op3_ngram_trie, op4_language, op5_licenses, op6_sentencepiece, op7_url_filter, op8_simhash, op9_secrets, op10_decontamination, op12_centroids)
+_OPERATORS = (op1_merkle_audit, op2_lookup_sketch, op3_ngram_trie, op4_language, op5_licenses, op6_sentencepiece, op7_url_filter, op8_simhash, op9_secrets, op10_decontamination, op11_token_files, op12_centroids)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _OPERATORS}
 ORACLE_SQL: dict[str, str] = {"op1_merkle_audit": warc.oracle(), "op2_lookup_sketch": iblt.oracle(), "op5_licenses": licenses.oracle(), "op7_url_filter": urls.oracle(), "op10_decontamination": decontaminate.oracle(), "op12_centroids": centroids.oracle()}

@@ -5,7 +5,7 @@ from aerolytics.llm import queries
 
 
 def test_one_query_for_each_operator():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in [*range(1, 11), 12]]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 13)]
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
