@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolytics.llm import centroids, decontaminate, iblt, language, licenses, ngram_trie, pieces, secrets, simhash, token_files, urls, warc
+from aerolytics.llm import bit_slices, centroids, decontaminate, iblt, language, licenses, ngram_trie, pieces, secrets, simhash, token_files, urls, warc
 from aerolytics.llm.common import read_table, shared_dir
 
 
@@ -66,6 +66,10 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_vectors(read_table(spark, sf_dir, "embeddings"))[0]
 
 
-_OPERATORS = (op1_merkle_audit, op2_lookup_sketch, op3_ngram_trie, op4_language, op5_licenses, op6_sentencepiece, op7_url_filter, op8_simhash, op9_secrets, op10_decontamination, op11_token_files, op12_centroids)
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_slices.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+_OPERATORS = (op1_merkle_audit, op2_lookup_sketch, op3_ngram_trie, op4_language, op5_licenses, op6_sentencepiece, op7_url_filter, op8_simhash, op9_secrets, op10_decontamination, op11_token_files, op12_centroids, op13_ranked_search)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _OPERATORS}
-ORACLE_SQL: dict[str, str] = {"op1_merkle_audit": warc.oracle(), "op2_lookup_sketch": iblt.oracle(), "op5_licenses": licenses.oracle(), "op7_url_filter": urls.oracle(), "op10_decontamination": decontaminate.oracle(), "op12_centroids": centroids.oracle()}
+ORACLE_SQL: dict[str, str] = {"op1_merkle_audit": warc.oracle(), "op2_lookup_sketch": iblt.oracle(), "op5_licenses": licenses.oracle(), "op7_url_filter": urls.oracle(), "op10_decontamination": decontaminate.oracle(), "op12_centroids": centroids.oracle(), "op13_ranked_search": bit_slices.oracle()}
