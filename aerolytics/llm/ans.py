@@ -14,7 +14,7 @@ LANES = 4
 LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)
 #: Padded symbols that one pass of NumPy steps goes through.
-TOGETHER = 2 << 20
+TOGETHER = 4 << 20
 
 
 class Table:

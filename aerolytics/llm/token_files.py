@@ -21,9 +21,11 @@ from __future__ import annotations
 
 import itertools
 import json
+import re
 import unicodedata
 import uuid
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -41,21 +43,34 @@ from aerolytics.llm.common import map_batches, shared_dir, ship, small_batches
 
 #: Ids of a block, of a file (about), and of a reader's slice of a file.
 BLOCK, FILE_IDS, SLICE_IDS = 4_096, 64 << 20, 8 << 20
+#: Bytes of packed ids that are coded at once.
+TOGETHER_BYTES = 8 << 20
 #: What a document counts in a file's size beside its ids.
 DOCUMENT = 64
 MAGIC = b"ANSIDS01"
-#: Distinct words that a worker remembers, and their code points together; beyond, the table starts anew.
-TABLE_WORDS, TABLE_SIGNS = 400_000, 16 << 20
+#: Distinct chunks that a worker remembers (from one batch to the next), and their code points together; beyond, the table starts anew.
+TABLE_CHUNKS, TABLE_SIGNS = 800_000, 16 << 20
 
 
 # ---- texts to ids ----
 
 
+#: Letters outside ASCII that every Unicode version takes for letters.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_PLAIN = re.compile(f"[\x00-\x7f{_LETTERS}]*")
+#: Where a byte-level tokenizer cuts texts of these signs.
+_CHUNK = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{_LETTERS}]+| ?[0-9]+| ?[^ \t-\r0-9{_LETTERS}]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
+
+#: A chunk of such signs by itself.
+_ALONE = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{_LETTERS}]+| ?[0-9]+| ?[\\x00-\\x08\\x0e-\\x1f!-/:-@\\[-`{{-\\x7f]+|[ \\t-\\r]+")
+
+
 class Words:
-    """Ids of texts under a byte-level tokenizer, each distinct word encoded once.
+    """Ids of texts under a byte-level tokenizer, each distinct chunk encoded once by the library's model.
 
-    Such a tokenizer always cuts before a blank that a printable sign follows, so the parts between those blanks
-    are encoded apart from each other.  Tokenizers of another build encode each text whole.
+    Such a tokenizer first cuts a text by a fixed pattern.  Texts of ASCII and Latin letters are cut here; of others the
+    parts between blanks (before a printable sign, where it always cuts) are, and what has further signs is left to the
+    library whole, as are parts with the strings of special tokens and all texts under tokenizers of another build.
     """
 
     def __init__(self, path: str):
@@ -66,40 +81,51 @@ class Words:
         plan = json.loads(self.lib.to_str())
         pre = plan["pre_tokenizer"] or {}
         plain = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and plan["normalizer"] is None and plan["truncation"] is None and plan["padding"] is None
-        added = [t for t in plan["added_tokens"] if " " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"]]
-        self.parts = bool(plain) and not added
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.signs = 0
+        self.special = [t["content"] for t in plan["added_tokens"]]
+        self.parts = bool(plain) and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] or _ALONE.fullmatch(t["content"]) for t in plan["added_tokens"])
+        if self.parts:
+            latin = [chr(c) for c in range(0x250)]
+            self.signs_of = {ord(c): self.lib.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in latin}  # each sign's bytes, as the model spells them
+            self.known = Chunks(self)
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
     def cut(self, text: str) -> list[str]:
-        """The parts of a text: the first as it is, the others without the blank before them."""
+        """The chunks of a text, and parts that are left to the library."""
+        odd = any(map(text.__contains__, self.special))
+        if not odd and _PLAIN.fullmatch(text):
+            return _CHUNK.findall(text)
         parts = text.split(" ")
-        if all(map(str.isalnum, parts)):
-            return parts
         out = parts[:1]
         for p in parts[1:]:
-            if p and p[0].isprintable() and unicodedata.category(p[0])[0] not in "CZ":
-                out.append(p)
+            if p and ("!" <= p[0] <= "~" or p[0].isprintable() and unicodedata.category(p[0])[0] not in "CZ"):
+                out.append(" " + p)
             else:  # runs of blanks stay together
                 out[-1] += " " + p
-        return out
+        cuts = [[p] if odd and any(map(p.__contains__, self.special)) or not _PLAIN.fullmatch(p) else _CHUNK.findall(p) for p in out]
+        return list(itertools.chain.from_iterable(cuts))
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         if not self.parts:
             return [np.array(x, np.uint32) for x in self.whole(texts)]
-        cut = [self.cut(t) for t in texts]
-        new = list(set(itertools.chain.from_iterable(p[1:] for p in cut)).difference(self.known))
-        if len(self.known) + len(new) > TABLE_WORDS or self.signs > TABLE_SIGNS:
-            self.known.clear()
-            self.signs, new = 0, list(set(itertools.chain.from_iterable(p[1:] for p in cut)))
-        self.signs += sum(map(len, new))
-        for at in range(0, len(new), 10_000):
-            self.known.update(zip(new[at : at + 10_000], map(tuple, self.whole([" " + p for p in new[at : at + 10_000]])), strict=True))
-        first = self.whole([p[0] for p in cut])
-        return [np.fromiter(itertools.chain(f, itertools.chain.from_iterable(map(self.known.__getitem__, p[1:]))), np.uint32) for f, p in zip(first, cut, strict=True)]
+        if len(self.known) > TABLE_CHUNKS or self.known.signs > TABLE_SIGNS:
+            self.known = Chunks(self)
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, self.cut(t))), np.uint32) for t in texts]
+
+
+class Chunks(dict):
+    """The packed ids of each distinct chunk, made when it is first asked for."""
+
+    def __init__(self, words: Words):
+        self.words, self.signs = words, 0
+        self.tokenize, self.spelling = words.lib.model.tokenize, words.signs_of
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = [t.id for t in self.tokenize(chunk.translate(self.spelling))] if _ALONE.fullmatch(chunk) else self.words.whole([chunk])[0]
+        self.signs += len(chunk)
+        found = self[chunk] = array("I", ids).tobytes()
+        return found
 
 
 @lru_cache(maxsize=4)
@@ -130,8 +156,8 @@ def id_counts(held: DataFrame, size: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for x in batch.column("ids"):
-                total += np.bincount(np.frombuffer(x.as_buffer(), kind), minlength=size)
+            if batch.num_rows:
+                total += np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), kind), minlength=size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["id", "n"])
 
@@ -167,26 +193,38 @@ def coded(held: DataFrame, ranges: list[tuple[tuple, int]], table: ans.Table, si
     """(file, named, doc_id, crc, seq, n, sizes, payload): each document's blocks, coded where its ids are."""
     kind = "<u2" if size <= 1 << 16 else "<u4"
     shared = held.sparkSession.sparkContext.broadcast(([low for low, _ in ranges], table.to_bytes()))
-    cache: list[ans.Table] = []
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lows, packed = shared.value
-        if not cache:
-            cache.append(ans.Table.from_bytes(packed))
-        rows = [np.frombuffer(x.as_buffer(), kind) for x in batch.column("ids")]
+    def pack(held: list[pa.RecordBatch], lows: list[tuple], scale: ans.Table) -> pa.RecordBatch:
+        batch = pa.Table.from_batches(held).combine_chunks()
+        rows = [np.frombuffer(x.as_buffer(), kind) for x in batch["ids"]]
         blocks = [x[a : a + BLOCK] for x in rows for a in range(0, len(x), BLOCK)]
-        made = ans.encode(blocks, cache[0])
+        made = ans.encode(blocks, scale)
         cuts = np.cumsum([0, *(-(-len(x) // BLOCK) for x in rows)])
-        keys = [_order(*k) for k in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "crc", "seq")), strict=True)]
+        keys = [_order(*k) for k in zip(*(batch[c].to_pylist() for c in ("doc_id", "crc", "seq")), strict=True)]
         own = [made[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         columns = {
             "file": pa.array([max(bisect_right(lows, k) - 1, 0) for k in keys], pa.int32()), "named": pa.array([k[0] for k in keys]),
-            "doc_id": pa.array([k[1] for k in keys], pa.int64()), "crc": batch.column("crc"), "seq": batch.column("seq"), "n": batch.column("n"),
-            "sizes": pa.array([list(map(len, b)) for b in own], pa.list_(pa.int32())), "payload": pa.array([b"".join(b) for b in own], pa.binary()),
+            "doc_id": pa.array([k[1] for k in keys], pa.int64()), "crc": pa.array([k[2] for k in keys], pa.int64()), "seq": pa.array([k[3] for k in keys], pa.int64()),
+            "n": pa.array(list(map(len, rows)), pa.int64()), "sizes": pa.array([list(map(len, b)) for b in own], pa.list_(pa.int32())), "payload": pa.array([b"".join(b) for b in own], pa.binary()),
         }
         return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return map_batches(held.select("doc_id", "crc", "seq", "n", "ids"), run, "file int, named boolean, doc_id long, crc long, seq long, n long, sizes array<int>, payload binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lows, packed = shared.value
+        scale, held, size = ans.Table.from_bytes(packed), [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            if size >= TOGETHER_BYTES:  # blocks of several batches share NumPy's steps
+                yield pack(held, lows, scale)
+                held, size = [], 0
+        if held:
+            yield pack(held, lows, scale)
+
+    small_batches(held.sparkSession)
+    ship(held.sparkSession)
+    return held.select("doc_id", "crc", "seq", "ids").mapInArrow(run, "file int, named boolean, doc_id long, crc long, seq long, n long, sizes array<int>, payload binary")
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end: int, file_ids: int = FILE_IDS) -> None:
