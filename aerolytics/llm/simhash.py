@@ -29,8 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from aerolytics.llm.common import free_names, map_batches, stored, utf8_rows
+from aerolytics.llm.common import map_batches, stored, utf8_rows
 from aerolytics.llm.components import component_labels
+from aerolytics.llm.survivors import dealt, decided, survivors, text_hash
 
 SHINGLE, RADIUS, SEED, BITS = 4, 4, 42, 64
 #: Fingerprints of a bucket that are compared at once.
@@ -131,27 +132,32 @@ def _xor(numbers: tuple[int, ...]) -> int:
     return out
 
 
-def link_documents(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
-    """(doc_id, fp, component_id): the component's smallest doc_id, the document's own included."""
+def print_groups(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+    """(fp, label, component_id) of each distinct fingerprint of (doc_id, fp): its component and the smallest doc_id of that; stored."""
     if radius % 2:
         raise ValueError("buckets of any size are handled for an even radius only")
-    prints = stored(fingerprints(docs, shingle))
     points = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     labels = component_labels(near_edges(points, radius, bucket))
     linked = points.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     roots = linked.groupBy("label").agg(F.min("first").alias("component_id"))
-    found = stored(linked.select("fp", "label").join(roots, "label").select("fp", "component_id"))
-    return prints.join(found, "fp").select("doc_id", "fp", "component_id")
+    return stored(linked.select("fp", "label").join(roots, "label").select("fp", "label", "component_id"))
+
+
+def link_documents(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
+    """(doc_id, fp, component_id): the component's smallest doc_id, the document's own included."""
+    prints = stored(fingerprints(docs, shingle))
+    found = print_groups(prints, radius, bucket).select("fp", "component_id")
+    return dealt(prints, found, ["fp"], "doc_id").select("doc_id", "fp", "component_id")
+
 
+def keep_one_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """One row of each component of fingerprints (see ``survivors``), with its own columns; other texts stay, whatever their ids."""
 
-def keep_one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The documents whose doc_id is their component's smallest, with their own columns.
+    def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = np.array([fingerprint(x, shingle) for x in utf8_rows(batch.column("text"))], "<u8")
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(found.view("<i8"))], ["doc_id", "th", "node"])
 
-    Of rows that repeat a kept id, the one with the smallest text stays.  Rows without doc_id
-    can't be named in a component; of these, one of each text stays.
-    """
-    own, row = free_names(docs, "_kept", "_row")
-    kept = link_documents(docs, radius).select(F.col("component_id").alias(own)).where(F.col(own).isNotNull()).distinct()
-    found = docs.join(kept, F.col("doc_id") == F.col(own), "left_semi")
-    first = found.withColumn(row, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(row) == 1).drop(row)
-    return first.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+    keyed = docs.select("doc_id", text_hash(F.col("text")).alias("th"), "text")
+    rows = stored(map_batches(keyed, sign, f"doc_id {dict(docs.dtypes)['doc_id']}, th long, node long"))
+    groups = print_groups(rows.select("doc_id", F.col("node").alias("fp")), radius).select(F.col("fp").alias("node"), "label")
+    return survivors(docs, decided(rows, groups))

@@ -2,9 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from aerolytics.llm import near_copies, simhash
+from aerolytics.llm import near_copies, simhash, survivors
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -47,8 +48,8 @@ def test_stage_drops_edited_copies(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.STAGES[1][1](spark, docs, "").collect()) == [0, 2]
 
 
-@pytest.mark.parametrize("bucket", [near_copies.BUCKET, 3])
-def test_components_equal_all_pairs(spark, monkeypatch, bucket):
+@pytest.mark.parametrize("bucket, exact", [(near_copies.BUCKET, False), (3, False), (3, True)])
+def test_components_equal_all_pairs(spark, monkeypatch, bucket, exact):
     monkeypatch.setattr(near_copies, "BUCKET", bucket)
     rng = np.random.default_rng(6)
     words = ["".join(rng.choice(list("abcdefghijklmnop"), 5)) for _ in range(300)]
@@ -61,5 +62,39 @@ def test_components_equal_all_pairs(spark, monkeypatch, bucket):
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
     labels = plain_labels(texts)
     assert 10 < len(set(labels)) < len(texts) - 20
-    assert sorted(r.doc_id for r in near_copies.keep_one_of_each(docs).collect()) == sorted(set(labels))
+    assert sorted(r.doc_id for r in near_copies.keep_one_of_each(docs, exact).collect()) == sorted(set(labels))
     assert near_copies.keep_one_of_each(docs.limit(0)).count() == 0
+
+
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omikron pi rho sigma tau ypsilon phi chi psi omega one two three four five six"
+OTHER = "this text is unlike everything else that stands here"
+
+
+@pytest.mark.parametrize("limit", [survivors.BROADCAST_BYTES, 0])
+def test_unique_texts_stay_whatever_their_ids(spark, monkeypatch, limit):
+    monkeypatch.setattr(survivors, "BROADCAST_BYTES", limit)
+    kept = lambda rows: sorted(((r.doc_id, r.text) for r in near_copies.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string, `_th.x` int")).collect()), key=str)
+    assert kept([(3, WORDS + " tail", 0), (5, WORDS, 1), (5, OTHER, 2)]) == [(3, WORDS + " tail"), (5, OTHER)]
+    assert kept([(3, WORDS, 0), (None, WORDS, 1)]) == [(3, WORDS)]
+    assert kept([(None, WORDS, 0), (None, WORDS, 0), (None, OTHER, 0), (7, OTHER, 1), (7, OTHER, 1)]) == [(7, OTHER), (None, WORDS)]
+    assert kept([(None, None, 0), (None, "", 1), (4, " ", 2)]) == [(4, " ")]
+
+
+def test_of_equal_rows_one_stays_by_its_other_columns(spark):
+    rows = [(1, WORDS, {"k": i}, f"v{i}") for i in range(40)]
+    found = [near_copies.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>, v string").repartition(n)).collect() for n in (1, 7)]
+    assert len(found[0]) == 1 and found[0] == found[1]
+
+
+def test_a_hot_group_spreads_over_tasks(spark, monkeypatch):
+    """A third of all rows in one component: neither labels nor verdicts gather them in a task."""
+    monkeypatch.setattr(survivors, "BROADCAST_BYTES", 0)
+    rows = spark.range(3_000).selectExpr("id as doc_id", "id * 7 as th", "if(id < 1000, 5, id) as node")
+    labels = spark.createDataFrame([(5, 4)], "node long, label long")
+
+    placed = survivors.dealt(rows, labels, ["node"], "th")
+    plan = placed._jdf.queryExecution().optimizedPlan().toString()
+    assert "_place" in plan
+    sizes = rows.withColumn("_place", F.pmod(F.xxhash64("th"), F.lit(survivors.PARTS))).where("node = 5").groupBy("_place").count()
+    assert sizes.agg(F.max("count")).head()[0] < 1_000 / 20
+    assert survivors.decided(rows, labels).count() == 999
