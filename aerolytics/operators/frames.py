@@ -14,12 +14,10 @@ from pyspark.sql import Window
 
 from aerolytics.operators.attach import attach
 from aerolytics.operators.ordered import lagged, last_known, running_sum
+from aerolytics.operators.validity import MAX_ITERATION_JUMP, MAX_TIME_JUMP, STATE, WRAP, Fold, validate_logs  # noqa: F401
 from aerolytics.scratch import stored
 from aerolytics.ship import ship
 
-MAX_TIME_JUMP, MAX_ITERATION_JUMP = 10_000_000, 5_000
-WRAP = 1 << 32
-
 
 # ---- time ----
 
@@ -87,101 +85,6 @@ def skipped_after(frames: DataFrame, config: DataFrame, most: int = 10_001, orde
 
 # ---- validity ----
 
-STATE = "valid boolean, last_iteration long, last_time long, ended boolean, added long"
-#: Kinds of rows that leave the stream's validity alone: other frames, other events, sync beeps.
-QUIET = frozenset("BGHSV")
-
-
-@dataclass
-class Fold:
-    """The validity of one log's stream, and its 64-bit time, row by row.
-
-    ``kind`` is I or P for main frames, R for a resume event (its iteration and time are the new
-    reference), E for the end of the log, B for a sync beep, G, H, S and V for other frames and events;
-    anything else is unreadable bytes.  32-bit time is measured from the last *valid* main frame: what
-    lies less than ten seconds behind it has run over, and 2^32 is added from then on.  ``raw`` skips
-    the checks of iteration and time.
-    """
-
-    valid: bool = False
-    last_i: int = -1
-    last_t: int = -1
-    ended: bool = False
-    added: int = 0
-    raw: bool = False
-
-    def run(self, kind: np.ndarray, iteration: np.ndarray, time32: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Verdicts (1 valid, 0 not, -1 for rows that are no main frame or come after the end) and times."""
-        n = len(kind)
-        out, times = np.full(n, -1, np.int8), np.zeros(n, np.int64)
-        iteration, low = iteration.astype(np.int64) % WRAP, time32.astype(np.int64) % WRAP
-        main = (kind == "I") | (kind == "P")
-        # Rows that simply go on from the row before; where that one was valid, so are these, without a look at each.
-        di, dt = np.diff(iteration, prepend=-1), np.diff(low, prepend=-1)
-        plain = main & (dt >= 0) & (self.raw | ((di >= 0) & (di < MAX_ITERATION_JUMP) & (dt < MAX_TIME_JUMP)))
-        breaks = np.append(np.flatnonzero(~plain), n)
-        j, smooth = 0, False
-        while j < n:
-            if smooth and plain[j]:
-                end = int(breaks[np.searchsorted(breaks, j)])
-                out[j:end], times[j:end] = 1, low[j:end] + self.added
-                self.last_i, self.last_t, j = int(iteration[end - 1]), int(times[end - 1]), end
-                continue
-            k, i, t = kind[j], int(iteration[j]), int(low[j])
-            smooth = False
-            if not self.ended and main[j]:
-                if self.last_t != -1:
-                    last = self.last_t % WRAP
-                    if t < last and (t - last) % WRAP < MAX_TIME_JUMP:
-                        self.added += WRAP
-                t += self.added
-                fits = self.raw or self.last_i == -1 or (self.last_i <= i < self.last_i + MAX_ITERATION_JUMP and self.last_t <= t < self.last_t + MAX_TIME_JUMP)
-                self.valid = fits if k == "I" else self.valid and fits
-                out[j] = smooth = self.valid
-                if self.valid:
-                    self.last_i, self.last_t = i, t
-            else:
-                t += self.added
-                if not self.ended:
-                    if k == "R":
-                        self.last_i, self.last_t = i, t
-                    elif k == "E":
-                        self.ended = True
-                    elif k not in QUIET:
-                        self.valid = False
-            times[j] = t
-            j += 1
-        return out, times
-
-
-def validate_logs(stream: DataFrame, raw: bool = False) -> DataFrame:
-    """(log_id, stream_seq, kind, iteration, time, valid) of (log_id, stream_seq, kind, iteration, time32).
-
-    ``time`` is the 64-bit time; ``valid`` is null for rows that are no main frame or come after the end.
-    The fold needs the rows of a log one after the other, but never all at once: they are sorted within
-    the task and pass in batches, with a state of a few numbers.  Rows without log_id belong to no log and go.
-    """
-    ship(stream.sparkSession)
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        log, state = object(), Fold()
-        for pdf in batches:
-            ids = pdf["log_id"].to_numpy()
-            cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)] if len(ids) else []
-            found, times = np.empty(len(ids), np.int8), np.empty(len(ids), np.int64)
-            kind, iteration, time32 = (pdf[c].to_numpy() for c in ("kind", "iteration", "time32"))
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if ids[a] != log:
-                    log, state = ids[a], Fold(raw=raw)
-                found[a:b], times[a:b] = state.run(kind[a:b], iteration[a:b], time32[a:b])
-            yield pdf.assign(time=times, valid=pd.array(found == 1, "boolean")).assign(valid=lambda x: x["valid"].mask(found < 0))[["log_id", "stream_seq", "kind", "iteration", "time", "valid"]]
-
-    kinds = dict(stream.dtypes)
-    rows = stream.select("log_id", "stream_seq", "kind", F.coalesce(F.col("iteration").cast("long"), F.lit(0)).alias("iteration"), F.coalesce(F.col("time32").cast("long"), F.lit(0)).alias("time32"))
-    ordered = rows.where("log_id is not null").repartition("log_id").sortWithinPartitions("log_id", "stream_seq")
-    return ordered.mapInPandas(fold, f"log_id {kinds['log_id']}, stream_seq {kinds['stream_seq']}, kind string, iteration long, time long, valid boolean")
-
-
 def frame_gaps(frames: DataFrame, order: str = "stream_seq", iteration: str = "loop_iteration") -> DataFrame:
     """Adds ``gap``: whether a frame steps back or jumps from the one right before; no fold needed."""
     found = lagged(frames, ["log_id"], order, {"_i": iteration, "_t": "time"})
