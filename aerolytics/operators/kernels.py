@@ -53,12 +53,3 @@ def wiener_steps(setpoint: np.ndarray, gyro: np.ndarray, size: np.ndarray, floor
         steps[of] /= np.where(level > 1e-6, level, 1.0)[:, None]
     steps[top[:, 0] == 0] = np.nan
     return steps
-
-
-def transfer_phase(source: np.ndarray, result: np.ndarray, rate: float, low: float, high: float) -> tuple[np.ndarray, np.ndarray]:
-    """Frequencies inside the range with enough input, and the angle of result by source there."""
-    x, y = np.fft.rfft(source), np.fft.rfft(result)
-    freq = np.fft.rfftfreq(len(source), 1.0 / rate)
-    size = np.abs(x)
-    keep = (freq >= low) & (freq <= high) & (size > size.max() * 1e-6)
-    return freq[keep], np.angle(y[keep] / x[keep])

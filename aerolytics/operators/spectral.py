@@ -18,6 +18,7 @@ from pyspark.sql import Window
 
 from aerolytics.operators import kernels
 from aerolytics.operators.attach import attach
+from aerolytics.operators.delays import correlation_delay, filter_delays, phase_delay  # noqa: F401
 from aerolytics.operators.ordered import with_guests
 from aerolytics.ship import ship
 
@@ -267,62 +268,3 @@ def compare_responses(signals: DataFrame, catalog: DataFrame, least: int = 100)
     sides = size.join(median_rate(one).select("log_id", "rate_khz"), "log_id")
     rated = attach(kept, sides, KEYS)
     return step_response(rated.select(*KEYS, (F.col("frame_seq") - F.col("_first")).alias("i"), "setpoint", "gyro", "rate_khz"))
-
-
-def correlation_delay(signal: DataFrame, raw: str, filtered: str, rate_hz: float, max_delay_ms: float = 10.0, digits: int | None = None) -> DataFrame:
-    """(keys, lag, delay_ms) of the largest correlation of ``filtered`` with ``raw`` at lags from 0; the smallest lag among equals.
-
-    0 for fewer than ten rows or a constant signal.  One window pass: a lag is a ``lead`` of the filtered signal.
-    ``digits`` rounds the correlations before they are compared, so that sums in another order give the same lag.
-    """
-    most = int(max_delay_ms * rate_hz / 1000.0)
-    stats = signal.groupBy(*KEYS).agg(F.count("*").alias("n"), *[f(F.col(c).cast("double")).alias(f"{c}_{a}") for c in (raw, filtered) for f, a in ((F.avg, "m"), (F.stddev_pop, "s"))])
-    fair = (F.col("n") >= 10) & (F.col(f"{raw}_s") >= 1e-10) & (F.col(f"{filtered}_s") >= 1e-10)
-    norm = lambda c: (F.col(c) - F.col(f"{c}_m")) / F.col(f"{c}_s")
-    held = attach(signal, stats.where(fair), KEYS, order="i").select(*KEYS, "i", "n", norm(raw).alias("r"), norm(filtered).alias("f"))
-    order = Window.partitionBy(*KEYS, "_chunk").orderBy("i")
-    led = with_guests(held, "i", 0, most).select(*KEYS, "n", "_guest", *[(F.col("r") * F.lead("f", k).over(order)).alias(f"c{k}") for k in range(most + 1)]).where("not _guest")
-    sums = led.groupBy(*KEYS).agg(F.first("n").alias("n"), *[F.sum(f"c{k}").alias(f"c{k}") for k in range(most + 1)])
-    lags = F.filter(F.array(*[F.struct((F.col(f"c{k}") if digits is None else F.round(f"c{k}", digits)).alias("c"), F.lit(-k).alias("k")) for k in range(most + 1)]), lambda x: (-x["k"] <= F.floor(F.col("n") / 2)) & x["c"].isNotNull())
-    best = sums.select(*KEYS, (-F.array_max(lags)["k"]).alias("lag"))
-    return stats.select(*KEYS).join(best, KEYS, "left").select(*KEYS, F.coalesce("lag", F.lit(0)).alias("lag"), (F.coalesce("lag", F.lit(0)) / rate_hz * 1000.0).alias("delay_ms"))
-
-
-def phase_delay(signal: DataFrame, raw: str, filtered: str, rate_hz: float, low: float = 50.0, high: float = 200.0) -> DataFrame:
-    """(keys, delay_ms) from the slope of the transfer function's phase between two frequencies; 0 if it can't be told or is negative.
-
-    The transform needs a whole signal of one log and axis in a task; unwrapping and the fit are Spark's.
-    """
-    ship(signal.sparkSession)
-    kind = dict(signal.dtypes)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        if len(pdf) < 64:
-            return pdf.iloc[:0][["log_id", "axis"]].assign(freq=0.0, angle=0.0)
-        freq, angle = kernels.transfer_phase(pdf["r"].to_numpy(), pdf["f"].to_numpy(), rate_hz, low, high)
-        return pd.DataFrame({"log_id": pdf["log_id"].iloc[0], "axis": pdf["axis"].iloc[0], "freq": freq, "angle": angle})
-
-    phases = signal.select(*KEYS, "i", F.col(raw).cast("double").alias("r"), F.col(filtered).cast("double").alias("f")).groupBy(*KEYS).applyInPandas(run, f"log_id {kind['log_id']}, axis string, freq double, angle double")
-    order = Window.partitionBy(*KEYS).orderBy("freq")
-    step = F.col("angle") - F.lag("angle").over(order)
-    turn = step - F.pmod(step + F.lit(np.pi), F.lit(2 * np.pi)) + F.lit(np.pi)  # whole turns of the step
-    turn = F.when((F.pmod(step + F.lit(np.pi), F.lit(2 * np.pi)) == 0) & (step > 0), turn - 2 * np.pi).otherwise(turn)
-    turns = phases.withColumn("turn", F.coalesce(F.when(F.abs(step) >= np.pi, turn), F.lit(0.0)))
-    line = turns.withColumn("phase", F.col("angle") - F.sum("turn").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*KEYS).agg(F.count("*").alias("n"), F.regr_slope("phase", "freq").alias("slope"))
-    delay = F.when(F.col("n") >= 3, F.greatest(F.lit(0.0), -F.col("slope") / (2 * np.pi) * 1000.0))
-    return signal.select(*KEYS).distinct().join(line, KEYS, "left").select(*KEYS, F.coalesce(delay, F.lit(0.0)).alias("delay_ms"))
-
-
-def filter_delays(signal: DataFrame, rate_hz: float, pairs: dict[str, tuple[str, str] | None], reference_hz: float = 100.0, max_delay_ms: float = 10.0, digits: int | None = None) -> DataFrame:
-    """(keys, <name>_delay_ms, <name>_phase_deg ...) for pairs of raw and filtered columns; an absent pair gives 0."""
-    from aerolytics.functions.units import phase_shift_degrees
-
-    out = signal.select(*KEYS).distinct()
-    for name, pair in pairs.items():
-        if pair is None:
-            out = out.withColumn(f"{name}_delay_ms", F.lit(0.0))
-        else:
-            out = out.join(correlation_delay(signal, *pair, rate_hz, max_delay_ms, digits).select(*KEYS, F.col("delay_ms").alias(f"{name}_delay_ms")), KEYS)
-        out = out.withColumn(f"{name}_phase_deg", phase_shift_degrees(F.col(f"{name}_delay_ms"), F.lit(reference_hz)))
-    return out

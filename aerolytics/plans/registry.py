@@ -560,10 +560,10 @@ def _pair(spark, d) -> DataFrame:
 
 @query(DELAY + " select * from delays", "signals")
 def f7_correlation_delay(spark, d):
-    return sp.correlation_delay(_pair(spark, d), "setpoint", "gyro", RATE_HZ, 100.0, digits=9)
+    return sp.correlation_delay(_pair(spark, d), "setpoint", "gyro", RATE_HZ, 100.0, digits=9).select("log_id", "axis", "lag", "delay_ms")
 
 
-@query("""
+PHASE = """
 , n as (select log_id, axis, count(*) as n from signals group by all), k as (select n.*, unnest(range(0, n // 2 + 1)) as f from n where n >= 64),
  d as (select k.log_id, k.axis, k.f, f * 100.0::double / n as freq, sum(setpoint * cos(2 * pi() * f * frame_seq / n)) as xr, -sum(setpoint * sin(2 * pi() * f * frame_seq / n)) as xi, sum(gyro * cos(2 * pi() * f * frame_seq / n)) as yr, -sum(gyro * sin(2 * pi() * f * frame_seq / n)) as yi
        from k join signals s on s.log_id = k.log_id and s.axis = k.axis group by k.log_id, k.axis, k.f, n),
@@ -572,11 +572,42 @@ def f7_correlation_delay(spark, d):
  s as (select *, angle - lag(angle) over (partition by log_id, axis order by freq) as step from a),
  u as (select log_id, axis, freq, angle - coalesce(sum(case when abs(step) >= pi() then round(step / (2 * pi())) * 2 * pi() else 0 end) over (partition by log_id, axis order by freq), 0) as phase from s),
  l as (select log_id, axis, count(*) as n, regr_slope(phase, freq) as slope from u group by all)
-select n.log_id, n.axis, round(case when l.n >= 3 then greatest(0, -slope / (2 * pi()) * 1000) else 0 end, 6) as delay_ms from n left join l on l.log_id = n.log_id and l.axis = n.axis""", "signals")
+select n.log_id, n.axis, round(case when l.n >= 3 then greatest(0, -slope / (2 * pi()) * 1000) else 0 end, 6) as delay_ms from n left join l on l.log_id = n.log_id and l.axis = n.axis"""
+
+
+@query(PHASE, "signals")
 def f8_phase_delay(spark, d):
     return rounded(sp.phase_delay(_pair(spark, d), "setpoint", "gyro", RATE_HZ, 5.0, 40.0))
 
 
+_RATE = "(case {t}log_id % 3 when 0 then 100.0 when 1 then 250.0 else 400.0 end)::double"
+
+
+def _rated_pair(spark, d) -> DataFrame:
+    """A fleet of logs of three rates."""
+    rate = F.when(F.col("log_id") % 3 == 0, 100.0).when(F.col("log_id") % 3 == 1, 250.0).otherwise(400.0)
+    return _pair(spark, d).withColumn("rate", rate)
+
+
+@query(PHASE.replace("100.0::double", _RATE.format(t="k.")).replace("between 5 and 40", "between 5.1 and 39.7"), "signals")
+def f8_phase_delay_by_rate(spark, d):
+    """Each log at its own rate; those of more than 550 rows by the transform for signals larger than a task."""
+    return rounded(sp.phase_delay(_rated_pair(spark, d), "setpoint", "gyro", None, 5.1, 39.7, whole=550, group=1 << 14))
+
+
+BY_RATE = DELAY.replace("range(11)", "range(21)").replace("where k <= a.n // 2", f"where k <= a.n // 2 and k <= cast(floor(50.0 * {_RATE.format(t='a.')} / 1000) as int)").replace("100.0::double", _RATE.format(t="st."))
+
+
+@query(BY_RATE + " select log_id, axis, lag, round(delay_ms, 6) as delay_ms from delays", "signals")
+def f7_correlation_delay_by_rate(spark, d):
+    return rounded(sp.correlation_delay(_rated_pair(spark, d), "setpoint", "gyro", None, 50.0, digits=9).select("log_id", "axis", "lag", "delay_ms"))
+
+
+@query(BY_RATE + " select log_id, axis, round(delay_ms, 6) as gyro_delay_ms, round(delay_ms / (1000.0 / 10) * 360, 6) as gyro_phase_deg, 0.0::double as dterm_delay_ms, 0.0::double as dterm_phase_deg from delays", "signals")
+def f9_filter_delays_by_rate(spark, d):
+    return rounded(sp.filter_delays(_rated_pair(spark, d), None, {"gyro": ("setpoint", "gyro"), "dterm": None}, 10.0, 50.0, digits=9))
+
+
 @query(DELAY + " select log_id, axis, delay_ms as gyro_delay_ms, round(delay_ms / (1000.0 / 10) * 360, 6) as gyro_phase_deg, 0.0::double as dterm_delay_ms, 0.0::double as dterm_phase_deg from delays", "signals")
 def f9_f10_filter_delays(spark, d):
     return rounded(sp.filter_delays(_pair(spark, d), RATE_HZ, {"gyro": ("setpoint", "gyro"), "dterm": None}, 10.0, 100.0, digits=9))
