@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -246,33 +247,53 @@ def dense(table: DataFrame, keys: list[str], column: str, size: int, zero: dict[
     return grid.join(table.select(*keys, column, *zero), [*keys, column], "left").select(*keys, column, *[F.coalesce(c, F.lit(v)).alias(c) for c, v in zero.items()])
 
 
-def _by_stick(signals: DataFrame, max_error: float) -> DataFrame:
-    """(log_id, axis, std_dev, r): an array of (bin, mean_abs, se) over the thresholds; the maxima first, then one aggregate."""
-    stick = F.abs(F.col("setpoint").cast("double"))
-    held = attach(signals, signals.groupBy("log_id", "axis").agg(F.max(stick).alias("_top")), ["log_id", "axis"])
-    error = F.abs(number(pid_error()))
-    fits = lambda t: (stick < F.col("_top") * F.lit(t)) & (error < max_error)
-    part = lambda fn, i, t: fn(F.when(fits(t), error)).alias(f"{fn.__name__}_{i}")
-    wide = held.groupBy("log_id", "axis").agg(F.stddev_pop(pid_error().cast("double")).alias("std_dev"), *[part(fn, i, t) for i, t in enumerate(THRESHOLDS) for fn in (F.avg, F.stddev_pop, F.count)])
-    rows = F.array(*[F.struct(F.lit(i).alias("bin"), F.coalesce(f"avg_{i}", F.lit(0.0)).alias("mean_abs"), F.coalesce(F.when(F.col(f"count_{i}") > 0, F.col(f"stddev_pop_{i}") / F.sqrt(f"count_{i}")), F.lit(0.0)).alias("se")) for i in range(len(THRESHOLDS))])
-    return wide.select("log_id", "axis", "std_dev", rows.alias("r"))
+def thresholds(num_bins: int = 10) -> list[float]:
+    """Shares of the largest stick: evenly from 0.1 to 1."""
+    return THRESHOLDS if num_bins == len(THRESHOLDS) else np.linspace(0.1, 1.0, num_bins).tolist()
 
 
-def error_by_stick(signals: DataFrame, max_error: float = 1000.0) -> DataFrame:
-    """(log_id, axis, bin, mean_abs, se): mean absolute error of samples with a stick below each share of its largest value.
+def _by_stick(signals: DataFrame, max_error: float, num_bins: int = 10) -> DataFrame:
+    """(log_id, axis, std_dev, r): an array of (bin, mean_abs, se) over the thresholds.
+
+    One pass: moments of the errors by stick, of which a log has as many as its setpoint has values; the largest stick and
+    the thresholds apply to that small table.
+    """
+    keys, stick, error = ["log_id", "axis"], F.abs(F.col("setpoint").cast("double")), F.abs(number(pid_error()))
+    rows = signals.select(*keys, stick.alias("stick"), F.when(error < max_error, error).alias("e"), pid_error().cast("double").alias("all"))
+    moments = [fn(c).alias(f"{c}_{n}") for c in ("e", "all") for n, fn in (("n", F.count), ("mean", F.avg), ("var", F.var_pop))]
+    each = rows.groupBy(*keys, "stick").agg(*moments).withColumn("top", F.max("stick").over(Window.partitionBy(*keys)))
+
+    def parts(name: str, c: str, there: Column) -> list[Column]:
+        n, mean, var = (F.when(there, F.col(f"{c}_{x}")) for x in ("n", "mean", "var"))
+        return [F.sum(n).alias(f"{name}_n"), F.sum(n * mean).alias(f"{name}_sum"), F.sum(n * (var + mean * mean)).alias(f"{name}_squares")]
+
+    shares = thresholds(num_bins)
+    wanted = [("all", "all", F.lit(True)), *[(f"t{i}", "e", F.col("stick") < F.col("top") * F.lit(t)) for i, t in enumerate(shares)]]
+    wide = each.groupBy(*keys).agg(*[p for w in wanted for p in parts(*w)])
+    n = lambda name: F.when(F.col(f"{name}_n") > 0, F.col(f"{name}_n"))
+    mean = lambda name: F.col(f"{name}_sum") / n(name)
+    spread = lambda name: F.sqrt(F.greatest(F.col(f"{name}_squares") / n(name) - mean(name) * mean(name), F.lit(0.0)))
+    zero = F.lit(0.0)
+    found = F.array(*[F.struct(F.lit(i).alias("bin"), F.coalesce(mean(f"t{i}"), zero).alias("mean_abs"), F.coalesce(spread(f"t{i}") / F.sqrt(n(f"t{i}")), zero).alias("se")) for i in range(len(shares))])
+    return wide.select(*keys, spread("all").alias("std_dev"), found.alias("r"))
+
+
+def error_by_stick(signals: DataFrame, max_error: float = 1000.0, num_bins: int = 10) -> DataFrame:
+    """(log_id, axis, bin, mean_abs, se): mean absolute error of samples with a stick below each of ``num_bins`` shares of its largest value.
 
     The bins are cumulative and a sample at the largest value is in none; errors of ``max_error`` and more don't count.
     """
-    return _by_stick(signals, max_error).select("log_id", "axis", F.explode("r").alias("r")).select("log_id", "axis", "r.*")
+    return _by_stick(signals, max_error, num_bins).select("log_id", "axis", F.explode("r").alias("r")).select("log_id", "axis", "r.*")
 
 
-def error_report(signals: DataFrame, max_error: float = 1000.0) -> DataFrame:
-    """(log_id, axis, std_dev, mean_abs array, se array, histogram): the full report, one row per log and axis.
+def error_report(signals: DataFrame, max_error: float = 1000.0, num_bins: int = 10, axes: list[str] | None = None) -> DataFrame:
+    """(log_id, axis, std_dev, mean_abs array, se array, histogram): the full report, one row per log and axis (of ``axes``, if given).
 
     ``histogram`` is an array of (bin, center, count, normalized) in the order of the bins, without empty ones.
     """
-    bins = error_histogram(signals).groupBy("log_id", "axis").agg(F.array_sort(F.collect_list(F.struct("bin", "center", "count", "normalized"))).alias("histogram"))
-    found = _by_stick(signals, max_error).join(bins, ["log_id", "axis"], "left")
+    kept = signals if axes is None else signals.where(F.col("axis").isin(axes))
+    bins = error_histogram(kept).groupBy("log_id", "axis").agg(F.array_sort(F.collect_list(F.struct("bin", "center", "count", "normalized"))).alias("histogram"))
+    found = _by_stick(kept, max_error, num_bins).join(bins, ["log_id", "axis"], "left")
     return found.select("log_id", "axis", "std_dev", F.col("r.mean_abs").alias("mean_abs"), F.col("r.se").alias("se"), "histogram")
 
 

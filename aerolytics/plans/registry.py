@@ -299,6 +299,16 @@ def a7_j3_error_by_stick(spark, d):
     return rounded(stats.error_by_stick(stats.long_signals(view(spark, d, "frames"))))
 
 
+_FIVE = "[" + ", ".join(f"{t!r}::double" for t in stats.thresholds(5)) + "]"
+
+
+@query(STICK.replace("range(10)", "range(5)").replace(STICK[STICK.index("unnest([") + 7 : STICK.index("]) as t)") + 1], _FIVE) + " select log_id, axis, bin, round(mean_abs, 6) as mean_abs, round(se, 6) as se from by_stick where axis <> 'yaw'", "signals")
+def a7_error_by_five_sticks(spark, d):
+    """The report's arrays over five shares of the stick and two axes."""
+    report = stats.error_report(stats.long_signals(view(spark, d, "frames")), num_bins=5, axes=["roll", "pitch"])
+    return rounded(report.select("log_id", "axis", F.posexplode(F.arrays_zip("mean_abs", "se")).alias("bin", "r")).select("log_id", "axis", "bin", "r.mean_abs", "r.se"))
+
+
 @query(STICK + HISTOGRAM + ", s as (select log_id, axis, stddev_pop(gyro - setpoint) as std_dev from signals group by all), hh as (select log_id, axis, count(*) as n_bins, max(count) as peak, sum(count * bin) as weight, round(sum(count) / max(count)::double, 6) as share from h group by all) select b.log_id, b.axis, round(std_dev, 6) as std_dev, bin, round(mean_abs, 6) as mean_abs, round(se, 6) as se, n_bins, peak, cast(weight as bigint) as weight, share from by_stick b join s on b.log_id = s.log_id and b.axis = s.axis join hh on b.log_id = hh.log_id and b.axis = hh.axis", "signals")
 def a8_error_report(spark, d):
     report = stats.error_report(stats.long_signals(view(spark, d, "frames")))

@@ -291,3 +291,16 @@ def test_repartitioning_changes_nothing(spark):
     a = sorted((r.bin, round(r.amplitude, 12)) for r in sp.welch(base).collect())
     b = sorted((r.bin, round(r.amplitude, 12)) for r in sp.welch(base.repartition(7).orderBy(F.rand(3))).collect())
     assert a == b
+
+
+@pytest.mark.parametrize("bins", [1, 4, 10])
+def test_stick_bins_and_axes_can_be_chosen(spark, bins):
+    rng = np.random.default_rng(2)
+    rows = [(1, axis, i, float(rng.normal(scale=300)), float(rng.integers(-400, 401))) for axis in ("roll", "pitch") for i in range(300)]
+    df = spark.createDataFrame(rows, "log_id long, axis string, i long, gyro double, setpoint double")
+    (report,) = stats.error_report(df, num_bins=bins, axes=["roll"]).collect()
+    own = np.array([(g, s) for _, axis, _, g, s in rows if axis == "roll"])
+    error, stick = np.abs(own[:, 0] - own[:, 1]), np.abs(own[:, 1])
+    kept = [error[(stick < stick.max() * t) & (error < 1000)] for t in np.linspace(0.1, 1.0, bins)]
+    assert report.axis == "roll" and np.allclose(report.mean_abs, [k.mean() for k in kept], rtol=1e-12)
+    assert np.allclose(report.se, [k.std() / np.sqrt(len(k)) for k in kept], rtol=1e-9) and np.isclose(report.std_dev, np.std(own[:, 0] - own[:, 1]), rtol=1e-9)
