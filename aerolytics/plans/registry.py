@@ -16,6 +16,7 @@ from aerolytics.operators.attach import attach
 from aerolytics.plans.telemetry import view, with_views
 from aerolytics.scratch import shared_dir
 from aerolytics.sources import headers, logs
+from aerolytics.sources.log_files import read_header_rows, write_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -96,7 +97,7 @@ def s1_s4_u1_decoded_files(spark, d):
     stem, index = F.concat(F.lit("flight_"), F.floor(F.col("log_id") / 4).cast("string")), (F.col("log_id") % 4).cast("int")
     drifted = _drifted(spark, d).withColumnRenamed("loop_iteration", "loopIteration")
     named = view(spark, d, "supplier").select(F.col("s_suppkey").alias("log_id")).select("log_id", stem.alias("stem"), index.alias("log_index"))
-    logs.write_decoded_csv(drifted, named, path).count()
+    logs.write_decoded_csv(drifted, named, path)
     found, _ = logs.read_decoded_csv(spark, path)
     own = (F.regexp_extract("path", r"flight_(\d+)\.", 1).cast("long") * 4 + F.col("log_index")).alias("log_id")
     return stats.canonical_frames(found).select(own, F.regexp_extract("path", "([^/]*)$", 1).alias("file"), "frame_seq", "loop_iteration", "time", "gyro_roll", "gyro_yaw", "setpoint_pitch", "rc_roll", "throttle", "motor_3")
@@ -112,6 +113,21 @@ def s2_discover_logs(spark, d):
     return logs.discover_logs(files, "The ").withColumnRenamed("path", "doc_id")
 
 
+@query(KV + """, n as (select log_id, line_no, row_number() over (partition by log_id order by line_no) + 1 as place from header_lines)
+select kv.log_id, cast(place as int) as line_no, key, value from kv join n on n.log_id = kv.log_id and n.line_no = kv.line_no""", "header_lines")
+def s2_s3_header_rows_of_files(spark, d):
+    """Binary files of up to four logs, written and read again in ranges so small that markers and headers lie across their edges."""
+    folder = shared_dir(spark)
+    block = view(spark, d, "header_lines").groupBy("log_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("line_no", "line")))["line"], "\n").alias("lines"))
+    body = F.unhex(F.concat(F.lit("49004820FF0A"), F.repeat(F.lit("50018A0D"), (F.col("log_id") * 37 % 500).cast("int"))))
+    content = F.concat(F.lit(logs.MARKER).cast("binary"), F.col("lines").cast("binary"), F.lit("\n").cast("binary"), body)
+    file = F.format_string("flight_%06d.bbl", F.floor(F.col("log_id") / 4))
+    write_files(block.select(file.alias("file"), F.col("log_id").cast("long").alias("place"), content.alias("content")), folder)
+    rows = read_header_rows(spark, folder, split_bytes=1_500)
+    number = F.regexp_extract("path", r"flight_(\d+)\.", 1).cast("long") * 4
+    return rows.where("line_no > 1").select((number + F.col("log_index")).alias("log_id"), "line_no", "key", "value")
+
+
 @query(KV + " select log_id, cast(line_no as int) as line_no, key, value from kv", "header_lines")
 def s3_header_rows(spark, d):
     lines = view(spark, d, "header_lines")

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from aerolytics.operators.attach import attach
 from aerolytics.operators.ordered import CHUNK, numbered
-from aerolytics.ship import ship
+from aerolytics.sources.log_files import write_files
 
 # Fixed value: the line that starts a log inside a file.
 MARKER = "H Product:Blackbox flight data recorder by Nicholas Sherlock\n"
@@ -61,58 +58,23 @@ def decoded_name(stem: Column, log_index: Column) -> Column:
 
 
 def write_decoded_csv(frames: DataFrame, logs: DataFrame, folder: str) -> DataFrame:
-    """One CSV file per log, named ``<stem>.<NN>.csv``; (file, rows) of what was written.
+    """Write one CSV file per log, named ``<stem>.<NN>.csv``; (file, rows) of what was written.
 
     ``frames`` has log_id and frame_seq, ``logs`` (log_id, stem, log_index).  A file has the columns of which
-    its log holds any value, without log_id and frame_seq, and its rows in order.  A log's rows pass through
-    one task in sorted batches; a file is written aside and renamed, so that a repeated task does no harm.
+    its log holds any value, without log_id and frame_seq, and its rows in order.  Lines are made where rows are; a log's
+    lines pass through one task in sorted batches, and files get their names when all are written (see ``log_files``).
     """
-    ship(frames.sparkSession)
     names = [c for c in frames.columns if c not in ("log_id", "frame_seq")]
     of = lambda c: F.col(f"`{c}`")
-    there = frames.groupBy("log_id").agg(F.concat_ws("\n", *[F.when(F.count(of(c)) > 0, F.lit(c)) for c in names]).alias("_there"))
-    sides = logs.select("log_id", decoded_name(F.col("stem"), F.col("log_index")).alias("_file")).join(there, "log_id")
-    plain = frames.select("log_id", "frame_seq", *[of(c).alias(f"_{k}") for k, c in enumerate(names)])
-    rows = attach(plain, sides).repartition("_file").sortWithinPartitions("_file", "frame_seq")
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import csv, fs
-        from pyspark import TaskContext
-
-        store, base = fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
-        store.create_dir(base, recursive=True)
-        attempt = TaskContext.get().taskAttemptId()
-        done: list[tuple[str, int]] = []
-        current, sink, writer, count = None, None, None, 0
-
-        def close() -> None:
-            if current is not None:
-                writer.close()
-                sink.close()
-                target = f"{base}/{current}"
-                if store.get_file_info(target).type != fs.FileType.NotFound:
-                    store.delete_file(target)
-                store.move(f"{target}.{attempt}", target)
-                done.append((current, count))
-
-        for batch in batches:
-            files = batch.column("_file")
-            cuts = [i for i in range(batch.num_rows) if i == 0 or files[i] != files[i - 1]] + [batch.num_rows]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                part, file = batch.slice(a, b - a), files[a].as_py()
-                own = set(part.column("_there")[0].as_py().split("\n"))
-                held = pa.table({c: part.column(f"_{k}") for k, c in enumerate(names) if c in own})
-                if file != current:
-                    close()
-                    sink = store.open_output_stream(f"{base}/{file}.{attempt}")
-                    sink.write((",".join(held.schema.names) + "\n").encode())  # plain names; the writer would quote them
-                    current, count, writer = file, 0, csv.CSVWriter(sink, held.schema, write_options=csv.WriteOptions(include_header=False, quoting_style="none"))
-                writer.write_table(held)
-                count += held.num_rows
-        close()
-        yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], ["file", "rows"])
-
-    return rows.mapInArrow(write, "file string, rows long")
+    there = frames.groupBy("log_id").agg(F.count("*").alias("rows"), F.array_compact(F.array(*[F.when(F.count(of(c)) > 0, F.lit(c)) for c in names])).alias("_there"))
+    sides = logs.select("log_id", decoded_name(F.col("stem"), F.col("log_index")).alias("file")).join(there, "log_id")
+    plain = frames.select("log_id", "frame_seq", *[of(c).cast("string").alias(f"_{k}") for k, c in enumerate(names)])
+    values = [F.when(F.array_contains("_there", c), F.coalesce(f"_{k}", F.lit(""))) for k, c in enumerate(names)]
+    line = lambda text: F.concat(text, F.lit("\n")).cast("binary").alias("content")
+    rows = attach(plain, sides.select("log_id", "file", "_there")).select("file", F.col("frame_seq").cast("long").alias("place"), line(F.concat_ws(",", *values)))
+    heads = sides.select("file", F.lit(-1).cast("long").alias("place"), line(F.array_join("_there", ",")))
+    write_files(heads.unionByName(rows), folder)
+    return sides.select("file", "rows")
 
 
 def read_decoded_csv(spark: SparkSession, paths: str | list[str], header_word: str = "loopIteration") -> tuple[DataFrame, DataFrame]:
