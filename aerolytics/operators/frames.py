@@ -222,6 +222,81 @@ def _averaged(rows: DataFrame, rules: dict[str, FieldRule], order: str) -> DataF
     return rows.repartition("log_id").sortWithinPartitions("log_id", order).mapInArrow(fold, rows.schema)
 
 
+CONFIGURED = ("minthrottle", "motor_output_low", "vbatref")
+
+
+def rebuild_fleet(raw: DataFrame, definitions: DataFrame, order: str = "stream_seq") -> DataFrame:
+    """Adds ``<column>_value`` for the residual columns of logs of any layouts, by each log's own field definitions.
+
+    The columns are those of ``raw`` beside log_id, the order, frame_type and the constants ``minthrottle``, ``motor_output_low``
+    and ``vbatref``; a field ``motor[0]`` is the column ``motor_0``.  A log that lacks a field has no values of it, nor has one whose
+    I frames go on from the frame before.  The rules are those of ``rebuild``, but they are data: an I frame and the rows up to the next are
+    one row of arrays, which meets its layout's rules and is folded field by field, in expressions only.  Rows are grouped
+    by (log, segment), so that a long log spreads over tasks; a segment has as many rows as lie between two I frames, and its
+    cost grows with their square.
+    """
+    keys = ["log_id", order, "frame_type", *CONFIGURED]
+    fields = [c for c in raw.columns if c not in keys]
+    flagged = raw.withColumn("_start", F.when(F.col("frame_type") == "I", 1).otherwise(0))
+    cut = running_sum(flagged, ["log_id"], order, "_start", "_segment").drop("_start")
+    own = [F.col(c) for c in raw.columns if c != order]
+    segments = cut.groupBy("log_id", "_segment").agg(F.array_sort(F.collect_list(F.struct(F.col(order), *own))).alias("_rows"))
+
+    layouts = log_layouts(definitions)
+    name = lambda f: F.regexp_replace(f["name"], r"\[(\d+)\]", "_$1")
+    wraps = lambda f: (F.coalesce(f["width"], F.lit(4)) != 8) & f["i_encoding"].isin(*WRAPPING)
+    rule = lambda f: F.struct(name(f).alias("key"), F.struct(f["i"].alias("i"), F.coalesce(f["p"], F.lit(0)).alias("p"), f["signed"].cast("boolean").alias("signed"), wraps(f).alias("wraps")).alias("value"))
+    ruled = attach(segments, layouts.select("log_id", F.map_from_entries(F.transform("fields", rule)).alias("_rules")), order="_segment", rows=4_096, how="left")
+
+    nothing = F.lit(None).cast("bigint")
+    code_of = {v: k for k, v in PREDICTORS.items()}
+    constants = {"minthrottle": "minthrottle", "minmotor": "motor_output_low", "vbatref": "vbatref"}
+
+    bound = lambda value, then: F.get(F.transform(F.array(value), then), 0)  # noqa: E731  # a value that is used more than once is made once
+    zero = F.lit(0).cast("bigint")
+
+    def folded(column: str, motor: Column | None) -> Column:
+        by = F.col(f"_rule_{column}")
+
+        def told(row: Column, place: Column) -> Column:
+            """A row's code, and its residual with the constant of it; nothing for an I frame that would go on from the frame before."""
+            intra = row["frame_type"] == "I"
+
+            def added(code: Column) -> Column:
+                constant = F.when(code == code_of["fifteen_hundred"], F.lit(1500).cast("bigint"))
+                for name, c in constants.items():
+                    constant = constant.when(code == code_of[name], row[c].cast("bigint"))
+                if motor is not None:
+                    constant = constant.when(code == code_of["motor_0"], F.get(motor, place))
+                fits = code.isNotNull() & ~(intra & code.isin(*[code_of[h] for h in HISTORY]))
+                return F.struct(intra.alias("intra"), code.alias("code"), F.when(fits, row[column].cast("bigint") + F.coalesce(constant, zero)).alias("base"))
+
+            return bound(F.when(intra, by["i"]).otherwise(by["p"]), added)
+
+        def step(held: Column, row: Column) -> Column:
+            a, b, code = held["a"], held["b"], row["code"]
+            history = F.when(code == code_of["previous"], a).when(code == code_of["straight_line"], 2 * a - b).when(code == code_of["average_2"], F.shiftright(a + b, 1))
+            value = row["base"] + F.when(row["intra"], zero).otherwise(F.coalesce(history, zero))
+            low = bound(F.pmod(value, F.lit(WRAP)), lambda x: F.when(by["signed"] & (x >= WRAP // 2), x - WRAP).otherwise(x))
+
+            def kept(x: Column) -> Column:
+                last = F.when(row["intra"] | a.isNotNull(), F.coalesce(x, a))
+                before = F.when(row["intra"], x).otherwise(F.when(x.isNull(), b).otherwise(a))
+                return F.struct(last.alias("a"), before.alias("b"), F.concat(held["out"], F.array(x)).alias("out"))
+
+            return bound(F.when(by["wraps"], low).otherwise(value), kept)
+
+        start = F.struct(nothing.alias("a"), nothing.alias("b"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(F.transform("_rows", told), start, step, lambda s: s["out"])
+
+    out = ruled.select("log_id", "_rows", *[F.try_element_at("_rules", F.lit(c)).alias(f"_rule_{c}") for c in fields])
+    for column in sorted(fields, key=lambda c: c != "motor_0"):  # others may build on its values
+        out = out.withColumn(f"{column}_value", folded(column, F.col("motor_0_value") if "motor_0_value" in out.columns else None))
+    values = [f"{c}_value" for c in fields]
+    rows = out.select("log_id", F.explode(F.arrays_zip(F.col("_rows").alias("row"), *[F.col(v) for v in values])).alias("z"))
+    return rows.select("log_id", *[F.col(f"z.row.{c}").alias(c) for c in raw.columns if c != "log_id"], *[F.col(f"z.{v}").alias(v) for v in values])
+
+
 # ---- as-of joins on a stream ----
 
 

@@ -409,6 +409,27 @@ def w5_rebuild_by_field(spark, d):
     return fr.rebuild(view(spark, d, "deltas"), rules).select("log_id", "stream_seq", *[f"{c}_value" for c in rules])
 
 
+# Header lines of three layouts: names, signs and predictors of I and P frames, and encodings of I frames.
+_LAYOUTS = [
+    ("motor[0],motor[1],ticks,far,level,mixed", "1,1,0,1,1,1", "4,5,0,0,8,11", "1,3,1,2,9,5", "1,1,1,6,0,3"),
+    ("mixed,level,far,ticks,motor[1],motor[0]", "1,1,1,1,1,1", "0,0,0,0,0,0", "0,0,6,0,0,0", "0,0,6,6,0,0"),
+    ("ticks,motor[0],level", "0,1,1", "0,4,8", "1,1,0", "1,1,0"),
+]
+
+
+@query(""" select d.log_id, d.stream_seq, case d.log_id % 3 when 0 then m0 when 1 then d.motor_0 else m0 end as motor_0_value, case d.log_id % 3 when 0 then m1 when 1 then d.motor_1 end as motor_1_value,
+  case d.log_id % 3 when 0 then u when 1 then ticks else u end as ticks_value, case d.log_id % 3 when 0 then w when 1 then far end as far_value,
+  case d.log_id % 3 when 0 then g when 1 then level else case when whole then g else level end end as level_value, case d.log_id % 3 when 0 then g when 1 then mixed end as mixed_value
+from deltas d join delta_base b on b.log_id = d.log_id and b.frame_seq = d.stream_seq""", "deltas", "delta_base")
+def w5_rebuild_fleet(spark, d):
+    """Logs of three firmware layouts in one call, by the field definitions of their headers."""
+    lines = F.array(*[F.array(*[F.lit(f"H Field {what}:{v}") for what, v in zip(("I name", "I signed", "I predictor", "P predictor", "I encoding"), layout, strict=True)]) for layout in _LAYOUTS])
+    own = F.get(lines, (F.col("log_id") % 3).cast("int"))
+    blocks = view(spark, d, "frames").select("log_id").distinct().select("log_id", F.posexplode(own).alias("line_no", "line"))
+    rebuilt = fr.rebuild_fleet(view(spark, d, "deltas"), headers.field_definitions(headers.key_values(blocks)))
+    return rebuilt.select("log_id", "stream_seq", *[f"{c}_value" for c in ("motor_0", "motor_1", "ticks", "far", "level", "mixed")])
+
+
 @query(", l as (select log_id, frame_seq, loop_iteration as i, lag(loop_iteration) over (partition by log_id order by frame_seq) as b from frames) select log_id, frame_seq, coalesce(len(list_filter(range(b + 1, i), lambda x: (x % 32 + 1 - 1) % (log_id % 5 + 1) >= 1)), 0) as skipped from l", "frames")
 def w6_skipped_frames(spark, d):
     frames = view(spark, d, "frames")
