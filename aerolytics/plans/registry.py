@@ -13,6 +13,7 @@ from aerolytics.operators import spectral as sp
 from aerolytics.operators import stats
 from aerolytics.plans.analysis import analyze_logs
 from aerolytics.operators.attach import attach
+from aerolytics.operators.gps import rebuild_gps
 from aerolytics.plans.telemetry import view, with_views
 from aerolytics.scratch import shared_dir
 from aerolytics.sources import headers, logs
@@ -488,6 +489,23 @@ def j7_gps_times(spark, d):
     return fr.gps_times(rows.select("log_id", "stream_seq", kind.alias("kind"), (F.col("event_id") % 7 != 0).alias("valid"), F.col("event_id").alias("time"), F.col("a").alias("delta")))
 
 
+@query(""", s as (select *, case when event_type not in ('view', 'signup') then struct_pack(valid := event_id % 7 <> 0, t := event_id) end as m, case when event_type = 'signup' then struct_pack(x := a, y := c) end as h from streams),
+ l as (select *, last_value(m ignore nulls) over w as main, last_value(h ignore nulls) over w as home from s window w as (partition by log_id order by stream_seq)),
+ v as (select *, case when main.valid then main.t else 0 end as mt, coalesce(home.x, 0) as hx, coalesce(home.y, 0) as hy from l where event_type = 'view')
+select log_id, stream_seq, a + mt as time_value, a + hx as "GPS_coord_0_value", c + hy as "GPS_coord_1_value", case when log_id % 2 = 0 then event_id % 20 end as sats_value, case when log_id % 2 = 1 then c + 1500 end as alt_value from v""", "streams")
+def j2_j7_gps_by_definitions(spark, d):
+    """Logs of two layouts whose GPS fields differ in order, by the definitions of their headers."""
+    rows = view(spark, d, "streams")
+    layouts = [("time,GPS_coord[0],GPS_coord[1],sats", "10,7,7,0"), ("GPS_coord[0],GPS_coord[1],alt,time", "7,7,8,10")]
+    own = F.get(F.array(*[F.array(F.lit(f"H Field G name:{names}"), F.lit(f"H Field G predictor:{codes}")) for names, codes in layouts]), (F.col("log_id") % 2).cast("int"))
+    lines = rows.select("log_id").distinct().select("log_id", F.posexplode(own).alias("line_no", "line"))
+    fixes = rows.where("event_type = 'view'").select("log_id", "stream_seq", F.col("a").alias("time"), F.col("a").alias("GPS_coord_0"), F.col("c").alias("GPS_coord_1"), (F.col("event_id") % 20).alias("sats"), F.col("c").alias("alt"))
+    homes = rows.where("event_type = 'signup'").select("log_id", "stream_seq", F.col("a").alias("home_0"), F.col("c").alias("home_1"))
+    main = rows.where("event_type not in ('view', 'signup')").select("log_id", "stream_seq", (F.col("event_id") % 7 != 0).alias("valid"), F.col("event_id").alias("time"))
+    found = rebuild_gps(fixes, homes, main, headers.field_definitions(headers.key_values(lines)))
+    return found.select("log_id", "stream_seq", *[f"{c}_value" for c in ("time", "GPS_coord_0", "GPS_coord_1", "sats", "alt")])
+
+
 @query(", n as (select log_id, axis, count(*) as n from signals group by all), k as (select n.*, unnest(range(0, (n - 64) // 32 + 1)) as k from n where n >= 64) select k.log_id, k.axis, k.k, count(*) as rows, sum(gyro)::double as total, min(frame_seq) as first_row from k join signals s on s.log_id = k.log_id and s.axis = k.axis and s.frame_seq between k.k * 32 and k.k * 32 + 63 group by all", "signals")
 def j4_segments(spark, d):
     signal = _signal(spark, d).withColumn("row", F.col("i"))

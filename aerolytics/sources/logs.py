@@ -22,7 +22,7 @@ def read_log_files(spark: SparkSession, path: str) -> DataFrame:
 def discover_logs(files: DataFrame, marker: str = MARKER) -> DataFrame:
     """(path, log_index, start, end): each marker starts a log that lasts to the next one or the end; bytes before the first are no log."""
     text = F.decode("content", "ISO-8859-1")
-    pieces = files.select("path", F.posexplode(F.split(text, "\\Q" + _latin(marker) + "\\E")).alias("pos", "piece"))
+    pieces = files.select("path", F.posexplode(F.split(text, "\\Q" + _latin(marker).replace("\\E", "\\E\\\\E\\Q") + "\\E")).alias("pos", "piece"))
     size, order = len(marker.encode()), Window.partitionBy("path").orderBy("pos")
     sized = pieces.select("path", "pos", F.length("piece").cast("long").alias("n"))
     before = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1))
