@@ -196,7 +196,7 @@ def validate_logs(stream: DataFrame, raw: bool = False, rows: int = CHUNK) -> Da
 
     ``time`` is the 64-bit time; ``valid`` is null for rows that are no main frame or come after the end.
     ``stream_seq`` counts a log's rows; those of one chunk, at most ``rows`` of them, are a group, so that a long log spreads
-    over tasks.  Only chunks that another one follows are summed up, and the stream is shuffled once for both passes.  Rows
+    over tasks.  Only chunks that another one follows are summed up; where no log is that long, that branch is empty.  Rows
     without log_id or stream_seq have no place in a log and go.
     """
     ship(stream.sparkSession)
@@ -242,6 +242,6 @@ def validate_logs(stream: DataFrame, raw: bool = False, rows: int = CHUNK) -> Da
     summary_type = f"log_id {log}, _chunk long, {SUMMARY}"
     entry_type = f"log_id {log}, _chunk long, _entry struct<valid:boolean,i:long,t:long,ended:boolean,added:long>"
     schema, entered = to_arrow_schema(StructType.fromDDL(summary_type)), to_arrow_schema(StructType.fromDDL(entry_type))
-    sums = cut.join(followed, keys, "left_semi").groupBy(*keys).applyInArrow(sum_up, summary_type)
+    sums = cut.join(followed, keys).groupBy(*keys).applyInArrow(sum_up, summary_type)
     entries = sums.repartition("log_id").sortWithinPartitions(*keys).mapInArrow(enter, entry_type)
     return cut.groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInArrow(fold, f"log_id {log}, stream_seq {seq}, kind string, iteration long, time long, valid boolean")

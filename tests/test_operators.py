@@ -192,7 +192,10 @@ def test_values_of_a_log_reach_frames_without_shuffling_them(spark, tmp_path):
         for df in (timed, fr.in_range(timed, catalog), fr.preview(frames, 10), stats.throttle_percent(frames), fr.skipped_after(frames.withColumn("loop_iteration", F.col("frame_seq")), config)):
             assert not exchanges(df)
         by_stick = stats.error_by_stick(stats.long_signals(frames))
-        assert len(exchanges(by_stick)) == 1 and "HashAggregate" in by_stick._jdf.queryExecution().executedPlan().toString()  # partial sums alone
+        lines = by_stick._jdf.queryExecution().executedPlan().toString().splitlines()
+        below = {x.split("axis")[1][:20]: lines[i + 1] for i, x in enumerate(lines) if x in exchanges(by_stick)}
+        assert len(below) == 2  # partial moments by stick, and then their small table
+        assert all("HashAggregate" in x and "stick" in x for x in below.values())
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
