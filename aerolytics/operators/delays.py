@@ -2,7 +2,7 @@
 
 Correlation: the rows of a log and axis are dealt to blocks with the rows that the largest lag reaches beyond them; a block's
 correlations at all lags come from one pair of transforms, and blocks add up.  Phase: signals of up to ``WHOLE`` rows are transformed in
-one go; a longer one, of any length, is transformed by Spark in three shuffles of bounded groups (``long_transforms``).
+one go, and so are those whose transform is one group; a longer one, of any length, is transformed by Spark in three shuffles of bounded groups (``long_transforms``).
 """
 
 from __future__ import annotations
@@ -78,30 +78,30 @@ FOUND = "freq double, xr double, xi double, yr double, yi double"
 
 def _band(n: int, rate: float, low: float, high: float) -> tuple[int, int]:
     """The first and last number of a transform's frequencies inside the range; the last is smaller if there are none."""
-    step = 1.0 / (n * (1.0 / rate))
-    first = max(int(np.ceil(low / step)) - 1, 0)
-    while first * step < low:
+    first = max(int(np.ceil(low * n / rate)) - 1, 0)
+    while first * rate / n < low:
         first += 1
-    last = min(int(high / step) + 1, n // 2)
-    while last >= 0 and last * step > high:
+    last = min(int(high * n / rate) + 1, n // 2)
+    while last >= 0 and last * rate / n > high:
         last -= 1
     return first, last
 
 
 def _found(k: np.ndarray, x: np.ndarray, y: np.ndarray, n: int, rate: float) -> list[dict]:
     names = ("freq", "xr", "xi", "yr", "yi")
-    return [dict(zip(names, row, strict=True)) for row in zip((k * (1.0 / (n * (1.0 / rate)))).tolist(), x.real.tolist(), x.imag.tolist(), y.real.tolist(), y.imag.tolist(), strict=True)]
+    return [dict(zip(names, row, strict=True)) for row in zip((k * rate / n).tolist(), x.real.tolist(), x.imag.tolist(), y.real.tolist(), y.imag.tolist(), strict=True)]
 
 
-def whole_transforms(signal: DataFrame, low: float, high: float) -> DataFrame:
-    """(keys, top, found) of signals (keys, i, n, rate, r, f) that fit a task."""
+def whole_transforms(signal: DataFrame, low: float, high: float, whole: int = WHOLE, group: int = GROUP) -> DataFrame:
+    """(keys, top, found) of signals (keys, i, n, rate, r, f) that fit a task; beyond ``whole`` rows by the steps of a long transform in one group."""
     kind = dict(signal.dtypes)["log_id"]
     made = f"log_id {kind}, axis string, top double, found array<struct<{FOUND.replace(' double', ':double')}>>"
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("i")
         n, rate = table["n"][0].as_py(), table["rate"][0].as_py()
-        x, y = np.fft.rfft(table["r"].to_numpy()), np.fft.rfft(table["f"].to_numpy())
+        r, f = table["r"].to_numpy(), table["f"].to_numpy()
+        x, y = (np.fft.rfft(r), np.fft.rfft(f)) if n <= whole else _Plan(n, group).transforms(r, f)
         a, b = _band(n, rate, low, high)
         k = np.arange(a, b + 1)
         return pa.Table.from_pylist([{"log_id": table["log_id"][0].as_py(), "axis": table["axis"][0].as_py(), "top": float(np.abs(x).max()), "found": _found(k, x[k], y[k], n, rate)}], schema=schema)
@@ -116,6 +116,15 @@ def _arrow(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
+def _bits() -> Column:
+    """The power of two that a long transform of ``n`` rows takes."""
+    return F.ceil(F.log2(F.col("n") * 2 - 1)).cast("int")
+
+
+def _power(bits: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), bits.cast("int"))
+
+
 class _Plan:
     """Sizes of a long transform: P = R * C is a power of two of at least 2n - 1."""
 
@@ -135,6 +144,12 @@ class _Plan:
     def turn(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.exp(-2j * np.pi * (a * b) / self.P)
 
+    def transforms(self, *signals: np.ndarray) -> list[np.ndarray]:
+        """The transforms of whole signals up to half their length, where P is no more than a group: convolved with the chirp at once."""
+        chirp = self.chirp(np.arange(self.n))
+        against = np.fft.fft(self.filter(np.arange(self.P)))
+        return [(np.fft.ifft(np.fft.fft(s * chirp, self.P) * against)[: self.n] * chirp)[: self.n // 2 + 1] for s in signals]
+
 
 def long_transforms(signal: DataFrame, low: float, high: float, group: int = GROUP) -> DataFrame:
     """(keys, top, found) of signals of any length, no group of more than about ``group`` numbers.
@@ -148,9 +163,8 @@ def long_transforms(signal: DataFrame, low: float, high: float, group: int = GRO
     piece = f"log_id {kind}, axis string, n long, rate double, here long, there long, data binary"
     made = f"log_id {kind}, axis string, top double, found array<struct<{FOUND.replace(' double', ':double')}>>"
     pieces, found = _arrow(piece), _arrow(made)
-    planned = signal.withColumn("_bits", F.ceil(F.log2(F.col("n") * 2 - 1)).cast("int"))
-    power = lambda bits: F.call_function("shiftleft", F.lit(1).cast("bigint"), bits.cast("int"))
-    r_size, c_size = power(F.floor(F.col("_bits") / 2)), power(F.ceil(F.col("_bits") / 2))
+    planned = signal.withColumn("_bits", _bits())
+    r_size, c_size = _power(F.floor(F.col("_bits") / 2)), _power(F.ceil(F.col("_bits") / 2))
     rows = F.greatest(F.lit(1), F.least(r_size, F.floor(F.lit(group) / c_size)))
     dealt = planned.withColumn("here", F.floor((F.col("i") % r_size) / rows))
 
@@ -219,7 +233,8 @@ def phase_delay(signal: DataFrame, raw: str, filtered: str, rate_hz: float | Non
     held = rated(signal, rate_hz).select(*KEYS, "i", "rate", F.col(raw).cast("double").alias("r"), F.col(filtered).cast("double").alias("f"))
     shapes = held.groupBy(*KEYS).agg(F.count("*").alias("n"))
     sized = attach(held, shapes.where("n >= 64"), KEYS, order="i")
-    parts = whole_transforms(sized.where(F.col("n") <= whole), low, high).unionByName(long_transforms(sized.where(F.col("n") > whole), low, high, group))
+    lone = (F.col("n") <= whole) | (_power(_bits()) <= group)  # nothing to deal to groups
+    parts = whole_transforms(sized.where(lone), low, high, whole, group).unionByName(long_transforms(sized.where(~lone), low, high, group))
     tops = parts.groupBy(*KEYS).agg(F.max("top").alias("top"))
     size = F.sqrt(F.col("q.xr") * F.col("q.xr") + F.col("q.xi") * F.col("q.xi"))
     angle = F.atan2(F.col("q.yi") * F.col("q.xr") - F.col("q.yr") * F.col("q.xi"), F.col("q.yr") * F.col("q.xr") + F.col("q.yi") * F.col("q.xi"))

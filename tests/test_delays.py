@@ -76,3 +76,20 @@ def test_empty_and_constant_signals(spark):
     flat = frame(spark, {1: (1_000.0, np.ones(80), np.arange(80.0)), 2: (1_000.0, np.zeros(70), np.zeros(70))})
     assert {r.delay_ms for r in delays.correlation_delay(flat, "raw", "filt").collect()} == {0.0}
     assert {r.delay_ms for r in delays.phase_delay(flat, "raw", "filt").collect()} == {0.0}
+
+
+@pytest.mark.parametrize("n", [140, 195, 460, 560, 600, 660])
+def test_bands_hold_frequencies_at_their_ends(n):
+    """5 and 40 Hz at 100 Hz, where they are frequencies of the transform."""
+    freq = [k * 100.0 / n for k in range(n // 2 + 1)]
+    inside = [k for k, f in enumerate(freq) if 5 <= f <= 40]
+    assert delays._band(n, 100.0, 5.0, 40.0) == (inside[0], inside[-1])
+
+
+def test_a_signal_whose_transform_fits_a_group_is_not_cut(spark, monkeypatch):
+    cut, whole = [], delays.long_transforms
+    monkeypatch.setattr(delays, "long_transforms", lambda signal, *args: cut.append(signal.select("log_id").distinct()) or whole(signal, *args))
+    logs = {log: (1_000.0, *pair(log, n, 3)) for log, n in {1: 500, 2: 601, 3: 1_024, 4: 1_300}.items()}
+    found = {r.log_id: r.delay_ms for r in delays.phase_delay(frame(spark, logs), "raw", "filt", None, 50.0, 400.0, whole=550, group=2_048).collect()}
+    assert found == {log: pytest.approx(plain_phase(raw, filt, rate, 50.0, 400.0), rel=1e-9, abs=1e-9) for log, (rate, raw, filt) in logs.items()}
+    assert {r.log_id for r in cut[0].collect()} == {4}
