@@ -10,11 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from aerolytics.scratch import shared_dir, stored  # noqa: F401  # the operators take them from here
-from aerolytics.ship import ship
-
-#: Rows and bytes that one Arrow batch may hold on its way to Python, so that long texts don't pile up.
-BATCH_ROWS = 1_000
-BATCH_BYTES = 16 << 20
+from aerolytics.ship import BATCH_BYTES, BATCH_ROWS, ship, small_batches  # noqa: F401
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,12 +18,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session's Python stages."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
-
 def own_columns(df: DataFrame) -> list[Column]:
     """The columns as they are named, dots and backquotes included."""
     return [F.col(f"`{n.replace('`', '``')}`") for n in df.columns]

@@ -85,11 +85,31 @@ NEEDS = {
 }
 
 
+#: Columns that deal a large table's rows to tasks by log.
+DEALT = {"lineitem": "l_suppkey", "events": "user_id"}
+#: Rows of such a table that a task of a shuffle has, about.
+PARTITION_ROWS = 250_000
+
+
+def dealt_by_log(table: DataFrame, key: str, rows: int = PARTITION_ROWS) -> DataFrame:
+    """The table in as many partitions by ``key`` as its rows need, so that a task's memory doesn't grow with the table.
+
+    The session's later shuffles get as many; a number that is higher already stays, and a table that the session's cores hold at once is left as it is.
+    """
+    spark = table.sparkSession
+    needed = -(-table.count() // rows)  # from the files' footers
+    if needed <= spark.sparkContext.defaultParallelism:
+        return table
+    number = max(needed, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spark.conf.set("spark.sql.shuffle.partitions", str(number))
+    return table.repartition(number, key)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the views, or a given table."""
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    parts = {n: view(spark, sf_dir, n) for n in NEEDS[name]}
+    parts = {n: dealt_by_log(view(spark, sf_dir, n), DEALT[n]) if n in DEALT else view(spark, sf_dir, n) for n in NEEDS[name]}
     text = VIEWS[name]
     for n in parts:
         text = text.replace(f"from {n}", f"from {{{n}}}")
