@@ -7,14 +7,11 @@ which miss no pair within ``RADIUS`` bits, and MinHash bands for pairs further a
 with a similarity of 0.8 differ in about ten bits of 64; a radius that covers them would need some 2^17 tables,
 so the bands do the larger part: at a similarity of exactly 0.8, 30 bands of 5 rows miss 7 of a million pairs.
 
-Equal word sequences are one node from the start.  A bucket of up to ``BUCKET`` nodes is compared
-in full.  The nodes of a larger one are compared to a few leaders of it, and are dealt once more to finer
-bands of the same signature (10 and 20 rows), whose buckets are treated alike: a pair that is closer to each other
-than to the rest of a crowded bucket meets in full in a finer one, and nodes that crowd even there are so much
-alike that the leaders connect them.  Rows stay linear in a bucket's size and there are no rounds; pairs of which
-neither is a leader in any of their crowded buckets can be missed, if no third text connects them.  With ``exact`` every
-bucket is compared in full, its pairs dealt to tasks by parts of the bucket: no pair that shares a band is missed, at a cost that grows with
-the square of the largest bucket.
+Equal word sequences are one node from the start.  Of each bucket the nodes are first compared to a few leaders, which
+is linear and connects most of what is alike.  A bucket whose nodes are one component then is done: no pair of it can join
+anything.  In every other one all pairs of nodes of different components are compared, whatever the bucket's size, those of a large one
+dealt to tasks by parts.  So components are those of all pairs that share a band or a near fingerprint; the cost of a bucket is its size times
+the number of its nodes outside its largest component, and grows with the square of its size only where its texts are unlike.
 
 Edge cases: null and empty texts, and texts without words, are one node; a text of fewer words
 than a shingle is one shingle.
@@ -37,16 +34,14 @@ from aerolytics.llm.common import map_batches, ship, small_batches, stored, utf8
 from aerolytics.llm.components import component_labels
 from aerolytics.llm.decontaminate import bit_map, held_by
 from aerolytics.llm.simhash import RADIUS, fingerprint, near_edges
-from aerolytics.llm.survivors import PARTS, decided, survivors, text_hash
+from aerolytics.llm.survivors import PARTS, dealt, decided, survivors, text_hash
 
 SHINGLE, BANDS, ROWS, SEED = 5, 30, 5, 42
 #: Similarity from which on two documents are near copies, as a fraction.
 SIMILAR = (4, 5)
-#: Rows of the finer bands of crowded buckets.
-FINER = (10, 20)
 #: Nodes that a task remembers so as not to give their texts again.
 REMEMBERED = 300_000
-#: Nodes of a bucket that are compared in full, and leaders of a larger one beside the smallest of all.
+#: Nodes of a bucket whose pairs stay together, those of a larger one are dealt to parts; leaders of a bucket beside the smallest of all.
 BUCKET, LEADERS = 32, 2
 _dice = random.Random(SEED)
 FACTORS = np.array([_dice.getrandbits(64) | 1 for _ in range(BANDS * ROWS)], np.uint64)
@@ -73,13 +68,12 @@ def node(text: bytes) -> int:
     return xxhash.xxh64_intdigest(b" ".join(text.lower().split()), SEED + 1)
 
 
-def band_keys(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A key for each band of the MinHash signature, and for each of its finer bands."""
+def band_keys(found: np.ndarray) -> tuple[np.ndarray, int]:
+    """A key for each band of the MinHash signature of a set, and the set's size."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(found), 1_024):  # a very long text in bounded steps
         least = np.minimum(least, (found[at : at + 1_024] * FACTORS[:, None] + TERMS[:, None]).min(axis=1))
-    keys = lambda rows: [xxhash.xxh64_intdigest(band.tobytes(), 1_000 * (rows != ROWS) * rows + i) for i, band in enumerate(least[: len(least) // rows * rows].reshape(-1, rows))]
-    return np.array(keys(ROWS), np.uint64), np.array([k for rows in FINER for k in keys(rows)], np.uint64)
+    return np.array([xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(least.reshape(-1, ROWS))], np.uint64), len(found)
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -151,37 +145,43 @@ def texts_of(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(pick, "node long, text string")
 
 
-def pairs_of(few: DataFrame, exact: bool = False) -> DataFrame:
-    """(u, v) of all nodes of each key, u below v.
+def unlike_pairs(held: DataFrame, labels: DataFrame) -> DataFrame:
+    """(u, v), u below v: all pairs of nodes of a key (key, node, n, size) that have different labels and sizes ``n`` of similar sets.
 
-    ``exact`` deals a key's pairs to parts, so that buckets of any size spread: a node goes to one part as u, and to all parts of its key as v.
+    A key's largest component is compared to the nodes outside it, and those to each other.  A node outside goes to one part as u, and
+    every node of the key to all of its parts as v, so that large keys spread; keys of one component, and their rows, are left out.
     """
-    u, v = few.select("key", F.col("node").alias("u")), few.select("key", F.col("node").alias("v"))
-    on = ["key"]
-    if exact:
-        part = lambda c: F.pmod(F.xxhash64(c), F.lit(PARTS))
-        u = u.withColumn("part", part("u"))
-        v = v.join(u.select("key", "part").distinct(), "key")
-        on = ["key", "part"]
-    return u.join(v, on).where("u < v").select("u", "v")
+    part, whole = SIMILAR
+    known = dealt(held, labels, ["node"], "key", "left").withColumn("label", F.coalesce("label", "node"))
+    classes = known.groupBy("key", "label").agg(F.count("*").alias("m"))
+    mains = classes.groupBy("key").agg(F.count("*").alias("classes"), F.max_by("label", F.struct("m", "label")).alias("main")).where("classes > 1").drop("classes")
+    mixed = stored(known.join(mains, "key").withColumn("outer", F.col("label") != F.col("main")))
+    place = F.when(F.col("size") > BUCKET, F.pmod(F.xxhash64("node"), F.lit(PARTS))).otherwise(0)
+    u = mixed.where("outer").select("key", place.alias("part"), F.col("node").alias("u"), F.col("label").alias("of_u"), F.col("n").alias("n_u"))
+    v = mixed.select("key", F.col("node").alias("v"), F.col("label").alias("of_v"), F.col("n").alias("n_v"), "outer").join(u.select("key", "part").distinct(), "key")
+    met = u.join(v, ["key", "part"]).where("of_u <> of_v and (not outer or u < v)").where(whole * F.least("n_u", "n_v") >= part * F.greatest("n_u", "n_v"))
+    return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def link_near_copies(docs: DataFrame, radius: int = RADIUS, exact: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, th, node) of every row, ``th`` being the hash of its text, and (node, label) of the nodes that have near copies: the smallest node of the component."""
+    """(doc_id, th, node) of every row, ``th`` being the hash of its text, and (node, label) of the nodes that have near copies: the smallest node of the component.
+
+    ``exact`` is kept for callers: no bucket is compared in part any more.
+    """
 
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = utf8_rows(batch.column("text"))
         nodes = np.array([node(x) for x in texts], np.uint64).view(np.int64)
         prints = np.array([fingerprint(x, SHINGLE, SEED) for x in texts], np.uint64).view(np.int64)
         keys = [band_keys(shingles(x)) for x in texts]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(nodes), pa.array(prints), _lists([k for k, _ in keys]), _lists([k for _, k in keys])], ["doc_id", "th", "node", "fp", "keys", "finer"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(nodes), pa.array(prints), _lists([k for k, _ in keys]), pa.array([n for _, n in keys], pa.int64())], ["doc_id", "th", "node", "fp", "keys", "n"])
 
     def collect(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column("node"), _lists([shingles(x) for x in utf8_rows(batch.column("text"))])], ["node", "own"])
 
     keyed = docs.select("doc_id", text_hash(F.col("text")).alias("th"), "text")
-    signed = stored(map_batches(keyed, sign, f"doc_id {dict(docs.dtypes)['doc_id']}, th long, node long, fp long, keys array<long>, finer array<long>"))
-    nodes = stored(signed.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("finer").alias("finer")))
+    signed = stored(map_batches(keyed, sign, f"doc_id {dict(docs.dtypes)['doc_id']}, th long, node long, fp long, keys array<long>, n long"))
+    nodes = stored(signed.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("n").alias("n")))
 
     # Nodes of one fingerprint propose themselves to its smallest, and those to what the covering tables connect them with.
     points = stored(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("size")))
@@ -191,20 +191,23 @@ def link_near_copies(docs: DataFrame, radius: int = RADIUS, exact: bool = False)
         near = near.join(points.select(F.col("fp").alias(side), F.col("first").alias(f"_{side}")), side)
     close = equal.unionByName(near.select(F.least("_u", "_v").alias("u"), F.greatest("_u", "_v").alias("v")))
 
-    held = shared_keys(nodes.select("node", F.explode("keys").alias("key")))
-    crowd = held.where(F.lit(False) if exact else F.col("size") > BUCKET)
-    finer = shared_keys(nodes.join(crowd.select("node").distinct(), "node", "left_semi").select("node", F.explode("finer").alias("key")))
-    both = held.unionByName(finer)
-    few = both.where(F.lit(exact) | (F.col("size") <= BUCKET)).select("key", "node")
-    full = pairs_of(few, exact)
-    pairs = stored(full.unionByName(close).distinct())
-    stars = stored(star_pairs(both.where(~F.lit(exact) & (F.col("size") > BUCKET)).select("key", "node")))
-
-    wanted = stored(pairs.unionByName(stars).select(F.explode(F.array("u", "v")).alias("node")).distinct())
+    held = shared_keys(nodes.select("node", "n", F.explode("keys").alias("key")))
+    pairs = stored(star_pairs(held.select("key", "node")).unionByName(close).distinct())
+    wanted = stored(held.select("node").unionByName(close.select(F.explode(F.array("u", "v")).alias("node"))).distinct())
     texts = texts_of(docs, bit_map(wanted.select(F.col("node").alias("hash")))).join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     sets = stored(map_batches(texts, collect, "node long, own array<long>"))
-    links = verified(pairs, sets).unionByName(verified_stars(stars, sets))
-    return signed.select("doc_id", "th", "node"), component_labels(links)
+    labels = component_labels(verified_stars(pairs, sets))
+
+    told = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    more = stored(verified(stored(unlike_pairs(held, labels).join(told, ["u", "v"], "left_anti")), sets))
+    # What the rest of the pairs connects are components: a pair is a link of two of them, and a node that had none is one.
+    alone = more.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))
+    known = stored(labels.unionByName(alone))
+    for side in "uv":
+        more = dealt(more, known.select(F.col("node").alias(side), F.col("label").alias(f"_{side}")), [side], "u" if side == "v" else "v")
+    joined = component_labels(more.select(F.col("_u").alias("u"), F.col("_v").alias("v")).distinct())
+    final = dealt(known, joined.select(F.col("node").alias("label"), F.col("label").alias("_then")), ["label"], "node", "left")
+    return signed.select("doc_id", "th", "node"), stored(final.select("node", F.coalesce("_then", "label").alias("label")))
 
 
 def keep_one_of_each(docs: DataFrame, exact: bool = False) -> DataFrame:

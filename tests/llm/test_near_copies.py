@@ -98,3 +98,16 @@ def test_a_hot_group_spreads_over_tasks(spark, monkeypatch):
     sizes = rows.withColumn("_place", F.pmod(F.xxhash64("th"), F.lit(survivors.PARTS))).where("node = 5").groupBy("_place").count()
     assert sizes.agg(F.max("count")).head()[0] < 1_000 / 20
     assert survivors.decided(rows, labels).count() == 999
+
+
+def test_links_that_no_leader_has(spark, monkeypatch):
+    """Similar texts of crowded buckets, to none of whose leaders they are compared."""
+    monkeypatch.setattr(near_copies, "BUCKET", 1)
+    monkeypatch.setattr(near_copies, "star_pairs", lambda crowded: crowded.selectExpr("node as u", "node as v").where("false"))
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), 5)) for _ in range(300)]
+    one = " ".join(rng.choice(words, 200))
+    texts = [one, edited(rng, words, one, 3), edited(rng, words, one, 30)]
+    assert plain_labels(texts) == [0, 0, 2]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
+    assert sorted(r.doc_id for r in near_copies.keep_one_of_each(docs).collect()) == [0, 2]
