@@ -27,6 +27,8 @@ from aerolytics.ship import ship
 
 #: Bytes of a range, of a window that is searched at once, and of a step in which a header is read.
 SPLIT, WINDOW, STEP = 128 << 20, 4 << 20, 64 << 10
+#: Ranges of a task, at most.
+MOST = 128
 
 
 def _store(uri: str):
@@ -39,13 +41,34 @@ def _store(uri: str):
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
     path: str
     size: int
     low: int
     high: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """What a task reads: a large range, or many small ones."""
+
+    ranges: list[Range]
+
+
+def together(ranges: list[Range]) -> list[Ranges]:
+    """The ranges in order, as many to a task as stay within ``SPLIT`` bytes and ``MOST`` in number, so that small files are no tasks of their own."""
+    out: list[Ranges] = []
+    held = SPLIT
+    for r in ranges:
+        size = r.high - r.low
+        if not out or held + size > SPLIT or len(out[-1].ranges) == MOST:
+            out.append(Ranges([]))
+            held = 0
+        out[-1].ranges.append(r)
+        held += size
+    return out
+
+
 def _read(held, low: int, high: int) -> bytes:
     held.seek(low)
     return held.read(max(high - low, 0))
@@ -78,7 +101,7 @@ class _Reader(DataSourceReader):
         self.paths = json.loads(options["paths"])
         self.marker, self.split = options["marker"].encode("latin-1"), int(options.get("split_bytes", SPLIT))
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Ranges]:
         from pyarrow import fs
 
         out = []
@@ -88,11 +111,13 @@ class _Reader(DataSourceReader):
             found = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(base, recursive=True))
             for f in sorted((f for f in found if f.type == fs.FileType.File and f.base_name[0] not in "._"), key=lambda f: f.path):
                 out += [Range(f"{uri[: uri.index(':') + 1]}//{f.path}" if ":" in uri else f.path, f.size, a, min(a + self.split, f.size)) for a in range(0, f.size, self.split)]
-        return out or [Range("", 0, 0, 0)]
+        return together(out) or [Ranges([])]
+
+    def read(self, part: Ranges) -> Iterator[pa.RecordBatch]:
+        for own in part.ranges:
+            yield from self._logs(own)
 
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
-        if not part.path:
-            return
+    def _logs(self, part: Range) -> Iterator[pa.RecordBatch]:
         store, base = _store(part.path)
         size, marker = part.size, self.marker
         with store.open_input_file(base) as held:

@@ -108,3 +108,13 @@ def test_a_write_that_fails_in_a_task_leaves_the_folder_as_it_was(spark, tmp_pat
     assert [(p.name, p.read_bytes()) for p in tmp_path.iterdir()] == [("f0", b"old")]
     log_files.write_files(rows.where("id < 99"), str(tmp_path))
     assert {p.name: len(p.read_bytes()) for p in tmp_path.iterdir()} == {"f0": 20, "f1": 20, "f2": 20, "f3": 20, "f4": 19}
+
+
+def test_a_task_reads_many_small_ranges(tmp_path):
+    import json
+
+    for i in range(40):
+        (tmp_path / f"f{i:02d}.bbl").write_bytes(b"x" * 1_000)
+    parts = log_files._Reader({"paths": json.dumps([str(tmp_path)]), "marker": MARKER, "split_bytes": 100}).partitions()
+    assert [len(p.ranges) for p in parts] == [128, 128, 128, 16]
+    assert len({(r.path, r.low) for p in parts for r in p.ranges}) == 400
