@@ -9,9 +9,10 @@ so the bands do the larger part: at a similarity of exactly 0.8, 30 bands of 5 r
 
 Equal word sequences are one node from the start.  Of each bucket the nodes are first compared to a few leaders, which
 is linear and connects most of what is alike.  A bucket whose nodes are one component then is done: no pair of it can join
-anything.  In every other one all pairs of nodes of different components are compared, whatever the bucket's size, those of a large one
-dealt to tasks by parts.  So components are those of all pairs that share a band or a near fingerprint; the cost of a bucket is its size times
-the number of its nodes outside its largest component, and grows with the square of its size only where its texts are unlike.
+anything.  In every other one all pairs of nodes of different components are compared, whatever the bucket's size: in a small one as
+rows, in a large one by blocks of nodes, each with its sets in one task, so that no row stands for a pair and a set is moved once for a
+block.  So components are those of all pairs that share a band or a near fingerprint; the comparisons of a bucket are its size times
+the number of its nodes outside its largest component, and grow with the square of its size only where its texts are unlike.
 
 Edge cases: null and empty texts, and texts without words, are one node; a text of fewer words
 than a shingle is one shingle.
@@ -34,15 +35,17 @@ from aerolytics.llm.common import map_batches, ship, small_batches, stored, utf8
 from aerolytics.llm.components import component_labels
 from aerolytics.llm.decontaminate import bit_map, held_by
 from aerolytics.llm.simhash import RADIUS, fingerprint, near_edges
-from aerolytics.llm.survivors import PARTS, dealt, decided, survivors, text_hash
+from aerolytics.llm.survivors import dealt, decided, survivors, text_hash
 
 SHINGLE, BANDS, ROWS, SEED = 5, 30, 5, 42
 #: Similarity from which on two documents are near copies, as a fraction.
 SIMILAR = (4, 5)
 #: Nodes that a task remembers so as not to give their texts again.
 REMEMBERED = 300_000
-#: Nodes of a bucket whose pairs stay together, those of a larger one are dealt to parts; leaders of a bucket beside the smallest of all.
+#: Nodes of a bucket whose pairs are rows, a larger one is compared by blocks; leaders of a bucket beside the smallest of all.
 BUCKET, LEADERS = 32, 2
+#: Nodes of a block: those outside a bucket's largest component, and any that they are compared to.
+OUTER_BLOCK, BLOCK = 128, 512
 _dice = random.Random(SEED)
 FACTORS = np.array([_dice.getrandbits(64) | 1 for _ in range(BANDS * ROWS)], np.uint64)
 TERMS = np.array([_dice.getrandbits(64) for _ in range(BANDS * ROWS)], np.uint64)
@@ -145,24 +148,84 @@ def texts_of(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(pick, "node long, text string")
 
 
-def unlike_pairs(held: DataFrame, labels: DataFrame) -> DataFrame:
-    """(u, v), u below v: all pairs of nodes of a key (key, node, n, size) that have different labels and sizes ``n`` of similar sets.
+def mixed_keys(held: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (key, node, n, size, label, outer, outers) of the keys whose nodes have several labels, stored.
 
-    A key's largest component is compared to the nodes outside it, and those to each other.  A node outside goes to one part as u, and
-    every node of the key to all of its parts as v, so that large keys spread; keys of one component, and their rows, are left out.
+    ``outer`` tells the nodes outside the key's largest component, ``outers`` is their number; keys of one component, and their rows, are left out.
     """
-    part, whole = SIMILAR
     known = dealt(held, labels, ["node"], "key", "left").withColumn("label", F.coalesce("label", "node"))
     classes = known.groupBy("key", "label").agg(F.count("*").alias("m"))
-    mains = classes.groupBy("key").agg(F.count("*").alias("classes"), F.max_by("label", F.struct("m", "label")).alias("main")).where("classes > 1").drop("classes")
-    mixed = stored(known.join(mains, "key").withColumn("outer", F.col("label") != F.col("main")))
-    place = F.when(F.col("size") > BUCKET, F.pmod(F.xxhash64("node"), F.lit(PARTS))).otherwise(0)
-    u = mixed.where("outer").select("key", place.alias("part"), F.col("node").alias("u"), F.col("label").alias("of_u"), F.col("n").alias("n_u"))
-    v = mixed.select("key", F.col("node").alias("v"), F.col("label").alias("of_v"), F.col("n").alias("n_v"), "outer").join(u.select("key", "part").distinct(), "key")
-    met = u.join(v, ["key", "part"]).where("of_u <> of_v and (not outer or u < v)").where(whole * F.least("n_u", "n_v") >= part * F.greatest("n_u", "n_v"))
+    mains = classes.groupBy("key").agg(F.count("*").alias("classes"), F.max_by("label", F.struct("m", "label")).alias("main"), (F.sum("m") - F.max("m")).alias("outers")).where("classes > 1").drop("classes")
+    return stored(known.join(mains, "key").withColumn("outer", F.col("label") != F.col("main")).drop("main"))
+
+
+def unlike_pairs(mixed: DataFrame) -> DataFrame:
+    """(u, v), u below v: all pairs of nodes of a small key that have different labels and sizes ``n`` of similar sets."""
+    part, whole = SIMILAR
+    rows = mixed.where(F.col("size") <= BUCKET)
+    u, v = (rows.select("key", F.col("node").alias(x), F.col("label").alias(f"of_{x}"), F.col("n").alias(f"n_{x}"), F.col("outer").alias(f"outer_{x}")) for x in "uv")
+    met = u.where("outer_u").join(v, "key").where("of_u <> of_v and (not outer_v or u < v)").where(whole * F.least("n_u", "n_v") >= part * F.greatest("n_u", "n_v"))
     return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
+def block_links(mixed: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v): what connects the nodes that the similar pairs of large keys, of different labels, connect.
+
+    The nodes outside a key's largest component are dealt to blocks, and all of its nodes to others; each pair of blocks meets in one
+    group of bounded size.  A pair is compared in the first band that it shares only, if that is a small key as a row (see ``unlike_pairs``).
+    """
+    number = lambda n, most: F.ceil(F.col(n) / most)
+    own = lambda side, of: F.pmod(F.xxhash64("node", F.lit(side)), of)
+    first, second = number("outers", OUTER_BLOCK), number("size", BLOCK)
+    every = lambda of, fn: F.transform(F.sequence(F.lit(0).cast("long"), of - 1), fn)
+    place = lambda left, a, b: F.struct(F.lit(left).alias("left"), a.alias("a"), b.alias("b"))
+    left, right = every(second, lambda b: place(True, own(0, first), b)), every(first, lambda a: place(False, a, own(1, second)))
+    places = F.explode(F.when(F.col("outer"), F.concat(left, right)).otherwise(right)).alias("at")
+    held = mixed.where(F.col("size") > BUCKET).join(nodes.select("node", "keys"), "node").join(sets, "node")
+    spread = held.select("key", "node", "label", "outer", "keys", "own", places).select("key", "at.*", "node", "label", "outer", "keys", "own")
+    return spread.groupBy("key", "a", "b").applyInArrow(compare_block, "u long, v long").distinct()
+
+
+def compare_block(block: pa.Table) -> pa.Table:
+    """Links (u, v) that connect what the similar pairs of a left and a right row with different labels connect."""
+    left, node, label, outer = (block.column(c).to_numpy() for c in ("left", "node", "label", "outer"))
+    a, b = np.flatnonzero(left), np.flatnonzero(~left)
+    found: list[tuple[int, int]] = []
+    if len(a) and len(b):
+        part, whole = SIMILAR
+        keys, own = (block.column(c).combine_chunks() for c in ("keys", "own"))
+        bands = keys.flatten().to_numpy().reshape(-1, BANDS)
+        band = int(np.flatnonzero(bands[a[0]] == block.column("key")[0].as_py())[0])
+        _, at = np.unique(own.flatten().to_numpy(), return_inverse=True)  # a block's own numbers for the hashes
+        ends = np.cumsum([0, *own.value_lengths().to_numpy()])
+        sizes, flags = np.diff(ends), np.zeros(len(at), bool)
+        theirs = np.concatenate([at[ends[j] : ends[j + 1]] for j in b])
+        cuts = np.concatenate(([0], np.cumsum(sizes[b])))
+        root = dict(zip(node.tolist(), node.tolist(), strict=True)) if len(node) else {}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for i in a:
+            shares = (bands[b] == bands[i]).argmax(axis=1) == band
+            close = whole * np.minimum(sizes[b], sizes[i]) >= part * np.maximum(sizes[b], sizes[i])
+            fits = shares & close & (label[b] != label[i]) & (~outer[b] | (node[i] < node[b]))
+            if not fits.any():
+                continue
+            mine = at[ends[i] : ends[i + 1]]
+            flags[mine] = True
+            both = np.diff(np.concatenate(([0], np.cumsum(flags[theirs])))[cuts])
+            flags[mine] = False
+            for j in b[fits & (both * (whole + part) >= (sizes[b] + sizes[i]) * part)]:
+                u, v = int(node[i]), int(node[j])
+                if find(u) != find(v):
+                    root[find(u)] = find(v)
+                    found.append((min(u, v), max(u, v)))
+    return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
+
+
 def link_near_copies(docs: DataFrame, radius: int = RADIUS, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """(doc_id, th, node) of every row, ``th`` being the hash of its text, and (node, label) of the nodes that have near copies: the smallest node of the component.
 
@@ -199,7 +262,8 @@ def link_near_copies(docs: DataFrame, radius: int = RADIUS, exact: bool = False)
     labels = component_labels(verified_stars(pairs, sets))
 
     told = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    more = stored(verified(stored(unlike_pairs(held, labels).join(told, ["u", "v"], "left_anti")), sets))
+    mixed = mixed_keys(held, labels)
+    more = stored(verified(stored(unlike_pairs(mixed).join(told, ["u", "v"], "left_anti")), sets).unionByName(block_links(mixed, nodes, sets)))
     # What the rest of the pairs connects are components: a pair is a link of two of them, and a node that had none is one.
     alone = more.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))
     known = stored(labels.unionByName(alone))

@@ -111,3 +111,42 @@ def test_links_that_no_leader_has(spark, monkeypatch):
     assert plain_labels(texts) == [0, 0, 2]
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
     assert sorted(r.doc_id for r in near_copies.keep_one_of_each(docs).collect()) == [0, 2]
+
+
+def test_a_large_bucket_is_compared_by_blocks(spark, monkeypatch):
+    """Texts of about the threshold's likeness: no row stands for a pair of a large bucket, links are those of all pairs."""
+    monkeypatch.setattr(near_copies, "BUCKET", 4)
+    monkeypatch.setattr(near_copies, "OUTER_BLOCK", 7)
+    monkeypatch.setattr(near_copies, "BLOCK", 11)
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), 5)) for _ in range(300)]
+    one = " ".join(rng.choice(words, 200))
+    texts = [edited(rng, words, one, int(rng.integers(1, 9))).encode() for _ in range(60)]
+    found = [near_copies.shingles(t) for t in texts]
+    bands = [near_copies.band_keys(f)[0].view(np.int64) for f in found]
+    ids = [near_copies.node(t) - (1 << 63) for t in texts]
+    nodes = spark.createDataFrame([(i, k.tolist(), len(f)) for i, k, f in zip(ids, bands, found, strict=True)], "node long, keys array<long>, n long")
+    sets = spark.createDataFrame([(i, f.view(np.int64).tolist()) for i, f in zip(ids, found, strict=True)], "node long, own array<long>")
+    held = near_copies.shared_keys(nodes.select("node", "n", F.explode("keys").alias("key")))
+    assert held.where("size > 4").count() > 300
+    mixed = near_copies.mixed_keys(held, spark.createDataFrame([(i, min(ids[:20])) for i in ids[:20]], "node long, label long"))
+    small = near_copies.unlike_pairs(mixed)
+    large = held.where("size > 4").select("key", "node")
+    assert small.count() <= mixed.where("size <= 4").count() * 2
+    links = [tuple(r) for r in near_copies.verified(small, sets).union(near_copies.block_links(mixed, nodes, sets)).collect()]
+    pairs = {(u, v) for i, u in enumerate(ids) for j, v in enumerate(ids) if i < j and np.intersect1d(found[i], found[j]).size * 9 >= (len(found[i]) + len(found[j])) * 4 and (bands[i] == bands[j]).any() and not (i < 20 and j < 20)}
+    assert large.count() and all((u, v) in pairs or (v, u) in pairs for u, v in links) and len(links) < len(pairs)
+
+    def groups(edges):
+        root = {i: i for i in ids}
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for u, v in [*edges, *[(ids[0], i) for i in ids[1:20]]]:
+            root[find(u)] = find(v)
+        return {frozenset(i for i in ids if find(i) == find(r)) for r in ids}
+
+    assert groups(links) == groups(pairs) and 1 < len(groups(pairs)) < 41
