@@ -8,7 +8,7 @@ with a similarity of 0.8 differ in about ten bits of 64; a radius that covers th
 so the bands do the larger part: at a similarity of exactly 0.8, 30 bands of 5 rows miss 7 of a million pairs.
 
 Equal word sequences are one node from the start.  Of each bucket the nodes are first compared to a few leaders, which
-is linear and connects most of what is alike.  A bucket whose nodes are one component then is done: no pair of it can join
+is linear and connects most of what is alike: a node meets the leader that most of its bands name, and others only where it is not connected yet.  A bucket whose nodes are one component then is done: no pair of it can join
 anything.  In every other one all pairs of nodes of different components are compared, whatever the bucket's size: in a small one as
 rows, in a large one by blocks of nodes, each with its sets in one task, so that no row stands for a pair and a set is moved once for a
 block.  So components are those of all pairs that share a band or a near fingerprint; the comparisons of a bucket are its size times
@@ -85,20 +85,41 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat.view(np.int64)))
 
 
+def rows_of(table: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of a table by ``node`` whose node is wanted; the others aren't moved where the wanted ones fit a broadcast."""
+    return dealt(table, stored(wanted.distinct()), ["node"], "node", "left_semi")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (u, v) whose sets are similar."""
     part, whole = SIMILAR
-    a, b = (sets.select(F.col("node").alias(n), F.col("own").alias(f"of_{n}")) for n in "uv")
+    a, b = (rows_of(sets, pairs.select(F.col(n).alias("node"))).select(F.col("node").alias(n), F.col("own").alias(f"of_{n}")) for n in "uv")
     both, sizes = F.size(F.array_intersect("of_u", "of_v")), F.size("of_u") + F.size("of_v")
     close = whole * F.least(F.size("of_u"), F.size("of_v")) >= part * F.greatest(F.size("of_u"), F.size("of_v"))
     return pairs.join(a, "u").join(b, "v").where(close).where(both * (whole + part) >= sizes * part).select("u", "v")
 
 
 def verified_stars(stars: DataFrame, sets: DataFrame) -> DataFrame:
-    """(u, v): what connects the same nodes as the pairs of leaders and nodes with similar sets do; a node's set is moved once, not once for each leader."""
+    """(u, v): what connects the same nodes as the pairs of leaders and nodes with similar sets do; a node's set is moved once, not once for each leader.
+
+    Of the proposed pairs (u, v, c) each node first meets the leader that most of its bands name; what that connects is left out, and only nodes that
+    are in another component than a further leader of theirs meet that one, too.
+    """
+    first = stored(stars.groupBy("v").agg(F.max_by("u", F.struct("c", "u")).alias("u")))
+    links = stored(star_links(first, sets))
+    labels = component_labels(links)
+    rest = stars.select("u", "v").join(first, ["u", "v"], "left_anti")
+    for side in "uv":
+        rest = dealt(rest, labels.select(F.col("node").alias(side), F.col("label").alias(f"_{side}")), [side], "u" if side == "v" else "v", "left")
+    apart = stored(rest.where(F.coalesce("_u", "u") != F.coalesce("_v", "v")).select("u", "v"))
+    return links.unionByName(star_links(apart, sets))
+
+
+def star_links(stars: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links of ``verified_stars``, every pair compared."""
     part, whole = SIMILAR
-    led = stars.groupBy("v").agg(F.collect_set("u").alias("us")).join(sets.withColumnRenamed("node", "v").withColumnRenamed("own", "of_v"), "v")
-    leaders, fits = small(sets.join(stars.select(F.col("u").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("u"), F.col("own").alias("of_u"), F.size("own").alias("n_u")))
+    led = dealt(sets.select(F.col("node").alias("v"), F.col("own").alias("of_v")), stored(stars.groupBy("v").agg(F.collect_set("u").alias("us"))), ["v"], "v")
+    leaders, fits = small(rows_of(sets, stars.select(F.col("u").alias("node"))).select(F.col("node").alias("u"), F.col("own").alias("of_u"), F.size("own").alias("n_u")))
     rows = led.select("v", "of_v", F.explode("us").alias("u"))
     met = rows.join(F.broadcast(leaders) if fits else leaders, "u").withColumn("n_v", F.size("of_v")).where(whole * F.least("n_u", "n_v") >= part * F.greatest("n_u", "n_v"))
     links = met.where(F.size(F.array_intersect("of_u", "of_v")) * (whole + part) >= (F.col("n_u") + F.col("n_v")) * part).select("u", "v")
@@ -120,11 +141,13 @@ def shared_keys(keyed: DataFrame) -> DataFrame:
 
 
 def star_pairs(crowded: DataFrame) -> DataFrame:
-    """(u, v): leaders of each key's nodes, found by partial minima, and the nodes."""
+    """(u, v), once for each key: leaders of its nodes, found by partial minima, and the nodes whose sets have sizes of similar ones."""
+    part, whole = SIMILAR
     ranks = [F.xxhash64("node"), *[F.xxhash64("node", "key", F.lit(i)) for i in range(LEADERS)]]
-    leaders = crowded.groupBy("key").agg(F.array_distinct(F.array(*[F.min_by("node", r) for r in ranks])).alias("leaders"))
+    leaders = crowded.groupBy("key").agg(F.array_distinct(F.array(*[F.min_by(F.struct("node", "n"), r) for r in ranks])).alias("leaders"))
     led = attach(crowded.withColumn("_place", F.pmod(F.xxhash64("node"), F.lit(64))), leaders, ["key"], order="_place", rows=1)
-    return led.select(F.explode("leaders").alias("u"), F.col("node").alias("v")).where("u <> v").distinct()
+    met = led.select(F.explode("leaders").alias("at"), F.col("node").alias("v"), "n").where("at.node <> v").where(whole * F.least("n", "at.n") >= part * F.greatest("n", "at.n"))
+    return met.select(F.col("at.node").alias("u"), "v")
 
 
 def texts_of(docs: DataFrame, bits: np.ndarray) -> DataFrame:
@@ -181,7 +204,9 @@ def block_links(mixed: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFram
     place = lambda left, a, b: F.struct(F.lit(left).alias("left"), a.alias("a"), b.alias("b"))
     left, right = every(second, lambda b: place(True, own(0, first), b)), every(first, lambda a: place(False, a, own(1, second)))
     places = F.explode(F.when(F.col("outer"), F.concat(left, right)).otherwise(right)).alias("at")
-    held = mixed.where(F.col("size") > BUCKET).join(nodes.select("node", "keys"), "node").join(sets, "node")
+    large = mixed.where(F.col("size") > BUCKET)
+    wanted = large.select("node").distinct()
+    held = large.join(rows_of(nodes.select("node", "keys"), wanted).join(rows_of(sets, wanted), "node"), "node")
     spread = held.select("key", "node", "label", "outer", "keys", "own", places).select("key", "at.*", "node", "label", "outer", "keys", "own")
     return spread.groupBy("key", "a", "b").applyInArrow(compare_block, "u long, v long").distinct()
 
@@ -252,10 +277,10 @@ def link_near_copies(docs: DataFrame, radius: int = RADIUS, exact: bool = False)
     near = near_edges(points.select("fp"), radius)
     for side in ("u", "v"):
         near = near.join(points.select(F.col("fp").alias(side), F.col("first").alias(f"_{side}")), side)
-    close = equal.unionByName(near.select(F.least("_u", "_v").alias("u"), F.greatest("_u", "_v").alias("v")))
+    close = stored(equal.unionByName(near.select(F.least("_u", "_v").alias("u"), F.greatest("_u", "_v").alias("v"))))
 
     held = shared_keys(nodes.select("node", "n", F.explode("keys").alias("key")))
-    pairs = stored(star_pairs(held.select("key", "node")).unionByName(close).distinct())
+    pairs = stored(star_pairs(held.select("key", "node", "n")).unionByName(close).groupBy("u", "v").agg(F.count("*").alias("c")))
     wanted = stored(held.select("node").unionByName(close.select(F.explode(F.array("u", "v")).alias("node"))).distinct())
     texts = texts_of(docs, bit_map(wanted.select(F.col("node").alias("hash")))).join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     sets = stored(map_batches(texts, collect, "node long, own array<long>"))

@@ -150,3 +150,28 @@ def test_a_large_bucket_is_compared_by_blocks(spark, monkeypatch):
         return {frozenset(i for i in ids if find(i) == find(r)) for r in ids}
 
     assert groups(links) == groups(pairs) and 1 < len(groups(pairs)) < 41
+
+
+def test_nodes_meet_further_leaders_only_where_they_are_not_connected(spark, monkeypatch):
+    base = list(range(100))
+    sets = spark.createDataFrame([(1, base), (2, base[:95]), (3, base[5:]), (4, [*base[:50], *range(200, 250)])], "node long, own array<long>").coalesce(1)
+    stars = spark.createDataFrame([(1, 2, 9), (3, 2, 4), (1, 3, 9), (2, 3, 1), (1, 4, 2), (2, 4, 1)], "u long, v long, c long")
+    real, met = near_copies.star_links, []
+    monkeypatch.setattr(near_copies, "star_links", lambda s, t: met.append(sorted(map(tuple, s.select("u", "v").collect()))) or real(s, t))
+    links = {frozenset(r) for r in near_copies.verified_stars(stars, sets).collect()}
+    assert met == [[(1, 2), (1, 3), (1, 4)], [(2, 4)]] and links == {frozenset((1, 2)), frozenset((1, 3))}
+
+
+def test_leaders_of_other_sizes_are_not_proposed(spark):
+    crowded = spark.createDataFrame([(7, 1, 100), (7, 2, 90), (7, 3, 10)], "key long, node long, n long")
+    assert all({1, 2} == {r.u, r.v} for r in near_copies.star_pairs(crowded).collect())
+
+
+def test_sets_that_no_pair_needs_stay_where_they_are(spark):
+    sets = spark.range(100).selectExpr("id as node", "array(id, id + 1) as own")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = near_copies.rows_of(sets, spark.createDataFrame([(1,), (1,), (5,)], "node long"))
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString() and sorted(r.node for r in found.collect()) == [1, 5]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
