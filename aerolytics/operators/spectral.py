@@ -20,6 +20,7 @@ from aerolytics.operators import kernels
 from aerolytics.operators.attach import attach
 from aerolytics.operators.delays import correlation_delay, filter_delays, phase_delay  # noqa: F401
 from aerolytics.operators.ordered import with_guests
+from aerolytics.scratch import stored
 from aerolytics.ship import ship
 
 KEYS = ["log_id", "axis"]
@@ -257,12 +258,13 @@ def step_response(signal: DataFrame, min_input: float = 20.0, duration_ms: float
 def compare_responses(signals: DataFrame, catalog: DataFrame, least: int = 100) -> DataFrame:
     """Step responses of visible logs inside their ranges, at each log's median rate; axes with fewer than ``least`` rows are left out.
 
-    ``signals`` is (log_id, frame_seq, axis, time_s, setpoint, gyro).
+    ``signals`` is (log_id, frame_seq, axis, time_s, setpoint, gyro).  The rows in range are stored: five steps read them, and what makes
+    them, sorts included, runs once.
     """
     from aerolytics.operators.frames import in_range
     from aerolytics.operators.stats import median_rate
 
-    kept = in_range(signals, catalog)
+    kept = stored(in_range(signals, catalog).select(*KEYS, "frame_seq", "time_s", "setpoint", "gyro"))
     one = kept.groupBy("log_id", "frame_seq").agg(F.first("time_s").alias("time_s"))
     size = kept.groupBy(*KEYS).agg(F.count("*").alias("_n"), F.min("frame_seq").alias("_first")).where(F.col("_n") >= least)
     sides = size.join(median_rate(one).select("log_id", "rate_khz"), "log_id")

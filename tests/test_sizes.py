@@ -43,3 +43,14 @@ def test_rows_stay_where_they_are_when_a_chunk_meets_those_before(spark):
         assert found.where("s <> i + 1").isEmpty() and found.count() == 500
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_compared_responses_read_their_rows_once(spark, tmp_path):
+    from aerolytics.operators import spectral
+
+    rows = spark.range(400).selectExpr("1L as log_id", "id as frame_seq", "'roll' as axis", "id / 100.0D as time_s", "id % 90 * 5 as setpoint", "id % 90 * 5 as gyro")
+    rows.write.parquet(str(tmp_path / "rows"))
+    catalog = spark.createDataFrame([(1, 0.0, 4.0, True)], "log_id long, time_start_s double, time_end_s double, visible boolean")
+    found = spectral.compare_responses(spark.read.parquet(str(tmp_path / "rows")), catalog)
+    assert not [f for f in found.inputFiles() if str(tmp_path) in f]
+    assert not found.where("n_segments > 0").isEmpty()
