@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from aerolytics.llm.common import stored
 from aerolytics.llm.survivors import dealt
+from aerolytics.operators.attach import merge_join
 
 
 def component_labels(edges: DataFrame) -> DataFrame:
@@ -24,7 +25,7 @@ def component_labels(edges: DataFrame) -> DataFrame:
     labels = stored(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("near")).select("node", F.least("node", "near").alias("label")))
     while True:
         near = dealt(both, labels.withColumnRenamed("node", "v"), ["v"], "u").groupBy("u").agg(F.min("label").alias("near"))
-        spread = labels.join(near, F.col("node") == F.col("u"), "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
+        spread = merge_join(labels, near, F.col("node") == F.col("u"), "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("then"))
         new = stored(dealt(spread, jump, ["label"], "node", "left").select("node", "old", F.least("label", F.coalesce("then", "label")).alias("label")))
         labels = new.select("node", "label")

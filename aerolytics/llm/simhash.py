@@ -32,6 +32,7 @@ from pyspark.sql import Window
 from aerolytics.llm.common import map_batches, stored, utf8_rows
 from aerolytics.llm.components import component_labels
 from aerolytics.llm.survivors import dealt, decided, survivors, text_hash
+from aerolytics.operators.attach import merge_join
 
 SHINGLE, RADIUS, SEED, BITS = 4, 4, 42, 64
 #: Fingerprints of a bucket that are compared at once.
@@ -101,7 +102,7 @@ def near_edges(points: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) ->
     sized = keyed.groupBy("mask", "key").agg(F.count("*").alias("size"), F.min("fp").alias("low"), F.max("fp").alias("high")).where("size > 1")
     pairs = sized.where("size = 2").where(F.bit_count(F.col("low").bitwiseXOR(F.col("high"))) <= radius).select(F.col("low").alias("u"), F.col("high").alias("v"))
     more = sized.where("size > 2").select("mask", "key", "size")
-    held = keyed.join(more, ["mask", "key"])
+    held = merge_join(keyed, more, ["mask", "key"])
 
     small = held.where(F.col("size") <= bucket).groupBy("mask", "key").agg(F.collect_list("fp").alias("fps")).select("fps")
 
@@ -138,9 +139,9 @@ def print_groups(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET)
         raise ValueError("buckets of any size are handled for an even radius only")
     points = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     labels = component_labels(near_edges(points, radius, bucket))
-    linked = points.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+    linked = merge_join(points, labels, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     roots = linked.groupBy("label").agg(F.min("first").alias("component_id"))
-    return stored(linked.select("fp", "label").join(roots, "label").select("fp", "label", "component_id"))
+    return stored(merge_join(linked.select("fp", "label"), roots, "label").select("fp", "label", "component_id"))
 
 
 def link_documents(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:

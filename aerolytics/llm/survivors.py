@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from aerolytics.llm.common import free_names, own_columns, ship, stored
 from aerolytics.llm.decontaminate import bit_map, held_by
-from aerolytics.operators.attach import row_bytes
+from aerolytics.operators.attach import merge_join, row_bytes
 
 #: Parts that a hot key's rows are dealt to.
 PARTS = 64
@@ -34,8 +34,8 @@ def dealt(rows: DataFrame, side: DataFrame, keys: list[str], by: str, how: str =
     if side.count() * row_bytes(side.schema) <= BROADCAST_BYTES:
         return rows.join(F.broadcast(side), keys, how)
     placed = rows.withColumn("_place", F.pmod(F.xxhash64(by), F.lit(PARTS)))
-    copies = side.join(placed.select(*keys, "_place").distinct(), keys)
-    return placed.join(copies, [*keys, "_place"], how).drop("_place")
+    copies = merge_join(side, placed.select(*keys, "_place").distinct(), keys)
+    return merge_join(placed, copies, [*keys, "_place"], how).drop("_place")
 
 
 def decided(rows: DataFrame, groups: DataFrame) -> DataFrame:
@@ -70,7 +70,7 @@ def survivors(docs: DataFrame, named: DataFrame) -> DataFrame:
             return pd.Series(held_by(shared.value, hashes.to_numpy().view(np.uint64)))
 
         hit = maybe(F.xxhash64("doc_id", th))
-        marked = keyed.where(hit).join(verdicts, same, "left")
+        marked = merge_join(keyed.where(hit), verdicts, same, "left")
         stays = keyed.where(~hit).select(*own).union(marked.where(F.col(go).isNull()).select(*own))
     fields = [c for c, f in zip(own, docs.schema.fields, strict=True) if "map<" not in f.dataType.simpleString()]
     repeated = marked.where(~F.col(go)).select(id_, their, F.struct(*own).alias(row), F.xxhash64(*fields).alias(order))

@@ -31,6 +31,11 @@ def small(side: DataFrame, limit: int | None = None) -> tuple[DataFrame, bool]:
     return kept, kept.count() * row_bytes(kept.schema) <= (BROADCAST_BYTES if limit is None else limit)
 
 
+def merge_join(left: DataFrame, right: DataFrame, on: str | list[str] | Column | list[Column], how: str = "inner") -> DataFrame:
+    """A join by sorted shuffles, which Spark never makes a broadcast of: it takes a side for as large as the files below it, whatever an explode made of their rows."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def attach(frames: DataFrame, side: DataFrame, keys: list[str] | None = None, order: str = "frame_seq", how: str = "inner", limit: int | None = None, rows: int = CHUNK) -> DataFrame:
     """The frames with the side's columns; ``how`` is inner, or left to keep frames without a side row.
 
@@ -43,5 +48,5 @@ def attach(frames: DataFrame, side: DataFrame, keys: list[str] | None = None, or
     part: Column = F.floor(F.coalesce(F.col(order), F.lit(0)) / rows).cast("bigint")
     cut = frames.withColumn("_part", part)
     parts = cut.groupBy(*keys).agg(F.min("_part").alias("_low"), F.max("_part").alias("_high"))
-    dealt = kept.join(parts, keys).withColumn("_part", F.explode(F.sequence("_low", "_high"))).drop("_low", "_high")
-    return cut.join(dealt.hint("merge"), [*keys, "_part"], how).drop("_part")
+    dealt = merge_join(kept, parts, keys).withColumn("_part", F.explode(F.sequence("_low", "_high"))).drop("_low", "_high")
+    return merge_join(cut, dealt, [*keys, "_part"], how).drop("_part")

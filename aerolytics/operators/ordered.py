@@ -20,13 +20,13 @@ def _chunk(order: str, rows: int) -> Column:
 
 
 def _joined(df: DataFrame, keys: list[str], side: DataFrame) -> DataFrame:
-    from aerolytics.operators.attach import small
+    from aerolytics.operators.attach import merge_join, small
 
     names = [*keys, "_chunk"]
     kept, fits = small(side)  # a row per chunk: broadcast if it may be, so that the rows stay where they are
     other = kept.select(*[F.col(n).alias(f"_of_{n}") for n in names], *[c for c in side.columns if c not in names])
     same = [F.col(n).eqNullSafe(F.col(f"_of_{n}")) for n in names]
-    return df.join(F.broadcast(other) if fits else other, same, "left").drop(*[f"_of_{n}" for n in names])
+    return (df.join(F.broadcast(other), same, "left") if fits else merge_join(df, other, same, "left")).drop(*[f"_of_{n}" for n in names])
 
 
 def lagged(df: DataFrame, keys: list[str], order: str, columns: dict[str, str], rows: int = CHUNK) -> DataFrame:
