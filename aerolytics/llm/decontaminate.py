@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aerolytics.llm.common import free_names, map_batches, own_columns, ship, small_batches, stored, utf8_rows
-from aerolytics.operators.attach import attach
+from aerolytics.operators.attach import attach, merge_join
 
 WINDOW, SHINGLE = 10, 5
 #: Bits of a bit map by wanted shingle, and the most it may have (32 MB).
@@ -177,7 +177,7 @@ def shingle_counts(docs: DataFrame, bits: np.ndarray, sizes: list[int]) -> DataF
 
 def prefixes(windows: DataFrame, counts: DataFrame, shingle: int) -> DataFrame:
     """(hash, offset, length, wid, words, size): the rarest shingle of each window that may occur, the first among equals."""
-    each = windows.select("wid", F.size("hashes").alias("parts"), F.posexplode("hashes").alias("offset", "hash")).join(counts, "hash")
+    each = merge_join(windows.select("wid", F.size("hashes").alias("parts"), F.posexplode("hashes").alias("offset", "hash")), counts, "hash")
     best = each.groupBy("wid", "parts").agg(F.min(F.struct("n", "hash", "offset")).alias("best"), F.count("*").alias("there")).where("there = parts")
     chosen = best.select("wid", "best.hash", "best.offset").join(windows.select("wid", "words", "size"), "wid")
     return chosen.withColumn("length", F.least(F.col("size"), F.lit(shingle)))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerolytics.operators.attach import BROADCAST_BYTES, attach
+from aerolytics.operators.attach import BROADCAST_BYTES, attach, merge_join
 
 from aerolytics.llm.common import map_batches, ship, small_batches, stored, utf8_rows
 from aerolytics.llm.components import component_labels
@@ -96,7 +96,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     a, b = (rows_of(sets, pairs.select(F.col(n).alias("node"))).select(F.col("node").alias(n), F.col("own").alias(f"of_{n}")) for n in "uv")
     both, sizes = F.size(F.array_intersect("of_u", "of_v")), F.size("of_u") + F.size("of_v")
     close = whole * F.least(F.size("of_u"), F.size("of_v")) >= part * F.greatest(F.size("of_u"), F.size("of_v"))
-    return pairs.join(a, "u").join(b, "v").where(close).where(both * (whole + part) >= sizes * part).select("u", "v")
+    return merge_join(merge_join(pairs, a, "u"), b, "v").where(close).where(both * (whole + part) >= sizes * part).select("u", "v")
 
 
 def verified_stars(stars: DataFrame, sets: DataFrame) -> DataFrame:
@@ -108,7 +108,7 @@ def verified_stars(stars: DataFrame, sets: DataFrame) -> DataFrame:
     first = stored(stars.groupBy("v").agg(F.max_by("u", F.struct("c", "u")).alias("u")))
     links = stored(star_links(first, sets))
     labels = component_labels(links)
-    rest = stars.select("u", "v").join(first, ["u", "v"], "left_anti")
+    rest = merge_join(stars.select("u", "v"), first, ["u", "v"], "left_anti")
     for side in "uv":
         rest = dealt(rest, labels.select(F.col("node").alias(side), F.col("label").alias(f"_{side}")), [side], "u" if side == "v" else "v", "left")
     apart = stored(rest.where(F.coalesce("_u", "u") != F.coalesce("_v", "v")).select("u", "v"))
@@ -121,7 +121,7 @@ def star_links(stars: DataFrame, sets: DataFrame) -> DataFrame:
     led = dealt(sets.select(F.col("node").alias("v"), F.col("own").alias("of_v")), stored(stars.groupBy("v").agg(F.collect_set("u").alias("us"))), ["v"], "v")
     leaders, fits = small(rows_of(sets, stars.select(F.col("u").alias("node"))).select(F.col("node").alias("u"), F.col("own").alias("of_u"), F.size("own").alias("n_u")))
     rows = led.select("v", "of_v", F.explode("us").alias("u"))
-    met = rows.join(F.broadcast(leaders) if fits else leaders, "u").withColumn("n_v", F.size("of_v")).where(whole * F.least("n_u", "n_v") >= part * F.greatest("n_u", "n_v"))
+    met = (rows.join(F.broadcast(leaders), "u") if fits else merge_join(rows, leaders, "u")).withColumn("n_v", F.size("of_v")).where(whole * F.least("n_u", "n_v") >= part * F.greatest("n_u", "n_v"))
     links = met.where(F.size(F.array_intersect("of_u", "of_v")) * (whole + part) >= (F.col("n_u") + F.col("n_v")) * part).select("u", "v")
     # A node that several leaders hold connects them: it keeps one of them, and so does each of the others.
     own = links.groupBy("v").agg(F.collect_set("u").alias("us")).withColumn("first", F.array_min("us"))
@@ -137,7 +137,7 @@ def small(sets: DataFrame) -> tuple[DataFrame, bool]:
 def shared_keys(keyed: DataFrame) -> DataFrame:
     """(key, node, size) of the keys that several nodes share, stored."""
     sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    return stored(keyed.join(sizes, "key"))
+    return stored(merge_join(keyed, sizes, "key"))
 
 
 def star_pairs(crowded: DataFrame) -> DataFrame:
@@ -179,7 +179,7 @@ def mixed_keys(held: DataFrame, labels: DataFrame) -> DataFrame:
     known = dealt(held, labels, ["node"], "key", "left").withColumn("label", F.coalesce("label", "node"))
     classes = known.groupBy("key", "label").agg(F.count("*").alias("m"))
     mains = classes.groupBy("key").agg(F.count("*").alias("classes"), F.max_by("label", F.struct("m", "label")).alias("main"), (F.sum("m") - F.max("m")).alias("outers")).where("classes > 1").drop("classes")
-    return stored(known.join(mains, "key").withColumn("outer", F.col("label") != F.col("main")).drop("main"))
+    return stored(merge_join(known, mains, "key").withColumn("outer", F.col("label") != F.col("main")).drop("main"))
 
 
 def unlike_pairs(mixed: DataFrame) -> DataFrame:
@@ -187,7 +187,7 @@ def unlike_pairs(mixed: DataFrame) -> DataFrame:
     part, whole = SIMILAR
     rows = mixed.where(F.col("size") <= BUCKET)
     u, v = (rows.select("key", F.col("node").alias(x), F.col("label").alias(f"of_{x}"), F.col("n").alias(f"n_{x}"), F.col("outer").alias(f"outer_{x}")) for x in "uv")
-    met = u.where("outer_u").join(v, "key").where("of_u <> of_v and (not outer_v or u < v)").where(whole * F.least("n_u", "n_v") >= part * F.greatest("n_u", "n_v"))
+    met = merge_join(u.where("outer_u"), v, "key").where("of_u <> of_v and (not outer_v or u < v)").where(whole * F.least("n_u", "n_v") >= part * F.greatest("n_u", "n_v"))
     return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
@@ -206,7 +206,7 @@ def block_links(mixed: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFram
     places = F.explode(F.when(F.col("outer"), F.concat(left, right)).otherwise(right)).alias("at")
     large = mixed.where(F.col("size") > BUCKET)
     wanted = large.select("node").distinct()
-    held = large.join(rows_of(nodes.select("node", "keys"), wanted).join(rows_of(sets, wanted), "node"), "node")
+    held = merge_join(large, merge_join(rows_of(nodes.select("node", "keys"), wanted), rows_of(sets, wanted), "node"), "node")
     spread = held.select("key", "node", "label", "outer", "keys", "own", places).select("key", "at.*", "node", "label", "outer", "keys", "own")
     return spread.groupBy("key", "a", "b").applyInArrow(compare_block, "u long, v long").distinct()
 
@@ -273,24 +273,24 @@ def link_near_copies(docs: DataFrame, radius: int = RADIUS, exact: bool = False)
 
     # Nodes of one fingerprint propose themselves to its smallest, and those to what the covering tables connect them with.
     points = stored(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("size")))
-    equal = nodes.join(points.where("size > 1"), "fp").where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    equal = merge_join(nodes, points.where("size > 1"), "fp").where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
     near = near_edges(points.select("fp"), radius)
     for side in ("u", "v"):
-        near = near.join(points.select(F.col("fp").alias(side), F.col("first").alias(f"_{side}")), side)
+        near = merge_join(near, points.select(F.col("fp").alias(side), F.col("first").alias(f"_{side}")), side)
     close = stored(equal.unionByName(near.select(F.least("_u", "_v").alias("u"), F.greatest("_u", "_v").alias("v"))))
 
     held = shared_keys(nodes.select("node", "n", F.explode("keys").alias("key")))
     pairs = stored(star_pairs(held.select("key", "node", "n")).unionByName(close).groupBy("u", "v").agg(F.count("*").alias("c")))
     wanted = stored(held.select("node").unionByName(close.select(F.explode(F.array("u", "v")).alias("node"))).distinct())
-    texts = texts_of(docs, bit_map(wanted.select(F.col("node").alias("hash")))).join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    texts = merge_join(texts_of(docs, bit_map(wanted.select(F.col("node").alias("hash")))), wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     sets = stored(map_batches(texts, collect, "node long, own array<long>"))
     labels = component_labels(verified_stars(pairs, sets))
 
     told = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     mixed = mixed_keys(held, labels)
-    more = stored(verified(stored(unlike_pairs(mixed).join(told, ["u", "v"], "left_anti")), sets).unionByName(block_links(mixed, nodes, sets)))
+    more = stored(verified(stored(merge_join(unlike_pairs(mixed), told, ["u", "v"], "left_anti")), sets).unionByName(block_links(mixed, nodes, sets)))
     # What the rest of the pairs connects are components: a pair is a link of two of them, and a node that had none is one.
-    alone = more.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))
+    alone = merge_join(more.select(F.explode(F.array("u", "v")).alias("node")).distinct(), labels, "node", "left_anti").select("node", F.col("node").alias("label"))
     known = stored(labels.unionByName(alone))
     for side in "uv":
         more = dealt(more, known.select(F.col("node").alias(side), F.col("label").alias(f"_{side}")), [side], "u" if side == "v" else "v")

@@ -42,6 +42,16 @@ def test_links_of_fingerprints(spark, monkeypatch, unsaid, limit):
     assert sorted({r.component_id for r in found.collect()}) == [*range(30), 30, 31]
 
 
+@pytest.mark.parametrize("limit", [survivors.BROADCAST_BYTES, 0])
+def test_links_of_near_copies(spark, monkeypatch, unsaid, limit):
+    for module in (survivors, near_copies, attach):
+        monkeypatch.setattr(module, "BROADCAST_BYTES", limit)
+    docs = spark.createDataFrame(texts(30), "doc_id long, text string")
+    found = near_copies.keep_one_of_each(docs)
+    assert not unsaid + joins(found)
+    assert sorted(r.doc_id for r in found.collect()) == [*range(30), 30, 31]
+
+
 def test_exploded_fingerprints_are_no_broadcast(spark):
     points = common.stored(spark.range(2_000).selectExpr("xxhash64(id) as fp"))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
