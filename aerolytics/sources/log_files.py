@@ -206,7 +206,10 @@ class _Writer(DataSourceArrowWriter):
         from pyarrow import fs
 
         store, base = _store(self.folder)
-        for file, path in (f for m in messages if m for f in m.files.items()):
+        files = [f for m in messages if m for f in m.files.items()]
+        if len({file for file, _ in files}) < len(files):
+            raise ValueError("the rows of a file are in several tasks")
+        for file, path in files:
             if store.get_file_info(f"{base}/{file}").type != fs.FileType.NotFound:
                 store.delete_file(f"{base}/{file}")
             store.move(path, f"{base}/{file}")
@@ -216,16 +219,17 @@ class _Writer(DataSourceArrowWriter):
         self._clear()
 
 
-def write_files(rows: DataFrame, folder: str) -> None:
+def write_files(rows: DataFrame, folder: str, together: bool = False) -> None:
     """Write (file, place, content binary) as files of a folder: a file is the contents of its rows in the order of ``place``.
 
-    A file's rows pass through one task in sorted batches.  Files of these names are replaced, others stay.
+    A file's rows pass through one task in sorted batches.  Files of these names are replaced, others stay.  ``together`` tells that
+    each file's rows stand in one task and in order already, so that they need not be shuffled.
     """
     spark = rows.sparkSession
     ship(spark)
     spark.dataSource.register(LogFiles)
-    ordered = rows.repartition("file").sortWithinPartitions("file", "place").select("file", "content")
-    ordered.write.format("log_files").option("path", folder).option("aside", f"_aside-{uuid.uuid4().hex}").mode("append").save()
+    ordered = rows if together else rows.repartition("file").sortWithinPartitions("file", "place")
+    ordered.select("file", "content").write.format("log_files").option("path", folder).option("aside", f"_aside-{uuid.uuid4().hex}").mode("append").save()
 
 
 class LogFiles(DataSource):
